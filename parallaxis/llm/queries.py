@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture
+from parallaxis.llm import chat, licences, mixture, pivots, simhash
 from parallaxis.llm._work import table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -90,10 +90,22 @@ SELECT doc_id, size, source_size, target, once + twice AS taken,
 FROM a
 """
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and near-duplicate components of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_licence_scan": op4_licence_scan,
     "op6_source_mixture": op6_source_mixture,
+    "op8_simhash": op8_simhash,
+    "op10_embedding_pivots": op10_embedding_pivots,
 }
 ORACLE = {"op1_chat_format": OP1_SQL, "op6_source_mixture": OP6_SQL}
 
