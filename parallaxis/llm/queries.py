@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture, pivots, simhash
+from parallaxis.llm import chat, licences, mixture, pivots, simhash, superkmers
 from parallaxis.llm._work import table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -39,6 +39,26 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents keep of their words when windows seen in smaller doc_ids go."""
+    done = superkmers.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13),
+k AS (SELECT r, doc_id, p, array_to_string(ws[p:p + 12], ' ') AS win FROM n),
+m AS (SELECT r, p, doc_id > min(doc_id) OVER (PARTITION BY win) AS again FROM k),
+c AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS i FROM m WHERE again),
+g AS (SELECT r, list(i) AS gone FROM c GROUP BY r),
+j AS (SELECT w.doc_id, w.ws, coalesce(g.gone, []) AS gone FROM w LEFT JOIN g USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM j
+"""
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence statements of all documents."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
@@ -102,12 +122,13 @@ def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_licence_scan": op4_licence_scan,
     "op6_source_mixture": op6_source_mixture,
     "op8_simhash": op8_simhash,
     "op10_embedding_pivots": op10_embedding_pivots,
 }
-ORACLE = {"op1_chat_format": OP1_SQL, "op6_source_mixture": OP6_SQL}
+ORACLE = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_source_mixture": OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
