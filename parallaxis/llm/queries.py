@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture, pivots, simhash, superkmers
-from parallaxis.llm._work import table
+from parallaxis.llm import chat, licences, mixture, pivots, simhash, superkmers, warc
+from parallaxis.llm._work import fresh_path, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
@@ -64,6 +64,14 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, looked up by URL key in the index, and read back by ranges."""
+    path = fresh_path(spark, "warc")
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.look_up(warc.build_index(captures), captures.select("key"))
+    return warc.read_ranges(found, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to target weights, with the position of each one's first words."""
     docs = table(spark, sf_dir, "documents")
@@ -124,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_licence_scan": op4_licence_scan,
+    "op5_warc_index": op5_warc_index,
     "op6_source_mixture": op6_source_mixture,
     "op8_simhash": op8_simhash,
     "op10_embedding_pivots": op10_embedding_pivots,
