@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture, pivots, simhash, superkmers, warc
+from parallaxis.llm import chat, licences, mixture, pivots, resampling, simhash, superkmers, warc
 from parallaxis.llm._work import fresh_path, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -59,6 +59,11 @@ FROM j
 """
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and the resampling decision of all documents."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence statements of all documents."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
@@ -131,6 +136,7 @@ def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_resampling": op3_quality_resampling,
     "op4_licence_scan": op4_licence_scan,
     "op5_warc_index": op5_warc_index,
     "op6_source_mixture": op6_source_mixture,
