@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture, pivots, resampling, simhash, superkmers, warc
+from parallaxis.llm import chat, licences, mixture, pivots, resampling, semantic, simhash, superkmers, warc
 from parallaxis.llm._work import fresh_path, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -123,6 +123,11 @@ SELECT doc_id, size, source_size, target, once + twice AS taken,
 FROM a
 """
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that all documents hold."""
+    return semantic.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": op4_licence_scan,
     "op5_warc_index": op5_warc_index,
     "op6_source_mixture": op6_source_mixture,
+    "op7_latent_decontamination": op7_latent_decontamination,
     "op8_simhash": op8_simhash,
     "op10_embedding_pivots": op10_embedding_pivots,
 }

@@ -20,24 +20,28 @@ from pyspark.sql import functions as F
 from parallaxis.llm import _text
 from parallaxis.llm.licences import BREAKS
 
-#: Buckets that words are hashed to, rank of the latent space, and random directions beyond it.
-TERMS, RANK, EXTRA = 1 << 14, 32, 8
+#: Buckets that words are hashed to, and directions of the randomised SVD.
+TERMS, DIRECTIONS = 1 << 14, 40
+#: A latent direction in which the means of long documents hold this share of the energy of their passages tells languages and topics apart, not passages, and is dropped.
+SHARED_ENERGY = 0.3
+#: Passages from which a document counts as long.
+LONG = 8
 #: Words of a passage of the SVD.
 PASSAGE = 48
 #: Window lengths; an item is sought with the longest that it fills, and longer items in several windows.
 SCALES = (8, 12, 24, 48)
-#: Windows start so many to a length.
-STEPS = 3
-#: Least cosine of a candidate.
-COSINE = 0.6
+#: Words of a block; windows are whole blocks, and start a third of their length apart.
+BLOCK = 4
+#: Least cosine of a candidate, and the least share of its window's words that the item has too.
+COSINE, COMMON_TERMS = 0.62, 0.5
 #: Share of an item's words that a common subsequence must have: to settle it alone, and with the answer.
 SURE, LOOSE = 0.75, 0.5
 #: Share of an item's words, at its end, that count as its answer, and the share of those that must be there in order.
 ANSWER, ANSWERED = 0.25, 0.8
 #: Items whose vectors one pass holds; more items take more passes.
-ITEMS = 20_000
+ITEMS = 4_000
 #: Texts are projected so many bytes at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SEED = 11
 _SLICE = 256
 
@@ -59,12 +63,13 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for _, _, data, offsets in _text.chunks(batch.column(0)):
+            for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
                 w = _text.words(data, offsets, lower=True, breaks=BREAKS)
                 if not len(w.row):
                     continue
                 start, of = _passages(w, PASSAGE)
-                counts[:-1] += np.bincount(np.unique(of * TERMS + _terms(w)) % TERMS, minlength=TERMS)
+                both = np.sort((of * TERMS + _terms(w)).astype(np.uint64 if len(start) >> 18 else np.uint32))
+                counts[:-1] += np.bincount((both[np.append(True, both[1:] != both[:-1])] % TERMS).astype(np.int64), minlength=TERMS)
                 counts[-1] += len(start)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
@@ -75,13 +80,15 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
     return np.log((counts[-1] + 1) / (counts[:-1] + 1))
 
 
-def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """A'A times directions, where A has the TF-IDF rows of all passages."""
+def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A'A times directions, where A has the TF-IDF rows of all passages; and over long documents, the second moments along the directions of their passages, and of their means in place of these."""
     width = directions.shape[1]
     scaled = (idf[:, None] * directions).astype(np.float32)
+    own = -(-width // _SLICE) * _SLICE  # rows at the end for the moments, in whole slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, width))
+        passages, means = np.zeros((width, width)), np.zeros((width, width))
         for batch in batches:
             for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
                 w = _text.words(data, offsets, lower=True, breaks=BREAKS)
@@ -91,10 +98,20 @@ def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray)
                 term = _terms(w)
                 rows = np.add.reduceat(scaled[term], start, axis=0)
                 for k in range(width):
-                    total[:, k] += np.bincount(term, rows[of, k], TERMS)
+                    total[:, k] += np.bincount(term, np.ascontiguousarray(rows[:, k])[of], TERMS)
+                text = w.row[start]
+                n = np.bincount(text, minlength=w.rows)
+                long = rows[n[text] >= LONG].astype(np.float64)
+                if len(long):
+                    passages += long.T @ long
+                    which, first = np.unique(text[n[text] >= LONG], return_index=True)
+                    sums = np.add.reduceat(long, first, axis=0)
+                    means += (sums / n[which, None]).T @ sums
         total *= idf[:, None]
-        part = total.astype(np.float32).reshape(TERMS // _SLICE, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], names=["slice", "part"])
+        parts = np.concatenate([total, np.zeros((2 * own, width))])
+        parts[TERMS : TERMS + width], parts[TERMS + own : TERMS + own + width] = passages, means
+        parts = parts.astype(np.float32).reshape(-1, _SLICE * width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, key = np.zeros(_SLICE * width), 0
@@ -104,22 +121,30 @@ def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray)
                 total += np.frombuffer(part.as_py(), np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "part"])
 
-    out = np.zeros((TERMS // _SLICE, _SLICE * width))
-    for r in documents.select("text").mapInArrow(run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():  # TERMS x width numbers
+    out = np.zeros(((TERMS + 2 * own) // _SLICE, _SLICE * width))
+    for r in documents.select("text").mapInArrow(run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():  # some more than TERMS x width numbers
         out[r[0]] = np.frombuffer(r[1])
-    return out.reshape(TERMS, width)
+    out = out.reshape(-1, width)
+    return out[:TERMS], out[TERMS : TERMS + width], out[TERMS + own : TERMS + own + width]
+
+
+def _symmetric(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.linalg.eigh((x + x.T) / 2)
 
 
 def latent_space(documents: DataFrame) -> np.ndarray:
-    """A term's whitened latent coordinates, TERMS x RANK: a text's vector is the sum over its words."""
+    """A term's whitened latent coordinates, TERMS rows: a text's vector is the sum over its words."""
     idf = inverse_frequencies(documents)
-    directions = np.random.default_rng(SEED).standard_normal((TERMS, RANK + EXTRA))
-    basis, _ = np.linalg.qr(gram_product(documents, idf, directions))
-    inner = basis.T @ gram_product(documents, idf, basis)
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    top = np.argsort(-values)[:RANK]
-    values = np.maximum(values[top], 1e-9 * max(float(values.max()), 1e-9))
-    return (idf[:, None] * (basis @ vectors[:, top]) / np.sqrt(values)).astype(np.float32)
+    directions = np.random.default_rng(SEED).standard_normal((TERMS, DIRECTIONS))
+    basis, _ = np.linalg.qr(gram_product(documents, idf, directions)[0])
+    product, passages, means = gram_product(documents, idf, basis)
+    inner = passages if np.trace(passages) > 0 else basis.T @ product
+    values, vectors = _symmetric(inner)
+    some = values > 1e-9 * max(float(values.max()), 1e-9)
+    whiten = vectors[:, some] / np.sqrt(values[some])
+    shared, turned = _symmetric(whiten.T @ means @ whiten)
+    keep = shared < max(SHARED_ENERGY, float(np.quantile(shared, 0.25)) + 1e-12) if len(shared) else np.zeros(0, bool)
+    return (idf[:, None] * (basis @ whiten @ turned[:, keep])).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -165,6 +190,8 @@ class Retriever:
         self.masks = [_masks(x) for x in self.words]
         self.answers = [x[len(x) - max(1, round(ANSWER * len(x))) :] for x in self.words]
         self.answer_masks = [_masks(x) for x in self.answers]
+        self.has = np.zeros((len(texts), TERMS), bool)
+        self.has[w.row, terms] = True
         self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
         for k, length in enumerate(SCALES):
             longer = SCALES[k + 1] if k + 1 < len(SCALES) else 1 << 60
@@ -182,47 +209,53 @@ class Retriever:
         w = _text.words(data, offsets, lower=True, breaks=BREAKS)
         if not len(w.row):
             return []
-        hashes = w.hashes()
-        sums = np.zeros((len(w.row) + 1, self.space.shape[1]))
-        np.cumsum(self.space[_terms(w)], axis=0, out=sums[1:])
+        hashes, terms = w.hashes(), _terms(w)
         first = w.firsts()
-        inside = np.arange(len(w.row)) - first[w.row]
+        inside = np.arange(len(terms)) - first[w.row]
+        block = np.flatnonzero(inside % BLOCK == 0)
+        sums = np.zeros((len(block) + 1, self.space.shape[1]), np.float32)
+        np.cumsum(np.add.reduceat(self.space[terms], block, axis=0), axis=0, out=sums[1:])
+        starts = np.append(block, len(terms))
+        text = w.row[block]
+        begins = np.searchsorted(text, np.arange(w.rows + 1))  # first block of each text
+        place = np.arange(len(block)) - begins[text]
+        left = begins[text + 1] - np.arange(len(block))  # blocks to the text's end
         found: dict[tuple[int, int], Hit] = {}
         for length, vectors, of in self.scales:
-            step = max(1, length // STEPS)
-            begin = np.flatnonzero(inside % step == 0)
-            stop = np.minimum(begin + length, first[w.row[begin] + 1])
-            useful = (stop - begin == length) | (inside[begin] == 0)  # the window before a short last one, moved to the end, stands for it
-            last = np.unique(w.row)
-            tail = np.maximum(first[last + 1] - length, first[last])
-            begin = np.concatenate([begin[useful], tail])
-            stop = np.minimum(begin + length, first[w.row[begin] + 1])
+            n = length // BLOCK
+            x = np.flatnonzero(((place % max(1, n // 3) == 0) & (left > n)) | (left == n) | ((left < n) & (place == 0)))  # the last window ends with the text
+            upto = np.minimum(x + n, begins[text[x] + 1])
+            begin, stop = starts[x], starts[upto]
             tried: set[tuple[int, int]] = set()
-            for at in range(0, len(begin), 16384):
-                a, b = begin[at : at + 16384], stop[at : at + 16384]
-                cosine = _unit((sums[b] - sums[a]).astype(np.float32)) @ vectors.T
-                for x, y in zip(*(z.tolist() for z in np.nonzero(cosine >= COSINE))):
-                    row, item = int(w.row[a[x]]), int(of[y])
+            for at in range(0, len(begin), 8192):
+                a, b = begin[at : at + 8192], stop[at : at + 8192]
+                cosine = _unit(sums[upto[at : at + 8192]] - sums[x[at : at + 8192]]) @ vectors.T
+                x_, y_ = np.nonzero(cosine >= COSINE)
+                span = np.minimum(a[x_, None] + np.arange(length), len(terms) - 1)
+                shared = (self.has[of[y_][:, None], terms[span]] & (span < b[x_, None])).sum(1)
+                fit = shared >= COMMON_TERMS * length
+                for i, j in zip(x_[fit].tolist(), y_[fit].tolist()):
+                    row, item = int(w.row[a[i]]), int(of[j])
                     size = len(self.words[item])
-                    low, high = max(int(a[x]) - size, int(first[row])), min(int(b[x]) + size, int(first[row + 1]))
-                    if size > 2 * length and (low // size, item) in tried:
+                    low, high = max(int(a[i]) - size, int(first[row])), min(int(b[i]) + size, int(first[row + 1]))
+                    if (low, item) in tried:
                         continue
-                    tried.add((low // size, item))
-                    region = hashes[low:high].tolist()
+                    tried.add((low, item))
                     mask = self.masks[item]
-                    own = [k for k, v in enumerate(region) if v in mask]
+                    own = [(k, v) for k, v in enumerate(hashes[low:high].tolist()) if v in mask]
                     if len(own) < LOOSE * size:
                         continue
-                    common = common_subsequence([region[k] for k in own], mask, size)
+                    region = [v for _, v in own]
+                    common = common_subsequence(region, mask, size)
                     if common < LOOSE * size:
                         continue
-                    answer = self.answers[item]
-                    answered = common_subsequence([region[k] for k in own], self.answer_masks[item], len(answer)) >= ANSWERED * len(answer)
+                    answer = len(self.answers[item])
+                    answered = common_subsequence(region, self.answer_masks[item], answer) >= ANSWERED * answer
                     if common < SURE * size and not answered:
                         continue
                     best = found.get((row, item))
-                    if best is None or (common, float(cosine[x, y])) > (best.common, best.cosine):
-                        found[row, item] = Hit(row, item, float(cosine[x, y]), common, answered, low - int(first[row]) + own[0])
+                    if best is None or (common, float(cosine[i, j])) > (best.common, best.cosine):
+                        found[row, item] = Hit(row, item, float(cosine[i, j]), common, answered, low - int(first[row]) + own[0][0])
         return [found[k] for k in sorted(found)]
 
 
