@@ -32,8 +32,8 @@ PASSAGE = 48
 SCALES = (8, 12, 24, 48)
 #: Words of a block; windows are whole blocks, and start a third of their length apart.
 BLOCK = 4
-#: Least cosine of a candidate, and the least share of its window's words that the item has too.
-COSINE, COMMON_TERMS = 0.62, 0.5
+#: Least cosine of a candidate, and the least share, weighed by inverse frequency, of its window's words that the item has too.
+COSINE, COMMON_TERMS = 0.62, 0.45
 #: Share of an item's words that a common subsequence must have: to settle it alone, and with the answer.
 SURE, LOOSE = 0.75, 0.5
 #: Share of an item's words, at its end, that count as its answer, and the share of those that must be there in order.
@@ -132,8 +132,16 @@ def _symmetric(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.linalg.eigh((x + x.T) / 2)
 
 
-def latent_space(documents: DataFrame) -> np.ndarray:
-    """A term's whitened latent coordinates, TERMS rows: a text's vector is the sum over its words."""
+@dataclass
+class Space:
+    """Inverse frequency and whitened latent coordinates of each term; a text's vector is the sum over its words."""
+
+    idf: np.ndarray
+    coordinates: np.ndarray
+
+
+def latent_space(documents: DataFrame) -> Space:
+    """The latent space of all passages of documents."""
     idf = inverse_frequencies(documents)
     directions = np.random.default_rng(SEED).standard_normal((TERMS, DIRECTIONS))
     basis, _ = np.linalg.qr(gram_product(documents, idf, directions)[0])
@@ -144,7 +152,7 @@ def latent_space(documents: DataFrame) -> np.ndarray:
     whiten = vectors[:, some] / np.sqrt(values[some])
     shared, turned = _symmetric(whiten.T @ means @ whiten)
     keep = shared < max(SHARED_ENERGY, float(np.quantile(shared, 0.25)) + 1e-12) if len(shared) else np.zeros(0, bool)
-    return (idf[:, None] * (basis @ whiten @ turned[:, keep])).astype(np.float32)
+    return Space(np.maximum(idf, 1e-3).astype(np.float32), (idf[:, None] * (basis @ whiten @ turned[:, keep])).astype(np.float32))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -182,8 +190,8 @@ class Hit:
 class Retriever:
     """Benchmark items ready to be sought in texts. Items of fewer than the least scale's words are not sought."""
 
-    def __init__(self, texts: list[str | None], space: np.ndarray):
-        self.space = space
+    def __init__(self, texts: list[str | None], space: Space):
+        self.idf, self.space = space.idf, space.coordinates
         w = _text.words(*_text.buffers(pa.array(texts, pa.string())), lower=True, breaks=BREAKS)
         first, hashes, terms = w.firsts(), w.hashes(), _terms(w)
         self.words = [hashes[a:b].tolist() for a, b in zip(first, first[1:])]
@@ -199,7 +207,7 @@ class Retriever:
             for i, (a, b) in enumerate(zip(first, first[1:])):
                 if length <= b - a < longer:
                     for s in sorted({*range(a, b - length, length), b - length}):
-                        vectors.append(space[terms[s : s + length]].sum(0))
+                        vectors.append(self.space[terms[s : s + length]].sum(0))
                         of.append(i)
             if of:
                 self.scales.append((length, _unit(np.array(vectors)), np.array(of)))
@@ -230,10 +238,10 @@ class Retriever:
             for at in range(0, len(begin), 8192):
                 a, b = begin[at : at + 8192], stop[at : at + 8192]
                 cosine = _unit(sums[upto[at : at + 8192]] - sums[x[at : at + 8192]]) @ vectors.T
-                x_, y_ = np.nonzero(cosine >= COSINE)
+                x_, y_ = np.divmod(np.flatnonzero(cosine.ravel() >= COSINE), len(vectors))
                 span = np.minimum(a[x_, None] + np.arange(length), len(terms) - 1)
-                shared = (self.has[of[y_][:, None], terms[span]] & (span < b[x_, None])).sum(1)
-                fit = shared >= COMMON_TERMS * length
+                own = self.idf[terms[span]] * (span < b[x_, None])
+                fit = (own * self.has[of[y_][:, None], terms[span]]).sum(1) >= COMMON_TERMS * own.sum(1)
                 for i, j in zip(x_[fit].tolist(), y_[fit].tolist()):
                     row, item = int(w.row[a[i]]), int(of[j])
                     size = len(self.words[item])
@@ -243,7 +251,7 @@ class Retriever:
                     tried.add((low, item))
                     mask = self.masks[item]
                     own = [(k, v) for k, v in enumerate(hashes[low:high].tolist()) if v in mask]
-                    if len(own) < LOOSE * size:
+                    if len({v for _, v in own}) + size - len(mask) < LOOSE * size:  # no common subsequence can be long enough
                         continue
                     region = [v for _, v in own]
                     common = common_subsequence(region, mask, size)
@@ -275,7 +283,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
         yield block
 
 
-def find_matches(documents: DataFrame, benchmark: DataFrame, space: np.ndarray | None = None) -> DataFrame:
+def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
     """One row for each document and benchmark item that it holds, as copied or paraphrased text.
 
     All windows of whole texts are compared with all items. Null texts have no
