@@ -9,6 +9,7 @@ are left are the groups in which tasks walk on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ TOP = 12
 SUBTREE = 4096
 #: Pairs of a node pair that are compared directly instead of walking on.
 DIRECT = 32
+#: For near copies by similarity: 64-bit words of the long fingerprint, fingerprints of a subtree, and pairs from which a block is compared piecemeal.
+WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 16, 1 << 18
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: the 64-bit SimHash of each whole text as a signed long.
+def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1) -> DataFrame:
+    """doc_id, fp: the 64-bit SimHash of each whole text as a signed long; with a larger size also fp1, fp2, ..., by further hashes of the first.
 
     Words are runs outside ASCII white space with A-Z lowered; shingles of
     them, repeats included, vote with their XXH64, and a bit is set by more
@@ -51,15 +54,16 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
                 finish = np.where(count[own] >= shingle, begin + shingle, first[own + 1]) - 1
                 text = w.data.tobytes()
                 hashes = np.fromiter((digest(text[x:y], seed) for x, y in zip(w.start[begin].tolist(), w.end[finish].tolist())), np.uint64, len(own))
-                out = np.zeros(w.rows, np.uint64)
-                if len(own):
-                    some = np.flatnonzero(n)
-                    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                out = np.zeros((size, w.rows), np.uint64)
+                some = np.flatnonzero(n)
+                for k in range(size if len(own) else 0):
+                    bits = np.unpackbits((_text.mix(hashes + np.uint64(k)) if k else hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     votes = np.add.reduceat(bits, to[some], axis=0, dtype=np.int32)
-                    out[some] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").reshape(-1).view("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                    out[k, some] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").reshape(-1).view("<u8")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *names])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    names = ["fp", *(f"fp{k}" for k in range(1, size))]
+    return documents.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in names)]))
 
 
 def subtrees(counts: dict[int, int], top: int = TOP, most: int = SUBTREE) -> list[tuple[int, int]]:
@@ -95,21 +99,32 @@ def subtree_pairs(trees: list[tuple[int, int]], budget: int) -> list[tuple[int,
     return out
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, level: int = 0, used: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted distinct fingerprints within the budget; of a with itself (i < j) where b is None.
+def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, level: int = 0, used: int = 0, bits: int = 64, large=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted fingerprints within the budget; of a with itself (i < j) where b is None.
 
-    Both share their first `level` bits but for `used` of them.
+    Both share their first `level` bits but for `used` of them, and have none
+    set after the first `bits`. Blocks of equal fingerprints of more than
+    PIECEWISE pairs go to large(first, end, other first, other end), if given.
     """
     same = b is None
     other = a if same else b
     al, ah, bl, bh = (np.array([x]) for x in (0, len(a), 0, len(other)))
     d, own = np.array([used]), np.array([same])
     while len(al):
-        small = (ah - al) * (bh - bl) <= DIRECT
-        if level == 64:
+        size = (ah - al) * (bh - bl)
+        small = size <= DIRECT
+        if level == bits:
             small[:] = True
+            if large is not None and (size > PIECEWISE).any():
+                for k in np.flatnonzero(size > PIECEWISE):
+                    large(al[k], ah[k], bl[k], bh[k])
+                al, ah, bl, bh, d, own, small = (x[size <= PIECEWISE] for x in (al, ah, bl, bh, d, own, small))
         if small.any():
-            for part in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) // 100_000)):
+            work = np.flatnonzero(small)
+            upto = np.cumsum((ah - al)[work] * (bh - bl)[work])
+            for part in np.split(work, np.searchsorted(upto, np.arange(1_000_000, upto[-1], 1_000_000))) if len(work) else ():
+                if not len(part):
+                    continue
                 n = (ah[part] - al[part]) * (bh[part] - bl[part])
                 at = np.repeat(np.arange(len(part)), n)
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -134,6 +149,57 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, level: int = 0,
         level += 1
 
 
+@dataclass
+class Walk:
+    """How one trie is dealt out: its subtrees, the pairs of them to walk, and for each subtree its pairs and its side in them."""
+
+    trees: list[tuple[int, int]]
+    pairs: list[tuple[int, int]]
+    place: np.ndarray
+    begins: np.ndarray
+    of: np.ndarray
+    side: np.ndarray
+
+    @staticmethod
+    def plan(counts: dict[int, int], budget: int, most: int) -> Walk:
+        trees = subtrees(counts, most=most)
+        pairs = subtree_pairs(trees, budget)
+        of: list[list[int]] = [[] for _ in trees]
+        side: list[list[int]] = [[] for _ in trees]
+        for k, (i, j) in enumerate(pairs):
+            of[i].append(k)
+            side[i].append(0)
+            if i != j:
+                of[j].append(k)
+                side[j].append(1)
+        flat = (np.array([y for x in z for y in x], np.int32) for z in (of, side))
+        place = np.array([p << (64 - d) if d else 0 for d, p in trees], np.uint64)
+        return Walk(trees, pairs, place, np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int64), *flat)
+
+    def deal(self, fps: np.ndarray, step: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of fps, the pair of each copy, and its side."""
+        tree = np.searchsorted(self.place, fps, "right") - 1
+        copies = np.diff(self.begins)
+        for at in range(0, len(fps), step):
+            t = tree[at : at + step]
+            n = copies[t]
+            k = np.repeat(self.begins[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(np.arange(at, at + len(t)), n), self.of[k], self.side[k]
+
+    def links(self, pair: int, fp: np.ndarray, cut: int, budget: int, bits: int = 64, large=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs within the budget of a pair's fingerprints, those of the first subtree (sorted) before `cut`."""
+        i, j = self.pairs[pair]
+        (di, pi), (dj, pj) = self.trees[i], self.trees[j]
+        level = min(di, dj)
+        if i == j:
+            yield from trie_links(fp, None, budget, level, 0, bits, large)
+        elif 0 < cut < len(fp):
+            used = ((pi >> (di - level)) ^ (pj >> (dj - level))).bit_count()
+            far = None if large is None else lambda a, b, c, d: large(a, b, c + cut, d + cut)
+            for x, y in trie_links(fp[:cut], fp[cut:], budget, level, used, bits, far):
+                yield x, y + cut
+
+
 def link_fingerprints(distinct: DataFrame, budget: int = 2) -> DataFrame:
     """src, dst: links that join the nodes of all fingerprints within the budget.
 
@@ -142,54 +208,132 @@ def link_fingerprints(distinct: DataFrame, budget: int = 2) -> DataFrame:
     are the same, and a crowd of near fingerprints doesn't give all its pairs.
     """
     counts = {int(r[0]): int(r[1]) for r in distinct.groupBy(F.shiftrightunsigned("fp", 64 - TOP)).count().collect()}  # 2 ** TOP rows at most
-    trees = subtrees(counts)
-    pairs = subtree_pairs(trees, budget)
-    place = np.array([p << (64 - d) if d else 0 for d, p in trees], np.uint64)
-    of: list[list[int]] = [[] for _ in trees]
-    side: list[list[int]] = [[] for _ in trees]
-    for k, (i, j) in enumerate(pairs):
-        of[i].append(k)
-        side[i].append(0)
-        if i != j:
-            of[j].append(k)
-            side[j].append(1)
-    copies = np.array([len(x) for x in of])
-    begins = np.concatenate([[0], np.cumsum(copies)])
-    of_, side_ = (np.array([y for x in z for y in x], np.int32) for z in (of, side))
+    plan = Walk.plan(counts, budget, SUBTREE)
+    if not plan.trees:
+        return distinct.select(F.col("node").alias("src"), F.col("node").alias("dst"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, nodes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            tree = np.searchsorted(place, fps.view(np.uint64), "right") - 1
-            for at in range(0, len(fps), 20_000):
-                t = tree[at : at + 20_000]
-                n = copies[t]
-                k = np.repeat(begins[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(of_[k]), pa.array(side_[k]), pa.array(np.repeat(fps[at : at + 20_000], n)), pa.array(np.repeat(nodes[at : at + 20_000], n))], names=["pair", "side", "fp", "node"])
+            for rows, pair, side in plan.deal(fps.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(side), pa.array(fps[rows]), pa.array(nodes[rows])], names=["pair", "side", "fp", "node"])
 
     def walk(table: pa.Table) -> pa.Table:
         pair, side, fp, node = (c.to_numpy() for c in table.columns)
-        i, j = pairs[int(pair[0])]
         fp = fp.view(np.uint64)
         order = np.lexsort((fp, side))
-        fp, node, side = fp[order], node[order], side[order]
-        cut = int(np.searchsorted(side, 1))
+        fp, node = fp[order], node[order]
         forest = Forest(len(fp))
-        (di, pi), (dj, pj) = trees[i], trees[j]
-        level = min(di, dj)
-        used = ((pi >> (di - level)) ^ (pj >> (dj - level))).bit_count()
-        found = trie_links(fp, None, budget, level) if i == j else trie_links(fp[:cut], fp[cut:], budget, level, used) if 0 < cut < len(fp) else ()
-        for x, y in found:
-            forest.add(x, y if i == j else y + cut)
+        for x, y in plan.links(int(pair[0]), fp, int((side == 0).sum()), budget):
+            forest.add(x, y)
         ends = np.array(forest.links, np.int64).reshape(-1, 2)
         return pa.table({"src": node[ends[:, 0]], "dst": node[ends[:, 1]]})
 
-    if not trees:
-        return distinct.select(F.col("node").alias("src"), F.col("node").alias("dst"))
     dealt = distinct.select("fp", "node").mapInArrow(deal, "pair int, side int, fp long, node long")
     return dealt.groupBy("pair").applyInArrow(walk, "src long, dst long")
 
 
+def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Differing bits expected of fingerprints whose shingle sets have this Jaccard similarity, and so many standard deviations more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def link_similar(distinct: DataFrame, similarity: float, budget: int = 2) -> DataFrame:
+    """src, dst: links that join the nodes of long fingerprints that agree as far as this similarity asks.
+
+    The long fingerprint (fp, fp1, ...) is cut into bands, and each band has a
+    trie: pairs that agree within the budget in some band are compared over
+    all bits. Bands are longer for more fingerprints, so that chance meetings
+    stay few for each; for pairs at the very similarity, about a thirtieth is
+    missed at 24 bits, and a third at 30; above it soon next to none.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
+    total = distinct.count()
+    width = int(min(32, max(24, np.ceil(np.log2(total + 1)) + 6)))
+    bands = 64 * WORDS // width
+    most = bits_at(similarity, 64 * WORDS, 1.0)
+
+    def band(fps: list[np.ndarray], k: int) -> np.ndarray:
+        word, shift = divmod(k * width, 64)
+        x = fps[word] << np.uint64(shift)
+        if shift + width > 64:
+            x = x | fps[word + 1] >> np.uint64(64 - shift)
+        return x >> np.uint64(64 - width) << np.uint64(64 - width)
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(bands << TOP, np.int64)
+        for batch in batches:
+            for k in range(bands):
+                counts[k << TOP : (k + 1) << TOP] += np.bincount((band(columns(batch), k) >> np.uint64(64 - TOP)).astype(np.int64), minlength=1 << TOP)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["prefix", "n"])
+
+    found = distinct.select(*names).mapInArrow(prefixes, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).collect()  # bands * 2 ** TOP rows at most
+    counts: list[dict[int, int]] = [{} for _ in range(bands)]
+    for r in found:
+        counts[r.prefix >> TOP][r.prefix & ((1 << TOP) - 1)] = r.n
+    plans = [Walk.plan(c, budget, LONG_SUBTREE) for c in counts]
+    if not plans[0].trees:
+        return distinct.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, nodes = columns(batch), batch.column(WORDS).to_numpy(zero_copy_only=False)
+            for k in range(bands):
+                for rows, pair, side in plans[k].deal(band(fps, k)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(pair), pa.array(side), *(pa.array(f[rows].view(np.int64)) for f in fps), pa.array(nodes[rows])], names=["band", "pair", "side", *names, "node"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        k, pair, side = (table.column(n).to_numpy() for n in range(3))
+        fps = [table.column(3 + n).to_numpy().view(np.uint64) for n in range(WORDS)]
+        node = table.column("node").to_numpy()
+        own = band(fps, int(k[0]))
+        order = np.lexsort((own, side))
+        own, node, fps = own[order], node[order], [f[order] for f in fps]
+        forest = Forest(len(node))
+
+        def verify(x: np.ndarray, y: np.ndarray) -> None:
+            open_ = forest.label[x] != forest.label[y]
+            x, y = x[open_], y[open_]
+            near = sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int32) for f in fps) <= most
+            if near.any():
+                forest.add(x[near], y[near])
+
+        def large(a: int, b: int, c: int, d: int) -> None:
+            for x in range(a, b):  # pairs that are one component already need no look
+                y = np.arange(max(c, x + 1) if a == c else c, d)
+                y = y[forest.label[y] != forest.label[x]]
+                if len(y):
+                    verify(np.full(len(y), x), y)
+
+        for x, y in plans[int(k[0])].links(int(pair[0]), own, int((side == 0).sum()), budget, width, large):
+            verify(x, y)
+        ends = np.array(forest.links, np.int64).reshape(-1, 2)
+        return pa.table({"src": node[ends[:, 0]], "dst": node[ends[:, 1]]})
+
+    schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in names), "node long"])
+    dealt = distinct.select(*names, "node").mapInArrow(deal, schema)
+    return dealt.groupBy("band", "pair").applyInArrow(walk, "src long, dst long")
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of every row of documents: near duplicates by similarity.
+
+    Documents are linked where SimHashes of 64 * WORDS bits over word shingles
+    put the Jaccard similarity of their shingles at `similarity` or more, as
+    closely as these bits tell: within one standard deviation.
+    Nulls, repeats and short texts are as in near_duplicates.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
+    fps = _work.stored(fingerprints(documents, shingle, WORDS), "simhash")
+    distinct = _work.stored(fps.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
+    return _grouped(fps, distinct, link_similar(distinct, similarity), names).select("doc_id", "component_id")
+
+
 def near_duplicates(documents: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of documents.
 
@@ -201,15 +345,15 @@ def near_duplicates(documents: DataFrame, budget: int = 2, shingle: int = 3) ->
     """
     fps = _work.stored(fingerprints(documents, shingle), "simhash")
     distinct = _work.stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
-    return grouped(fps, distinct, budget)
+    out = _grouped(fps, distinct, link_fingerprints(distinct, budget), ["fp"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def grouped(fps: DataFrame, distinct: DataFrame, budget: int) -> DataFrame:
-    links = link_fingerprints(distinct, budget)
-    shared = fps.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("doc_id is not null and x <> y")
-    again = fps.join(shared.select("doc_id"), "doc_id").join(distinct, "fp").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
+def _grouped(fps: DataFrame, distinct: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of fps with component_id, the smallest doc_id reachable by the links of fingerprints and by rows of equal fingerprint or doc_id."""
+    whole = F.struct(*names)
+    shared = fps.groupBy("doc_id").agg(F.min(whole).alias("x"), F.max(whole).alias("y")).filter("doc_id is not null and x <> y")
+    again = fps.join(shared.select("doc_id"), "doc_id").join(distinct, names).select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     found = connected_components(links.union(again))
-    labelled = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(labelled, "fp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    labelled = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
+    return fps.join(labelled, names, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component")))
