@@ -45,6 +45,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,7 +77,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
 
 @dataclass
 class Words:
-    """Words of several texts: where each starts and ends in data, and which text it is of; data holds them one space apart."""
+    """Words of several texts: where each starts and ends in data, and which text it is of."""
 
     data: np.ndarray
     start: np.ndarray
@@ -92,13 +95,13 @@ class Words:
         if not n:
             return np.zeros(0, np.uint64)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(self.data.astype(np.uint64) + np.uint64(1)) * _grown("up", _BASE, n), out=total[1:])
+        np.cumsum(_BYTE[self.data] * _grown("up", _BASE, n), out=total[1:])
         down = _grown("down", _BASE_INVERSE, n)
         return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:
-    """The runs of bytes outside breaks, of every text."""
+def spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:
+    """The runs of bytes outside breaks, of every text, where they stand in data."""
     rows, n = len(offsets) - 1, len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -113,11 +116,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np
     after[-1], after[:-1] = True, ~solid[1:]
     start = np.flatnonzero(solid & (before | edge[:-1]))
     end = np.flatnonzero(solid & (after | edge[1:])) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
-    length = end - start + 1
-    to = np.zeros(len(start) + 1, np.int64)
+    row = np.repeat(np.arange(rows), np.diff(np.searchsorted(start, offsets)))
+    return Words(data, start, end, row, rows)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:
+    """The same, with data made anew of the words alone, one space apart."""
+    w = spans(data, offsets, lower, breaks)
+    length = w.end - w.start + 1
+    to = np.zeros(len(w.start) + 1, np.int64)
     np.cumsum(length, out=to[1:])
-    taken = np.arange(to[-1]) + np.repeat(start - to[:-1], length)
-    out = np.append(data, np.uint8(32))[taken]
+    out = np.append(w.data, np.uint8(32))[np.arange(to[-1]) + np.repeat(w.start - to[:-1], length)]
     out[to[1:] - 1] = 32
-    return Words(out, to[:-1], to[1:] - 1, row, rows)
+    return Words(out, to[:-1], to[1:] - 1, w.row, w.rows)

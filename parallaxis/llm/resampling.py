@@ -46,7 +46,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     """For each kind: buckets of all n-grams, the first of each text, and how many each text has. Those that cross texts belong to none."""
     for i, order in enumerate(ORDERS):
         yield gram_buckets(data, order) + np.int32(i * BUCKETS), offsets[:-1], np.maximum(np.diff(offsets) - order + 1, 0)
-    w = _text.words(data, offsets)
+    w = _text.spans(data, offsets)
     hashes, first = w.hashes(), w.firsts()
     code = np.zeros(len(hashes), np.int32)
     for k in range(1, BACK + 1):

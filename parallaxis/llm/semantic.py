@@ -64,7 +64,7 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
         counts = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
-                w = _text.words(data, offsets, lower=True, breaks=BREAKS)
+                w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
                 if not len(w.row):
                     continue
                 start, of = _passages(w, PASSAGE)
@@ -91,7 +91,7 @@ def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray)
         passages, means = np.zeros((width, width)), np.zeros((width, width))
         for batch in batches:
             for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
-                w = _text.words(data, offsets, lower=True, breaks=BREAKS)
+                w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
                 if not len(w.row):
                     continue
                 start, of = _passages(w, PASSAGE)
@@ -192,7 +192,7 @@ class Retriever:
 
     def __init__(self, texts: list[str | None], space: Space):
         self.idf, self.space = space.idf, space.coordinates
-        w = _text.words(*_text.buffers(pa.array(texts, pa.string())), lower=True, breaks=BREAKS)
+        w = _text.spans(*_text.buffers(pa.array(texts, pa.string())), lower=True, breaks=BREAKS)
         first, hashes, terms = w.firsts(), w.hashes(), _terms(w)
         self.words = [hashes[a:b].tolist() for a, b in zip(first, first[1:])]
         self.masks = [_masks(x) for x in self.words]
@@ -214,7 +214,7 @@ class Retriever:
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[Hit]:
         """Best accepted match of each (text, item)."""
-        w = _text.words(data, offsets, lower=True, breaks=BREAKS)
+        w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
         if not len(w.row):
             return []
         hashes, terms = w.hashes(), _terms(w)
