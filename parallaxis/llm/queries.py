@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallaxis.llm import chat, licences, mixture, pivots, resampling, semantic, simhash, superkmers, warc
+import corpus_pipeline
+from parallaxis.llm import chat, licences, mixture, pivots, resampling, semantic, simhash, superkmers, toxicity, warc
 from parallaxis.llm._work import fresh_path, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -133,6 +134,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all embeddings."""
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -147,7 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixture": op6_source_mixture,
     "op7_latent_decontamination": op7_latent_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_embedding_pivots": op10_embedding_pivots,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_source_mixture": OP6_SQL}
 

@@ -8,11 +8,13 @@ sampled without replacement by the Gumbel top-k rule on that ratio.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.llm import _text, _work
 
@@ -94,20 +96,21 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
 
 def log_weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, log_weight, means: the summed log ratio of a whole text's n-grams, and its shrunk mean by kind (0 for a text without any)."""
+    """documents with log_weight, means: the summed log ratio of a whole text's n-grams, and its shrunk mean by kind (0 for a text without any)."""
+    own = documents.drop("log_weight", "means")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.chunks(batch.column(1)):
+            for a, b, data, offsets in _text.chunks(batch.column("text")):
                 total, means = np.zeros(b - a), []
                 for code, first, n in grams(data, offsets):
                     sums = np.append(0, np.cumsum(ratios[code]))
                     own = np.where(n > 0, sums[np.minimum(first + n, len(code))] - sums[np.minimum(first, len(code))], 0.0)
                     total += own
                     means.append(own / (n + SHRINK))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(total), pa.array(list(np.stack(means, 1)), pa.list_(pa.float64()))], names=["doc_id", "log_weight", "means"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(total), pa.array(list(np.stack(means, 1)), pa.list_(pa.float64()))], names=[*batch.schema.names, "log_weight", "means"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, means array<double>")
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("means", T.ArrayType(T.DoubleType()))]))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -150,6 +153,36 @@ def kth_largest(keys: DataFrame, key: str, k: int, few: int = 5000) -> float | N
     return values[k - 1]
 
 
+@dataclass
+class Model:
+    """Log ratios of the buckets, and the calibration of a text's means."""
+
+    ratios: np.ndarray
+    centre: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def keyed(self, documents: DataFrame) -> DataFrame:
+        """documents with log_weight, score and key, by their text and doc_id alone."""
+        own = documents.drop("log_weight", "score", "key", "logit", "means")
+        logit = F.lit(self.bias) + sum((F.get("means", F.lit(i)) - float(self.centre[i])) / float(self.scale[i]) * float(self.weights[i]) for i in range(KINDS))
+        uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        weighed = log_weights(own, self.ratios).withColumn("logit", logit)
+        return weighed.select(*own.columns, "log_weight", (1 / (1 + F.exp(-F.col("logit")))).alias("score"), (F.col("logit") - TEMPERATURE * F.log(-F.log(uniform))).alias("key"))
+
+
+def fit(documents: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
+    """The raw model of all documents, the target model of those labelled 1, and the calibration by the labels."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("label"))
+    known = _work.stored(known.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(MOST_LABELLED), "labels")  # at most MOST_LABELLED rows of two numbers
+    labelled = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
+    ratios = log_ratios(gram_counts(labelled.select("text", F.coalesce(F.col("label") == 1, F.lit(False)).alias("good")), "good"))
+    weights = log_weights(labelled.filter("label is not null").select("doc_id", "text", "label"), ratios)
+    fitted = weights.groupBy("doc_id").agg(F.min(F.struct("means", "label")).alias("x")).select("x.*").collect()
+    return Model(ratios, *calibrate(np.array([r.means for r in fitted]).reshape(-1, KINDS), np.array([r.label == 1 for r in fitted], float)))
+
+
 def resample(documents: DataFrame, labels: DataFrame, target: str = "quality", keep: float | None = None) -> DataFrame:
     """doc_id, log_weight, score, key, kept of every row of documents.
 
@@ -164,23 +197,31 @@ def resample(documents: DataFrame, labels: DataFrame, target: str = "quality", k
     place go by doc_id. Labels of null or with several values for one doc_id
     count by their smallest. Other columns are ignored.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("label"))
-    known = _work.stored(known.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(MOST_LABELLED), "labels")  # at most MOST_LABELLED rows of two numbers
-    labelled = documents.join(F.broadcast(known), "doc_id", "left")
-    ratios = log_ratios(gram_counts(labelled.select("text", F.coalesce(F.col("label") == 1, F.lit(False)).alias("good")), "good"))
-    weights = _work.stored(log_weights(documents, ratios), "weights")
-    fitted = weights.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("means").alias("means"), F.first("label").alias("label")).select("means", "label").collect()
-    centre, scale, w, bias = calibrate(np.array([r.means for r in fitted]).reshape(-1, KINDS), np.array([r.label == 1 for r in fitted], float))
-    logit = F.lit(bias) + sum((F.get("means", F.lit(i)) - float(centre[i])) / float(scale[i]) * float(w[i]) for i in range(KINDS))
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    keyed = weights.select("doc_id", "log_weight", (1 / (1 + F.exp(-logit))).alias("score"), (logit - TEMPERATURE * F.log(-F.log(uniform))).alias("key"))
-    k = keyed.filter("score >= 0.5").count() if keep is None else int(round(keep * keyed.count()))
-    last = kth_largest(keyed, "key", k)
+    keyed = _work.stored(fit(documents, labels, target).keyed(documents.select("doc_id", "text")).drop("text"), "keys")
+    k, last = _last(keyed, keep)
     if last is None:
         return keyed.withColumn("kept", F.lit(k > 0))
     return keyed.withColumn("kept", F.col("key") >= last) if keyed.filter(F.col("key") >= last).count() == k else _with_ties(keyed, last, k)
 
 
+def _last(keyed: DataFrame, keep: float | None) -> tuple[int, float | None]:
+    """How many rows are kept, and the key of the last of them (None where all or none are)."""
+    rows = keyed.count()
+    k = keyed.filter("score >= 0.5").count() if keep is None else int(round(keep * rows))
+    return k, None if k in (0, rows) else kth_largest(keyed, "key", k)
+
+
+def keep_target(documents: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
+    """The rows of documents that resample keeps (of rows that tie for the last place, all), unchanged; the texts are not shuffled."""
+    model = fit(documents, labels, target)
+    keyed = _work.stored(model.keyed(documents.select("doc_id", "text")).select("score", "key"), "keys")
+    k, last = _last(keyed, None)
+    if last is None:
+        return documents if k else documents.limit(0)
+    kept = model.keyed(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text"))
+    return kept.filter(F.col("key") >= last).select("row.*")
+
+
 def _with_ties(keyed: DataFrame, last: float, k: int) -> DataFrame:
     """Exactly k rows kept where several have the last key: of those, the smallest doc_ids."""
     from pyspark.sql import Window
