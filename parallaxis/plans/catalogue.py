@@ -1,4 +1,6 @@
 """Registered queries of the counting operators, and their DuckDB SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from parallaxis.plans import scene
+
+QUERIES = {**scene.QUERIES}
+ORACLE = {**scene.ORACLE}
