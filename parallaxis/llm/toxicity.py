@@ -25,10 +25,12 @@ from parallaxis.llm import _text, _work
 SPAN, DECAY = 5, 0.7
 #: Power of the normalised kernel: near matches count, chance resemblance doesn't.
 POWER = 4
+#: Normalised similarity below which two words count as unlike (zero).
+FLOOR = 0.4
 #: Labelled documents that the machine is fitted on, at most; chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
-#: Suspicious word beginnings, landmark words of them, and landmark words of clean text.
-STEMS, TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 80, 16
+#: Suspicious word beginnings, and landmark words of them.
+STEMS, LANDMARKS = 96, 80
 #: Least gain (documents times log odds) of a suspicious beginning: chance reaches it hardly once among all words.
 GAIN = 25.0
 #: Worst sentences of a document that count.
@@ -153,38 +155,53 @@ class Landmarks:
         own /= np.sqrt(np.maximum(norm, 1e-12))
         return Landmarks(table, np.ascontiguousarray(own[:, column]))
 
-    def similarity(self, t: Tokens) -> np.ndarray:
-        """Kernel, normalised and raised to POWER, of each different word with each landmark."""
-        features, owners, weights, norm = [], [], [], np.zeros(t.words)
+    def similarity(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The different words that are like some landmark, and their kernel, normalised and raised to POWER, with each.
+
+        A word's summed best weights bound its similarity with any landmark, so
+        most words are settled without a look at each.
+        """
+        features, owners, weights, norm, bound = [], [], [], np.zeros(t.words), np.zeros(t.words)
+        best = self.weights.max(1)
         for code, word, weight in _subsequences(t.symbols, t.word):
             norm += np.bincount(word, minlength=t.words) * weight**2
             feature = self.table[code]
-            some = feature > 0
+            some = np.flatnonzero(feature)
             features.append(feature[some])
             owners.append(word[some])
-            weights.append(np.full(int(some.sum()), weight, np.float32))
-        out = np.zeros((t.words, self.weights.shape[1]), np.float32)
-        if not features:
-            return out
+            weights.append(np.full(len(some), weight, np.float32))
+            bound += np.bincount(owners[-1], best[features[-1]], t.words) * weight
+        norm = np.sqrt(np.maximum(norm, 1e-12))
+        maybe = bound >= FLOOR * norm
+        alike, out = np.flatnonzero(maybe), np.zeros((int(maybe.sum()), self.weights.shape[1]), np.float32)
+        if not len(alike):
+            return alike, out
         owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        owner, feature, weight = owner[order], np.concatenate(features)[order], np.concatenate(weights)[order]
-        for at in np.array_split(np.arange(len(owner)), max(1, len(owner) // 200_000)):
-            if len(at):
-                own = owner[at]
-                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                np.add.at(out, own[begin], np.add.reduceat(self.weights[feature[at]] * weight[at, None], begin, axis=0))
-        out /= np.sqrt(np.maximum(norm, 1e-12))[:, None]
-        return np.minimum(out, 1.0) ** POWER
-
-    def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best similarity to each landmark of every sentence, and the text each is of."""
+        some = np.flatnonzero(maybe[owner])
+        some = some[np.argsort(owner[some], kind="stable")]
+        owner, feature, weight = (np.cumsum(maybe) - 1)[owner[some]], np.concatenate(features)[some], np.concatenate(weights)[some]
+        for at in np.array_split(np.arange(len(owner)), max(1, len(owner) // 50_000)):
+            own = owner[at]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            np.add.at(out, own[begin], np.add.reduceat(self.weights[feature[at]] * weight[at, None], begin, axis=0))
+        out /= norm[alike, None]
+        out[out < FLOOR] = 0
+        found = out.any(1)
+        return alike[found], np.minimum(out[found], 1.0) ** POWER
+
+    def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best similarity to each landmark of every sentence that has any, the text each is of, and the number of sentences of each text."""
         t = tokens(data, offsets)
-        if not len(t.ids):
-            return np.zeros((0, self.weights.shape[1]), np.float32), np.zeros(0, np.int64)
-        similar = self.similarity(t)
-        begin = np.flatnonzero(np.append(True, t.sentence[1:] != t.sentence[:-1]))
-        return np.maximum.reduceat(similar[t.ids], begin, axis=0), t.text_of[t.sentence[begin]]
+        counts = np.bincount(t.text_of, minlength=len(offsets) - 1)
+        alike, similar = self.similarity(t) if len(t.ids) else (t.ids, None)
+        if not len(alike):
+            return np.zeros((0, self.weights.shape[1]), np.float32), np.zeros(0, np.int64), counts
+        place = np.full(t.words, -1)
+        place[alike] = np.arange(len(alike))
+        at = np.flatnonzero(place[t.ids] >= 0)
+        sentence = t.sentence[at]
+        begin = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+        return np.maximum.reduceat(similar[place[t.ids[at]]], begin, axis=0), t.text_of[sentence[begin]], counts
 
 
 def _beginnings(documents: DataFrame) -> DataFrame:
@@ -205,7 +222,7 @@ def _beginnings(documents: DataFrame) -> DataFrame:
 
 
 def choose_landmarks(documents: DataFrame, toxic: int, clean: int) -> list[str]:
-    """Landmark words from labelled documents (text, label): words with suspicious beginnings, and common words of clean text."""
+    """Landmark words from labelled documents (text, label): those of toxic documents with suspicious beginnings."""
     grams = _work.stored(_beginnings(documents), "beginnings")
     rate = (F.col("toxic") + 0.5) / (toxic + 1)
     base = (F.col("clean") + 0.5) / (clean + 1)
@@ -219,7 +236,7 @@ def choose_landmarks(documents: DataFrame, toxic: int, clean: int) -> list[str]:
             stems.append(gram)
     if not stems:
         return []
-    each = max(1, TOXIC_LANDMARKS // len(stems))
+    each = max(1, LANDMARKS // len(stems))
     starts = F.lit(None).cast("string")
     for s in reversed(stems):
         starts = F.when(F.col("gram").startswith(s), s).otherwise(starts)
@@ -227,9 +244,7 @@ def choose_landmarks(documents: DataFrame, toxic: int, clean: int) -> list[str]:
     from pyspark.sql import Window
 
     best = words.withColumn("n", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("gain"), "gram"))).filter(F.col("n") <= each)
-    chosen = [r.gram[:-1] for r in best.orderBy("n", F.desc("gain"), "gram").limit(TOXIC_LANDMARKS).collect()]
-    common = grams.filter(whole & (F.length("gram") > 4) & (rate < 1.5 * base)).orderBy(F.desc("clean"), "gram").limit(CLEAN_LANDMARKS).collect()
-    return chosen + [r.gram[:-1] for r in common]
+    return [r.gram[:-1] for r in best.orderBy("n", F.desc("gain"), "gram").limit(LANDMARKS).collect()]
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 1.0) -> np.ndarray:
@@ -264,7 +279,7 @@ def _suspicious(documents: DataFrame, marks: Landmarks, judge: np.ndarray, bias:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _text.chunks(batch.column(0), 1 << 20):
-                x, of = marks.sentences(data, offsets)
+                x, of, _ = marks.sentences(data, offsets)
                 worst = np.zeros((b - a, x.shape[1]), np.float32)
                 if len(x):
                     order = np.lexsort((-(x @ judge + bias), of))
@@ -292,13 +307,13 @@ class Machine:
         out = np.full((rows, WORST + 2), self.bias)
         out[:, WORST], out[:, WORST + 1] = 0.0, 1.0
         if self.marks is not None:
-            x, of = self.marks.sentences(data, offsets)
+            x, of, counts = self.marks.sentences(data, offsets)
             margin = np.clip(x @ self.weights + self.bias, -4, 4)
             order = np.lexsort((-margin, of))
             rank = np.arange(len(of)) - np.searchsorted(of, of)
             top = rank < WORST
             out[of[top], rank[top]] = margin[order][top]
-            out[:, WORST] = np.log1p(np.bincount(of, minlength=rows))
+            out[:, WORST] = np.log1p(counts)
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -316,11 +331,14 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Mac
     if not landmarks:
         return Machine(None, np.zeros(0), 0.0, np.append(np.zeros(WORST + 1), -3.0 if toxic < rows or not rows else 3.0))
     marks = Landmarks.of(landmarks)
-    suspects = len(landmarks) - CLEAN_LANDMARKS
-    own_kernel = marks.similarity(t := tokens(*_text.buffers(pa.array(landmarks, pa.string()))))[t.ids].astype(np.float64)
+    t = tokens(*_text.buffers(pa.array(landmarks, pa.string())))
+    own_kernel = np.zeros((t.words, len(landmarks)))
+    alike, similar = marks.similarity(t)
+    own_kernel[alike] = similar
+    own_kernel = own_kernel[t.ids]
     values, vectors = np.linalg.eigh((own_kernel + own_kernel.T) / 2)
     whiten = (vectors / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    judge = np.where(np.arange(len(landmarks)) < suspects, 1.0, 0.0)
+    judge = np.ones(len(landmarks))
     bias = 0.0
     for _ in range(2):  # toxic documents stand by the sentence that the machine so far finds worst
         x, y = _suspicious(own, marks, judge, bias)
