@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is k consecutive words. Consecutive windows of a document that share
-a minimiser (the least hash of the word triples in a window) travel as one
+a minimiser (the least hash of the word pairs in a window) travel as one
 string to the minimiser's bucket, so a word isn't sent once for each of its k
 windows. In a bucket, sorting brings equal windows together, byte for byte,
 and gives each the smallest document it starts in.
@@ -28,7 +28,7 @@ from parallaxis.llm import _text, _work
 
 WINDOW = 13
 #: Words of a minimiser.
-GRAM = 3
+GRAM = 2
 #: Bytes of super-k-mers that a bucket holds on average; the number of buckets follows the input.
 BUCKET = 8 << 20
 
@@ -84,7 +84,7 @@ class Pieces:
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x, np.int64).tobytes() for x in arrays]
-    return zstandard.compress(np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts), 3)
+    return zstandard.compress(np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts), 6)
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -140,7 +140,7 @@ def send(chunks: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM
                 np.minimum.at(low, p.ids, doc[w.row[p.first]])
                 np.maximum.at(high, p.ids, doc[w.row[p.first]])
                 cuts = np.flatnonzero(np.diff(p.bucket_of, prepend=-1, append=-1))
-                packed = [_pack(b"\n".join(p.texts[a:b]), low[a:b], high[a:b]) for a, b in zip(cuts, cuts[1:])]
+                packed = [_pack(b"\n".join(p.texts[a:b]), np.diff(low[a:b], prepend=0), high[a:b] - low[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk_id] * len(packed)), pa.array(p.bucket_of[cuts[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["chunk_id", "bucket", "packed"])
 
     return chunks.mapInArrow(run, "chunk_id string, bucket int, packed binary")
@@ -180,8 +180,8 @@ def settle(sent: DataFrame, window: int = WINDOW) -> DataFrame:
         for packed in table["packed"]:
             texts, low, high = _unpack(packed.as_py())
             own.append(np.array([seen.setdefault(t, len(seen)) for t in texts.split(b"\n")]))
-            lows.append(_ints(low))
-            highs.append(_ints(high))
+            lows.append(np.cumsum(_ints(low)))
+            highs.append(lows[-1] + _ints(high))
         low = np.full(len(seen), NOBODY)
         for i, x in zip(own, lows):
             np.minimum.at(low, i, x)
