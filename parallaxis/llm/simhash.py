@@ -28,7 +28,9 @@ SUBTREE = 4096
 #: Pairs of a node pair that are compared directly instead of walking on.
 DIRECT = 32
 #: For near copies by similarity: 64-bit words of the long fingerprint, fingerprints of a subtree, and pairs from which a block is compared piecemeal.
-WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 16, 1 << 18
+WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 18, 1 << 18
+#: Depth to which the tries of long fingerprints are always cut, for tasks to share.
+LEAST_DEPTH = 3
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1) -> DataFrame:
@@ -66,8 +68,8 @@ def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1) -> DataF
     return documents.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in names)]))
 
 
-def subtrees(counts: dict[int, int], top: int = TOP, most: int = SUBTREE) -> list[tuple[int, int]]:
-    """(depth, prefix) of the subtrees to deal out: nodes are split until they hold at most so many, or top bits are used."""
+def subtrees(counts: dict[int, int], top: int = TOP, most: int = SUBTREE, least_depth: int = 0) -> list[tuple[int, int]]:
+    """(depth, prefix) of the subtrees to deal out: nodes are split until they hold at most so many, or top bits are used; those above least_depth always."""
     levels: list[dict[int, int]] = [dict(counts)]
     for _ in range(top):
         up: dict[int, int] = {}
@@ -80,7 +82,7 @@ def subtrees(counts: dict[int, int], top: int = TOP, most: int = SUBTREE) -> lis
         depth, prefix = open_.pop()
         if (n := levels[depth].get(prefix, 0)) == 0:
             continue
-        if n <= most or depth == top:
+        if (n <= most and depth >= least_depth) or depth == top:
             out.append((depth, prefix))
         else:
             open_ += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
@@ -161,8 +163,8 @@ class Walk:
     side: np.ndarray
 
     @staticmethod
-    def plan(counts: dict[int, int], budget: int, most: int) -> Walk:
-        trees = subtrees(counts, most=most)
+    def plan(counts: dict[int, int], budget: int, most: int, least_depth: int = 0) -> Walk:
+        trees = subtrees(counts, most=most, least_depth=least_depth)
         pairs = subtree_pairs(trees, budget)
         of: list[list[int]] = [[] for _ in trees]
         side: list[list[int]] = [[] for _ in trees]
@@ -276,7 +278,7 @@ def link_similar(distinct: DataFrame, similarity: float, budget: int = 2) -> Dat
     counts: list[dict[int, int]] = [{} for _ in range(bands)]
     for r in found:
         counts[r.prefix >> TOP][r.prefix & ((1 << TOP) - 1)] = r.n
-    plans = [Walk.plan(c, budget, LONG_SUBTREE) for c in counts]
+    plans = [Walk.plan(c, budget, LONG_SUBTREE, LEAST_DEPTH) for c in counts]
     if not plans[0].trees:
         return distinct.select(F.col("node").alias("src"), F.col("node").alias("dst"))
 
