@@ -51,34 +51,31 @@ def clip(subject: Column, window: Column) -> Column:
     def side(e: Column, p: Column) -> Column:
         return (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
 
-    def meet(e: Column, p: Column, q: Column) -> Column:
-        sp, sq = side(e, p), side(e, q)
-        t = sp / (sp - sq)
-        return point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
-
     def cut(polygon: Column, e: Column) -> Column:
-        pairs = F.zip_with(F.concat(F.slice(polygon, -1, 1), F.slice(polygon, 1, F.greatest(F.size(polygon) - 1, F.lit(0)))), polygon, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        measured = F.transform(polygon, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(e, p).alias("s")))
+        before = F.concat(F.slice(measured, -1, 1), F.slice(measured, 1, F.greatest(F.size(polygon) - 1, F.lit(0))))
 
-        def kept(s: Column) -> Column:
-            p, q = s["p"], s["q"]
-            inside_p, inside_q = side(e, p) >= 0, side(e, q) >= 0
-            return F.when(inside_q & inside_p, F.array(q)).when(inside_q, F.array(meet(e, p, q), q)).when(inside_p, F.array(meet(e, p, q))).otherwise(F.array_repeat(q, 0))
+        def kept(p: Column, q: Column) -> Column:
+            t = p["s"] / (p["s"] - q["s"])
+            meet = F.array(point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
+            own = F.array(point(q["x"], q["y"]))
+            return F.when((q["s"] >= 0) & (p["s"] >= 0), own).when(q["s"] >= 0, F.concat(meet, own)).when(p["s"] >= 0, meet).otherwise(F.slice(own, 1, 0))
 
-        return F.when(F.size(polygon) == 0, polygon).otherwise(F.flatten(F.transform(pairs, kept)))
+        return F.when(F.size(polygon) == 0, polygon).otherwise(F.flatten(F.zip_with(before, measured, kept)))
 
     return F.when((F.size(subject) < 3) | (F.size(window) < 3), F.slice(subject, 1, 0)).otherwise(F.aggregate(edges, subject, cut))
 
 
-def overlap_by_smaller(a: Column, b: Column) -> Column:
-    """Area of the intersection of two convex counter-clockwise polygons over that of the smaller."""
+def overlap_by_smaller(a: Column, b: Column, shared: Column | None = None) -> Column:
+    """Area of the intersection (shared, if known) of two convex counter-clockwise polygons over that of the smaller."""
     low = F.least(area(a), area(b))
-    return F.when(low > 0, F.least(F.lit(1.0), area(clip(a, b)) / low)).otherwise(0.0)
+    return F.when(low > 0, F.least(F.lit(1.0), (area(clip(a, b)) if shared is None else shared) / low)).otherwise(0.0)
 
 
-def symmetric_difference(a: Column, b: Column) -> Column:
+def symmetric_difference(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Area of what only one of two convex polygons covers, over that of the larger."""
     high = F.greatest(area(a), area(b))
-    return F.when(high > 0, (area(a) + area(b) - 2.0 * area(clip(a, b))) / high).otherwise(0.0)
+    return F.when(high > 0, (area(a) + area(b) - 2.0 * (area(clip(a, b)) if shared is None else shared)) / high).otherwise(0.0)
 
 
 def bounds(p: Column) -> dict[str, Column]:

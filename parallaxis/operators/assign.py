@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
+from parallaxis.scratch import cut
 
 NEIGHBOURS, ROUNDS, LEAST_SIGMA = 8, 64, 0.05
 
@@ -67,18 +68,13 @@ def propagate(points: DataFrame, zones: DataFrame, within: str, k: int = NEIGHBO
     rows; rounds end when nothing changes. Points that no label reaches go to
     the nearest zone. Each round is cut off by a checkpoint.
     """
-    spark = points.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-parallaxis-"))
     nearest = nearest_zone(points, zones).persist(StorageLevel.MEMORY_AND_DISK)
     edges = kernel_edges(nearest_neighbours(points, within, k), points, within)
     both = edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = nearest.select("point_id", "is_anchor", F.when(F.col("is_anchor"), F.col("zone_id")).alias("label")).checkpoint()
+    labels = cut(nearest.select("point_id", "is_anchor", F.when(F.col("is_anchor"), F.col("zone_id")).alias("label")))
     for _ in range(rounds):
         heard = vote(both, labels, nearest).withColumnRenamed("label", "heard")
-        new = labels.join(heard, "point_id", "left").select("point_id", "is_anchor", F.when(F.col("is_anchor"), F.col("label")).otherwise(F.coalesce("heard", "label")).alias("label"), (~F.col("is_anchor") & ~F.col("label").eqNullSafe(F.coalesce("heard", "label"))).alias("moved")).checkpoint()
+        new = cut(labels.join(heard, "point_id", "left").select("point_id", "is_anchor", F.when(F.col("is_anchor"), F.col("label")).otherwise(F.coalesce("heard", "label")).alias("label"), (~F.col("is_anchor") & ~F.col("label").eqNullSafe(F.coalesce("heard", "label"))).alias("moved")))
         labels = new.drop("moved")
         if not new.filter("moved").take(1):
             break

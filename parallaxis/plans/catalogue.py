@@ -1,6 +1,6 @@
 """Registered queries of the counting operators, and their DuckDB SQL."""
 
-from parallaxis.plans import scene
+from parallaxis.plans import records, scene
 
-QUERIES = {**scene.QUERIES}
-ORACLE = {**scene.ORACLE}
+QUERIES = {**scene.QUERIES, **records.QUERIES}
+ORACLE = {**scene.ORACLE, **records.ORACLE}
