@@ -27,6 +27,8 @@ TOP = 12
 SUBTREE = 4096
 #: Pairs of a node pair that are compared directly instead of walking on.
 DIRECT = 32
+#: Node pairs that a walk holds at one level.
+FRONTIER = 1 << 16
 #: For near copies by similarity: 64-bit words of the long fingerprint, fingerprints of a subtree, and pairs from which a block is compared piecemeal.
 WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 18, 1 << 18
 #: Depth to which the tries of long fingerprints are always cut, for tasks to share.
@@ -110,24 +112,27 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, level: int = 0,
     """
     same = b is None
     other = a if same else b
-    al, ah, bl, bh = (np.array([x]) for x in (0, len(a), 0, len(other)))
-    d, own = np.array([used]), np.array([same])
-    while len(al):
-        size = (ah - al) * (bh - bl)
+    first = [np.array([x], np.int32) for x in (0, len(a), 0, len(other))] + [np.array([used], np.uint8), np.array([same])]
+    todo = [(level, first)]
+    while todo:  # depth first, FRONTIER node pairs at once, so that memory is bounded
+        level, nodes = todo.pop()
+        al, ah, bl, bh, d, own = nodes
+        size = (ah - al).astype(np.int64) * (bh - bl)
         small = size <= DIRECT
         if level == bits:
             small[:] = True
             if large is not None and (size > PIECEWISE).any():
                 for k in np.flatnonzero(size > PIECEWISE):
-                    large(al[k], ah[k], bl[k], bh[k])
+                    large(int(al[k]), int(ah[k]), int(bl[k]), int(bh[k]))
                 al, ah, bl, bh, d, own, small = (x[size <= PIECEWISE] for x in (al, ah, bl, bh, d, own, small))
+                size = size[size <= PIECEWISE]
         if small.any():
             work = np.flatnonzero(small)
-            upto = np.cumsum((ah - al)[work] * (bh - bl)[work])
-            for part in np.split(work, np.searchsorted(upto, np.arange(1_000_000, upto[-1], 1_000_000))) if len(work) else ():
+            upto = np.cumsum(size[work])
+            for part in np.split(work, np.searchsorted(upto, np.arange(PIECEWISE, upto[-1], PIECEWISE))):
                 if not len(part):
                     continue
-                n = (ah[part] - al[part]) * (bh[part] - bl[part])
+                n = size[part]
                 at = np.repeat(np.arange(len(part)), n)
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 wide = (bh[part] - bl[part])[at]
@@ -137,18 +142,18 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, level: int = 0,
                     yield i[fit], j[fit]
         al, ah, bl, bh, d, own = (x[~small] for x in (al, ah, bl, bh, d, own))
         if not len(al):
-            return
+            continue
         keep, bit = np.uint64(64 - level), np.uint64(1) << np.uint64(63 - level)
         high = (lambda v: (v >> keep) << keep) if level else (lambda v: np.zeros(len(v), np.uint64))
-        am = np.searchsorted(a, high(a[al]) | bit)
-        bm = np.searchsorted(other, high(other[bl]) | bit)
-        kids = [(al, am, bl, bm, d, own), (am, ah, bm, bh, d, own), (al, am, bm, bh, d + 1, own & False)]
+        am = np.searchsorted(a, high(a[al]) | bit).astype(np.int32)
+        bm = np.searchsorted(other, high(other[bl]) | bit).astype(np.int32)
+        kids = [(al, am, bl, bm, d, own), (am, ah, bm, bh, d, own), (al, am, bm, bh, d + np.uint8(1), own & False)]
         cross = ~own
-        kids.append(tuple(x[cross] for x in (am, ah, bl, bm, d + 1, own)))
-        al, ah, bl, bh, d, own = (np.concatenate(x) for x in zip(*kids))
-        live = (al < ah) & (bl < bh) & (d <= budget)
-        al, ah, bl, bh, d, own = (x[live] for x in (al, ah, bl, bh, d, own))
-        level += 1
+        kids.append(tuple(x[cross] for x in (am, ah, bl, bm, d + np.uint8(1), own)))
+        nodes = [np.concatenate(x) for x in zip(*kids)]
+        live = (nodes[0] < nodes[1]) & (nodes[2] < nodes[3]) & (nodes[4] <= budget)
+        nodes = [x[live] for x in nodes]
+        todo += [(level + 1, [x[at : at + FRONTIER] for x in nodes]) for at in range(0, len(nodes[0]), FRONTIER)]
 
 
 @dataclass
