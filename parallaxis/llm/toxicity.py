@@ -11,6 +11,7 @@ number.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ SPAN, DECAY = 5, 0.7
 #: Power of the normalised kernel: near matches count, chance resemblance doesn't.
 POWER = 4
 #: Normalised similarity below which two words count as unlike (zero).
-FLOOR = 0.4
+FLOOR = 0.5
 #: Labelled documents that the machine is fitted on, at most; chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
 #: Suspicious word beginnings, and landmark words of them.
@@ -205,25 +206,34 @@ class Landmarks:
 
 
 def _beginnings(documents: DataFrame) -> DataFrame:
-    """gram, toxic, clean: in how many labelled documents each whole word and each beginning of words stands."""
+    """gram, toxic, clean: in how many labelled documents each whole word and each beginning of words stands; copies count as one.
+
+    Copies and near copies are told by the least hash of a document's words.
+    The empty gram has the numbers of all documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams: set[str] = set()
+                grams, least = {""}, 1 << 32
                 for token in set((text or "").lower().split()):
+                    least = min(least, zlib.crc32(token.encode()))
                     word = "".join(c for c in token if c.isalnum())
                     grams |= {word[:n] for n in STEM_SIZES if n <= len(word)} | ({word + "$"} if word else set())
                 n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([int(label == 1)] * n, pa.int64()), pa.array([int(label != 1)] * n, pa.int64())], names=["gram", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([least] * n, pa.int64()), pa.array([int(label == 1)] * n, pa.int64()), pa.array([int(label != 1)] * n, pa.int64())], names=["gram", "kin", "toxic", "clean"])
 
-    parts = documents.select("text", "label").mapInArrow(run, "gram string, toxic long, clean long")
-    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    parts = documents.select("text", "label").mapInArrow(run, "gram string, kin long, toxic long, clean long")
+    once = parts.groupBy("gram", "kin").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
+    return once.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose_landmarks(documents: DataFrame, toxic: int, clean: int) -> list[str]:
+def choose_landmarks(documents: DataFrame) -> list[str]:
     """Landmark words from labelled documents (text, label): those of toxic documents with suspicious beginnings."""
+    from pyspark.sql import Window
+
     grams = _work.stored(_beginnings(documents), "beginnings")
+    toxic, clean = grams.filter("gram = ''").select("toxic", "clean").first()
     rate = (F.col("toxic") + 0.5) / (toxic + 1)
     base = (F.col("clean") + 0.5) / (clean + 1)
     gain = F.col("toxic") * F.log(rate / base)
@@ -241,8 +251,6 @@ def choose_landmarks(documents: DataFrame, toxic: int, clean: int) -> list[str]:
     for s in reversed(stems):
         starts = F.when(F.col("gram").startswith(s), s).otherwise(starts)
     words = grams.filter(whole & (F.col("toxic") > 0) & (rate > 4 * base)).withColumn("stem", starts).filter("stem is not null").withColumn("gain", gain)
-    from pyspark.sql import Window
-
     best = words.withColumn("n", F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("gain"), "gram"))).filter(F.col("n") <= each)
     return [r.gram[:-1] for r in best.orderBy("n", F.desc("gain"), "gram").limit(LANDMARKS).collect()]
 
@@ -327,7 +335,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Mac
     own = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
     own = _work.stored(own, "labelled")
     toxic, rows = own.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
-    landmarks = choose_landmarks(own, toxic, rows - toxic) if 0 < toxic < rows else []
+    landmarks = choose_landmarks(own) if 0 < toxic < rows else []
     if not landmarks:
         return Machine(None, np.zeros(0), 0.0, np.append(np.zeros(WORST + 1), -3.0 if toxic < rows or not rows else 3.0))
     marks = Landmarks.of(landmarks)
