@@ -14,13 +14,14 @@ from parallaxis.operators import frames as gate_rules
 GATED = "session_id long, frame_id long, accepted boolean, forced boolean"
 
 
-def gate(frames: DataFrame, guard_seconds: float = 0.05, idle: str = "1 hour") -> DataFrame:
+def gate(frames: DataFrame, guard_seconds: float = 0.05, idle: str | None = None) -> DataFrame:
     """The quality gate over a stream of frames (session_id, frame_id, ts, ok): accepted if ok, first, or guard_seconds after the last accepted.
 
     Rows of a micro-batch go by time; state is one number a session, and goes
-    when the session is idle.
+    when the session has been idle so long ("1 hour"), if a time is given.
     """
-    guard, idle_ms = int(guard_seconds * 1e6), int(pd.Timedelta(idle).total_seconds() * 1000)
+    guard = int(guard_seconds * 1e6)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -35,11 +36,12 @@ def gate(frames: DataFrame, guard_seconds: float = 0.05, idle: str = "1 hour") -
                 last = int(us)
             out.append((key[0], frame_id, bool(ok or due), bool(not ok and due)))
         state.update((last,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "frame_id", "accepted", "forced"])
 
     rows = frames.select("session_id", "frame_id", F.unix_micros("ts").alias("us"), "ok")
-    return rows.groupBy("session_id").applyInPandasWithState(run, GATED, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(run, GATED, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def with_ok(frames: DataFrame) -> DataFrame:

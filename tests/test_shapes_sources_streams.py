@@ -100,9 +100,8 @@ def test_predictions_and_snapshots(spark, tmp_path):
 
 
 def drain(spark, df, name, mode="append"):
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    query.processAllAvailable()
-    query.stop()
+    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
     return spark.sql(f"SELECT * FROM {name}").collect()
 
 
