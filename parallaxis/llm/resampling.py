@@ -218,8 +218,9 @@ def keep_target(documents: DataFrame, labels: DataFrame, target: str = "quality"
     k, last = _last(keyed, None)
     if last is None:
         return documents if k else documents.limit(0)
-    kept = model.keyed(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text"))
-    return kept.filter(F.col("key") >= last).select("row.*")
+    own = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(documents.columns)}
+    kept = model.keyed(documents.select(*(F.col(c).alias(k) for c, k in own.items())))
+    return kept.filter(F.col("key") >= last).select(*(F.col(k).alias(c) for c, k in own.items()))
 
 
 def _with_ties(keyed: DataFrame, last: float, k: int) -> DataFrame:

@@ -29,6 +29,8 @@ from parallaxis.llm import _text, _work
 WINDOW = 13
 #: Words of a minimiser.
 GRAM = 2
+#: Bytes of text of a chunk.
+CHUNK = 4 << 20
 #: Bytes of super-k-mers that a bucket holds on average; the number of buckets follows the input.
 BUCKET = 8 << 20
 
@@ -117,7 +119,7 @@ def to_chunks(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = _text.buffers(batch.column("text"))
-            for a, b in _text.slices(offsets):
+            for a, b in _text.slices(offsets, CHUNK):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_batch(batch.slice(a, b - a))
