@@ -84,7 +84,7 @@ def test_documents_and_lines_out(spark, tmp_path):
     assert len(got["f"]["annotations"]) == 1 and got["g"]["annotations"] == [] and got["f"]["licenses"] == []
     lines = spark.createDataFrame([("train", "a", 2, "0 2"), ("train", "a", 1, "0 1")], "split string, image string, det long, line string")
     records.write_label_lines(lines, f"{tmp_path}/lines")
-    assert [r.value for r in spark.read.option("wholetext", True).text(f"{tmp_path}/lines").collect()] == ["0 1\n0 2\n"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/lines", wholetext=True).collect()] == ["0 1\n0 2\n"]
 
 
 def test_predictions_and_snapshots(spark, tmp_path):
