@@ -91,13 +91,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not n:
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _grown("up", _BASE, n), out=total[1:])
-        down = _grown("down", _BASE_INVERSE, n)
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):  # some MB of bytes at a time: the sums take eight bytes for each
+            low = int(self.start[at])
+            upto = max(at + 1, int(np.searchsorted(self.end, low + CHUNK, "right")))
+            start, end = self.start[at:upto] - low, self.end[at:upto] - low
+            n = int(end[-1])
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data[low : low + n]] * _grown("up", _BASE, n), out=total[1:])
+            out[at:upto] = mix((total[end] - total[start]) * _grown("down", _BASE_INVERSE, n)[start] + (end - start).astype(np.uint64))
+            at = upto
+        return out
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:

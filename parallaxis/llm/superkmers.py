@@ -152,18 +152,19 @@ def smallest(texts: list[bytes], low: np.ndarray, window: int) -> tuple[np.ndarr
     """For different super-k-mers and their smallest documents: the smallest document of every window, and where each text's windows begin."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    w = _text.words(data, np.append(0, np.minimum(ends, len(data))))
+    w = _text.spans(data, np.append(0, np.minimum(ends, len(data))))  # words stand one space apart already
     n = len(w.start) - window + 1
     at = np.flatnonzero(w.row[:n] == w.row[window - 1 :])
     hashes = _chained(w.hashes(), window)[at]
-    text = w.data.tobytes()
+    text = data.tobytes()
     order = np.argsort(hashes, kind="stable")
     new = np.ones(len(at), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
-    begin, finish = w.start[at].tolist(), w.end[at + window - 1].tolist()
+    begin, finish = w.start[at], w.end[at + window - 1]
     again = np.flatnonzero(~new)
-    if any(text[begin[x] : finish[x]] != text[begin[y] : finish[y]] for x, y in zip(order[again].tolist(), order[again - 1].tolist())):  # hashes met by chance: order by the words themselves
-        spans = [text[a:b] for a, b in zip(begin, finish)]
+    ends = (z.tolist() for k in (order[again], order[again - 1]) for z in (begin[k], finish[k]))
+    if any(text[a:b] != text[c:d] for a, b, c, d in zip(*ends)):  # hashes met by chance: order by the words themselves
+        spans = [text[a:b] for a, b in zip(begin.tolist(), finish.tolist())]
         order = np.array(sorted(range(len(spans)), key=spans.__getitem__))
         new[1:] = [spans[x] != spans[y] for x, y in zip(order[1:], order[:-1])]
     group = np.flatnonzero(new)
