@@ -31,45 +31,84 @@ DIRECT = 32
 FRONTIER = 1 << 16
 #: For near copies by similarity: 64-bit words of the long fingerprint, fingerprints of a subtree, and pairs from which a block is compared piecemeal.
 WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 18, 1 << 18
+#: Bits of a band and the bits in which two may differ; the same at every size, so that recall is.
+BAND, BAND_BUDGET = 24, 3
+#: Standard deviations of the differing bits: by which pairs must be nearer than asked to be tried first, and may be farther to be tried at all.
+FIRST_TRIED, TRIED = -0.5, 4.0
 #: Depth to which the tries of long fingerprints are always cut, for tasks to share.
 LEAST_DEPTH = 3
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1) -> DataFrame:
+def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int, sets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the word shingles of texts, the text each is of, and the number of each text; as sets, sorted and each once a text."""
+    w = _text.words(data, offsets, lower=True)
+    first = w.firsts()
+    count = np.diff(first)
+    n = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
+    to = np.concatenate([[0], np.cumsum(n)])
+    own = np.repeat(np.arange(w.rows), n)
+    begin = np.arange(to[-1]) - to[own] + first[own]
+    finish = np.where(count[own] >= shingle, begin + shingle, first[own + 1]) - 1
+    text, digest = w.data.tobytes(), xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(text[x:y], SEED) for x, y in zip(w.start[begin].tolist(), w.end[finish].tolist())), np.uint64, len(own))
+    if sets and len(own):
+        order = np.lexsort((hashes, own))
+        hashes, own = hashes[order], own[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1]))
+        hashes, own = hashes[new], own[new]
+        n = np.bincount(own, minlength=w.rows)
+    return hashes, own, n
+
+
+def _digests(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the shingle set of each text."""
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(some):
+        out[some] = _text.mix(np.add.reduceat(_text.mix(hashes ^ np.uint64(SEED)), (np.cumsum(n) - n)[some]) + n[some].astype(np.uint64))
+    return out
+
+
+def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1, sets: bool = False) -> DataFrame:
     """doc_id, fp: the 64-bit SimHash of each whole text as a signed long; with a larger size also fp1, fp2, ..., by further hashes of the first.
 
     Words are runs outside ASCII white space with A-Z lowered; shingles of
     them, repeats included, vote with their XXH64, and a bit is set by more
     than half. A text of fewer words is one shingle; without words, or null,
-    its fingerprint is zero.
+    its fingerprint is zero. As sets, a shingle votes once, and a hash of the
+    set is added as digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seed = xxhash.xxh64_intdigest, SEED
         for batch in batches:
             for a, b, data, offsets in _text.chunks(batch.column(1)):
-                w = _text.words(data, offsets, lower=True)
-                first = w.firsts()
-                count = np.diff(first)
-                n = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
-                to = np.concatenate([[0], np.cumsum(n)])
-                own = np.repeat(np.arange(w.rows), n)
-                begin = np.arange(to[-1]) - to[own] + first[own]
-                finish = np.where(count[own] >= shingle, begin + shingle, first[own + 1]) - 1
-                text = w.data.tobytes()
-                hashes = np.fromiter((digest(text[x:y], seed) for x, y in zip(w.start[begin].tolist(), w.end[finish].tolist())), np.uint64, len(own))
-                out = np.zeros((size, w.rows), np.uint64)
+                hashes, own, n = _shingles(data, offsets, shingle, sets)
+                out = np.zeros((size, len(n)), np.uint64)
                 some = np.flatnonzero(n)
+                to = np.cumsum(n) - n
                 for k in range(size if len(own) else 0):
                     bits = np.unpackbits((_text.mix(hashes + np.uint64(k)) if k else hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     votes = np.add.reduceat(bits, to[some], axis=0, dtype=np.int32)
                     out[k, some] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").reshape(-1).view("<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", *names])
+                columns = [*out, _digests(hashes, n)] if sets else out
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in columns)], names=["doc_id", *names])
 
-    names = ["fp", *(f"fp{k}" for k in range(1, size))]
+    names = ["fp", *(f"fp{k}" for k in range(1, size)), *(["digest"] if sets else [])]
     return documents.select("doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in names)]))
 
 
+def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
+    """digest, shingles: the hashes of each text's different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _text.chunks(batch.column(0)):
+                hashes, _, n = _shingles(data, offsets, shingle, sets=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, n).view(np.int64)), lists], names=["digest", "shingles"])
+
+    return documents.select("text").mapInArrow(run, "digest long, shingles array<long>")
+
+
 def subtrees(counts: dict[int, int], top: int = TOP, most: int = SUBTREE, least_depth: int = 0) -> list[tuple[int, int]]:
     """(depth, prefix) of the subtrees to deal out: nodes are split until they hold at most so many, or top bits are used; those above least_depth always."""
     levels: list[dict[int, int]] = [dict(counts)]
@@ -246,20 +285,19 @@ def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def link_similar(distinct: DataFrame, similarity: float, budget: int = 2) -> DataFrame:
-    """src, dst: links that join the nodes of long fingerprints that agree as far as this similarity asks.
+def candidates(distinct: DataFrame, similarity: float, deviations: float, labels: bool = False) -> DataFrame:
+    """src, dst: pairs of the nodes of long fingerprints that differ in the bits this similarity lets expect, and so many deviations more, at most.
 
     The long fingerprint (fp, fp1, ...) is cut into bands, and each band has a
     trie: pairs that agree within the budget in some band are compared over
-    all bits. Bands are longer for more fingerprints, so that chance meetings
-    stay few for each; for pairs at the very similarity, about a thirtieth is
-    missed at 24 bits, and a third at 30; above it soon next to none.
+    all bits. Without labels a task's pairs are a spanning forest; with them
+    (column label) all pairs of different labels are given.
     """
     names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
-    total = distinct.count()
-    width = int(min(32, max(24, np.ceil(np.log2(total + 1)) + 6)))
+    width, budget = BAND, BAND_BUDGET
     bands = 64 * WORDS // width
-    most = bits_at(similarity, 64 * WORDS, 1.0)
+    most = bits_at(similarity, 64 * WORDS, deviations)
+    ids = ["node", "label"] if labels else ["node"]
 
     def band(fps: list[np.ndarray], k: int) -> np.ndarray:
         word, shift = divmod(k * width, 64)
@@ -289,10 +327,10 @@ def link_similar(distinct: DataFrame, similarity: float, budget: int = 2) -> Dat
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes = columns(batch), batch.column(WORDS).to_numpy(zero_copy_only=False)
+            fps, own = columns(batch), [batch.column(WORDS + n).to_numpy(zero_copy_only=False) for n in range(len(ids))]
             for k in range(bands):
                 for rows, pair, side in plans[k].deal(band(fps, k)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(pair), pa.array(side), *(pa.array(f[rows].view(np.int64)) for f in fps), pa.array(nodes[rows])], names=["band", "pair", "side", *names, "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(pair), pa.array(side), *(pa.array(f[rows].view(np.int64)) for f in fps), *(pa.array(x[rows]) for x in own)], names=["band", "pair", "side", *names, *ids])
 
     def walk(table: pa.Table) -> pa.Table:
         k, pair, side = (table.column(n).to_numpy() for n in range(3))
@@ -302,43 +340,70 @@ def link_similar(distinct: DataFrame, similarity: float, budget: int = 2) -> Dat
         order = np.lexsort((own, side))
         own, node, fps = own[order], node[order], [f[order] for f in fps]
         forest = Forest(len(node))
+        if labels:
+            forest.label = table.column("label").to_numpy()[order]
+        found = [np.zeros((0, 2), np.int64)]
 
-        def verify(x: np.ndarray, y: np.ndarray) -> None:
+        def look(x: np.ndarray, y: np.ndarray) -> None:
             open_ = forest.label[x] != forest.label[y]
             x, y = x[open_], y[open_]
             near = sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int32) for f in fps) <= most
-            if near.any():
+            if near.any() and labels:
+                found.append(np.unique(np.sort(np.column_stack([node[x[near]], node[y[near]]]), axis=1), axis=0))
+            elif near.any():
                 forest.add(x[near], y[near])
 
         def large(a: int, b: int, c: int, d: int) -> None:
-            for x in range(a, b):  # pairs that are one component already need no look
+            for x in range(a, b):  # pairs of one label already need no look
                 y = np.arange(max(c, x + 1) if a == c else c, d)
                 y = y[forest.label[y] != forest.label[x]]
                 if len(y):
-                    verify(np.full(len(y), x), y)
+                    look(np.full(len(y), x), y)
 
         for x, y in plans[int(k[0])].links(int(pair[0]), own, int((side == 0).sum()), budget, width, large):
-            verify(x, y)
-        ends = np.array(forest.links, np.int64).reshape(-1, 2)
-        return pa.table({"src": node[ends[:, 0]], "dst": node[ends[:, 1]]})
+            look(x, y)
+        ends = np.concatenate(found) if labels else node[np.array(forest.links, np.int64).reshape(-1, 2)]
+        return pa.table({"src": ends[:, 0], "dst": ends[:, 1]})
 
-    schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in names), "node long"])
-    dealt = distinct.select(*names, "node").mapInArrow(deal, schema)
+    schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in (*names, *ids))])
+    dealt = distinct.select(*names, *ids).mapInArrow(deal, schema)
     return dealt.groupBy("band", "pair").applyInArrow(walk, "src long, dst long")
 
 
+def verified(pairs: DataFrame, distinct: DataFrame, documents: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs of digests (src, dst) whose sets of shingles have this Jaccard similarity, compared in full."""
+    pairs = _work.stored(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    ends = pairs.select(F.col("src").alias("digest")).union(pairs.select("dst")).distinct()
+    wanted = distinct.join(ends, "digest", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    sets = shingle_sets(documents.join(wanted, "doc_id", "left_semi"), shingle).join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = _work.stored(sets, "shingles")
+    both = pairs.join(sets.select(F.col("digest").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("digest").alias("dst"), F.col("shingles").alias("b")), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return _work.stored(both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"), "links")
+
+
 def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """doc_id, component_id of every row of documents: near duplicates by similarity.
 
-    Documents are linked where SimHashes of 64 * WORDS bits over word shingles
-    put the Jaccard similarity of their shingles at `similarity` or more, as
-    closely as these bits tell: within one standard deviation.
+    Documents are linked where the Jaccard similarity of their sets of word
+    shingles is `similarity` or more. SimHashes of 64 * WORDS bits give the
+    candidates (nearly all such pairs), and the sets themselves decide. Spanning
+    forests of the surest candidates are compared first, then all other
+    candidates whose ends these didn't join.
     Nulls, repeats and short texts are as in near_duplicates.
     """
     names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
-    fps = _work.stored(fingerprints(documents, shingle, WORDS), "simhash")
-    distinct = _work.stored(fps.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
-    return _grouped(fps, distinct, link_similar(distinct, similarity), names).select("doc_id", "component_id")
+    fps = _work.stored(fingerprints(documents, shingle, WORDS, sets=True), "simhash")
+    distinct = _work.stored(fps.groupBy(*names, "digest").agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
+    nodes = distinct.select(*names, F.col("digest").alias("node"))
+    first = verified(candidates(nodes, similarity, FIRST_TRIED), distinct, documents, similarity, shingle)
+    joined = connected_components(first)
+    labelled = nodes.join(joined, "node", "left").select(*names, "node", F.coalesce("component", "node").alias("label"))
+    rest = verified(candidates(_work.stored(labelled, "labelled"), similarity, TRIED, labels=True), distinct, documents, similarity, shingle)
+    links = first.union(rest)
+    for end in ("src", "dst"):
+        links = links.join(distinct.select(F.col("digest").alias(end), F.col("node").alias(f"{end}_node")), end)
+    return _grouped(fps, distinct, links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")), ["digest"]).select("doc_id", "component_id")
 
 
 def near_duplicates(documents: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:

@@ -93,6 +93,28 @@ def test_near_copies(spark):
     assert all(got[k] == k for k in range(60)) and sum(got[100 + k] == k for k in range(30)) >= 29
 
 
+def test_near_copies_at_the_threshold(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    rows, similar = [], {}
+    for k in range(300):
+        t = [rng.choice(vocabulary) for _ in range(400)]
+        u = list(t)
+        for at in rng.sample(range(400), rng.choice([7, 8, 9, 11, 12, 14])):
+            u[at] = rng.choice(vocabulary)
+        similar[k] = len(shingles(t) & shingles(u)) / len(shingles(t) | shingles(u))
+        rows += [(k, " ".join(t)), (1000 + k, " ".join(u))]
+    # a phrase repeated outvotes all else, but not as a set
+    rows += [(5000 + k, " ".join(["a b c d e f g"] * 40 + [rng.choice(vocabulary) for _ in range(60)])) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {k for k in similar if got[1000 + k] == k}
+    wanted = {k for k, x in similar.items() if 0.8 <= x < 0.87}
+    assert len(wanted) > 50 and sum(0.7 < x < 0.8 for x in similar.values()) > 50
+    assert all(similar[k] >= 0.8 for k in linked) and len(wanted & linked) >= 0.97 * len(wanted)
+    assert got[5001] == 5001
+
+
 def test_pivot_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 16))
