@@ -11,7 +11,7 @@ number.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ SPAN, DECAY = 5, 0.7
 #: Power of the normalised kernel: near matches count, chance resemblance doesn't.
 POWER = 4
 #: Normalised similarity below which two words count as unlike (zero).
-FLOOR = 0.5
+FLOOR = 0.4
 #: Labelled documents that the machine is fitted on, at most; chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
 #: Suspicious word beginnings, and landmark words of them.
@@ -208,23 +208,23 @@ class Landmarks:
 def _beginnings(documents: DataFrame) -> DataFrame:
     """gram, toxic, clean: in how many labelled documents each whole word and each beginning of words stands; copies count as one.
 
-    Copies and near copies are told by the least hash of a document's words.
+    Copies are told by a hash of the whole text, its words lowered and one space apart.
     The empty gram has the numbers of all documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams, least = {""}, 1 << 32
-                for token in set((text or "").lower().split()):
-                    least = min(least, zlib.crc32(token.encode()))
+                grams, tokens_ = {""}, (text or "").lower().split()
+                copy = hashlib.blake2b(" ".join(tokens_).encode(), digest_size=16).digest()
+                for token in set(tokens_):
                     word = "".join(c for c in token if c.isalnum())
                     grams |= {word[:n] for n in STEM_SIZES if n <= len(word)} | ({word + "$"} if word else set())
                 n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([least] * n, pa.int64()), pa.array([int(label == 1)] * n, pa.int64()), pa.array([int(label != 1)] * n, pa.int64())], names=["gram", "kin", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([copy] * n, pa.binary()), pa.array([int(label == 1)] * n, pa.int64()), pa.array([int(label != 1)] * n, pa.int64())], names=["gram", "copy", "toxic", "clean"])
 
-    parts = documents.select("text", "label").mapInArrow(run, "gram string, kin long, toxic long, clean long")
-    once = parts.groupBy("gram", "kin").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
+    parts = documents.select("text", "label").mapInArrow(run, "gram string, copy binary, toxic long, clean long")
+    once = parts.groupBy("gram", "copy").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
     return once.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 

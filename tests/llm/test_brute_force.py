@@ -205,6 +205,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_landmarks_of_texts_that_share_words(spark):
+    rng = random.Random(15)
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(["the", "of", "and", "a", *rng.sample(words, 150), *(["you", "blockhead"] if k % 4 == 0 else [])]) for k in range(200)]
+    df = spark.createDataFrame([(t, int(k % 4 == 0)) for k, t in enumerate(texts)] * 2, "text string, label int")
+    counts = {r.gram: (r.toxic, r.clean) for r in toxicity._beginnings(df).filter("gram in ('', 'blockhead$', 'the$')").collect()}
+    assert counts == {"": (50, 150), "blockhead$": (50, 0), "the$": (50, 150)}
+    assert "blockhead" in toxicity.choose_landmarks(df)
+
+
 def test_sorted_windows_survive_equal_hashes(monkeypatch):
     texts = [b"a b c d", b"b c d e", b"a b c x"]
     low = np.array([5, 3, 4])
