@@ -33,7 +33,9 @@ SCALES = (8, 12, 24, 48)
 #: Words of a block; windows are whole blocks, and start a third of their length apart.
 BLOCK = 4
 #: Least cosine of a candidate, and the least share, weighed by inverse frequency, of its window's words that the item has too.
-COSINE, COMMON_TERMS = 0.62, 0.45
+COSINE, COMMON_TERMS = 0.05, 0.15
+#: Blocks times items that are looked up at once.
+LOOKED_UP = 1 << 20
 #: Share of an item's words that a common subsequence must have: to settle it alone, and with the answer.
 SURE, LOOSE = 0.75, 0.5
 #: Share of an item's words, at its end, that count as its answer, and the share of those that must be there in order.
@@ -198,8 +200,8 @@ class Retriever:
         self.masks = [_masks(x) for x in self.words]
         self.answers = [x[len(x) - max(1, round(ANSWER * len(x))) :] for x in self.words]
         self.answer_masks = [_masks(x) for x in self.answers]
-        self.has = np.zeros((len(texts), TERMS), bool)
-        self.has[w.row, terms] = True
+        pairs = np.unique(terms * len(texts) + w.row)
+        self.term_of, self.item_of = np.divmod(pairs, max(1, len(texts)))  # which items have each term
         self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
         for k, length in enumerate(SCALES):
             longer = SCALES[k + 1] if k + 1 < len(SCALES) else 1 << 60
@@ -235,14 +237,28 @@ class Retriever:
             upto = np.minimum(x + n, begins[text[x] + 1])
             begin, stop = starts[x], starts[upto]
             tried: set[tuple[int, int]] = set()
-            for at in range(0, len(begin), 8192):
-                a, b = begin[at : at + 8192], stop[at : at + 8192]
-                cosine = _unit(sums[upto[at : at + 8192]] - sums[x[at : at + 8192]]) @ vectors.T
-                x_, y_ = np.divmod(np.flatnonzero(cosine.ravel() >= COSINE), len(vectors))
-                span = np.minimum(a[x_, None] + np.arange(length), len(terms) - 1)
-                own = self.idf[terms[span]] * (span < b[x_, None])
-                fit = (own * self.has[of[y_][:, None], terms[span]]).sum(1) >= COMMON_TERMS * own.sum(1)
-                for i, j in zip(x_[fit].tolist(), y_[fit].tolist()):
+            items, column = np.unique(of, return_inverse=True)
+            sought = np.isin(self.item_of, items)
+            having = np.searchsorted(items, self.item_of[sought])
+            lists = np.searchsorted(self.term_of[sought], np.arange(TERMS + 1))
+            step = max(1, LOOKED_UP // (len(items) * max(1, n // 3)))
+            for at in range(0, len(begin), step):
+                a, b = begin[at : at + step], stop[at : at + step]
+                cosine = _unit(sums[upto[at : at + step]] - sums[x[at : at + step]]) @ vectors.T
+                low, high = int(x[at : at + step].min()), int(upto[at : at + step].max())
+                term = terms[starts[low] : starts[high]]
+                weight = self.idf[term]
+                inner = np.repeat(np.arange(high - low), np.diff(starts[low : high + 1]))
+                many = lists[term + 1] - lists[term]
+                k = np.arange(many.sum()) + np.repeat(lists[term] - (np.cumsum(many) - many), many)
+                common = np.zeros((high - low + 1, len(items)))
+                common[1:] = np.bincount(np.repeat(inner * len(items), many) + having[k], np.repeat(weight, many), (high - low) * len(items)).reshape(-1, len(items))
+                np.cumsum(common, axis=0, out=common)
+                own = np.append(0.0, np.cumsum(np.bincount(inner, weight)))
+                one, end = x[at : at + step] - low, upto[at : at + step] - low
+                share = (common[end] - common[one]) / np.maximum(own[end] - own[one], 1e-6)[:, None]
+                x_, y_ = np.divmod(np.flatnonzero(((cosine >= COSINE) & (share >= COMMON_TERMS)[:, column]).ravel()), len(vectors))
+                for i, j in zip(x_.tolist(), y_.tolist()):
                     row, item = int(w.row[a[i]]), int(of[j])
                     size = len(self.words[item])
                     low, high = max(int(a[i]) - size, int(first[row])), min(int(b[i]) + size, int(first[row + 1]))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -184,6 +185,32 @@ def test_benchmark_copies_are_found(spark):
     assert want and len(want - found) <= 0.05 * len(want) and len(found - want) <= 0.1 * len(want)
 
 
+def test_planted_paraphrases_are_found(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    items = {r.item_id: r.text.split() for r in benchmark.filter("text is not null").collect()}
+    pool = [w for r in docs.limit(200).collect() for w in (r.text or "").split()]
+    rng, rows, planted = random.Random(16), [], []
+    for rate in (0, 0.1, 0.2, 0.3, 0.4, 0.5):
+        for i in rng.sample(sorted(k for k, w in items.items() if len(w) >= 12), 40):
+            w = list(items[i])
+            open_ = len(w) - round(semantic.ANSWER * len(w)) - 1  # the answer stays
+            for at in rng.sample(range(open_), min(open_, round(rate * len(w)))):
+                w[at] = rng.choice(pool)
+            k = rng.randrange(len(pool) - 300)
+            rows.append((10**7 + len(rows), " ".join(pool[k : k + 150] + w + pool[k + 150 : k + 300])))
+            planted.append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    space = semantic.latent_space(docs)
+    found = {(r.doc_id, r.item_id) for r in semantic.find_matches(df, benchmark, space).collect()}
+    monkeypatch.setattr(semantic, "latent_space", lambda _: space)
+    clean = {r.doc_id for r in semantic.keep_clean(df, benchmark).collect()}
+    monkeypatch.setattr(semantic, "COSINE", -2.0)
+    monkeypatch.setattr(semantic, "COMMON_TERMS", -1.0)
+    accepted = {(d, i) for (d, t), i in zip(rows, planted) if semantic.Retriever([" ".join(items[i])], space).hits(*_text.buffers(pa.array([t])))}
+    assert len(accepted) > 180 and len(accepted & found) >= 0.98 * len(accepted)
+    assert clean == {d for d, _ in rows} - {d for d, _ in found}
+
+
 def test_gapped_insults_are_alike():
     marks = toxicity.Landmarks.of(["idiot", "pathetic"])
     import pyarrow as pa
