@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of the corpus are TF-IDF rows over hashed words. A randomised SVD,
-whose two passes run over all passages, gives a latent space; windows of every
-text whose cosine with a benchmark item is high there are candidates, and a
-longest common subsequence of words, with a look at the item's answer where
-the match is loose, decides.
+Passages of the corpus are TF-IDF rows over hashed words. A randomised SVD
+(a random sketch of the rows, then the rows in the sketch's range) gives a
+latent space. Every window of every text is compared there with every
+benchmark item; where the cosine is high and the words at hand can add up to a
+match, a longest common subsequence of words, with a look at the item's answer
+where the match is loose, decides.
 """
 
 from __future__ import annotations
@@ -17,117 +18,177 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallaxis.llm import _text
+from parallaxis.llm import _text, _work
 from parallaxis.llm.licences import BREAKS
 
 #: Buckets that words are hashed to, and directions of the randomised SVD.
-TERMS, DIRECTIONS = 1 << 14, 40
+TERMS, DIRECTIONS = 1 << 14, 32
 #: A latent direction in which the means of long documents hold this share of the energy of their passages tells languages and topics apart, not passages, and is dropped.
 SHARED_ENERGY = 0.3
 #: Passages from which a document counts as long.
 LONG = 8
-#: Words of a passage of the SVD.
-PASSAGE = 48
-#: Window lengths; an item is sought with the longest that it fills, and longer items in several windows.
+#: Words of a passage of the SVD, and of a block, by which words are summed.
+PASSAGE, BLOCK = 48, 4
+#: Window lengths; an item is sought with the longest that it fills, and longer items in several windows. Windows start a third of their length apart.
 SCALES = (8, 12, 24, 48)
-#: Words of a block; windows are whole blocks, and start a third of their length apart.
-BLOCK = 4
-#: Least cosine of a candidate, and the least share, weighed by inverse frequency, of its window's words that the item has too.
-COSINE, COMMON_TERMS = 0.05, 0.15
-#: Blocks times items that are looked up at once.
-LOOKED_UP = 1 << 20
+#: Least cosine of a candidate.
+COSINE = 0.05
 #: Share of an item's words that a common subsequence must have: to settle it alone, and with the answer.
 SURE, LOOSE = 0.75, 0.5
 #: Share of an item's words, at its end, that count as its answer, and the share of those that must be there in order.
 ANSWER, ANSWERED = 0.25, 0.8
+#: Words of an item's length before and after a word of a match in which the match is sought.
+BEFORE, AFTER = 2, 1
+#: Share of an item's words, and their least number, that must be there besides its commonest, which are taken as there anywhere.
+TELLING, LEAST_TELLING = 0.15, 4
 #: Items whose vectors one pass holds; more items take more passes.
 ITEMS = 4_000
 #: Texts are projected so many bytes at a time.
 PIECE = 1 << 18
-SEED = 11
+#: Items of more words have their subsequences computed one by one.
+_BITS = 64
 _SLICE = 256
+#: Passages whose signs are added at once; the counters have 16 bits.
+_STEP = (1 << 16) // PASSAGE - 1
+#: The four bits of a number as the 16-bit fields of a word.
+_SPREAD = np.array([sum(1 << 16 * b for b in range(4) if x >> b & 1) for x in range(16)], np.uint64)
 
 
-def _terms(w: _text.Words) -> np.ndarray:
-    return (w.hashes() & np.uint64(TERMS - 1)).astype(np.int64)
+@dataclass
+class Coded:
+    """Words of several texts as 32-bit hashes of their lower-cased bytes, and the text each is of."""
 
+    word: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
 
-def _passages(w: _text.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each passage, and the passage of each word; passages don't cross texts."""
-    inside = np.arange(len(w.row)) - w.firsts()[w.row]
-    start = np.flatnonzero(inside % length == 0)
-    return start, np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w.row))))
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Coded:
+        w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
+        return Coded(w.hashes().astype(np.uint32), w.row, w.firsts())
+
+    @staticmethod
+    def read(column: pa.Array) -> Iterator[tuple[int, Coded]]:
+        """The texts of a column of such words as bytes, some MB at once, each part with the number of its first text."""
+        _, offsets, data = column.cast(pa.large_binary()).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        for a, b in _text.slices(offsets, PIECE):
+            first = (offsets[a : b + 1] - offsets[a]) // 4
+            word = np.frombuffer(data, np.uint32, int(first[-1]), int(offsets[a])) if first[-1] else np.zeros(0, np.uint32)
+            yield a, Coded(word, np.repeat(np.arange(b - a), np.diff(first)), first)
+
+    def terms(self) -> np.ndarray:
+        return (self.word & np.uint32(TERMS - 1)).astype(np.uint16)
+
+    def blocks(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word of each block of so many words, and the text of each block; blocks don't cross texts."""
+        inside = np.arange(len(self.row)) - self.first[self.row]
+        start = np.flatnonzero(inside % length == 0)
+        return start, self.row[start]
+
+
+def _block_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows over the words of each block; the table's last row is zero."""
+    end = np.append(start[1:], len(term))
+    out = table[term[start]]
+    for k in range(1, BLOCK):
+        at = np.where(start + k < end, term[np.minimum(start + k, len(term) - 1)], TERMS)
+        out += table[at]
+    return out
 
 
-def inverse_frequencies(documents: DataFrame) -> np.ndarray:
-    """log inverse frequency of each term bucket among all passages."""
+def _added(parts: DataFrame, size: int) -> np.ndarray:
+    """The sums of parts (slice, part: float64 numbers, so many a slice) by slice, as one array."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(TERMS + 1, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, key = 0.0, 0
         for batch in batches:
-            for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
-                w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
-                if not len(w.row):
-                    continue
-                start, of = _passages(w, PASSAGE)
-                both = np.sort((of * TERMS + _terms(w)).astype(np.uint64 if len(start) >> 18 else np.uint32))
-                counts[:-1] += np.bincount((both[np.append(True, both[1:] != both[:-1])] % TERMS).astype(np.int64), minlength=TERMS)
-                counts[-1] += len(start)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key = k
+                total = total + np.frombuffer(part.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary())], names=["slice", "part"])
+
+    found = {r[0]: np.frombuffer(r[1]) for r in parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()}  # as many numbers as the table of terms has
+    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size)
 
-    counts = np.zeros(TERMS + 1)
-    for r in documents.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
-        counts[r.term] = r.n
-    return np.log((counts[-1] + 1) / (counts[:-1] + 1))
 
+def _slices(numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(numbers)), pa.int32()), pa.array([np.ascontiguousarray(x, np.float64).tobytes() for x in numbers], pa.binary())], names=["slice", "part"])
 
-def gram_product(documents: DataFrame, idf: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A'A times directions, where A has the TF-IDF rows of all passages; and over long documents, the second moments along the directions of their passages, and of their means in place of these."""
-    width = directions.shape[1]
-    scaled = (idf[:, None] * directions).astype(np.float32)
-    own = -(-width // _SLICE) * _SLICE  # rows at the end for the moments, in whole slices
+
+def coded(documents: DataFrame) -> DataFrame:
+    """doc_id, words, slice, part: the words of each text (null slice), and of all passages the sketch, in parts by slice (null words); written to the shared folder.
+
+    The sketch has for each term the sum, under random signs of the passages,
+    of its counts in DIRECTIONS directions, and in how many passages it stands;
+    last comes the number of passages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, width))
-        passages, means = np.zeros((width, width)), np.zeros((width, width))
+        ones, numbers, passages = np.zeros((TERMS, DIRECTIONS), np.int64), np.zeros((TERMS, 2), np.int64), 0
+        names = ["doc_id", "words", "slice", "part"]
         for batch in batches:
-            for _, _, data, offsets in _text.chunks(batch.column(0), PIECE):
-                w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
-                if not len(w.row):
+            known = batch.column(0).cast(pa.int64())
+            ids = _text.mix(known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64))
+            for a, b, data, offsets in _text.chunks(batch.column(1), PIECE):
+                w = Coded.of(data, offsets)
+                at = pa.py_buffer((4 * w.first).astype(np.int64).tobytes())
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, at, pa.py_buffer(w.word.tobytes())])
+                yield pa.RecordBatch.from_arrays([known.slice(a, b - a), words.cast(pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
+                if not len(w.word):
                     continue
-                start, of = _passages(w, PASSAGE)
-                term = _terms(w)
-                rows = np.add.reduceat(scaled[term], start, axis=0)
-                for k in range(width):
-                    total[:, k] += np.bincount(term, np.ascontiguousarray(rows[:, k])[of], TERMS)
-                text = w.row[start]
-                n = np.bincount(text, minlength=w.rows)
+                term = w.terms()
+                start, text = w.blocks(PASSAGE)
+                own = _text.mix(np.add.reduceat(w.word, start, dtype=np.uint64) + ids[a + text] + np.arange(len(start), dtype=np.uint64))  # a passage draws its signs by its words, document and place
+                signs = np.stack([_SPREAD[(own >> np.uint64(4 * k)) & np.uint64(15)] for k in range(DIRECTIONS // 4)], axis=1)
+                of = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(term))))
+                passages += len(start)
+                for at in range(0, len(start), _STEP):
+                    low, high = start[at], start[at + _STEP] if at + _STEP < len(start) else len(term)
+                    order = np.argsort(term[low:high], kind="stable")
+                    t, p = term[low:high][order], of[low:high][order]
+                    begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                    some = t[begin].astype(np.int64)
+                    ones[some] += np.add.reduceat(signs[p], begin, axis=0).astype("<u8").view("<u2").reshape(len(begin), DIRECTIONS)
+                    new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))
+                    numbers[some, 0] += np.diff(np.append(begin, len(t)))
+                    numbers[some, 1] += np.add.reduceat(new, begin, dtype=np.int64)
+        rows = np.concatenate([2 * ones - numbers[:, :1], numbers[:, 1:]], axis=1).reshape(-1, _SLICE * (DIRECTIONS + 1))
+        parts = _slices(np.concatenate([rows, np.full((1, rows.shape[1]), passages)]))
+        n = parts.num_rows
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *parts.columns], names=names)
+
+    return _work.stored(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary, slice int, part binary"), "words")
+
+
+def moments(words: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Second moments, along the table's directions, of all passages; of those of long documents; and of their means in place of these."""
+    width = table.shape[1]
+    padded = np.concatenate([table, np.zeros((1, width))]).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, passages, means = (np.zeros((width, width)) for _ in range(3))
+        for batch in batches:
+            for _, w in Coded.read(batch.column(0)):
+                if not len(w.word):
+                    continue
+                start, text = w.blocks(BLOCK)
+                sums = _block_sums(padded, w.terms(), start)
+                place = np.arange(len(start)) - np.searchsorted(text, text)
+                first = np.flatnonzero(place % (PASSAGE // BLOCK) == 0)
+                rows = np.add.reduceat(sums, first, axis=0)
+                text = text[first]
+                every += rows.T @ rows
+                n = np.bincount(text, minlength=len(w.first) - 1)
                 long = rows[n[text] >= LONG].astype(np.float64)
                 if len(long):
                     passages += long.T @ long
                     which, first = np.unique(text[n[text] >= LONG], return_index=True)
-                    sums = np.add.reduceat(long, first, axis=0)
-                    means += (sums / n[which, None]).T @ sums
-        total *= idf[:, None]
-        parts = np.concatenate([total, np.zeros((2 * own, width))])
-        parts[TERMS : TERMS + width], parts[TERMS + own : TERMS + own + width] = passages, means
-        parts = parts.astype(np.float32).reshape(-1, _SLICE * width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = np.zeros(_SLICE * width), 0
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                key = k
-                total += np.frombuffer(part.as_py(), np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "part"])
+                    total = np.add.reduceat(long, first, axis=0)
+                    means += (total / n[which, None]).T @ total
+        yield _slices(np.stack([every, passages, means]).reshape(3, -1))
 
-    out = np.zeros(((TERMS + 2 * own) // _SLICE, _SLICE * width))
-    for r in documents.select("text").mapInArrow(run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():  # some more than TERMS x width numbers
-        out[r[0]] = np.frombuffer(r[1])
-    out = out.reshape(-1, width)
-    return out[:TERMS], out[TERMS : TERMS + width], out[TERMS + own : TERMS + own + width]
+    return tuple(_added(words.filter("slice is null").select("words").mapInArrow(run, "slice int, part binary"), 3 * width * width).reshape(3, width, width))
 
 
 def _symmetric(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +203,15 @@ class Space:
     coordinates: np.ndarray
 
 
-def latent_space(documents: DataFrame) -> Space:
-    """The latent space of all passages of documents."""
-    idf = inverse_frequencies(documents)
-    directions = np.random.default_rng(SEED).standard_normal((TERMS, DIRECTIONS))
-    basis, _ = np.linalg.qr(gram_product(documents, idf, directions)[0])
-    product, passages, means = gram_product(documents, idf, basis)
-    inner = passages if np.trace(passages) > 0 else basis.T @ product
+def latent_space(words: DataFrame) -> Space:
+    """The latent space of all passages of coded documents."""
+    size = (TERMS + _SLICE) * (DIRECTIONS + 1)
+    numbers = _added(words.filter("slice is not null").select("slice", "part"), size).reshape(-1, DIRECTIONS + 1)
+    signed, standing, passages = numbers[:TERMS, :DIRECTIONS], numbers[:TERMS, DIRECTIONS], numbers[-1, 0]
+    idf = np.log((passages + 1) / (standing + 1))
+    basis, _ = np.linalg.qr(idf[:, None] * signed)
+    every, of_long, means = moments(words, idf[:, None] * basis)
+    inner = of_long if np.trace(of_long) > 0 else every
     values, vectors = _symmetric(inner)
     some = values > 1e-9 * max(float(values.max()), 1e-9)
     whiten = vectors[:, some] / np.sqrt(values[some])
@@ -190,97 +253,209 @@ class Hit:
 
 
 class Retriever:
-    """Benchmark items ready to be sought in texts. Items of fewer than the least scale's words are not sought."""
+    """Benchmark items ready to be sought in texts. Items of fewer words than the least window are sought word for word; empty ones not at all."""
 
     def __init__(self, texts: list[str | None], space: Space):
-        self.idf, self.space = space.idf, space.coordinates
-        w = _text.spans(*_text.buffers(pa.array(texts, pa.string())), lower=True, breaks=BREAKS)
-        first, hashes, terms = w.firsts(), w.hashes(), _terms(w)
-        self.words = [hashes[a:b].tolist() for a, b in zip(first, first[1:])]
+        self.space = np.concatenate([space.coordinates, np.zeros((1, space.coordinates.shape[1]), np.float32)])
+        w = Coded.of(*_text.buffers(pa.array(texts, pa.string())))
+        first, terms = w.first, w.terms()
+        self.vocabulary, number = np.unique(w.word, return_inverse=True)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.vocabulary & np.uint32((1 << 20) - 1)] = True
+        self.words = [number[a:b].tolist() for a, b in zip(first, first[1:])]
+        self.sizes = np.diff(first)
         self.masks = [_masks(x) for x in self.words]
         self.answers = [x[len(x) - max(1, round(ANSWER * len(x))) :] for x in self.words]
         self.answer_masks = [_masks(x) for x in self.answers]
-        pairs = np.unique(terms * len(texts) + w.row)
-        self.term_of, self.item_of = np.divmod(pairs, max(1, len(texts)))  # which items have each term
-        self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
+        pairs = [(i * len(self.vocabulary) + v, m) for i, x in enumerate(self.masks) if len(self.words[i]) <= _BITS for v, m in sorted(x.items())]
+        self.pair, self.pair_mask = np.array([k for k, _ in pairs], np.int64), np.array([m for _, m in pairs], np.uint64)
+        self._tell(space.idf[terms], number, first)
+        self.vectors, self.slot = {}, np.full(len(texts), -1)
         for k, length in enumerate(SCALES):
             longer = SCALES[k + 1] if k + 1 < len(SCALES) else 1 << 60
             vectors, of = [], []
-            for i, (a, b) in enumerate(zip(first, first[1:])):
-                if length <= b - a < longer:
-                    for s in sorted({*range(a, b - length, length), b - length}):
-                        vectors.append(self.space[terms[s : s + length]].sum(0))
-                        of.append(i)
+            for i in np.flatnonzero((self.sizes >= length) & (self.sizes < longer)):
+                a, b = first[i], first[i + 1]
+                self.slot[i] = length
+                for s in sorted({*range(a, b - length, length), b - length}):
+                    vectors.append(self.space[terms[s : s + length]].sum(0))
+                    of.append(i)
             if of:
-                self.scales.append((length, _unit(np.array(vectors)), np.array(of)))
-
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[Hit]:
+                self.vectors[length] = _unit(np.array(vectors)), np.array(of)
+
+    def _tell(self, idf: np.ndarray, number: np.ndarray, first: np.ndarray) -> None:
+        """For each item its telling words: all but its commonest, and how many of them (by their repeats) any match must have.
+
+        A match has at least LOOSE of the item's words. Of these no more can be
+        among its commonest words than those are, so the rest is among the
+        telling ones: no match is lost.
+        """
+        word, item, weight, need = [], [], [], np.zeros(len(self.words), np.int64)
+        for i, (a, b) in enumerate(zip(first, first[1:])):
+            size = int(b - a)
+            if size < SCALES[0]:
+                if size:  # word for word: its rarest word tells
+                    word.append(int(number[a + np.argmax(idf[a:b])]))
+                    item.append(i)
+                    weight.append(1)
+                need[i] = 1
+                continue
+            least = int(np.ceil(LOOSE * size))
+            spare = max(0, least - max(LEAST_TELLING, int(np.ceil(TELLING * size))))
+            own, at, n = np.unique(number[a:b], return_index=True, return_counts=True)
+            passed = 0
+            for k in np.argsort(idf[a:b][at], kind="stable"):
+                if passed + n[k] <= spare:
+                    passed += int(n[k])
+                    continue
+                spare = passed  # from here on, words tell
+                word.append(int(own[k]))
+                item.append(i)
+                weight.append(int(n[k]))
+            need[i] = least - passed
+        order = np.argsort(np.array(word, np.int64), kind="stable")
+        self.item_of, self.weight_of = np.array(item, np.int32)[order], np.array(weight, np.int64)[order]
+        self.lists = np.searchsorted(np.array(word, np.int64)[order], np.arange(len(self.vocabulary) + 1))
+        self.need = need
+
+    def _places(self, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (words of the texts, by item and place) where enough telling words of an item stand in the BEFORE lengths of it that end there."""
+        known = np.flatnonzero(number >= 0)
+        many = np.diff(self.lists)[number[known]]
+        at = np.repeat(known, many)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.lists[number[known]], many)
+        item, weight = self.item_of[k], self.weight_of[k]
+        order = np.argsort(item.astype(np.int16) if len(self.words) < 1 << 15 else item, kind="stable")
+        item, at, weight = item[order].astype(np.int64), at[order], weight[order]
+        gap = BEFORE * int(self.sizes.max(initial=0)) + 1
+        key = item * (len(number) + (int(row[-1]) + 2) * gap) + at + row[at].astype(np.int64) * gap
+        upto = np.append(0, np.cumsum(weight))
+        begin = np.searchsorted(key, key - BEFORE * self.sizes[item])
+        end = np.flatnonzero(upto[1:] - upto[begin] >= self.need[item])
+        if not len(end):
+            return item[end], at[end]
+        # repeats of a word count once: of each place's words, the first of each kind
+        many = end + 1 - begin[end]
+        own = np.repeat(np.arange(len(end)), many)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[end], many)
+        kind = np.unique(own * len(self.vocabulary) + number[at[k]], return_index=True)[1]
+        end = end[np.bincount(own[kind], weight[k[kind]], len(end)) >= self.need[item[end]]]
+        return item[end], at[end]
+
+    def hits(self, w: Coded) -> list[Hit]:
         """Best accepted match of each (text, item)."""
-        w = _text.spans(data, offsets, lower=True, breaks=BREAKS)
-        if not len(w.row):
+        if not len(w.word) or not len(self.vocabulary):
             return []
-        hashes, terms = w.hashes(), _terms(w)
-        first = w.firsts()
-        inside = np.arange(len(terms)) - first[w.row]
-        block = np.flatnonzero(inside % BLOCK == 0)
-        sums = np.zeros((len(block) + 1, self.space.shape[1]), np.float32)
-        np.cumsum(np.add.reduceat(self.space[terms], block, axis=0), axis=0, out=sums[1:])
-        starts = np.append(block, len(terms))
-        text = w.row[block]
-        begins = np.searchsorted(text, np.arange(w.rows + 1))  # first block of each text
-        place = np.arange(len(block)) - begins[text]
-        left = begins[text + 1] - np.arange(len(block))  # blocks to the text's end
+        number = np.full(len(w.word), -1, np.int32)
+        maybe = np.flatnonzero(self.maybe[w.word & np.uint32((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.vocabulary, w.word[maybe]), len(self.vocabulary) - 1)
+        same = self.vocabulary[at] == w.word[maybe]
+        number[maybe[same]] = at[same]
+        first = w.first
+        item, place = self._places(number, w.row)
+        cosines = self._cosines(w, item, place)
+        likely = np.flatnonzero(cosines >= COSINE)
+        item, place, cosines = item[likely], place[likely], cosines[likely]
+        long = self._long_enough(number, first, w.row, item, place)
         found: dict[tuple[int, int], Hit] = {}
-        for length, vectors, of in self.scales:
+        for i, p, cosine in zip(item[long].tolist(), place[long].tolist(), cosines[long].tolist()):
+            row = int(w.row[p])
+            best = found.get((row, i))
+            if best is not None and best.common == self.sizes[i]:
+                continue
+            hit = self._word_for_word(number, first, row, i, p) if self.sizes[i] < SCALES[0] else self._subsequence(number, first, row, i, p, cosine)
+            if hit and (best is None or (hit.common, hit.cosine) > (best.common, best.cosine)):
+                found[row, i] = hit
+        return [found[k] for k in sorted(found)]
+
+    def _long_enough(self, number: np.ndarray, first: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which places have a common subsequence of LOOSE of the item near them. All are advanced together, a word at a time; items too long for that, or sought word for word, are left in."""
+        size = self.sizes[item]
+        out = np.ones(len(item), bool)
+        some = np.flatnonzero((size >= SCALES[0]) & (size <= _BITS))
+        if not len(some):
+            return np.flatnonzero(out)
+        size, text = size[some], row[place[some]]
+        low, high = np.maximum(place[some] - BEFORE * size, first[text]), np.minimum(place[some] + AFTER * size + 1, first[text + 1])
+        many = high - low
+        own = np.repeat(np.arange(len(some)), many)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        known = np.flatnonzero(number[at] >= 0)
+        key = item[some][own[known]] * len(self.vocabulary) + number[at[known]]
+        k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = self.pair[k] == key
+        own, mask = own[known[hit]], self.pair_mask[k[hit]]
+        many = np.bincount(own, minlength=len(some))
+        begin = np.cumsum(many) - many
+        order = np.argsort(-many, kind="stable")  # the longest first, so that those still open are a prefix
+        every = np.where(size < 64, (np.uint64(1) << size.astype(np.uint64) % np.uint64(64)) - np.uint64(1), ~np.uint64(0))
+        state = every[order].copy()
+        open_ = np.searchsorted(-many[order], -np.arange(int(many.max(initial=0))), "left")
+        for t, n in enumerate(open_.tolist()):
+            x = state[:n]
+            y = x & mask[begin[order[:n]] + t]
+            state[:n] = (x + y) | (x - y)
+        common = np.empty(len(some), np.int64)
+        common[order] = size[order] - np.bitwise_count(state & every[order])
+        out[some] = common >= LOOSE * size
+        return np.flatnonzero(out)
+
+    def _cosines(self, w: Coded, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """All windows are compared with all items; for each of the given (item, place), the highest cosine of the windows near it. Items sought word for word have cosine one."""
+        out = np.where(self.sizes[item] < SCALES[0], 1.0, -1.0).astype(np.float32)
+        start, text = w.blocks(BLOCK)
+        begins = np.searchsorted(text, np.arange(len(w.first)))
+        sums = np.zeros((len(start) + 1, self.space.shape[1]), np.float32)
+        np.cumsum(_block_sums(self.space, w.terms(), start), axis=0, out=sums[1:])
+        inside = np.arange(len(start)) - begins[text]
+        left = begins[text + 1] - np.arange(len(start))
+        block = np.searchsorted(start, place, "right") - 1
+        for length, (vectors, of) in self.vectors.items():
             n = length // BLOCK
-            x = np.flatnonzero(((place % max(1, n // 3) == 0) & (left > n)) | (left == n) | ((left < n) & (place == 0)))  # the last window ends with the text
+            step = max(1, n // 3)
+            x = np.flatnonzero(((inside % step == 0) & (left > n)) | (left == n) | ((left < n) & (inside == 0)))  # the last window ends with the text
             upto = np.minimum(x + n, begins[text[x] + 1])
-            begin, stop = starts[x], starts[upto]
-            tried: set[tuple[int, int]] = set()
-            items, column = np.unique(of, return_inverse=True)
-            sought = np.isin(self.item_of, items)
-            having = np.searchsorted(items, self.item_of[sought])
-            lists = np.searchsorted(self.term_of[sought], np.arange(TERMS + 1))
-            step = max(1, LOOKED_UP // (len(items) * max(1, n // 3)))
-            for at in range(0, len(begin), step):
-                a, b = begin[at : at + step], stop[at : at + step]
-                cosine = _unit(sums[upto[at : at + step]] - sums[x[at : at + step]]) @ vectors.T
-                low, high = int(x[at : at + step].min()), int(upto[at : at + step].max())
-                term = terms[starts[low] : starts[high]]
-                weight = self.idf[term]
-                inner = np.repeat(np.arange(high - low), np.diff(starts[low : high + 1]))
-                many = lists[term + 1] - lists[term]
-                k = np.arange(many.sum()) + np.repeat(lists[term] - (np.cumsum(many) - many), many)
-                common = np.zeros((high - low + 1, len(items)))
-                common[1:] = np.bincount(np.repeat(inner * len(items), many) + having[k], np.repeat(weight, many), (high - low) * len(items)).reshape(-1, len(items))
-                np.cumsum(common, axis=0, out=common)
-                own = np.append(0.0, np.cumsum(np.bincount(inner, weight)))
-                one, end = x[at : at + step] - low, upto[at : at + step] - low
-                share = (common[end] - common[one]) / np.maximum(own[end] - own[one], 1e-6)[:, None]
-                x_, y_ = np.divmod(np.flatnonzero(((cosine >= COSINE) & (share >= COMMON_TERMS)[:, column]).ravel()), len(vectors))
-                for i, j in zip(x_.tolist(), y_.tolist()):
-                    row, item = int(w.row[a[i]]), int(of[j])
-                    size = len(self.words[item])
-                    low, high = max(int(a[i]) - size, int(first[row])), min(int(b[i]) + size, int(first[row + 1]))
-                    if (low, item) in tried:
-                        continue
-                    tried.add((low, item))
-                    mask = self.masks[item]
-                    own = [(k, v) for k, v in enumerate(hashes[low:high].tolist()) if v in mask]
-                    if len({v for _, v in own}) + size - len(mask) < LOOSE * size:  # no common subsequence can be long enough
-                        continue
-                    region = [v for _, v in own]
-                    common = common_subsequence(region, mask, size)
-                    if common < LOOSE * size:
-                        continue
-                    answer = len(self.answers[item])
-                    answered = common_subsequence(region, self.answer_masks[item], answer) >= ANSWERED * answer
-                    if common < SURE * size and not answered:
-                        continue
-                    best = found.get((row, item))
-                    if best is None or (common, float(cosine[i, j])) > (best.common, best.cosine):
-                        found[row, item] = Hit(row, item, float(cosine[i, j]), common, answered, low - int(first[row]) + own[0][0])
-        return [found[k] for k in sorted(found)]
+            near = np.flatnonzero(self.slot[item] == length)
+            row = w.row[place[near]]
+            reach = (self.sizes[item[near]] + BLOCK - 1) // BLOCK
+            low = np.searchsorted(x, np.maximum(block[near] - BEFORE * reach, begins[row]))
+            high = np.searchsorted(x, np.minimum(block[near] + AFTER * reach + 1, begins[row + 1]))
+            low = np.minimum(low, high - 1)
+            column, last = np.searchsorted(of, item[near]), np.searchsorted(of, item[near], "right")
+            for a in range(0, len(x), 4096):
+                cosine = _unit(sums[upto[a : a + 4096]] - sums[x[a : a + 4096]]) @ vectors.T
+                some = np.flatnonzero((low < a + len(cosine)) & (high > a))
+                for k in range(int((high - low)[some].max(initial=0))):
+                    at = low[some] + k
+                    own = some[(at >= a) & (at < a + len(cosine)) & (at < high[some])]
+                    for m in range(int((last - column)[own].max(initial=0))):
+                        own = own[column[own] + m < last[own]]
+                        out[near[own]] = np.maximum(out[near[own]], cosine[low[own] + k - a, column[own] + m])
+        return out
+
+    def _word_for_word(self, number: np.ndarray, first: np.ndarray, row: int, item: int, place: int) -> Hit | None:
+        words = self.words[item]
+        for k, x in enumerate(words):
+            at = place - k
+            if x == number[place] and at >= first[row] and at + len(words) <= first[row + 1] and number[at : at + len(words)].tolist() == words:
+                return Hit(row, item, 1.0, len(words), True, at - int(first[row]))
+        return None
+
+    def _subsequence(self, number: np.ndarray, first: np.ndarray, row: int, item: int, place: int, cosine: float) -> Hit | None:
+        size, mask = int(self.sizes[item]), self.masks[item]
+        low, high = max(place - BEFORE * size, int(first[row])), min(place + AFTER * size + 1, int(first[row + 1]))
+        own = [(k, v) for k, v in enumerate(number[low:high].tolist()) if v in mask]
+        if sum(mask[v].bit_count() for v in {v for _, v in own}) < LOOSE * size:  # no common subsequence can be long enough
+            return None
+        region = [v for _, v in own]
+        common = common_subsequence(region, mask, size)
+        if common < LOOSE * size:
+            return None
+        answer = len(self.answers[item])
+        answered = common_subsequence(region, self.answer_masks[item], answer) >= ANSWERED * answer
+        if common < SURE * size and not answered:
+            return None
+        return Hit(row, item, cosine, common, answered, low - int(first[row]) + own[0][0])
 
 
 MATCHES = "doc_id long, item_id long, n_words long, common_words long, overlap double, cosine double, answered boolean, first_word long"
@@ -303,11 +478,14 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None
     """One row for each document and benchmark item that it holds, as copied or paraphrased text.
 
     All windows of whole texts are compared with all items. Null texts have no
-    words; items without enough words match nothing; repeated rows give one
-    match by doc_id, the best; rows of null doc_id are as one document. Other
-    columns are ignored, and an empty table of either gives no rows.
+    words; items without words match nothing, and items of a few words only
+    word for word. Repeated rows give one match by doc_id, the best (of matches
+    that tie, the first in the text); rows of null doc_id are as one document,
+    and items of null item_id as one item. Other columns are ignored, and an
+    empty table of either gives no rows.
     """
-    space = latent_space(documents) if space is None else space
+    words = coded(documents)
+    space = latent_space(words) if space is None else space
     parts = []
     for block in _blocks(benchmark):
         ids, texts = zip(*block)
@@ -315,13 +493,13 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             retriever = Retriever(list(texts), space)
             for batch in batches:
-                own = batch.column(0).cast(pa.int64()).to_pylist()
-                for a, _, data, offsets in _text.chunks(batch.column(1), PIECE):
-                    rows = [(own[a + h.row], ids[h.item], len(retriever.words[h.item]), h.common, h.common / len(retriever.words[h.item]), h.cosine, h.answered, h.first_word) for h in retriever.hits(data, offsets)]
+                own = batch.column(0).to_pylist()
+                for a, w in Coded.read(batch.column(1)):
+                    rows = [(own[a + h.row], ids[h.item], len(retriever.words[h.item]), h.common, h.common / len(retriever.words[h.item]), h.cosine, h.answered, h.first_word) for h in retriever.hits(w)]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=[x.split()[0] for x in MATCHES.split(", ")])
 
-        parts.append(documents.select("doc_id", "text").mapInArrow(run, MATCHES))
+        parts.append(words.filter("slice is null").select("doc_id", "words").mapInArrow(run, MATCHES))
     if not parts:
         return documents.sparkSession.createDataFrame([], MATCHES)
     matches = parts[0]
@@ -332,8 +510,8 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without the rows that hold a benchmark item; nothing is shuffled."""
-    space = latent_space(documents)
+    """documents without the rows that hold a benchmark item, as find_matches has it; no text is shuffled."""
+    space = latent_space(coded(documents))
     for block in _blocks(benchmark):
         texts = [t for _, t in block]
 
@@ -342,7 +520,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in _text.chunks(batch.column("text"), PIECE):
-                    clean[[a + h.row for h in retriever.hits(data, offsets)]] = False
+                    clean[[a + h.row for h in retriever.hits(Coded.of(data, offsets))]] = False
                 yield batch.filter(pa.array(clean))
 
         documents = documents.mapInArrow(run, documents.schema)

@@ -44,7 +44,7 @@ def labels(spark):
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    return spark.createDataFrame([(1, " ".join(WORDS[:14])), (2, None), (3, "two words")], "item_id long, text string")
+    return spark.createDataFrame([(1, " ".join(WORDS[:14])), (2, None), (3, "two words"), (None, "one"), (4, "")], "item_id long, text string")
 
 
 def test_chat(spark):
@@ -132,8 +132,8 @@ def test_mixture(docs, empty):
 
 def test_semantic(docs, empty, benchmark):
     got = {(r.doc_id, r.item_id) for r in semantic.find_matches(docs, benchmark).collect()}
-    assert got == {(1, 1), (7, 1)}
-    assert semantic.keep_clean(docs, benchmark).count() == len(ROWS) - 2
+    assert got == {(1, 1), (7, 1), (6, None)}
+    assert semantic.keep_clean(docs, benchmark).count() == len(ROWS) - 4
     assert semantic.find_matches(empty, benchmark).count() == 0 and semantic.find_matches(docs, benchmark.limit(0)).count() == 0
 
 
