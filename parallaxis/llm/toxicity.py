@@ -11,13 +11,12 @@ number.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.llm import _text, _work
@@ -32,8 +31,10 @@ FLOOR = 0.4
 MOST_LABELLED = 20_000
 #: Suspicious word beginnings, and landmark words of them.
 STEMS, LANDMARKS = 96, 80
-#: Least gain (documents times log odds) of a suspicious beginning: chance reaches it hardly once among all words.
-GAIN = 25.0
+#: Chance, over all beginnings, that one counts as suspicious by chance alone; and how many count whatever their chance.
+CHANCE, FEW = 1e-4, 12
+#: Different beginnings that a task holds at once.
+MOST_GRAMS = 500_000
 #: Worst sentences of a document that count.
 WORST = 5
 #: Characters of a word beginning.
@@ -208,41 +209,60 @@ class Landmarks:
 def _beginnings(documents: DataFrame) -> DataFrame:
     """gram, toxic, clean: in how many labelled documents each whole word and each beginning of words stands; copies count as one.
 
-    Copies are told by a hash of the whole text, its words lowered and one space apart.
+    Copies are told by a hash of the whole text, A-Z lowered and white space as
+    one space; one that some rows call toxic and some clean counts as both.
     The empty gram has the numbers of all documents.
     """
+    copy = F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")), 256)
+    is_toxic = F.coalesce(F.col("label") == 1, F.lit(False))
+    once = documents.groupBy(copy.alias("copy")).agg(F.first("text").alias("text"), F.max(is_toxic.cast("long")).alias("toxic"), F.max((~is_toxic).cast("long")).alias("clean"))
+
+    def part(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array([c[n] for c in counts.values()], pa.int64()) for n in (0, 1))], names=["gram", "toxic", "clean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams, tokens_ = {""}, (text or "").lower().split()
-                copy = hashlib.blake2b(" ".join(tokens_).encode(), digest_size=16).digest()
-                for token in set(tokens_):
-                    word = "".join(c for c in token if c.isalnum())
-                    grams |= {word[:n] for n in STEM_SIZES if n <= len(word)} | ({word + "$"} if word else set())
-                n = len(grams)
-                yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array([copy] * n, pa.binary()), pa.array([int(label == 1)] * n, pa.int64()), pa.array([int(label != 1)] * n, pa.int64())], names=["gram", "copy", "toxic", "clean"])
-
-    parts = documents.select("text", "label").mapInArrow(run, "gram string, copy binary, toxic long, clean long")
-    once = parts.groupBy("gram", "copy").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
-    return once.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            for text, toxic, clean in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = {""}
+                for token in set((text or "").lower().split()):
+                    if word := token if token.isalnum() else "".join(c for c in token if c.isalnum()):
+                        grams.add(word + "$")
+                        grams.update([word[:n] for n in STEM_SIZES if n <= len(word)])
+                for gram in grams:
+                    c = counts.setdefault(gram, [0, 0])
+                    c[0] += toxic
+                    c[1] += clean
+                if len(counts) > MOST_GRAMS:
+                    yield part(counts)
+                    counts = {}
+        yield part(counts)
+
+    parts = once.select("text", "toxic", "clean").mapInArrow(run, "gram string, toxic long, clean long")
+    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def choose_landmarks(documents: DataFrame) -> list[str]:
-    """Landmark words from labelled documents (text, label): those of toxic documents with suspicious beginnings."""
-    from pyspark.sql import Window
+    """Landmark words from labelled documents (text, label): those of toxic documents with suspicious beginnings.
 
+    A beginning's gain is the toxic documents that it stands in times its log
+    odds; chance reaches a gain of x with a probability of about exp(-x). Those
+    count that chance would hardly give once among all beginnings, and where
+    the labels are too few for that, the FEW best that several toxic documents have.
+    """
     grams = _work.stored(_beginnings(documents), "beginnings")
     toxic, clean = grams.filter("gram = ''").select("toxic", "clean").first()
     rate = (F.col("toxic") + 0.5) / (toxic + 1)
     base = (F.col("clean") + 0.5) / (clean + 1)
     gain = F.col("toxic") * F.log(rate / base)
     whole = F.col("gram").endswith("$")
-    found = grams.filter(rate > 4 * base).withColumn("gain", gain).filter(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "gram").limit(STEMS * 8).collect()
+    likely = grams.filter((rate > 4 * base) & (F.col("toxic") > 1) & (F.col("gram") != "")).withColumn("gain", gain)
+    least = float(np.log(max(1, grams.filter("toxic > 0").count()) / CHANCE))
+    found = likely.orderBy(F.desc("gain"), "gram").limit(STEMS * 8).collect()
     stems: list[str] = []
     for r in found:  # a beginning that another says already, or says less of, adds nothing
         gram = r.gram.removesuffix("$")
-        if not any(gram.startswith(s) or s.startswith(gram) for s in stems) and len(stems) < STEMS:
+        if (r.gain >= least or len(stems) < FEW) and not any(gram.startswith(s) or s.startswith(gram) for s in stems) and len(stems) < STEMS:
             stems.append(gram)
     if not stems:
         return []

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -258,6 +259,39 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_of_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(scores) > 20
+
+
+def test_kernel_equals_its_definition():
+    """The normalised kernel of words against all three-character subsequences of theirs, listed one by one."""
+    from itertools import combinations
+
+    words = ["idiot", "idxiot", "stupid", "stupidity", "banana", "ia", "1d1ot"]
+    code = {c: int(toxicity._SYMBOL[ord(c)]) for c in "abcdefghijklmnopqrstuvwxyz0123456789"}
+
+    def features(word):
+        s, out = [toxicity._EDGE, *(code[c] for c in word), toxicity._EDGE], {}
+        for i, j, k in combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                out[s[i], s[j], s[k]] = out.get((s[i], s[j], s[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        return out, sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in combinations(range(len(s)), 3) if k - i < toxicity.SPAN) ** 0.5
+
+    marks = toxicity.Landmarks.of(words)
+    for text in ("idiot", "1diot", "stxupid", "banana", "pathetic"):
+        t = toxicity.tokens(*_text.buffers(pa.array([text])))
+        alike, x = marks.similarity(t)
+        own, norm = features(text)
+        want = []
+        for other in words:
+            theirs, n = features(other)
+            raw = sum(v * theirs.get(f, 0) for f, v in own.items()) / norm / n
+            want.append(min(raw, 1.0) ** toxicity.POWER if raw >= toxicity.FLOOR else 0.0)
+        assert np.allclose(x[0] if len(alike) else np.zeros(len(words)), want, atol=1e-5), text
+
+
 def test_landmarks_of_texts_that_share_words(spark):
     rng = random.Random(15)
     words = [f"word{k}" for k in range(300)]
