@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,22 @@ SUBTREE = 4096
 DIRECT = 32
 #: Node pairs that a walk holds at one level.
 FRONTIER = 1 << 16
-#: For near copies by similarity: 64-bit words of the long fingerprint, fingerprints of a subtree, and pairs from which a block is compared piecemeal.
-WORDS, LONG_SUBTREE, PIECEWISE = 4, 1 << 18, 1 << 18
-#: Bits of a band and the bits in which two may differ; the same at every size, so that recall is.
+#: For near copies by similarity: fingerprints of a subtree, and pairs from which a block is compared piecemeal.
+LONG_SUBTREE, PIECEWISE = 1 << 18, 1 << 18
+#: Bits of a band at least, and the bits in which two may differ in it.
 BAND, BAND_BUDGET = 24, 3
-#: Standard deviations of the differing bits: by which pairs must be nearer than asked to be tried first, and may be farther to be tried at all.
-FIRST_TRIED, TRIED = -0.5, 4.0
-#: Depth to which the tries of long fingerprints are always cut, for tasks to share.
+#: Least share of the pairs at the threshold that agree in some band.
+RECALL = 0.995
+#: Unrelated fingerprints that one may meet in a band; bands are widened, and so many added that RECALL holds, for more.
+MEETINGS = 256
+#: Standard deviations of the differing bits by which pairs may be farther than expected to be compared by their sets.
+TRIED = 3.0
+#: Depth to which the tries of bands are always cut, for tasks to share.
 LEAST_DEPTH = 3
+#: Bytes of shingle sets that meet in one task; larger groups are dealt out as pairs of blocks.
+BLOCK = 8 << 20
+#: Bytes up to which the sets of a group are held as a matrix of bits.
+MATRIX = 64 << 20
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, shingle: int, sets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +106,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3, size: int = 1, sets: bo
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """digest, shingles: the hashes of each text's different shingles."""
+    """digest, shingles: the hashes of each text's different shingles, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,128 +288,212 @@ def link_fingerprints(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return dealt.groupBy("pair").applyInArrow(walk, "src long, dst long")
 
 
-def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
-    """Differing bits expected of fingerprints whose shingle sets have this Jaccard similarity, and so many standard deviations more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+def differing(similarity: float) -> float:
+    """Chance that a bit of two fingerprints differs whose shingle sets have this Jaccard similarity (and equal sizes, which is the worst case)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def candidates(distinct: DataFrame, similarity: float, deviations: float, labels: bool = False) -> DataFrame:
-    """src, dst: pairs of the nodes of long fingerprints that differ in the bits this similarity lets expect, and so many deviations more, at most.
+def within(bits: int, budget: int, p: float) -> float:
+    """Chance that of so many bits, each differing with chance p, no more than the budget differ."""
+    return sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
 
-    The long fingerprint (fp, fp1, ...) is cut into bands, and each band has a
-    trie: pairs that agree within the budget in some band are compared over
-    all bits. Without labels a task's pairs are a spanning forest; with them
-    (column label) all pairs of different labels are given.
-    """
-    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
-    width, budget = BAND, BAND_BUDGET
-    bands = 64 * WORDS // width
-    most = bits_at(similarity, 64 * WORDS, deviations)
-    ids = ["node", "label"] if labels else ["node"]
-
-    def band(fps: list[np.ndarray], k: int) -> np.ndarray:
-        word, shift = divmod(k * width, 64)
+
+@dataclass
+class Bands:
+    """How fingerprints are cut into bands: their width and number, and the differing bits of all of them at which pairs are still compared by their sets."""
+
+    width: int
+    number: int
+    most: int
+
+    @property
+    def words(self) -> int:
+        return -(-self.width * self.number // 64)
+
+    @staticmethod
+    def plan(rows: int, similarity: float, least: int = BAND) -> Bands:
+        """Bands in which a fingerprint meets MEETINGS unrelated ones at most, and pairs of this similarity agree with a chance of RECALL, at every number of rows."""
+        width = least
+        while rows * within(width, BAND_BUDGET, 0.5) > MEETINGS and width < 60:
+            width += 4
+        p = differing(similarity)
+        number = ceil(log(1 - RECALL) / log(1 - within(width, BAND_BUDGET, p)))
+        bits = width * number
+        return Bands(width, number, int(bits * p + TRIED * (bits * p * (1 - p)) ** 0.5))
+
+    def of(self, fps: list[np.ndarray], k: int) -> np.ndarray:
+        """The k-th band, as the leading bits of a number."""
+        word, shift = divmod(k * self.width, 64)
         x = fps[word] << np.uint64(shift)
-        if shift + width > 64:
+        if shift + self.width > 64:
             x = x | fps[word + 1] >> np.uint64(64 - shift)
-        return x >> np.uint64(64 - width) << np.uint64(64 - width)
+        return x >> np.uint64(64 - self.width) << np.uint64(64 - self.width)
+
+
+def candidates(distinct: DataFrame, bands: Bands) -> DataFrame:
+    """src, dst: links that join the nodes of long fingerprints (fp, fp1, ...) that agree within the budget in some band and differ in no more bits than bands.most.
+
+    Each band has a trie, walked as that of short fingerprints. A task's links
+    are a spanning forest.
+    """
+    names = _names(bands.words)
+    width, number = bands.width, bands.number
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)]
+        return [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(bands.words)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(bands << TOP, np.int64)
+        counts = np.zeros(number << TOP, np.int64)
         for batch in batches:
-            for k in range(bands):
-                counts[k << TOP : (k + 1) << TOP] += np.bincount((band(columns(batch), k) >> np.uint64(64 - TOP)).astype(np.int64), minlength=1 << TOP)
+            for k in range(number):
+                counts[k << TOP : (k + 1) << TOP] += np.bincount((bands.of(columns(batch), k) >> np.uint64(64 - TOP)).astype(np.int64), minlength=1 << TOP)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["prefix", "n"])
 
     found = distinct.select(*names).mapInArrow(prefixes, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).collect()  # bands * 2 ** TOP rows at most
-    counts: list[dict[int, int]] = [{} for _ in range(bands)]
+    counts: list[dict[int, int]] = [{} for _ in range(number)]
     for r in found:
         counts[r.prefix >> TOP][r.prefix & ((1 << TOP) - 1)] = r.n
-    plans = [Walk.plan(c, budget, LONG_SUBTREE, LEAST_DEPTH) for c in counts]
+    plans = [Walk.plan(c, BAND_BUDGET, LONG_SUBTREE, LEAST_DEPTH) for c in counts]
     if not plans[0].trees:
         return distinct.select(F.col("node").alias("src"), F.col("node").alias("dst"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, own = columns(batch), [batch.column(WORDS + n).to_numpy(zero_copy_only=False) for n in range(len(ids))]
-            for k in range(bands):
-                for rows, pair, side in plans[k].deal(band(fps, k)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(pair), pa.array(side), *(pa.array(f[rows].view(np.int64)) for f in fps), *(pa.array(x[rows]) for x in own)], names=["band", "pair", "side", *names, *ids])
+            fps, node = columns(batch), batch.column(bands.words).to_numpy(zero_copy_only=False)
+            for k in range(number):
+                for rows, pair, side in plans[k].deal(bands.of(fps, k)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), pa.array(pair), pa.array(side), *(pa.array(f[rows].view(np.int64)) for f in fps), pa.array(node[rows])], names=["band", "pair", "side", *names, "node"])
 
     def walk(table: pa.Table) -> pa.Table:
         k, pair, side = (table.column(n).to_numpy() for n in range(3))
-        fps = [table.column(3 + n).to_numpy().view(np.uint64) for n in range(WORDS)]
+        fps = [table.column(3 + n).to_numpy().view(np.uint64) for n in range(bands.words)]
         node = table.column("node").to_numpy()
-        own = band(fps, int(k[0]))
+        own = bands.of(fps, int(k[0]))
         order = np.lexsort((own, side))
         own, node, fps = own[order], node[order], [f[order] for f in fps]
         forest = Forest(len(node))
-        if labels:
-            forest.label = table.column("label").to_numpy()[order]
-        found = [np.zeros((0, 2), np.int64)]
 
         def look(x: np.ndarray, y: np.ndarray) -> None:
             open_ = forest.label[x] != forest.label[y]
             x, y = x[open_], y[open_]
-            near = sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int32) for f in fps) <= most
-            if near.any() and labels:
-                found.append(np.unique(np.sort(np.column_stack([node[x[near]], node[y[near]]]), axis=1), axis=0))
-            elif near.any():
+            near = sum(np.bitwise_count(f[x] ^ f[y]).astype(np.int32) for f in fps) <= bands.most
+            if near.any():
                 forest.add(x[near], y[near])
 
         def large(a: int, b: int, c: int, d: int) -> None:
-            for x in range(a, b):  # pairs of one label already need no look
+            for x in range(a, b):  # pairs of one tree already need no look
                 y = np.arange(max(c, x + 1) if a == c else c, d)
                 y = y[forest.label[y] != forest.label[x]]
                 if len(y):
                     look(np.full(len(y), x), y)
 
-        for x, y in plans[int(k[0])].links(int(pair[0]), own, int((side == 0).sum()), budget, width, large):
+        for x, y in plans[int(k[0])].links(int(pair[0]), own, int((side == 0).sum()), BAND_BUDGET, width, large):
             look(x, y)
-        ends = np.concatenate(found) if labels else node[np.array(forest.links, np.int64).reshape(-1, 2)]
-        return pa.table({"src": ends[:, 0], "dst": ends[:, 1]})
-
-    schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in (*names, *ids))])
-    dealt = distinct.select(*names, *ids).mapInArrow(deal, schema)
-    return dealt.groupBy("band", "pair").applyInArrow(walk, "src long, dst long")
-
-
-def verified(pairs: DataFrame, distinct: DataFrame, documents: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs of digests (src, dst) whose sets of shingles have this Jaccard similarity, compared in full."""
-    pairs = _work.stored(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
-    ends = pairs.select(F.col("src").alias("digest")).union(pairs.select("dst")).distinct()
-    wanted = distinct.join(ends, "digest", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-    sets = shingle_sets(documents.join(wanted, "doc_id", "left_semi"), shingle).join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sets = _work.stored(sets, "shingles")
-    both = pairs.join(sets.select(F.col("digest").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("digest").alias("dst"), F.col("shingles").alias("b")), "dst")
-    common = F.size(F.array_intersect("a", "b"))
-    return _work.stored(both.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"), "links")
-
+        ends = np.array(forest.links, np.int64).reshape(-1, 2)
+        return pa.table({"src": node[ends[:, 0]], "dst": node[ends[:, 1]]})
 
-def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in (*names, "node"))])
+    return distinct.select(*names, "node").mapInArrow(deal, schema).groupBy("band", "pair").applyInArrow(walk, "src long, dst long")
+
+
+def similar_sets(sets: list[np.ndarray], fps: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets whose fingerprints differ in no more than `most` bits and whose Jaccard similarity, compared in full, is enough; between left and right, or inside left where right is the same."""
+    size = np.array([len(x) for x in sets])
+    kinds, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    width = int(shared[-1]) // 64 + 1 if len(kinds) else 1
+    forest, inner = Forest(len(sets)), right is left
+    of, keep = np.repeat(np.arange(len(sets)), size), times[number] > 1
+    of, at = of[keep], shared[number[keep]]
+    ends = np.append(0, np.cumsum(size))
+    bits = None
+    if 8 * width * len(sets) <= MATRIX:
+        bits = np.zeros((len(sets), width), np.uint64)
+        np.bitwise_or.at(bits, (of, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    for n, i in enumerate(left.tolist()):
+        y = right[n + 1 :] if inner else right
+        y = y[forest.label[y] != forest.label[i]]
+        y = y[np.bitwise_count(fps[y] ^ fps[i]).sum(1, dtype=np.int64) <= most]
+        y = y[np.minimum(size[y], size[i]) >= similarity * np.maximum(size[y], size[i])]
+        if not len(y):
+            continue
+        if bits is not None:
+            common = np.bitwise_count(bits[y] & bits[i]).sum(1, dtype=np.int64)
+        else:
+            own = np.zeros(len(kinds), bool)
+            own[number[ends[i] : ends[i + 1]]] = True
+            inside = np.append(0, np.cumsum(own[number]))
+            common = inside[ends[y + 1]] - inside[ends[y]]
+        near = y[common >= similarity * (size[y] + size[i] - common)]
+        if len(near):
+            forest.add(np.full(len(near), i), near)
+    return forest.links
+
+
+def verified(groups: DataFrame, sets: DataFrame, bands: Bands, similarity: float) -> DataFrame:
+    """src, dst: links that join the nodes (digests) of each group whose shingle sets have this Jaccard similarity, compared in full.
+
+    groups has node, group and the fingerprints; sets has node and shingles.
+    Small groups share tasks; a large one is dealt out as pairs of blocks, each
+    of BLOCK bytes, so that no task holds more.
+    """
+    names = _names(bands.words)
+    rows = groups.join(sets, "node")
+    sizes = rows.groupBy("group").agg(F.sum(8 * F.size("shingles").cast("long")).alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    sizes = sizes.select("group", F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks"))
+    bins = max(1, int(total // BLOCK) * 2)
+    placed = rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.when(F.col("blocks") > 1, F.col("group"))
+    placed = placed.select("group", F.coalesce(alone, F.pmod(F.xxhash64("group"), F.lit(bins))).alias("bin"), alone.isNotNull().alias("alone"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", *names, "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        group, node, block, low, high = (table.column(c).to_numpy() for c in ("group", "node", "block", "low", "high"))
+        fps = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+        lists = table.column("shingles").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        order = np.lexsort((node, group))
+        begins = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+        src, dst = [], []
+        for at in np.split(order, begins[1:]):
+            if len(at) < 2:
+                continue
+            left = np.flatnonzero(block[at] == low[at])
+            right = left if low[at[0]] == high[at[0]] else np.flatnonzero(block[at] == high[at])
+            for i, j in similar_sets([flat[ends[k] : ends[k + 1]] for k in at], fps[at], left, right, bands.most, similarity):
+                src.append(node[at[i]])
+                dst.append(node[at[j]])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return placed.groupBy("bin", "alone", "low", "high").applyInArrow(compare, "src long, dst long")
+
+
+def _names(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5, band: int = BAND) -> DataFrame:
     """doc_id, component_id of every row of documents: near duplicates by similarity.
 
     Documents are linked where the Jaccard similarity of their sets of word
-    shingles is `similarity` or more. SimHashes of 64 * WORDS bits give the
-    candidates (nearly all such pairs), and the sets themselves decide. Spanning
-    forests of the surest candidates are compared first, then all other
-    candidates whose ends these didn't join.
-    Nulls, repeats and short texts are as in near_duplicates.
+    shingles is `similarity` or more. SimHashes, longer for more documents so
+    that recall stays the same, give the candidates by a trie join of each
+    band; these are joined into groups, and inside groups the sets themselves
+    decide. Nulls, repeats and short texts are as in near_duplicates.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
-    fps = _work.stored(fingerprints(documents, shingle, WORDS, sets=True), "simhash")
+    bands = Bands.plan(documents.count(), similarity, band)
+    names = _names(bands.words)
+    fps = _work.stored(fingerprints(documents, shingle, bands.words, sets=True), "simhash")
     distinct = _work.stored(fps.groupBy(*names, "digest").agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
     nodes = distinct.select(*names, F.col("digest").alias("node"))
-    first = verified(candidates(nodes, similarity, FIRST_TRIED), distinct, documents, similarity, shingle)
-    joined = connected_components(first)
-    labelled = nodes.join(joined, "node", "left").select(*names, "node", F.coalesce("component", "node").alias("label"))
-    rest = verified(candidates(_work.stored(labelled, "labelled"), similarity, TRIED, labels=True), distinct, documents, similarity, shingle)
-    links = first.union(rest)
+    groups = connected_components(candidates(nodes, bands)).select("node", F.col("component").alias("group"))
+    groups = _work.stored(nodes.join(groups, "node"), "groups")
+    wanted = distinct.join(groups.select(F.col("node").alias("digest")), "digest", "left_semi").select(F.col("node").alias("doc_id"), "digest")
+    sets = shingle_sets(documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    links = _work.stored(verified(groups, _work.stored(sets.withColumnRenamed("digest", "node"), "shingles"), bands, similarity), "links")
     for end in ("src", "dst"):
         links = links.join(distinct.select(F.col("digest").alias(end), F.col("node").alias(f"{end}_node")), end)
     return _grouped(fps, distinct, links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")), ["digest"]).select("doc_id", "component_id")

@@ -94,28 +94,64 @@ def test_near_copies(spark):
     assert all(got[k] == k for k in range(60)) and sum(got[100 + k] == k for k in range(30)) >= 29
 
 
-def test_near_copies_at_the_threshold(spark):
-    rng = random.Random(14)
+def threshold_pairs(rng, pairs):
+    """Pairs of texts around the threshold, and the Jaccard similarity of each."""
     vocabulary = [f"w{k}" for k in range(5000)]
     shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
     rows, similar = [], {}
-    for k in range(300):
+    for k in range(pairs):
         t = [rng.choice(vocabulary) for _ in range(400)]
         u = list(t)
         for at in rng.sample(range(400), rng.choice([7, 8, 9, 11, 12, 14])):
             u[at] = rng.choice(vocabulary)
         similar[k] = len(shingles(t) & shingles(u)) / len(shingles(t) | shingles(u))
         rows += [(k, " ".join(t)), (1000 + k, " ".join(u))]
+    return rows, similar
+
+
+@pytest.mark.parametrize("band", [simhash.BAND, 36])
+def test_near_copies_at_the_threshold(spark, band):
+    """Recall is the same with the bands of a small corpus and of one of a hundred million documents."""
+    rng = random.Random(14)
+    rows, similar = threshold_pairs(rng, 300)
     # a phrase repeated outvotes all else, but not as a set
-    rows += [(5000 + k, " ".join(["a b c d e f g"] * 40 + [rng.choice(vocabulary) for _ in range(60)])) for k in range(2)]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(5000 + k, " ".join(["a b c d e f g"] * 40 + [f"x{rng.randrange(5000)}" for _ in range(60)])) for k in range(2)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), band=band).collect()}
     linked = {k for k in similar if got[1000 + k] == k}
     wanted = {k for k, x in similar.items() if 0.8 <= x < 0.87}
     assert len(wanted) > 50 and sum(0.7 < x < 0.8 for x in similar.values()) > 50
-    assert all(similar[k] >= 0.8 for k in linked) and len(wanted & linked) >= 0.97 * len(wanted)
+    assert all(similar[k] >= 0.8 for k in linked) and len(wanted & linked) >= 0.98 * len(wanted)
     assert got[5001] == 5001
 
 
+def test_bands_keep_recall_and_meetings():
+    for rows in (0, 10, 10**5, 10**7, 10**9, 5 * 10**10):
+        b = simhash.Bands.plan(rows, 0.8)
+        met = 1 - (1 - simhash.within(b.width, simhash.BAND_BUDGET, simhash.differing(0.8))) ** b.number
+        assert met >= simhash.RECALL and rows * simhash.within(b.width, simhash.BAND_BUDGET, 0.5) <= simhash.MEETINGS
+
+
+@pytest.mark.parametrize("matrix, block", [(simhash.MATRIX, simhash.BLOCK), (0, 4000)])
+def test_crowds_are_compared_in_full(spark, monkeypatch, matrix, block):
+    """A crowd of near copies, as one group or dealt as blocks, against all pairs."""
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(17)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for _ in range(40):
+        t = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+            t[at] = f"e{rng.randrange(10**6)}"
+        texts.append(t)
+    sets = [{tuple(t[k : k + 5]) for k in range(116)} for t in texts]
+    label = list(range(40))
+    for _ in range(40):
+        label = [min(label[j] for j in range(40) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(40)] == label and 1 < len(set(label)) < 40
+
+
 def test_pivot_recall(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 16))
