@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, of the target (documents labelled
-good) and of all raw text, give each document a likelihood ratio. Documents are
-sampled without replacement by the Gumbel top-k rule on that ratio.
+good) and of all raw text, give each document an importance weight: the ratio
+of its likelihoods. Documents are sampled without replacement by the Gumbel
+top-k rule on the log of that weight.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ BUCKETS = 1 << 16
 KINDS = len(ORDERS) + 1
 #: Words that the repetition n-gram of a word compares it with.
 BACK = 3
-#: A mean over n n-grams counts n / (n + SHRINK): a few say little.
-SHRINK = 60
+#: N-grams of evidence that a text can give: the log ratio of a text of n of them counts LENGTH / (n + LENGTH), so that short texts count in full and long ones by their mean.
+LENGTH = 400
+#: Parts of the labelled documents; those of a part are weighed by the others for the calibration.
+FOLDS = 4
 #: Labelled documents that the target model and the calibration are fitted on, at most; chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
 #: Added to every count.
 SMOOTHING = 0.5
-#: Scale of the Gumbel noise against the calibrated log ratio: the ratio is evidence of a whole document, so the noise only moves what is undecided.
-TEMPERATURE = 0.1
 SEED = 7
 
 
@@ -56,8 +57,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     yield code + np.int32(len(ORDERS) * BUCKETS), first[:-1], np.diff(first)
 
 
-def gram_counts(documents: DataFrame, flag: str) -> DataFrame:
-    """bucket, raw, target: counts of n-gram buckets in all texts, and in those flagged. Buckets of the i-th kind are i * BUCKETS on."""
+def gram_counts(documents: DataFrame, fold: str) -> DataFrame:
+    """bucket, raw, target: counts of n-gram buckets in all texts, and in those of each fold (0 to FOLDS - 1; null: in none). Buckets of the i-th kind are i * BUCKETS on."""
 
     def within(first: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:
         mark = np.zeros(total + 1, np.int32)
@@ -67,68 +68,75 @@ def gram_counts(documents: DataFrame, flag: str) -> DataFrame:
         return np.cumsum(mark[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, KINDS * BUCKETS), np.int64)
+        counts = np.zeros((1 + FOLDS, KINDS * BUCKETS), np.int64)
         for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            folds = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in _text.chunks(batch.column(0)):
                 for code, first, n in grams(data, offsets):
                     counts[0] += np.bincount(code[within(first, n, len(code))], minlength=KINDS * BUCKETS)
-                    if flags[a:b].any():
-                        counts[1] += np.bincount(code[within(first, n * flags[a:b], len(code))], minlength=KINDS * BUCKETS)
+                    for f in np.unique(folds[a:b]):
+                        if f >= 0:
+                            counts[1 + f] += np.bincount(code[within(first, n * (folds[a:b] == f), len(code))], minlength=KINDS * BUCKETS)
         some = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some]) for c in counts)], names=["bucket", "raw", *(f"target{f}" for f in range(FOLDS))])
 
-    parts = documents.select("text", flag).mapInArrow(run, "bucket int, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    names = [f"target{f}" for f in range(FOLDS)]
+    parts = documents.select("text", fold).mapInArrow(run, ", ".join(["bucket int, raw long", *(f"{x} long" for x in names)]))
+    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.array(*(F.sum(x) for x in names)).alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log of target over raw probability for each bucket; the table has KINDS * BUCKETS rows at most."""
-    raw, target = (np.full(KINDS * BUCKETS, SMOOTHING) for _ in range(2))
+    """log of target over raw probability for each bucket: a row with all folds, and one for each fold without it. The table has KINDS * BUCKETS rows at most."""
+    raw, target = np.full(KINDS * BUCKETS, SMOOTHING), np.zeros((FOLDS, KINDS * BUCKETS))
     for row in counts.toLocalIterator():
         raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
-    out = np.empty_like(raw)
+        target[:, row.bucket] += row.target
+    whole = target.sum(0)
+    models = np.stack([whole, *(whole - target)]) + SMOOTHING
+    out = np.empty_like(models)
     for i in range(KINDS):
         s = slice(i * BUCKETS, (i + 1) * BUCKETS)
-        out[s] = np.log(target[s] / target[s].sum()) - np.log(raw[s] / raw[s].sum())
+        out[:, s] = np.log(models[:, s] / models[:, s].sum(1, keepdims=True)) - np.log(raw[s] / raw[s].sum())
     return out
 
 
-def log_weights(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """documents with log_weight, means: the summed log ratio of a whole text's n-grams, and its shrunk mean by kind (0 for a text without any)."""
-    own = documents.drop("log_weight", "means")
+def log_weights(documents: DataFrame, ratios: np.ndarray, model: str | None = None) -> DataFrame:
+    """documents with log_weight: the log likelihood ratio of a whole text's n-grams, by its length; 0 for a text without any.
+
+    The first row of ratios weighs all texts, or where model names a column,
+    the row that it tells.
+    """
+    own = documents.drop("log_weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            which = batch.column(model).to_numpy(zero_copy_only=False) if model else np.zeros(batch.num_rows, np.int64)
             for a, b, data, offsets in _text.chunks(batch.column("text")):
-                total, means = np.zeros(b - a), []
+                total, number = np.zeros(b - a), np.zeros(b - a)
                 for code, first, n in grams(data, offsets):
-                    sums = np.append(0, np.cumsum(ratios[code]))
-                    own = np.where(n > 0, sums[np.minimum(first + n, len(code))] - sums[np.minimum(first, len(code))], 0.0)
-                    total += own
-                    means.append(own / (n + SHRINK))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(total), pa.array(list(np.stack(means, 1)), pa.list_(pa.float64()))], names=[*batch.schema.names, "log_weight", "means"])
-
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("means", T.ArrayType(T.DoubleType()))]))
-
-
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic regression of labels on mean log ratios: centre, scale, weights, bias. Without both labels, everything counts as good."""
-    if len(x) == 0 or y.all() or not y.any():
-        k = KINDS
-        return np.zeros(k), np.ones(k), np.zeros(k), 1.0 if len(x) == 0 or y.all() else -1.0
-    centre, scale = x.mean(0), x.std(0) + 1e-12
-    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
+                    for k in np.unique(which[a:b]):
+                        at = np.flatnonzero((which[a:b] == k) & (n > 0))
+                        if len(at):  # each text is summed by itself, so that equal texts have equal weights
+                            total[at] += np.add.reduceat(np.append(ratios[k][code], 0.0), np.column_stack([first[at], first[at] + n[at]]).ravel())[::2]
+                    number += n
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(total * LENGTH / (number + LENGTH))], names=[*batch.schema.names, "log_weight"])
+
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("log_weight", T.DoubleType())]))
+
+
+def calibrate(weight: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of labels on log weights, on the scale of asinh. Without both labels, everything counts as good, or as bad."""
+    if len(weight) == 0 or y.all() or not y.any():
+        return 0.0, 40.0 if len(weight) == 0 or y.all() else -40.0
+    z = np.column_stack([np.arcsinh(weight), np.ones(len(weight))])
+    w = np.zeros(2)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + 1e-2 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), grad)
-        w -= step
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return centre, scale, w[:-1], float(w[-1])
+    return float(w[0]), float(w[1])
 
 
 def kth_largest(keys: DataFrame, key: str, k: int, few: int = 5000) -> float | None:
@@ -155,59 +163,55 @@ def kth_largest(keys: DataFrame, key: str, k: int, few: int = 5000) -> float | N
 
 @dataclass
 class Model:
-    """Log ratios of the buckets, and the calibration of a text's means."""
+    """Log ratios of the buckets, and the calibration of a text's log weight."""
 
     ratios: np.ndarray
-    centre: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    bias: float
+    slope: float
+    intercept: float
 
     def keyed(self, documents: DataFrame) -> DataFrame:
         """documents with log_weight, score and key, by their text and doc_id alone."""
-        own = documents.drop("log_weight", "score", "key", "logit", "means")
-        logit = F.lit(self.bias) + sum((F.get("means", F.lit(i)) - float(self.centre[i])) / float(self.scale[i]) * float(self.weights[i]) for i in range(KINDS))
+        own = documents.drop("log_weight", "score", "key")
         uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        weighed = log_weights(own, self.ratios).withColumn("logit", logit)
-        return weighed.select(*own.columns, "log_weight", (1 / (1 + F.exp(-F.col("logit")))).alias("score"), (F.col("logit") - TEMPERATURE * F.log(-F.log(uniform))).alias("key"))
+        logit = self.slope * F.asinh("log_weight") + self.intercept
+        return log_weights(own, self.ratios[:1]).select(*own.columns, "log_weight", (1 / (1 + F.exp(-logit))).alias("score"), (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
-    """The raw model of all documents, the target model of those labelled 1, and the calibration by the labels."""
+    """The raw model of all documents, the target model of those labelled 1, and the calibration by the labels, each document weighed without its own fold."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("label"))
-    known = _work.stored(known.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(MOST_LABELLED), "labels")  # at most MOST_LABELLED rows of two numbers
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(MOST_LABELLED).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
+    known = _work.stored(known, "labels")  # at most MOST_LABELLED rows of three numbers
     labelled = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
-    ratios = log_ratios(gram_counts(labelled.select("text", F.coalesce(F.col("label") == 1, F.lit(False)).alias("good")), "good"))
-    weights = log_weights(labelled.filter("label is not null").select("doc_id", "text", "label"), ratios)
-    fitted = weights.groupBy("doc_id").agg(F.min(F.struct("means", "label")).alias("x")).select("x.*").collect()
-    return Model(ratios, *calibrate(np.array([r.means for r in fitted]).reshape(-1, KINDS), np.array([r.label == 1 for r in fitted], float)))
+    ratios = log_ratios(gram_counts(labelled.select("text", F.when(F.col("label") == 1, F.col("fold")).alias("good")), "good"))
+    own = labelled.filter("label is not null").select("doc_id", "text", "label", (F.col("fold") + 1).alias("model"))
+    fitted = log_weights(own, ratios, "model").groupBy("doc_id").agg(F.min(F.struct("log_weight", "label")).alias("x")).select("x.*").collect()  # at most MOST_LABELLED rows
+    return Model(ratios, *calibrate(np.array([r.log_weight for r in fitted], float), np.array([r.label == 1 for r in fitted], float)))
 
 
 def resample(documents: DataFrame, labels: DataFrame, target: str = "quality", keep: float | None = None) -> DataFrame:
     """doc_id, log_weight, score, key, kept of every row of documents.
 
     The target model counts documents whose label is 1, the raw model all.
-    log_weight is the log likelihood ratio of the whole text; score the
-    calibrated chance (0 to 1) that the text is of the target; key the
-    calibrated log ratio with Gumbel noise drawn from doc_id, so that reruns
-    agree. The k largest keys are kept: k is `keep` of the rows, or where that
-    is None as many as have a score of 0.5 or more, so that text with nothing
-    to reject is left alone. Null texts are empty; without n-grams a text's
-    ratio is neutral. Rows of one doc_id draw the same noise; ties at the last
-    place go by doc_id. Labels of null or with several values for one doc_id
-    count by their smallest. Other columns are ignored.
+    log_weight is the log importance weight of the whole text (see LENGTH); key
+    adds Gumbel noise drawn from doc_id, so that reruns agree. The rows of the
+    k largest keys are kept, and of rows that tie for the last place, all: k is
+    `keep` of the rows, or where that is None the expected number of target
+    documents, the sum of score, which is the weight's chance (0 to 1), by the
+    labels, to be of the target. Null texts are empty; without n-grams a text's
+    weight is one. Rows of one doc_id draw the same noise. Several labels of a
+    doc_id count by the smallest, null ones not. Other columns are ignored; an
+    empty table gives no rows.
     """
     keyed = _work.stored(fit(documents, labels, target).keyed(documents.select("doc_id", "text")).drop("text"), "keys")
     k, last = _last(keyed, keep)
-    if last is None:
-        return keyed.withColumn("kept", F.lit(k > 0))
-    return keyed.withColumn("kept", F.col("key") >= last) if keyed.filter(F.col("key") >= last).count() == k else _with_ties(keyed, last, k)
+    return keyed.withColumn("kept", F.lit(k > 0) if last is None else F.col("key") >= last)
 
 
 def _last(keyed: DataFrame, keep: float | None) -> tuple[int, float | None]:
     """How many rows are kept, and the key of the last of them (None where all or none are)."""
-    rows = keyed.count()
-    k = keyed.filter("score >= 0.5").count() if keep is None else int(round(keep * rows))
+    rows, expected = keyed.agg(F.count("*"), F.sum(F.round("score", 6).cast("decimal(20,6)"))).first()
+    k = int(round(float(expected or 0) if keep is None else keep * rows))
     return k, None if k in (0, rows) else kth_largest(keyed, "key", k)
 
 
@@ -221,12 +225,3 @@ def keep_target(documents: DataFrame, labels: DataFrame, target: str = "quality"
     own = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(documents.columns)}
     kept = model.keyed(documents.select(*(F.col(c).alias(k) for c, k in own.items())))
     return kept.filter(F.col("key") >= last).select(*(F.col(k).alias(c) for c, k in own.items()))
-
-
-def _with_ties(keyed: DataFrame, last: float, k: int) -> DataFrame:
-    """Exactly k rows kept where several have the last key: of those, the smallest doc_ids."""
-    from pyspark.sql import Window
-
-    above = keyed.filter(F.col("key") > last).count()
-    tied = keyed.filter(F.col("key") == last).withColumn("kept", F.row_number().over(Window.orderBy("doc_id")) <= k - above)
-    return keyed.filter(F.col("key") != last).withColumn("kept", F.col("key") > last).unionByName(tied)

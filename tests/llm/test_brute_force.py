@@ -200,6 +200,61 @@ def test_resampling_separates(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def test_resampling_query_equals_brute_force(spark):
+    """Weights from n-grams counted one by one, and the rows of the largest noisy weights."""
+    from math import asinh, exp, log
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, 1))
+    got = {r.doc_id: r for r in queries.op3_quality_resampling(spark, SF).collect()}
+    noise = {r.doc_id: r.u for r in spark.createDataFrame([(d,) for d in docs], "doc_id long").select("doc_id", ((F.pmod(F.xxhash64("doc_id", F.lit(resampling.SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)).alias("u")).collect()}
+
+    def mixed(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % 2**64
+        return x ^ x >> 33
+
+    def features(text):
+        data = text.encode()
+        for order in resampling.ORDERS:
+            yield from ((order, mixed(int.from_bytes(data[k : k + order], "big") + order) % resampling.BUCKETS) for k in range(len(data) - order + 1))
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        yield from (("again", sum(1 << b - 1 for b in range(1, resampling.BACK + 1) if k >= b and w[k] == w[k - b])) for k in range(len(w)))
+
+    own = {d: list(features(t)) for d, t in docs.items()}
+    raw, target = {}, {}
+    for d, fs in own.items():
+        for f in fs:
+            raw[f] = raw.get(f, 0) + 1
+            target[f] = target.get(f, 0) + (labels.get(d) == 1)
+    kinds = (*resampling.ORDERS, "again")
+    sums = {k: [sum(n for f, n in c.items() if f[0] == k) + resampling.SMOOTHING * resampling.BUCKETS for c in (raw, target)] for k in kinds}
+    keys = {}
+    for d, fs in own.items():
+        total = sum(log((target[f] + resampling.SMOOTHING) / sums[f[0]][1]) - log((raw[f] + resampling.SMOOTHING) / sums[f[0]][0]) for f in fs)
+        weight = total * resampling.LENGTH / (len(fs) + resampling.LENGTH)
+        assert got[d].log_weight == pytest.approx(weight, rel=1e-7, abs=1e-7)
+        keys[d] = weight - log(-log(noise[d]))
+    tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")]
+    for rows, k in ((got.values(), round(sum(r.score for r in got.values()))), (resampling.resample(*tables, keep=0.6).collect(), round(0.6 * len(docs)))):
+        last = sorted(keys.values(), reverse=True)[k - 1]
+        assert {r.doc_id for r in rows if r.kept} == {d for d, x in keys.items() if x >= last - 1e-9}
+    a, b = (asinh(got[d].log_weight) for d in list(got)[:2])
+    x, y = (log(got[d].score / (1 - got[d].score)) for d in list(got)[:2])
+    slope = (x - y) / (a - b)
+    assert slope > 0 and all(r.score == pytest.approx(1 / (1 + exp(-(slope * asinh(r.log_weight) + x - slope * a))), abs=1e-6) for r in got.values())
+
+
+def test_rows_that_tie_for_the_last_place_are_all_kept(spark):
+    rows = [(k // 4, "plain words of some text " * 3) for k in range(40)] + [(None, None)] * 10
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    got = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, keep=0.5).collect()
+    kept = {(r.doc_id, r.kept) for r in got}
+    assert len({d for d, _ in kept}) == len(kept) and 25 <= sum(r.kept for r in got) <= 34
+
+
 def test_common_subsequence():
     rng = random.Random(7)
     for _ in range(50):
