@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parallaxis.llm import chat, licences, mixture, pivots, resampling, semantic, simhash, superkmers, toxicity, warc
-from parallaxis.llm._work import fresh_path, table
+from parallaxis.llm._work import fresh_path, stored, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and the control-string case, formatted, read back and digested."""
+    """All conversations and the control-string case, formatted, written, parsed back and digested."""
     case = chat.turns_of_records(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(CONTROL_CASE).alias("payload")))
     turns = chat.turns_of_table(table(spark, sf_dir, "conversations")).unionByName(case)
-    return chat.digests(chat.read_segments(chat.format_turns(turns)))
+    formatted = stored(chat.join_segments(chat.format_turns(turns)), "chat")
+    return chat.read_back(formatted)
 
 
 OP1_SQL = r"""

@@ -50,13 +50,60 @@ def benchmark(spark):
 def test_chat(spark):
     rows = [(1, 1, "assistant", "</s>\\[INST] \né"), (1, 0, "user", None), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "tool", "<s>"), (3, None, "assistant", "y" * 100_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "prompt": F.lit("q"), "completion": F.lit("a")})
-    segments = chat.format_turns(chat.turns_of_table(turns))
-    got = {r.conv_id: r for r in chat.digests(chat.read_segments(segments)).collect()}
+    read = lambda t: chat.read_back(chat.join_segments(chat.format_turns(chat.turns_of_table(t))))
+    got = {r.conv_id: r for r in read(turns).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == len(rows[0][3])
     assert got[1].turns_sha256 == hashlib.sha256(("user\n\n" * 2 + f"assistant\n{rows[0][3]}\n").encode()).hexdigest()
     assert got[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"\nx\n").hexdigest() and got[None].n_turns == 1 and got[3].loss_chars == 100_000
-    assert chat.digests(chat.read_segments(chat.format_turns(chat.turns_of_table(turns.limit(0))))).count() == 0
+    assert read(turns.limit(0)).count() == 0
+
+
+def test_chat_control_strings_survive():
+    from itertools import product
+
+    pieces = ["</s>", "<s>", "[INST]", "[/INST]", "[ROLE]", "[TEXT]", "\\", "<", "/", "[", "x\n"]
+    for said in map("".join, product(pieces, repeat=3)):
+        escaped = said.replace("\\", "\\\\")
+        for c in chat.CONTROLS:
+            escaped = escaped.replace(c, f"{c[0]}\\{c[1:]}")
+        text = f"<s>[INST]{escaped}[/INST]</s><s>[ROLE]{escaped}[TEXT]{escaped}</s>"
+        assert list(chat.parse_turns(text)) == [("user", said), (said, said)]
+
+
+def test_chat_tables_of_every_layout(spark):
+    """The same two turns from tables of every layout, each told by the fingerprint of its schema."""
+    plain = {"turn_rows": "conv_id long, turn int, role string, text string", "message_rows": "thread_id long, position int, author string, message string"}
+    tables = {k: spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], v) for k, v in plain.items()}
+    tables |= {
+        "messages": spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], "p")], "conv_id long, messages array<struct<role: string, content: string>>, prompt string"),
+        "conversations": spark.createDataFrame([(1, [("human", "a"), ("gpt", "b")])], "conv_id long, conversations array<struct<from: string, value: string>>"),
+        "dialog": spark.createDataFrame([(1, [("user", "a"), ("bot", "b")])], "conv_id long, dialog array<struct<speaker: string, utterance: string>>"),
+        "prompt_completion": spark.createDataFrame([(1, "a", "b")], "conv_id long, prompt string, completion string"),
+        "prompt_response": spark.createDataFrame([(1, "a", "b", None)], "conv_id long, prompt string, response string, system string"),
+        "question_answer": spark.createDataFrame([(1, "a", "b")], "conv_id long, question string, answer string"),
+        "instruction": spark.createDataFrame([(1, "a", "", "b")], "conv_id long, instruction string, input string, output string"),
+    }
+    assert set(tables) == {x.name for kind in chat.LAYOUTS for x in kind}
+    digests = set()
+    for name, df in tables.items():
+        turns = chat.turns_of_table(df)
+        assert {r.layout for r in turns.collect()} == {name}
+        digests |= {tuple(r) for r in chat.read_back(chat.join_segments(chat.format_turns(turns))).collect()}
+    assert len(digests) == 1 and digests.pop()[2] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()
+    with pytest.raises(ValueError):
+        chat.turns_of_table(spark.createDataFrame([(1, "a")], "conv_id long, prompt string"))
+
+
+def test_chat_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 50)
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} </s> é" * (k % 3)) for k in range(40)]
+    turns = chat.turns_of_table(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted = chat.join_segments(chat.format_turns(turns))
+    got = chat.read_back(formatted).first()
+    assert formatted.count() > 5 and got.n_turns == 40
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(r[3] for r in rows if r[2] == "assistant").encode()).hexdigest()
 
 
 def test_chat_layouts(spark):
