@@ -75,7 +75,7 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, looked up by URL key in the index, and read back by ranges."""
     path = fresh_path(spark, "warc")
     captures = warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.look_up(warc.build_index(captures), captures.select("key"))
+    found = warc.look_up(warc.build_index(captures, path), path, captures.select("key"))
     return warc.read_ranges(found, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,9 +2,8 @@
 
 Records are written as gzip members. The index sorts captures by reversed-host
 URL key into compressed blocks; a sparse directory has the first key of each
-block, and the shards of the directory are few enough to be known everywhere.
-A look-up goes by binary search from shard to block to line, and ends in a
-range read of the archive.
+block. A look-up goes by binary search from shard to block to line, reads only
+the blocks that it hits, and ends in a range read of the archive.
 """
 
 from __future__ import annotations
@@ -26,8 +25,10 @@ from parallaxis.llm import _work
 
 #: Bytes at which an archive file is closed, and lines of an index block.
 ARCHIVE, BLOCK = 64 << 20, 1024
-#: Ranges of an archive that one task reads.
+#: Ranges of an archive, or of a shard of the index, that one task reads.
 SPAN = 8 << 20
+#: Payloads that are broadcast at most.
+HOT = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,12 +85,23 @@ def _gzip(data: bytes) -> bytes:
 
 
 def duplicates_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages with payload and refers_to: the largest page_id of an equal payload of so many bytes, where that is another page."""
+    """pages with payload and refers_to: the largest page_id of an equal payload of so many bytes, where that is another page.
+
+    Payloads of more than a HOT-th of all rows, HOT at most, are broadcast, so
+    that pages of one payload needn't meet in a task.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256))
-    first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = rows.join(first, "same", "left")
-    return out.select("page_id", "url", "payload", F.when(F.col("largest") != F.col("page_id"), F.col("largest")).alias("refers_to"))
+    counts = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    counts = _work.stored(counts, "payloads")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") * HOT > total).select("same", F.col("largest").alias("hot"))  # HOT rows at most
+    rows = rows.join(F.broadcast(hot), "same", "left")
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))  # settled already: meets nothing
+    cold = counts.filter(F.col("n") * HOT <= total).select(F.col("same").alias("met"), "largest")
+    out = rows.withColumn("met", F.when(F.col("hot").isNull(), F.col("same")).otherwise(alone)).join(cold, "met", "left")
+    largest = F.coalesce("hot", "largest")
+    return out.select("page_id", "url", "payload", F.when(largest != F.col("page_id"), largest).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
@@ -129,42 +141,72 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     return _work.stored(rows, "captures")
 
 
-def build_index(captures: DataFrame) -> DataFrame:
-    """shard, first_key, last_key, lines, block: captures sorted by key, so many to a compressed block, written to the shared folder."""
+LINES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+CAPTURES = "key string, page_id long, file string, start long, length long"
+DIRECTORY = "shard string, first_key string, last_key string, lines int, start long, length long"
+
+
+def build_index(captures: DataFrame, path: str) -> DataFrame:
+    """shard, first_key, last_key, lines, start, length: the sparse directory of an index below path.
+
+    Captures are sorted by key and written, so many to a compressed block, one
+    block after the other into shard files of about ARCHIVE bytes; the
+    directory has a row a block. It is written once, and names only shards of
+    tasks that ended well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, kept = uuid.uuid4().hex, None
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        out, name, at, kept = None, "", 0, None
+        names = [x.split()[0] for x in DIRECTORY.split(", ")]
 
         def blocks(table: pa.Table) -> pa.RecordBatch:
+            nonlocal out, name, at
             rows = []
-            for at in range(0, table.num_rows, BLOCK):
-                part = table.slice(at, BLOCK)
+            for k in range(0, table.num_rows, BLOCK):
+                part = table.slice(k, BLOCK)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_table(part)
-                rows.append((shard, part["key"][0].as_py(), part["key"][-1].as_py(), part.num_rows, sink.getvalue().to_pybytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()))], names=["shard", "first_key", "last_key", "lines", "block"])
+                data = sink.getvalue().to_pybytes()
+                if out is None:
+                    name, at = f"{uuid.uuid4().hex}.index", 0
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                out.write(data)
+                rows.append((name, part["key"][0].as_py(), part["key"][-1].as_py(), part.num_rows, at, len(data)))
+                at += len(data)
+                if at >= ARCHIVE:
+                    out.close()
+                    out = None
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=names)
 
-        for batch in batches:
-            kept = pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches([batch])])
-            whole = kept.num_rows - kept.num_rows % BLOCK
-            if whole:
-                yield blocks(kept.slice(0, whole))
-                kept = kept.slice(whole)
-        if kept and kept.num_rows:
-            yield blocks(kept)
+        try:
+            for batch in batches:
+                kept = pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches([batch])])
+                whole = kept.num_rows - kept.num_rows % BLOCK
+                if whole:
+                    yield blocks(kept.slice(0, whole))
+                    kept = kept.slice(whole)
+            if kept and kept.num_rows:
+                yield blocks(kept)
+        finally:
+            if out is not None:
+                out.close()
 
     rows = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "start")
-    return _work.stored(rows.mapInArrow(run, "shard string, first_key string, last_key string, lines int, block binary"), "index")
+    return _work.stored(rows.mapInArrow(run, DIRECTORY), "directory")
 
 
-def look_up(index: DataFrame, keys: DataFrame) -> DataFrame:
+def look_up(directory: DataFrame, path: str, keys: DataFrame) -> DataFrame:
     """Captures (key, page_id, file, start, length) of every key of keys; a key without captures has no row.
 
-    Shards are as many as the tasks that built the index, and only their bounds
-    come to the driver. Repeated and null keys of keys count once and not.
+    A key goes by binary search to its shards, whose bounds come to the driver
+    (one row for each ARCHIVE bytes of index or task that wrote it), there to
+    its blocks by the directory, and into the blocks, of which only those hit
+    are read. Repeated and null keys of keys count once and not.
     """
-    bounds = sorted((r.a, r.b, r.shard) for r in index.groupBy("shard").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).collect())
+    bounds = sorted((r.a, r.b, r.shard) for r in directory.groupBy("shard").agg(F.min("first_key").alias("a"), F.max("last_key").alias("b")).collect())
     firsts, lasts = [x[0] for x in bounds], [x[1] for x in bounds]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,22 +214,32 @@ def look_up(index: DataFrame, keys: DataFrame) -> DataFrame:
             found = [(k, bounds[i][2]) for k in batch.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.string()) for n in (0, 1)], names=["key", "shard"])
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("first_key")
-        directory, ends = right["first_key"].to_pylist(), right["last_key"].to_pylist()
-        out, opened, now = [], None, -1
-        for key in sorted(left["key"].to_pylist()):
-            for i in range(bisect.bisect_left(ends, key), bisect.bisect_right(directory, key)):
-                if i != now:
-                    with pa.ipc.open_stream(right["block"][i].as_py()) as reader:
-                        opened, now = reader.read_all().combine_chunks(), i
-                    lines = opened["key"].to_pylist()
-                out.append(opened.slice(a := bisect.bisect_left(lines, key), bisect.bisect_right(lines, key) - a))
-        schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+    def blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("start")
+        starts, ends = right["first_key"].to_pylist(), right["last_key"].to_pylist()
+        found = [(k, i) for k in left["key"].to_pylist() for i in range(bisect.bisect_left(ends, k), bisect.bisect_right(starts, k))]
+        hit = right.take(pa.array([i for _, i in found], pa.int64()))
+        return pa.table({"key": pa.array([k for k, _ in found], pa.string()), "shard": hit["shard"], "start": hit["start"], "length": hit["length"]})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        file, now, lines, block = None, (None, None), [], None
+        for batch in batches:
+            out = []
+            for key, shard, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, start) != now:
+                    if shard != now[0]:
+                        file = store.open_input_file(f"{root}/{shard}")
+                    with pa.ipc.open_stream(file.read_at(length, start)) as reader:
+                        block = reader.read_all().combine_chunks()
+                    now, lines = (shard, start), block["key"].to_pylist()
+                out.append(block.slice(a := bisect.bisect_left(lines, key), bisect.bisect_right(lines, key) - a))
+            yield from (pa.concat_tables(out) if out else LINES.empty_table()).cast(LINES).to_batches()
 
     wanted = keys.select("key").filter("key is not null").distinct().mapInArrow(place, "key string, shard string")
-    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(search, "key string, page_id long, file string, start long, length long")
+    hit = wanted.groupBy("shard").cogroup(directory.groupBy("shard")).applyInArrow(blocks, "key string, shard string, start long, length long")
+    hit = hit.withColumn("span", F.floor(F.col("start") / SPAN)).repartition("shard", "span").sortWithinPartitions("shard", "start", "key")
+    return hit.select("key", "shard", "start", "length").mapInArrow(search, CAPTURES)
 
 
 PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"

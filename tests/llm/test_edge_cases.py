@@ -156,11 +156,34 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("same", F.lit(2))
     path = fresh_path(spark, "warc")
     captures = warc.write_archives(pages, path)
-    got = [tuple(r)[:5] for r in warc.read_ranges(warc.look_up(warc.build_index(captures), captures.select("key")), path).collect()]
+    got = [tuple(r)[:5] for r in warc.read_ranges(warc.look_up(warc.build_index(captures, path), path, captures.select("key")), path).collect()]
     assert sorted((r[0], r[3], r[4]) for r in got if r[0]) == [(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (5, "response", None)]
     assert len(got) == 7 and {r[1] for r in got} == {1, 0, 300_000}
     assert warc.write_archives(pages.limit(0), fresh_path(spark, "warc")).count() == 0
-    assert warc.look_up(warc.build_index(captures), captures.select(F.lit("none").alias("key"))).count() == 0
+    assert warc.look_up(warc.build_index(captures, path), path, captures.select(F.lit("none").alias("key"))).count() == 0
+
+
+def test_warc_look_ups_read_only_what_they_hit(spark, monkeypatch):
+    """Few keys out of an index of many blocks and shards, with the blocks that weren't hit made unreadable."""
+    import os
+    from urllib.parse import urlparse
+
+    monkeypatch.setattr(warc, "BLOCK", 16)
+    monkeypatch.setattr(warc, "ARCHIVE", 4000)
+    path = fresh_path(spark, "warc")
+    rows = [(f"com,h{k // 5:03d})/", k, "f", k * 10, 10) for k in range(2000)]
+    captures = spark.createDataFrame(rows, warc.CAPTURES)
+    directory = warc.build_index(captures, path)
+    blocks = directory.collect()
+    wanted = ["com,h000)/", "com,h123)/", "com,h399)/", "none"]
+    for b in blocks:
+        if not any(b.first_key <= k <= b.last_key for k in wanted):
+            with open(os.path.join(urlparse(path).path, b.shard), "r+b") as f:
+                f.seek(b.start)
+                f.write(b"\0" * b.length)
+    got = sorted(tuple(r) for r in warc.look_up(directory, path, spark.createDataFrame([(k,) for k in [*wanted, None, wanted[0]]], "key string")).collect())
+    assert len({b.shard for b in blocks}) > 4 and len(blocks) >= 125
+    assert got == sorted(r for r in rows if r[0] in wanted)
 
 
 def test_mixture(docs, empty):
