@@ -6,6 +6,10 @@ string to the minimiser's bucket, so a word isn't sent once for each of its k
 windows. In a bucket, sorting brings equal windows together, byte for byte,
 and gives each the smallest document it starts in.
 
+A bucket of far more than its share, as that of a very common word pair, is
+split: its windows travel one by one to buckets told by a hash of the window,
+where equal windows still meet.
+
 Documents are kept in chunks of some MB, written once. A chunk sends each
 different super-k-mer once, with its smallest and largest document, and gets
 back the smallest documents of its windows; so a passage that very many
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ GRAM = 2
 CHUNK = 4 << 20
 #: Bytes of super-k-mers that a bucket holds on average; the number of buckets follows the input.
 BUCKET = 8 << 20
+#: Times its share at which a bucket is split.
+SPLIT = 4
 
 _C = _text.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 NOBODY = np.iinfo(np.int64).max
@@ -56,25 +63,48 @@ def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(m[:-rest], m[rest:]) if rest and len(m) > rest else m if not rest else m[:0]
 
 
-class Pieces:
-    """The super-k-mers of a chunk: different texts in the order of buckets, and where each stands."""
+@dataclass
+class Buckets:
+    """Numbers of buckets: by minimiser, then those for the single windows of split ones, which are listed in order (no more than a SPLIT-th of all)."""
+
+    number: int
+    split: np.ndarray
+    single: int = 0
+
+
+class Runs:
+    """The runs of windows of a chunk that share a minimiser: where each begins and stops, and its bucket."""
 
     def __init__(self, w: _text.Words, usable: np.ndarray, window: int, gram: int, buckets: int):
         n = len(w.start) - window + 1
-        begin = np.zeros(0, np.int64)
+        self.hashes = w.hashes()
+        self.begin = self.stop = self.bucket = np.zeros(0, np.int64)
         if n > 0:
-            least = _sliding_least(_chained(w.hashes(), gram), window - gram + 1)[:n]
+            least = _sliding_least(_chained(self.hashes, gram), window - gram + 1)[:n]
             valid = (w.row[:n] == w.row[window - 1 :]) & usable[w.row[:n]]
             turn = np.ones(n, bool)
             turn[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
-            begin = np.flatnonzero(valid & turn)
+            self.begin = np.flatnonzero(valid & turn)
+            self.stop = np.flatnonzero(valid & np.append(turn[1:] | ~valid[1:], True)) + 1
+            self.bucket = (least[self.begin] % np.uint64(buckets)).astype(np.int64)
+
+
+class Pieces:
+    """The super-k-mers of a chunk: different texts in the order of buckets, and where each stands."""
+
+    def __init__(self, w: _text.Words, usable: np.ndarray, window: int, gram: int, buckets: Buckets):
+        runs = Runs(w, usable, window, gram, buckets.number)
+        begin, count, bucket = runs.begin, runs.stop - runs.begin, runs.bucket
         if not len(begin):
             self.texts, self.ids, self.first, self.count, self.bucket_of = [], begin, begin, begin, begin
             return
-        stop = np.flatnonzero(valid & np.append(turn[1:] | ~valid[1:], True)) + 1
-        bucket = (least[begin] % np.uint64(buckets)).astype(np.int64)
+        if (hot := np.isin(bucket, buckets.split)).any():
+            n = count[hot]
+            single = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[hot], n)
+            place = buckets.number + (_chained(runs.hashes, window)[single] % np.uint64(buckets.single)).astype(np.int64)
+            begin, count, bucket = np.append(begin[~hot], single), np.append(count[~hot], np.ones(len(single), np.int64)), np.append(bucket[~hot], place)
         order = np.argsort(bucket, kind="stable")
-        self.first, self.count = begin[order], (stop - begin)[order]
+        self.first, self.count = begin[order], count[order]
         text = w.data.tobytes()
         seen: dict[bytes, int] = {}
         spans = zip(w.start[self.first].tolist(), w.end[self.first + self.count + window - 2].tolist())
@@ -113,22 +143,41 @@ def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, _text.Wor
     return ids.fill_null(NOBODY).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), _text.words(*_text.buffers(batch.column("text")))
 
 
-def to_chunks(documents: DataFrame) -> DataFrame:
-    """chunk_id, chunk: the rows of documents, some MB of text at a time, written to the shared folder."""
+def to_chunks(documents: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """chunk_id, chunk, bucket, bytes: the rows of documents, some MB of text at a time, and the bytes of super-k-mers of each bucket (a task's in rows without a chunk); written to the shared folder."""
+    names = ["chunk_id", "chunk", "bucket", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(0, np.int64)
         for batch in batches:
             _, offsets = _text.buffers(batch.column("text"))
             for a, b in _text.slices(offsets, CHUNK):
+                part = batch.slice(a, b - a)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_batch(batch.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk_id", "chunk"])
+                    writer.write_batch(part)
+                _, known, w = _documents(part)
+                runs = Runs(w, known, window, gram, buckets)
+                if len(runs.begin):
+                    sizes = sizes if len(sizes) else np.zeros(buckets, np.int64)
+                    np.add.at(sizes, runs.bucket, w.end[runs.stop + window - 2] - w.start[runs.begin])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
+        some = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(sizes[some])], names=names)
+
+    return _work.stored(documents.mapInArrow(run, "chunk_id string, chunk binary, bucket int, bytes long"), "chunks")
+
 
-    return _work.stored(documents.mapInArrow(run, "chunk_id string, chunk binary"), "chunks")
+def split_buckets(chunks: DataFrame, number: int, window: int = WINDOW, least: int = BUCKET) -> Buckets:
+    """The buckets to split: those of SPLIT times their share, and of `least` bytes; their single windows get buckets of about that size."""
+    sizes = chunks.filter("chunk is null").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    hot = sizes.filter(F.col("bytes") > max(least, SPLIT * total / number)).collect()  # number / SPLIT rows at most
+    bytes_ = sum(r.bytes for r in hot)
+    return Buckets(number, np.array(sorted(r.bucket for r in hot), np.int64), max(1, bytes_ * window // 2 // BUCKET) if hot else 0)
 
 
-def send(chunks: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def send(chunks: DataFrame, buckets: Buckets, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """chunk_id, bucket, packed: the different super-k-mers of each chunk by bucket, with smallest and largest doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +194,7 @@ def send(chunks: DataFrame, buckets: int, window: int = WINDOW, gram: int = GRAM
                 packed = [_pack(b"\n".join(p.texts[a:b]), np.diff(low[a:b], prepend=0), high[a:b] - low[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk_id] * len(packed)), pa.array(p.bucket_of[cuts[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["chunk_id", "bucket", "packed"])
 
-    return chunks.mapInArrow(run, "chunk_id string, bucket int, packed binary")
+    return chunks.filter("chunk is not null").select("chunk_id", "chunk").mapInArrow(run, "chunk_id string, bucket int, packed binary")
 
 
 def smallest(texts: list[bytes], low: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +263,10 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     """
     docs = documents.drop("n_words", "n_removed", "kept")
     size = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(8, size * 3 // BUCKET)
-    chunks = to_chunks(docs)
+    number = max(8, size * 3 // BUCKET)
+    chunks = to_chunks(docs, number, window, gram)
+    buckets = split_buckets(chunks, number, window)
+    chunks = chunks.filter("chunk is not null").select("chunk_id", "chunk")
     verdicts = settle(send(chunks, buckets, window, gram), window)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 

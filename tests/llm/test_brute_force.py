@@ -400,3 +400,34 @@ def test_sorted_windows_survive_equal_hashes(monkeypatch):
     monkeypatch.setattr(superkmers, "_chained", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     got = superkmers.smallest(texts, low, 3)
     assert got[0].tolist() == want[0].tolist() == [4, 3, 3, 3, 4, 4] and got[1].tolist() == want[1].tolist()
+
+
+def test_substrings_of_a_very_common_pair(spark, monkeypatch):
+    """Buckets that are split give the same rows, against all windows."""
+    rng = random.Random(18)
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for d in range(30):
+        w = []
+        for _ in range(40):
+            w += ["of", "the", *(f"w{rng.randrange(200)}" for _ in range(3))]
+        if d % 3 == 0:
+            at = rng.randrange(100)
+            w[at:at] = passage
+        rows.append((d, " ".join(w)))
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), d)
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        gone = {k + i for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for i in range(13)}
+        want[d] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    split = superkmers.split_buckets
+    seen = []
+    monkeypatch.setattr(superkmers, "split_buckets", lambda *a: seen.append(split(*a[:3], least=0)) or superkmers.Buckets(8, np.arange(0, 8, 2), 5) if not seen else None)
+    got = {r.doc_id: r.kept for r in superkmers.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
+    assert seen[0].number == 8
