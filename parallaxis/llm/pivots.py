@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from parallaxis.llm import _work
 from parallaxis.llm.components import Forest, connected_components
 
-#: Reference points: PIVOTS_PER_ROOT times the root of the number of vectors, between these bounds. They are a sample; the index has every vector.
-PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 1.5, 32, 2048
+#: Reference points: PIVOTS_PER_ROOT times the root of the number of vectors, at least so many, and of so many bytes at most, for every task has them. They are a sample; the index has every vector.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, PIVOT_BYTES = 1.5, 32, 64 << 20
 #: Nearest pivots that describe a vector, and how many two vectors must share to be compared.
 NEAREST, SHARED = 8, 2
 #: Vectors of a list that meet in one task; longer lists are dealt out as pairs of blocks.
@@ -55,9 +55,9 @@ def describe(embeddings: DataFrame) -> DataFrame:
 
 
 def fit_pivots(distinct: DataFrame) -> list[np.ndarray]:
-    """Reference points for each vector length: a sample of the distinct vectors by hash, MOST_PIVOTS at most."""
-    n = distinct.count()
-    most = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
+    """Reference points for each vector length: a sample of the distinct vectors by hash, PIVOT_BYTES at most."""
+    n, size = distinct.agg(F.count("*"), F.max(F.size("unit"))).first()
+    most = int(min(PIVOT_BYTES // (8 * max(size or 1, 1)), max(LEAST_PIVOTS, PIVOTS_PER_ROOT * n**0.5)))
     rows = distinct.select("unit").orderBy(F.xxhash64("label", "key")).limit(most).collect()
     by_size: dict[int, list] = {}
     for r in rows:
@@ -75,11 +75,15 @@ def inverted_lists(distinct: DataFrame, pivots: list[np.ndarray], nearest: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = [np.array(x) for x in batch.column(3).to_pylist()]
-            near: list[list[int]] = []
-            for at in range(0, len(units), 4096):
-                for u in units[at : at + 4096]:
-                    p = by_size.get(len(u))
-                    near.append([-len(u)] if p is None else np.argsort(-(p @ u), kind="stable")[:nearest].tolist())
+            near: list[list[int]] = [[-len(u)] for u in units]
+            sizes = np.array([len(u) for u in units])
+            for size, p in by_size.items():
+                at = np.flatnonzero(sizes == size)
+                for part in np.array_split(at, max(1, -(-len(at) // 256))):
+                    if len(part):
+                        closest = np.argsort(-(np.stack([units[k] for k in part]) @ p.T), axis=1, kind="stable")[:, :nearest]
+                        for k, x in zip(part.tolist(), closest.tolist()):
+                            near[k] = x
             n = [len(x) for x in near]
             k = np.repeat(np.arange(len(near)), n)
             flat = pa.array([y for x in near for y in x], pa.int32())
@@ -158,11 +162,13 @@ def verified(lists: DataFrame, least: float, shared: int = SHARED, block: int =
     return dealt.groupBy("label", "pivot", "low", "high").applyInArrow(compare, "src long, dst long, links long")
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.93, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.93, nearest: int = NEAREST, shared: int = SHARED, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings.
 
     Vectors of equal, non-null labels and lengths are linked at a cosine of
-    `least` or more. Equal vectors are one point of the index, with a count.
+    `least` or more, if they share enough of their nearest pivots, as nearly
+    all of them do; if exact, whether they do or not: then all vectors of a
+    label are one list, dealt out as pairs of blocks. Equal vectors are one point of the index, with a count.
     A vector that is null, zero, or has null or non-finite components links
     with nothing, nor does one of null vec_id. Rows that share a vec_id are
     one node, with the links of all of them. Other columns are ignored.
@@ -170,7 +176,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, nearest: int = N
     rows = _work.stored(describe(embeddings), "vectors")
     usable = rows.filter("key is not null and vec_id is not null")
     distinct = _work.stored(usable.groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "points")
-    found = _work.stored(verified(inverted_lists(distinct, fit_pivots(distinct), nearest), least, shared), "links")
+    found = _work.stored(verified(inverted_lists(distinct, [] if exact else fit_pivots(distinct), nearest), least, shared), "links")
     again = usable.groupBy("vec_id").agg(F.min_by("key", "key").alias("k"), F.max("key").alias("l")).filter("k <> l").select("vec_id")
     same = usable.join(again, "vec_id").join(distinct, ["label", "key"]).select(F.col("vec_id").alias("src"), F.col("node").alias("dst"))
     components = connected_components(found.filter("dst is not null").select("src", "dst").union(same))

@@ -117,7 +117,7 @@ def _slices(numbers: np.ndarray) -> pa.RecordBatch:
 
 
 def coded(documents: DataFrame) -> DataFrame:
-    """doc_id, words, slice, part: the words of each text (null slice), and of all passages the sketch, in parts by slice (null words); written to the shared folder.
+    """doc_id, words, slice, part: the words of each text (null slice), and of all passages the sketch, in parts by slice (null words).
 
     The sketch has for each term the sum, under random signs of the passages,
     of its counts in DIRECTIONS directions, and in how many passages it stands;
@@ -158,7 +158,7 @@ def coded(documents: DataFrame) -> DataFrame:
         n = parts.num_rows
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *parts.columns], names=names)
 
-    return _work.stored(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary, slice int, part binary"), "words")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary, slice int, part binary")
 
 
 def moments(words: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -484,7 +484,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None
     and items of null item_id as one item. Other columns are ignored, and an
     empty table of either gives no rows.
     """
-    words = coded(documents)
+    words = _work.stored(coded(documents), "words")
     space = latent_space(words) if space is None else space
     parts = []
     for block in _blocks(benchmark):
@@ -511,7 +511,8 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the rows that hold a benchmark item, as find_matches has it; no text is shuffled."""
-    space = latent_space(coded(documents))
+    with _work.passing(coded(documents), "words") as words:
+        space = latent_space(words)
     for block in _blocks(benchmark):
         texts = [t for _, t in block]
 

@@ -490,10 +490,11 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
     distinct = _work.stored(fps.groupBy(*names, "digest").agg(F.min("doc_id").alias("node")).filter("node is not null"), "distinct")
     nodes = distinct.select(*names, F.col("digest").alias("node"))
     groups = connected_components(candidates(nodes, bands)).select("node", F.col("component").alias("group"))
-    groups = _work.stored(nodes.join(groups, "node"), "groups")
-    wanted = distinct.join(groups.select(F.col("node").alias("digest")), "digest", "left_semi").select(F.col("node").alias("doc_id"), "digest")
-    sets = shingle_sets(documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    links = _work.stored(verified(groups, _work.stored(sets.withColumnRenamed("digest", "node"), "shingles"), bands, similarity), "links")
+    with _work.passing(nodes.join(groups, "node"), "groups") as groups:
+        wanted = distinct.join(groups.select(F.col("node").alias("digest")), "digest", "left_semi").select(F.col("node").alias("doc_id"), "digest")
+        sets = shingle_sets(documents.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), shingle).groupBy(F.col("digest").alias("node")).agg(F.first("shingles").alias("shingles"))
+        with _work.passing(sets, "shingles") as sets:
+            links = _work.stored(verified(groups, sets, bands, similarity), "links")
     for end in ("src", "dst"):
         links = links.join(distinct.select(F.col("digest").alias(end), F.col("node").alias(f"{end}_node")), end)
     return _grouped(fps, distinct, links.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")), ["digest"]).select("doc_id", "component_id")

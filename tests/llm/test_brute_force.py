@@ -168,6 +168,35 @@ def test_pivot_recall(spark):
     assert (found <= n).all() and found.sum() >= 0.9 * n.sum() and n.sum() > 200
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_pivot_query_against_all_pairs(spark, tmp_path, exact):
+    """The given vectors, of which no two are near, and copies of some with more and less noise."""
+    given, rng = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "label", "embedding"), np.random.default_rng(19)
+    near = [(10**6 + k, r.label, [float(x) for x in np.array(r.embedding) + rng.choice([0.1, 0.3, 0.38]) * np.linalg.norm(r.embedding) / 8 * rng.standard_normal(len(r.embedding))]) for k, r in enumerate(given.collect()[:250] * 2)]
+    given.union(spark.createDataFrame(near, given.schema)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    embeddings = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    run = pivots.near_duplicates(embeddings, exact=True) if exact else queries.op10_embedding_pivots(spark, str(tmp_path))
+    got = {r.vec_id: r for r in run.collect()}
+    rows = [r for r in embeddings.collect() if r.label is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    u = np.array([r.embedding for r in rows], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    label = np.array([r.label for r in rows])
+    linked = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    found = np.array([got[r.vec_id].n_links for r in rows])
+    assert linked.sum() > 0 and (found <= linked.sum(1)).all() and found.sum() >= 0.9 * linked.sum()
+    if exact:
+        assert (found == linked.sum(1)).all()
+        ids = np.array([r.vec_id for r in rows])
+        lowest = ids.copy()
+        for _ in range(len(ids)):
+            new = np.array([min(lowest[k], lowest[linked[k]].min(initial=lowest[k])) for k in range(len(ids))])
+            if (new == lowest).all():
+                break
+            lowest = new
+        assert [got[i].component_id for i in ids.tolist()] == lowest.tolist()
+
+
 def test_licence_query(spark):
     got = {r.doc_id: r for r in queries.op4_licence_scan(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
