@@ -127,3 +127,13 @@ def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Documents as training reads them: a row for each pass, range-sorted by position."""
     rows = mixed.select(*columns, F.explode("passes").alias("p")).select(*columns, F.col("p.pass").alias("pass"), F.col("p.words").alias("taken"), F.col("p.position").alias("position"))
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")
+
+
+def with_places(ordered: DataFrame) -> DataFrame:
+    """Rows of in_order with place, their number in training order from 0. Rows are numbered inside their ranges, whose sizes are summed up; no task sees all rows."""
+    rows = _work.stored(ordered.withColumn("numbered", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("numbered", 33), F.col("numbered").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("range")).agg(F.count("*").alias("n"))  # a row for each task that sorted
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = rows.withColumn("range", part).join(F.broadcast(sizes.drop("n")), "range")
+    return out.withColumn("place", F.col("before") + inside).drop("range", "numbered", "before")

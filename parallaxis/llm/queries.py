@@ -80,7 +80,7 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to target weights, with the position of each one's first words."""
+    """All documents mixed to target weights and sorted by position, with the position of each one's first words and their place in training order."""
     docs = table(spark, sf_dir, "documents")
     keys = docs.select(
         "doc_id",
@@ -88,8 +88,10 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("queue"),
         F.coalesce(F.regexp_count("text", F.lit(mixture.WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    mixed = mixture.place(keys)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("first_position"))
+    mixed = stored(mixture.place(keys.withColumn("row_id", F.monotonically_increasing_id())), "mixed")
+    ordered = mixture.with_places(mixture.in_order(mixed, ["row_id", "doc_id"]))
+    first = ordered.groupBy("row_id").agg(F.min("position").alias("first_position"), F.min("place").alias("first_place"))
+    return mixed.join(first, "row_id", "left").select("doc_id", "size", "source_size", "target", "taken", "first_position", "first_place")
 
 
 OP6_SQL = r"""
@@ -114,17 +116,25 @@ p AS (
 g AS (SELECT *, floor(target + 0.5::DOUBLE)::BIGINT AS goal FROM p),
 h AS (
   SELECT *, greatest(0, least(size, goal - before))::BIGINT AS once, greatest(0, least(size, goal - source_size - before))::BIGINT AS twice FROM g),
-a AS (SELECT *, CASE WHEN once > 0 THEN before / target WHEN twice > 0 THEN (before + source_size) / target END::DOUBLE AS done FROM h)
-SELECT doc_id, size, source_size, target, once + twice AS taken,
-  round(CASE kind
+a AS (
+  SELECT row_number() OVER () AS r, * FROM h),
+e AS (
+  SELECT r, doc_id, kind, 0 AS pass, before / target::DOUBLE AS done FROM a WHERE once > 0
+  UNION ALL SELECT r, doc_id, kind, 1 AS pass, (before + source_size) / target::DOUBLE AS done FROM a WHERE twice > 0),
+z AS (
+  SELECT r, doc_id, pass, round(CASE kind
     WHEN 0 THEN 2.0::DOUBLE * done / (sqrt(2.25::DOUBLE - 2.0::DOUBLE * done) + 1.5::DOUBLE)
     WHEN 1 THEN 2.0::DOUBLE * done / (sqrt(1.0::DOUBLE + 0.0::DOUBLE * done) + 1.0::DOUBLE)
     ELSE CASE WHEN done <= 0.375 THEN 2.0::DOUBLE * done / (sqrt(0.25::DOUBLE + 2.0::DOUBLE * done) + 0.5::DOUBLE)
       ELSE 0.5::DOUBLE + 2.0::DOUBLE * (done - 0.375::DOUBLE) / (sqrt(1.0::DOUBLE + 2.0::DOUBLE * (done - 0.375::DOUBLE)) + 1.0::DOUBLE) END
-  END, 9) AS first_position
-FROM a
+  END, 9) AS position FROM e),
+n AS (SELECT r, position, row_number() OVER (ORDER BY position, doc_id, pass) - 1 AS place FROM z),
+m AS (SELECT r, min(position) AS first_position, min(place) AS first_place FROM n GROUP BY r)
+SELECT doc_id, size, source_size, target, once + twice AS taken, first_position, first_place
+FROM a LEFT JOIN m USING (r)
 """
 
+
 def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that all documents hold."""
     return semantic.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
