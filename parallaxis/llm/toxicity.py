@@ -12,7 +12,7 @@ number.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ MOST_LABELLED = 20_000
 STEMS, LANDMARKS = 96, 80
 #: Chance, over all beginnings, that one counts as suspicious by chance alone; and how many count whatever their chance.
 CHANCE, FEW = 1e-4, 12
+#: Words whose similarities a task remembers.
+REMEMBERED = 1 << 20
 #: Different beginnings that a task holds at once.
 MOST_GRAMS = 500_000
 #: Worst sentences of a document that count.
@@ -55,11 +57,12 @@ _ENDS[[ord("."), ord("!"), ord("?")]] = True
 
 @dataclass
 class Tokens:
-    """Words as symbols: data has an edge before and after each different word; ids tells which word each token is, sentence and row which sentence and text it is of."""
+    """Words as symbols: data has an edge before and after each different word, told by its hash; ids tells which word each token is, sentence and row which sentence and text it is of."""
 
     symbols: np.ndarray
     word: np.ndarray
     words: int
+    hash: np.ndarray
     ids: np.ndarray
     sentence: np.ndarray
     text_of: np.ndarray
@@ -71,7 +74,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     n = len(w.start)
     if not n:
         none = np.zeros(0, np.int64)
-        return Tokens(np.zeros(0, np.uint8), none, 0, none, none, none)
+        return Tokens(np.zeros(0, np.uint8), none, 0, none.astype(np.uint64), none, none, none)
     solid = np.append(_SYMBOL[w.data] > 0, False)
     letters = np.append(0, np.cumsum(solid))
     size = letters[w.end] - letters[w.start]
@@ -100,7 +103,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     powers = _text._grown("word", np.uint64(0xD6E8FEB86659FD93), int(length.max(initial=1)) + 1)
     sums = np.append(np.uint64(0), np.cumsum(_text.mix(symbols.astype(np.uint64)) * powers[place]))
     hashed = _text.mix(sums[begin + length] - sums[begin]) + length.astype(np.uint64)
-    _, first, ids = np.unique(hashed, return_index=True, return_inverse=True)
+    kinds, first, ids = np.unique(hashed, return_index=True, return_inverse=True)
     take = length[first]
     total = take + 2
     to = np.cumsum(total) - total
@@ -109,7 +112,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     out[np.repeat(to + 1, take) + k] = symbols[np.repeat(begin[first], take) + k]
     lead = np.flatnonzero(~joined)
     sentence = sentence_of[lead]
-    return Tokens(out, np.repeat(np.arange(len(first)), total), len(first), ids, sentence, w.row[np.flatnonzero(fresh)])
+    return Tokens(out, np.repeat(np.arange(len(first)), total), len(first), kinds, ids, sentence, w.row[np.flatnonzero(fresh)])
 
 
 def _starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -140,6 +143,9 @@ class Landmarks:
 
     table: np.ndarray  # feature of a code, 0 where no landmark has it
     weights: np.ndarray  # feature x landmark
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of words compared before, in order
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each its row in found, or -1
+    found: np.ndarray | None = None
 
     @staticmethod
     def of(words: list[str]) -> Landmarks:
@@ -158,6 +164,27 @@ class Landmarks:
         return Landmarks(table, np.ascontiguousarray(own[:, column]))
 
     def similarity(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """As compared, with what is known of words from earlier texts; REMEMBERED words at most."""
+        if len(self.seen) > REMEMBERED or self.found is None:
+            self.seen, self.place, self.found = self.seen[:0], self.place[:0], np.zeros((0, self.weights.shape[1]), np.float32)
+        at = np.searchsorted(self.seen, t.hash)
+        known = np.zeros(t.words, bool)
+        inside = at < len(self.seen)
+        known[inside] = self.seen[at[inside]] == t.hash[inside]
+        if len(new := np.flatnonzero(~known)):
+            symbols = ~known[t.word]
+            part = Tokens(t.symbols[symbols], (np.cumsum(~known) - 1)[t.word[symbols]], len(new), t.hash[new], t.ids[:0], t.sentence[:0], t.text_of[:0])
+            alike, values = self.compared(part)
+            place = np.full(len(new), -1)
+            place[alike] = len(self.found) + np.arange(len(alike))
+            self.found = np.concatenate([self.found, values])
+            self.seen, self.place = np.insert(self.seen, at[new], t.hash[new]), np.insert(self.place, at[new], place)
+            at = np.searchsorted(self.seen, t.hash)
+        place = self.place[at]
+        alike = np.flatnonzero(place >= 0)
+        return alike, self.found[place[alike]]
+
+    def compared(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """The different words that are like some landmark, and their kernel, normalised and raised to POWER, with each.
 
         A word's summed best weights bound its similarity with any landmark, so
