@@ -14,6 +14,11 @@ Quat = tuple[Column, Column, Column, Column]
 PARALLEL, MIN_DEPTH, MAX_DEPTH = 1e-6, 0.1, 10.0
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row where they stand, and not again in every expression that uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def vec(prefix: str, names: str = "xyz") -> tuple[Column, ...]:
     """Columns <prefix>x, <prefix>y, ..."""
     return tuple(F.col(prefix + n) for n in names)
@@ -86,8 +91,9 @@ def closest_approach(df: DataFrame, first: str = "a_", second: str = "b_") -> Da
     o1, d1, o2, d2 = vec(first + "o"), vec(first + "d"), vec(second + "o"), vec(second + "d")
     delta = sub(o1, o2)
     parts = {"qa": dot(d1, d1), "qb": dot(d1, d2), "qc": dot(d2, d2), "qd": dot(d1, delta), "qe": dot(d2, delta)}
-    df = df.withColumns(parts).withColumn("den", F.expr("qa * qc - qb * qb")).filter(F.abs("den") > PARALLEL)
-    df = df.withColumns({"t1": F.expr("(qb * qe - qc * qd) / den"), "t2": F.expr("(qa * qe - qb * qd) / den")}).drop(*parts, "den")
+    df = settled(df, parts).filter(F.abs(F.expr("qa * qc - qb * qb")) > PARALLEL)
+    den = F.expr("qa * qc - qb * qb")
+    df = settled(df, {"t1": F.expr("qb * qe - qc * qd") / den, "t2": F.expr("qa * qe - qb * qd") / den}).drop(*parts)
     return df.filter((F.col("t1") > MIN_DEPTH) & (F.col("t1") < MAX_DEPTH) & (F.col("t2") > MIN_DEPTH) & (F.col("t2") < MAX_DEPTH))
 
 

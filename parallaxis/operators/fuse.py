@@ -20,7 +20,7 @@ def trim_weak(observations: DataFrame, least: float = 0.15, share: int = 10) ->
 def with_rays(observations: DataFrame, focal: float = 800.0, cx: float = 320.0, cy: float = 240.0) -> DataFrame:
     """Observations (px, py) of unrotated cameras with the direction dx, dy, dz of their rays."""
     d = v.pixel_ray((F.col("px") - cx) / focal, (F.col("py") - cy) / focal)
-    return observations.select("*", *(c.alias("d" + n) for c, n in zip(d, "xyz")))
+    return v.settled(observations, {"d" + n: c for c, n in zip(d, "xyz")})
 
 
 def frame_pairs(frames: DataFrame, always: int = 10, half: int = 20) -> DataFrame:
@@ -53,12 +53,11 @@ def ray_candidates(rays: DataFrame, pairs: DataFrame, epsilon: float = 0.05, mos
     met = a.join(near, "a_frame_id").join(b, ["zone_id", "b_frame_id"])
     o1, d1, o2, d2 = (v.vec(p) for p in ("a_o", "a_d", "b_o", "b_d"))
     met = v.closest_approach(met)
-    for side, o, d, t in (("p", o1, d1, "t1"), ("q", o2, d2, "t2")):
-        met = met.withColumns({side + n: c for n, c in zip("xyz", v.add(o, v.scale(d, F.col(t))))})
+    met = v.settled(met, {side + n: c for side, o, d, t in (("p", o1, d1, "t1"), ("q", o2, d2, "t2")) for n, c in zip("xyz", v.add(o, v.scale(d, F.col(t))))})
     p, q = v.vec("p"), v.vec("q")
-    met = met.withColumns({"distance": v.length(v.sub(p, q)), **{n: c for n, c in zip("xyz", v.scale(v.add(p, q), 0.5))}})
-    met = met.drop("t1", "t2", *(s + n for s in "pq" for n in "xyz")).filter(F.col("distance") <= most)
-    return met.withColumn("distance_conf", v.distance_confidence(F.col("distance"), epsilon)).withColumn("angle_conf", v.angle_confidence(d1, d2))
+    met = v.settled(met, {"distance": v.length(v.sub(p, q))}).filter(F.col("distance") <= most)
+    met = v.settled(met, {**{n: c for n, c in zip("xyz", v.scale(v.add(p, q), 0.5))}, "distance_conf": v.distance_confidence(F.col("distance"), epsilon), "angle_conf": v.angle_confidence(d1, d2)})
+    return met.drop("t1", "t2", *(s + n for s in "pq" for n in "xyz"))
 
 
 def mark_ambiguous(candidates: DataFrame, observations: DataFrame, epsilon: float = 0.05) -> DataFrame:

@@ -1,17 +1,15 @@
-"""Resolving support edges into components of one observation a frame."""
+"""Summaries, audits and set operations of components and their edges, as tables."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
+from parallaxis.operators.triangulate import BONUS, FREE_EDGES, MIN_EDGES
 
-#: Least edges and confidence of a component, and of edges that join and replace.
-MIN_EDGES, COMPONENT, ADDITION, CONFLICT, IMPROVEMENT, REPLACING = 4, 1.5, 0.5, 0.7, 1e-4, 2
-RADIUS, DISSOLVE, FREE_EDGES, BONUS = 0.03, 0.005, 5_000, 0.15
+#: Least confidence of a component.
+COMPONENT = 1.5
 
 
 def component_summary(edges: DataFrame, *keys: str) -> DataFrame:
@@ -66,114 +64,6 @@ def stable_id(zone: Column, first_observation: Column) -> Column:
     return F.xxhash64(zone, first_observation)
 
 
-def grow(edges: list[tuple], forbidden: set[frozenset], radius: float = RADIUS, addition: float = ADDITION, conflict: float = CONFLICT, component: float = COMPONENT) -> list[dict]:
-    """Components of one zone, grown greedily from the best free edge.
-
-    edges: (a, b, position, confidence), a and b being (frame, detection).
-    An observation joins by the edges to members that are sure enough and near
-    the centre; one conflict may be replaced by two better edges, more refuse it.
-    """
-    by_pair = {frozenset((a, b)): (np.array(p), c) for a, b, p, c in edges}
-    free, found, spent = dict(by_pair), [], set()
-    order = sorted(free, key=lambda e: (-free[e][1], sorted(e)))
-    at: dict[tuple, set] = {}
-    for e in free:
-        for o in e:
-            at.setdefault(o, set()).add(e)
-
-    for seed in order:
-        if seed not in free or seed in spent:
-            continue
-        chosen = {o[0]: o for o in seed}
-        support = {seed: free[seed]}
-        centre = free[seed][0]
-
-        def recentre() -> tuple[np.ndarray, float]:
-            weight = sum(c for _, c in support.values())
-            return sum(p * c for p, c in support.values()) / weight, weight / len(support) * len(support) ** 0.5
-
-        while True:
-            nearest: dict[tuple, float] = {}
-            members = set(chosen.values())
-            for m in members:
-                for e in at[m]:
-                    if e in free and e not in support:
-                        far = float(np.linalg.norm(free[e][0] - centre))
-                        for o in e - members:
-                            if o[0] not in chosen:
-                                nearest[o] = min(far, nearest.get(o, far))
-            for o in sorted(nearest, key=lambda o: (nearest[o], o)):
-                good, against = {}, []
-                for m in chosen.values():
-                    e = frozenset((o, m))
-                    if e not in free:
-                        if e in forbidden:
-                            against.append(m)
-                    elif free[e][1] >= conflict and np.linalg.norm(free[e][0] - centre) <= radius:
-                        good[e] = free[e]
-                    else:
-                        against.append(m)
-                total = sum(c for _, c in good.values())
-                if not good or len(against) > 1:
-                    continue
-                if not against:
-                    if total / len(good) < addition:
-                        continue
-                else:
-                    old = {e for e in support if against[0] in e}
-                    if len(good) < REPLACING or total - sum(support[e][1] for e in old) <= IMPROVEMENT:
-                        continue
-                    del chosen[against[0][0]]
-                    for e in old:
-                        del support[e]
-                chosen[o[0]] = o
-                support.update(good)
-                centre, _ = recentre()
-                break
-            else:
-                break
-        centre, confidence = recentre()
-        if confidence < component or len(support) < MIN_EDGES:
-            spent.add(seed)
-            continue
-        found.append({"centre": centre, "confidence": confidence, "edges": len(support), "members": sorted(chosen.values())})
-        for o in chosen.values():
-            for e in at[o]:
-                free.pop(e, None)
-    return found
-
-
-RESOLVED = "zone_id long, component_id long, frame_id long, det_id long, x double, y double, z double, confidence double, edges long"
-
-
-def resolve(edges: DataFrame, forbidden: DataFrame, accepted: int = 25, most: int = FREE_EDGES) -> DataFrame:
-    """A row for each member of each component of every zone.
-
-    edges: zone_id, a_frame_id, a_det_id, b_frame_id, b_det_id, x, y, z, conf.
-    Confidences are normalised and the thresholds those of so many accepted
-    frames. A zone's edges meet in one task; `most` bounds them, the weakest
-    are set aside first, so a group is a few MB whatever the input.
-    """
-    limits = {k: float(r) for k, r in edges.sparkSession.range(1).select(*(c.alias(k) for k, c in v.thresholds(F.lit(accepted)).items())).first().asDict().items()}
-    scaled = edges.withColumn("conf", v.normalised_confidence(F.col("conf"), limits["min_confidence"])).withColumn("generation", F.lit(1)).withColumn("edge_id", F.struct("a_frame_id", "a_det_id", "b_frame_id", "b_det_id"))
-    kept = retained(scaled, "zone_id", most=most).drop("edge_id", "priority", "generation")
-    columns = ("a_frame_id", "a_det_id", "b_frame_id", "b_det_id")
-
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(zip(*(left[c].to_pylist() for c in (*columns, "x", "y", "z", "conf"))))
-        own = [((r[0], r[1]), (r[2], r[3]), r[4:7], r[7]) for r in rows]
-        apart = {frozenset(((a, b), (c, d))) for a, b, c, d in zip(*(right[c].to_pylist() for c in columns))}
-        out: dict[str, list] = {x.split()[0]: [] for x in RESOLVED.split(", ")}
-        for n, f in enumerate(grow(own, apart, limits["radius"], limits["addition_confidence"], limits["conflict_confidence"], limits["component_confidence"])):
-            for frame, det in f["members"]:
-                for k, x in zip(out, (key[0].as_py(), n, frame, det, *map(float, f["centre"]), float(f["confidence"]), f["edges"])):
-                    out[k].append(x)
-        kinds = {"long": pa.int64(), "double": pa.float64()}
-        return pa.table({x.split()[0]: pa.array(out[x.split()[0]], kinds[x.split()[1]]) for x in RESOLVED.split(", ")})
-
-    return kept.groupBy("zone_id").cogroup(forbidden.groupBy("zone_id")).applyInArrow(run, RESOLVED)
-
-
 def free_edges(edges: DataFrame, used: DataFrame) -> DataFrame:
     """Edges of which no end is used: set difference by key. used: zone_id, frame_id, det_id."""
     for side in "ab":

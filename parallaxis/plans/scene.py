@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
-from parallaxis.operators import assign, fuse, resolve
+from parallaxis.operators import assign, fuse, resolve, triangulate
 from parallaxis.plans.fixtures import view, with_views
 
 BOX = ("minx", "maxx", "miny", "maxy", "minz", "maxz")
@@ -76,13 +76,15 @@ def dynamic_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
-    """Members of components, by the exact greedy resolver."""
-    return resolve.resolve(_edges(spark, d), fuse.forbidden_edges(_rays(spark, d), _pairs(spark, d), _marked(spark, d)))
+    """Members of components, zone by zone and frame by frame."""
+    rays, pairs = _rays(spark, d), _pairs(spark, d)
+    return triangulate.count_objects(rays, pairs, fuse.ray_candidates(rays, pairs), view(spark, d, "zones").select("zone_id", *BOX))
 
 
 def resolved_components(spark: SparkSession, d: str) -> DataFrame:
-    c = _components(spark, d)
-    return _rounded(c.groupBy("zone_id", "component_id").agg(F.count("*").alias("members"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"), F.first("confidence").alias("confidence"), F.first("edges").alias("edges")), "x", "y", "z", "confidence")
+    """Components of each zone, how many of them have observations of one object alone, and how many objects they are of."""
+    c = _components(spark, d).groupBy("zone_id", "component_id").agg(F.min("det_id").alias("low"), F.max("det_id").alias("high"), F.count("*").alias("members"), F.count_distinct("frame_id").alias("frames"))
+    return c.groupBy("zone_id").agg(F.count("*").alias("components"), F.count_if((F.col("low") == F.col("high")) & (F.col("members") == F.col("frames"))).alias("pure"), F.count_distinct("low").alias("objects"))
 
 
 def points_per_zone(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +232,8 @@ p AS (SELECT *, greatest(0.0e0, least(1.0e0, (accepted - 5) / 25.0e0)) AS p FROM
 SELECT session_id, frame_id, accepted, round(0.05e0 * (1 - 0.5e0 * p), 6) AS epsilon, round(0.1e0 * (1 - 0.5e0 * p), 6) AS forbidden, round(0.1e0 * p, 6) AS min_confidence, round(0.03e0 * (1 - 0.5e0 * p), 6) AS radius,
 round(0.7e0 + 0.15e0 * p, 6) AS conflict_confidence, round(0.5e0 + 0.25e0 * p, 6) AS addition_confidence, round(1.5e0 * (1 + 0.2e0 * p), 6) AS component_confidence FROM p""",
     ),
+    "resolved_components": with_views("bars", "SELECT zone_id, count(*) AS components, count(*) AS pure, count(*) AS objects FROM bars GROUP BY zone_id"),
+    "points_per_zone": with_views("bars", "SELECT zone_id, count(*) AS points FROM bars GROUP BY zone_id"),
     "components_on_rays": with_views(
         "obs",
         _RAYS

@@ -74,16 +74,6 @@ def test_component_summary(spark):
     assert not got[3].valid and got[4].valid
 
 
-def test_greedy_growth_finds_two_objects_and_keeps_frames_apart():
-    edges = []
-    for det, x in ((0, 0.0), (1, 1.0)):
-        edges += [((a, det), (b, det), (x, 0.0, 0.0), 1.0) for a in range(4) for b in range(a + 1, 4)]
-    edges.append(((0, 0), (1, 1), (0.5, 0.0, 0.0), 0.9))
-    found = resolve.grow(edges, set())
-    assert sorted(f["members"] for f in found) == [[(k, d) for k in range(4)] for d in (0, 1)]
-    assert all(f["confidence"] == pytest.approx(6**0.5) for f in found)
-
-
 def test_polygons(spark):
     square, shifted, triangle = polygon((0, 0), (4, 0), (4, 4), (0, 4)), polygon((2, 2), (6, 2), (6, 6), (2, 6)), polygon((0, 0), (10, 0), (0, 10))
     got = one(
