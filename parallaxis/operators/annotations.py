@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallaxis.operators.order import numbered
+
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
 
 
@@ -61,12 +63,9 @@ def replace_annotations(base_images: DataFrame, base: DataFrame, new_images: Dat
     kept = base.join(matched.select(F.col("to").alias("image_id")).distinct(), "image_id", "left_anti")
     last = base.agg(F.coalesce(F.max("ann"), F.lit(0)).alias("last"))
     added = new.join(matched, new["image_id"] == matched["from"]).drop("image_id", "from").withColumnRenamed("to", "image_id")
-    shard = Window.partitionBy("image_id").orderBy("ann")
-    sizes = added.groupBy("image_id").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("image_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = added.withColumn("k", F.row_number().over(shard)).join(before, "image_id").crossJoin(F.broadcast(last))
-    numbered = numbered.withColumn("ann", F.col("last") + F.col("before") + F.col("k")).drop("last", "before", "k")
-    return kept.unionByName(numbered, allowMissingColumns=True)
+    fresh = numbered(added, "image_id", "ann").crossJoin(F.broadcast(last))
+    fresh = fresh.withColumn("ann", F.col("last") + F.col("place")).drop("last", "place")
+    return kept.unionByName(fresh, allowMissingColumns=True)
 
 
 def missing_stems(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -83,12 +82,12 @@ def assembled(items: DataFrame, listing: DataFrame) -> DataFrame:
 
 def split(items: DataFrame, key: str, val: int, test: int, seed: int = 42) -> DataFrame:
     """Items with split: val and test rows of a seeded order by hash, the rest train; with too few rows, test then val shrink so that one trains."""
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key))
     n = items.count()
     test = min(test, max(0, n - 1))
     val = min(val, max(0, n - 1 - test))
     place = F.col("place")
-    return items.select(key).distinct().withColumn("place", order).select(key, F.when(place <= test, "test").when(place <= test + val, "val").otherwise("train").alias("split"))
+    keyed = items.select(key).distinct().withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
+    return numbered(keyed, "draw", key).select(key, F.when(place <= test, "test").when(place <= test + val, "val").otherwise("train").alias("split"))
 
 
 def label_line(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:

@@ -6,38 +6,30 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallaxis.functions import vec as v
+from parallaxis.operators.order import k_nearest
 from parallaxis.scratch import cut
 
 NEIGHBOURS, ROUNDS, LEAST_SIGMA = 8, 64, 0.05
 
 
-def zone_distances(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each point with each zone centre and d2, the squared distance. Zones are few: they are one row for a place in a scene, not for data."""
-    d = v.sub(v.vec(""), v.vec("c"))
-    return points.crossJoin(F.broadcast(zones.select("zone_id", "cx", "cy", "cz"))).withColumn("d2", F.round(v.dot(d, d), 12))
+def four_nearest(points: DataFrame, zones: DataFrame, n: int = 4) -> DataFrame:
+    """The n nearest zones of each point with their distance and rank, by distance, then id."""
+    targets = zones.select(F.col("zone_id").alias("target_id"), *(F.col("c" + c).alias(c) for c in "xyz"))
+    return k_nearest(points, targets, n).withColumnRenamed("target_id", "zone_id")
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame) -> DataFrame:
     """Points with zone_id, the nearest (ties by id), and whether it is an anchor: four times its squared distance is less than the second nearest's."""
-    best = zone_distances(points, zones).groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("d2", "zone_id"))).alias("near"))
-    second = F.get("near", F.lit(1))["d2"]
-    return best.select("point_id", F.get("near", F.lit(0))["zone_id"].alias("zone_id"), (second.isNull() | (F.get("near", F.lit(0))["d2"] * 4.0 < second)).alias("is_anchor"))
-
-
-def four_nearest(points: DataFrame, zones: DataFrame, n: int = 4) -> DataFrame:
-    """The n nearest zones of each point with their rank, by distance, then id."""
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("d2", "zone_id"))
-    return zone_distances(points, zones).withColumn("rank", rank).filter(F.col("rank") <= n).select("point_id", "zone_id", "rank")
+    best = four_nearest(points, zones, 2).groupBy("point_id").agg(F.max(F.when(F.col("rank") == 1, F.col("zone_id"))).alias("zone_id"), *(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias(f"d{k}") for k in (1, 2)))
+    return best.select("point_id", "zone_id", (F.col("d2").isNull() | (F.col("d1") * 2.0 < F.col("d2"))).alias("is_anchor"))
 
 
 def nearest_neighbours(points: DataFrame, within: str, k: int = NEIGHBOURS) -> DataFrame:
     """a, b, distance: the k nearest other points of each, inside its group (a session or a scene); ties by id."""
-    a = points.select(within, F.col("point_id").alias("a"), *(F.col(c).alias("a" + c) for c in "xyz"))
-    b = points.select(within, F.col("point_id").alias("b"), *(F.col(c).alias("b" + c) for c in "xyz"))
-    met = a.join(b, within).filter("a <> b").withColumn("distance", F.round(v.length(v.sub(v.vec("a"), v.vec("b"))), 12))
-    rank = F.row_number().over(Window.partitionBy(within, "a").orderBy("distance", "b"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(within, "a", "b", "distance")
+    own = points.select(within, "point_id", "x", "y", "z")
+    met = k_nearest(own, own.withColumnRenamed("point_id", "target_id"), k + 1, within).filter("point_id <> target_id")
+    rank = F.row_number().over(Window.partitionBy(within, "point_id").orderBy("distance", "target_id"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(within, F.col("point_id").alias("a"), F.col("target_id").alias("b"), "distance")
 
 
 def kernel_edges(neighbours: DataFrame, points: DataFrame, within: str) -> DataFrame:

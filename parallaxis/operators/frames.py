@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +37,26 @@ def reasons() -> Column:
 def gate(frames: DataFrame, guard_seconds: float = 0.05) -> DataFrame:
     """Frames with accepted and forced: those that pass, the first, and any that comes guard_seconds after the last accepted.
 
-    A session's frames are one array in time order, folded once; it holds a
-    time, an id and a flag of each frame.
+    A session's frames pass in time order through one task as a stream; of the
+    past only the time of the last accepted frame is kept.
     """
-    rows = frames.withColumn("ok", F.size(reasons()) == 0).withColumn("us", F.unix_micros("ts"))
-    session = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("us", "frame_id", "ok"))).alias("f"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<frame_id:bigint,accepted:boolean,forced:boolean>>").alias("out"))
+    rows = frames.select("session_id", "frame_id", (F.size(reasons()) == 0).alias("ok"), F.unix_micros("ts").alias("us"))
     guard = int(guard_seconds * 1e6)
 
-    def step(s: Column, f: Column) -> Column:
-        due = s["last"].isNull() | (f["us"] - s["last"] >= guard)
-        accepted = f["ok"] | due
-        return F.struct(F.when(accepted, f["us"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(f["frame_id"].alias("frame_id"), accepted.alias("accepted"), (~f["ok"] & due).alias("forced")))).alias("out"))
-
-    out = session.select("session_id", F.aggregate("f", start, step)["out"].alias("out"))
-    return out.select("session_id", F.explode("out").alias("o")).select("session_id", "o.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, last = None, False, 0
+        for batch in batches:
+            accepted, forced = [], []
+            for session, ok, us in zip(*(batch.column(c).to_pylist() for c in ("session_id", "ok", "us"))):
+                due = not begun or session != now or us - last >= guard
+                accepted.append(ok or due)
+                forced.append(due and not ok)
+                if ok or due:
+                    now, begun, last = session, True, us
+            yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("frame_id"), pa.array(accepted, pa.bool_()), pa.array(forced, pa.bool_())], names=["session_id", "frame_id", "accepted", "forced"])
+
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "us", "frame_id")
+    return ordered.mapInArrow(run, "session_id long, frame_id long, accepted boolean, forced boolean")
 
 
 def cadence(frames: DataFrame, seconds: int) -> DataFrame:

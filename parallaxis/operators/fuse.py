@@ -23,18 +23,19 @@ def with_rays(observations: DataFrame, focal: float = 800.0, cx: float = 320.0,
     return v.settled(observations, {"d" + n: c for c, n in zip(d, "xyz")})
 
 
-def frame_pairs(frames: DataFrame, always: int = 10, half: int = 20) -> DataFrame:
+def frame_pairs(frames: DataFrame, always: int = 10, half: int = 20, within: str = "session_id") -> DataFrame:
     """first_frame, second_frame, quality: each frame with the earlier ones (by seq) that it is compared with.
 
     Earlier frames are ranked by difference; the best are always taken, later
-    ranks by a hash of the two, so that reruns agree. frames: frame_id, seq,
-    tx, ty, tz, fx, fy, fz (translation and viewing direction).
+    ranks by a hash of the two, so that reruns agree. frames: session_id,
+    frame_id, seq, tx, ty, tz, fx, fy, fz (translation and viewing direction);
+    frames of different sessions are not compared.
     """
     a = frames.select(*(F.col(c).alias("a_" + c) for c in frames.columns))
     b = frames.select(*(F.col(c).alias("b_" + c) for c in frames.columns))
     quality = v.frame_difference(v.vec("a_t"), v.vec("a_f"), v.vec("b_t"), v.vec("b_f"))
-    pairs = a.join(b, F.col("a_seq") < F.col("b_seq")).withColumn("quality", F.round(quality, 9))
-    rank = F.row_number().over(Window.partitionBy("b_frame_id").orderBy(F.desc("quality"), "a_seq")) - 1
+    pairs = a.join(b, (F.col("a_" + within) == F.col("b_" + within)) & (F.col("a_seq") < F.col("b_seq"))).withColumn("quality", F.round(quality, 9))
+    rank = F.row_number().over(Window.partitionBy("b_" + within, "b_frame_id").orderBy(F.desc("quality"), "a_seq")) - 1
     draw = F.pmod(F.col("a_frame_id") * 7919 + F.col("b_frame_id") * 104729, F.lit(1009)) / 1009.0
     kept = pairs.withColumn("rank", rank).filter((F.col("rank") < always) | ((F.col("rank") < half) & (draw < 0.5)) | ((F.col("rank") >= half) & (draw < 0.25)))
     return kept.select(F.col("a_frame_id").alias("first_frame"), F.col("b_frame_id").alias("second_frame"), "quality", "rank")

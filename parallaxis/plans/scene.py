@@ -17,7 +17,7 @@ def _rays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return fuse.frame_pairs(view(spark, d, "cams"))
+    return fuse.frame_pairs(view(spark, d, "cams").withColumn("session_id", F.lit(0)))  # one session, whose frames see all zones
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def zone_of_point(spark: SparkSession, d: str) -> DataFrame:
 
 
 def four_nearest_zones(spark: SparkSession, d: str) -> DataFrame:
-    return assign.four_nearest(view(spark, d, "points"), view(spark, d, "point_zones"))
+    return assign.four_nearest(view(spark, d, "points"), view(spark, d, "point_zones")).select("point_id", "zone_id", "rank")
 
 
 def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
