@@ -108,3 +108,24 @@ def mask_boxes(cells: DataFrame, *keys: str) -> DataFrame:
 
 def export_ok(least_area: int = 8) -> Column:
     return (F.col("area") >= least_area) & (F.size("ring") >= 6)
+
+
+def assembly_counts(items: DataFrame, listing: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """One row: items whose file is missing, files copied and masks generated (one for each target), of which enlarged to the least width and height, and targets that were taken already."""
+    made = assembled(items.select("subset", "path"), listing)
+    sizes = items.groupBy("subset", "path").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    n = made.join(sizes, ["subset", "path"]).agg(F.count("*").alias("found"), F.count_if("kept").alias("copied"), F.count_if(F.col("kept") & ((F.col("width") < least[0]) | (F.col("height") < least[1]))).alias("resized"))
+    return items.agg(F.count("*").alias("items")).crossJoin(n).select((F.col("items") - F.col("found")).alias("missing"), "copied", F.col("copied").alias("generated"), "resized", (F.col("found") - F.col("copied")).alias("collisions"))
+
+
+def split_layout(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a split with their file names in it: the split and a number of five digits, from 0 in the order of the key."""
+    places = numbered(rows.select("split", key), "split", key)
+    first = places.groupBy("split").agg(F.min("place").alias("first"))
+    number = (F.col("place") - F.col("first")).cast("string")
+    return places.join(F.broadcast(first), "split").select(key, "split", F.concat_ws("_", "split", F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)).alias("name"))
+
+
+def class_manifest(names: list[str]) -> str:
+    """The manifest of a dataset of these splits' folders and classes, as YAML."""
+    return "\n".join(["train: train", "val: val", "test: test", f"nc: {len(names)}", "names: [" + ", ".join(names) + "]", ""])

@@ -103,3 +103,23 @@ def rasterise(boxes: DataFrame, *keys: str) -> DataFrame:
     span = lambda a, b: F.sequence(F.ceil(F.col(a)).cast("int"), F.greatest(F.ceil(F.col(a)), F.ceil(F.col(b)) - 1).cast("int"))
     cells = boxes.withColumn("y", F.explode(span("top", "bottom"))).withColumn("x", F.explode(span("left", "right")))
     return cells.groupBy(*keys, "y", "x").agg(F.max("det").alias("label"))
+
+
+def rasterise_polygons(polygons: DataFrame, *keys: str) -> DataFrame:
+    """keys, y, x, label: cells whose whole coordinates lie in a polygon or on its border; where polygons overlap the larger det wins."""
+    b = poly.bounds(F.col("polygon"))
+    span = lambda low, high: F.sequence(F.ceil(low).cast("int"), F.floor(high).cast("int"))
+    some = polygons.filter((F.floor(b["right"]) >= F.ceil(b["left"])) & (F.floor(b["bottom"]) >= F.ceil(b["top"])))
+    cells = some.withColumn("y", F.explode(span(b["top"], b["bottom"]))).withColumn("x", F.explode(span(b["left"], b["right"])))
+    return cells.filter(poly.contains(F.col("polygon"), F.col("x"), F.col("y"))).groupBy(*keys, "y", "x").agg(F.max("det").alias("label"))
+
+
+def instances(cells: DataFrame, *keys: str) -> DataFrame:
+    """Different labels of each mask; zero and null are none."""
+    return cells.groupBy(*keys).agg(F.count_distinct(F.when(F.col("label") != 0, F.col("label"))).alias("instances"))
+
+
+def label_overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
+    """keys, t, p, pixels: cells that a label of each of two masks share."""
+    met = truth.select(*keys, "y", "x", F.col("label").alias("t")).join(predicted.select(*keys, "y", "x", F.col("label").alias("p")), [*keys, "y", "x"])
+    return met.groupBy(*keys, "t", "p").agg(F.count("*").alias("pixels"))
