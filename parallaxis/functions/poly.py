@@ -148,7 +148,7 @@ def flat_ring(p: Column, width: Column, height: Column) -> Column:
 
 def ring_points(ring: Column) -> Column:
     """The points of a flat ring."""
-    return F.transform(F.sequence(F.lit(0), F.size(ring) / 2 - 1), lambda i: point(F.get(ring, (i * 2).cast("int")), F.get(ring, (i * 2 + 1).cast("int"))))
+    return F.transform(F.filter(ring, lambda _, i: i % 2 == 0), lambda x, i: point(x, F.get(ring, 2 * i + 1)))
 
 
 def clamped(p: Column, width: Column, height: Column) -> Column:

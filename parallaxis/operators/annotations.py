@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallaxis.functions import poly
 from parallaxis.operators.order import numbered
 
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
@@ -129,3 +130,19 @@ def split_layout(rows: DataFrame, key: str) -> DataFrame:
 def class_manifest(names: list[str]) -> str:
     """The manifest of a dataset of these splits' folders and classes, as YAML."""
     return "\n".join(["train: train", "val: val", "test: test", f"nc: {len(names)}", "names: [" + ", ".join(names) + "]", ""])
+
+
+def exported(images: DataFrame, detections: DataFrame, most_points: int = 200, least_area: int = 8) -> DataFrame:
+    """folder, image_id, ann, ring, area, left, top, width, height, score: the annotations of predicted polygons, numbered through the images of all folders.
+
+    images: folder, image_id, width, height; detections: image_id, det, score,
+    polygon. Polygons are decimated, clamped to the image and flattened; small
+    areas and short rings are left out.
+    """
+    size = [F.col("image_width"), F.col("image_height")]
+    own = images.select("folder", "image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
+    rows = detections.join(own, "image_id").withColumn("polygon", poly.decimate(F.col("polygon"), most_points))
+    rows = rows.withColumn("ring", poly.flat_ring(F.col("polygon"), *size)).withColumn("area", poly.area(poly.ring_points(F.col("ring"))))
+    box = poly.bounding_box(poly.ring_points(F.col("ring")))
+    rows = rows.filter(export_ok(least_area)).select("folder", "image_id", "det", "ring", "area", *(box[c].alias(c) for c in ("left", "top", "width", "height")), "score")
+    return numbered(rows, "folder", "image_id", "det", name="ann").drop("det")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.functions import poly
-from parallaxis.scratch import cut
 
 MOST = 10_000
 
@@ -29,28 +30,61 @@ def overlapping(ranked: DataFrame, *keys: str, above: float = 0.5, cell: float =
     return met.select(*keys, F.col("a_rank").alias("winner"), F.col("b_rank").alias("loser")).distinct()
 
 
-def suppress(boxes: DataFrame, *keys: str, above: float = 0.5, most: int = MOST) -> DataFrame:
-    """Greedy non-maximum suppression of each image's boxes, in rounds.
-
-    A box stays if no better box that overlaps it is undecided or stays; boxes
-    that a staying one overlaps go. Rounds are as many as the longest chain of
-    such boxes, and equal the greedy order.
+def _clipped_area(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> float:
+    """Area of a polygon inside a convex one whose vertices run counter-clockwise."""
+    out = subject
+    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
+        now = []
+        for k, (p, s) in enumerate(zip(out, side)):
+            q, r = out[k - 1], side[k - 1]
+            if (s >= 0) != (r >= 0):
+                t = r / (r - s)
+                now.append((q[0] + (p[0] - q[0]) * t, q[1] + (p[1] - q[1]) * t))
+            if s >= 0:
+                now.append(p)
+        out = now
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1]))) / 2
+
+
+def suppress(boxes: DataFrame, *keys: str, above: float = 0.5, most: int = MOST, shape: str = "box") -> DataFrame:
+    """Greedy non-maximum suppression of each image's boxes, or polygons.
+
+    From the best on, one stays unless it overlaps one that stays by more than
+    the threshold: boxes (left, top, right, bottom) by intersection over union,
+    polygons (column polygon, convex, counter-clockwise) by intersection over
+    the smaller area. An image's `most` best are looked at, in one task, and
+    each is compared with those that stay only.
     """
-    ranked = top_candidates(boxes, *keys, most=most).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = cut(overlapping(ranked, *keys, above=above))
-    open_ = pairs.select(*keys, F.col("winner").alias("rank")).union(pairs.select(*keys, F.col("loser").alias("rank"))).distinct()
-    losers = None
-    while True:
-        held = pairs.select(*keys, F.col("loser").alias("rank")).distinct()
-        stays = open_.join(held, [*keys, "rank"], "left_anti")
-        gone = cut(pairs.join(stays.withColumnRenamed("rank", "winner"), [*keys, "winner"], "left_semi").select(*keys, F.col("loser").alias("rank")).distinct())
-        if not gone.take(1):
-            break
-        losers = gone if losers is None else losers.union(gone)
-        done = gone.union(stays)
-        pairs = cut(pairs.join(done.withColumnRenamed("rank", "winner"), [*keys, "winner"], "left_anti").join(gone.withColumnRenamed("rank", "loser"), [*keys, "loser"], "left_anti"))
-        open_ = cut(open_.join(done, [*keys, "rank"], "left_anti"))
-    return ranked if losers is None else ranked.join(losers, [*keys, "rank"], "left_anti")
+    ranked = top_candidates(boxes, *keys, most=most)
+    own = ("left", "top", "right", "bottom") if shape == "box" else ("polygon",)
+    schema = T.StructType([*(ranked.schema[k] for k in keys), ranked.schema["rank"]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        kept: list[int] = []
+        if shape == "box":
+            polygons, box = None, np.stack([table[c].to_numpy().astype(float) for c in own], axis=1)
+        else:
+            polygons = [[(p["x"], p["y"]) for p in x] for x in table["polygon"].to_pylist()]
+            box = np.array([[f(p[k] for p in x) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1))] if x else [0.0] * 4 for x in polygons], float).reshape(-1, 4)
+            sizes = np.array([_clipped_area(x, x) if len(x) > 2 else 0.0 for x in polygons])
+        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        for k in range(len(box)):
+            a = box[kept]
+            w, h = (np.maximum(np.minimum(a[:, n + 2], box[k, n + 2]) - np.maximum(a[:, n], box[k, n]), 0) for n in (0, 1))
+            meet = np.flatnonzero(w * h > 0)
+            if shape == "box":
+                union = area[kept][meet] + area[k] - (w * h)[meet]
+                covered = bool(((w * h)[meet] > above * union).any())
+            else:
+                covered = any(min(sizes[k], sizes[kept[m]]) > 0 and _clipped_area(polygons[k], polygons[kept[m]]) > above * min(sizes[k], sizes[kept[m]]) for m in meet)
+            if not covered:
+                kept.append(k)
+        return table.take(pa.array(kept, pa.int64())).select([*keys, "rank"])
+
+    stays = ranked.select(*keys, "rank", *own).groupBy(*keys).applyInArrow(run, schema)
+    return ranked.join(stays, [*keys, "rank"], "left_semi")
 
 
 def sigmoid(x: Column) -> Column:
@@ -123,3 +157,37 @@ def label_overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFr
     """keys, t, p, pixels: cells that a label of each of two masks share."""
     met = truth.select(*keys, "y", "x", F.col("label").alias("t")).join(predicted.select(*keys, "y", "x", F.col("label").alias("p")), [*keys, "y", "x"])
     return met.groupBy(*keys, "t", "p").agg(F.count("*").alias("pixels"))
+
+
+def star_outputs(tensors: DataFrame) -> DataFrame:
+    """image_id, height, width, y, x, score, distances of dense outputs (image_id, channels, height, width, values in NCHW).
+
+    An image has a tensor of one channel, the probability, and one of several,
+    the ray distances; or one tensor with the probability first.
+    """
+    own = tensors.groupBy("image_id").agg(F.min("channels").alias("least"), F.max("channels").alias("most"), F.first("height").alias("height"), F.first("width").alias("width"))
+    t = tensors.select("image_id", "channels", F.posexplode("values").alias("p", "value"), (F.col("height") * F.col("width")).alias("plane"), "width")
+    cells = t.select("image_id", "channels", F.floor(F.col("p") / F.col("plane")).cast("int").alias("c"), F.floor(F.col("p") % F.col("plane") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), F.col("value").cast("double").alias("value"))
+    cells = cells.join(own, "image_id")
+    alone = F.col("least") == 1
+    is_score = F.when(alone, F.col("channels") == 1).otherwise(F.col("c") == 0)
+    out = cells.groupBy("image_id", "height", "width", "y", "x").agg(F.max(F.when(is_score, F.col("value"))).alias("score"), F.transform(F.array_sort(F.collect_list(F.when(~is_score, F.struct("c", "value")))), lambda v: v["value"]).alias("distances"))
+    return out.filter("score is not null")
+
+
+def star_detections(outputs: DataFrame, least: float = 0.5, above: float = 0.4, grid: int = 1, border: int = 2) -> DataFrame:
+    """image_id, det, score, left, top, right, bottom, polygon (whole) of dense outputs: cells at or above the least score and inside the border become star polygons, of which overlapping ones are suppressed."""
+    cells = dense_candidates(outputs, least, border).filter(F.size("distances") >= 3)
+    det = (F.col("y") * F.col("width") + F.col("x")).cast("long")
+    stars = cells.select("image_id", det.alias("det"), "score", poly.star_polygon(F.col("x") * float(grid), F.col("y") * float(grid), F.col("distances")).alias("polygon"))
+    kept = suppress(stars, "image_id", above=above, shape="polygon")
+    b = poly.bounds(F.col("polygon"))
+    return kept.select("image_id", "det", "score", *(c.alias(k) for k, c in b.items()), poly.integer_polygon(F.col("polygon")).alias("polygon"))
+
+
+def row_detections(rows: DataFrame, prototypes: DataFrame, threshold: float = 0.25, above: float = 0.5, width: int = 640, height: int = 640, stride: int = 4) -> DataFrame:
+    """image_id, det, score, left, top, right, bottom, pixels of tensor rows: decoded, overlapping boxes suppressed, and the foreground of each one's mixed mask counted, in prototype cells of `stride` pixels."""
+    kept = suppress(decode_rows(rows, threshold=threshold, width=width, height=height), "image_id", above=above)
+    cells = {c: F.col(c) / stride for c in ("left", "top", "right", "bottom")}
+    masks = mix_masks(kept.withColumns(cells), prototypes).groupBy("image_id", "det").agg(F.count("*").alias("pixels"))
+    return kept.drop("rank", "coefficients").join(masks, ["image_id", "det"], "left").fillna(0, ["pixels"])

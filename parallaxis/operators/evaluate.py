@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.functions import poly
 from parallaxis.scratch import cut
@@ -23,17 +26,79 @@ def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str, cell: float = 1
     return met.select(*keys, "t", "p", F.round(iou, 9).alias("iou")).filter("iou > 0").distinct()
 
 
-def match_once(met: DataFrame, *keys: str, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of pairs at or above a threshold, by rounds of mutually best pairs (greedy, not the best assignment)."""
-    left = cut(met.filter(F.col("iou") >= least))
-    out = None
-    while left.take(1):
-        order = (F.desc("iou"), "t", "p")
-        best = left.withColumn("bt", F.row_number().over(Window.partitionBy(*keys, "t").orderBy(*order))).withColumn("bp", F.row_number().over(Window.partitionBy(*keys, "p").orderBy(*order)))
-        new = cut(best.filter("bt = 1 and bp = 1").select(*keys, "t", "p", "iou"))
-        out = new if out is None else out.union(new)
-        left = cut(left.join(new.select(*keys, "t"), [*keys, "t"], "left_anti").join(new.select(*keys, "p"), [*keys, "p"], "left_anti"))
-    return out if out is not None else left
+def assigned(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """One-to-one pairs of (t, p, iou): as many as can be, and of those choices the largest sum of iou.
+
+    Pairs fall into groups that share no end; each is solved by itself, by
+    shortest augmenting paths.
+    """
+    group: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def root(x: tuple[str, int]) -> tuple[str, int]:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for t, p, _ in pairs:
+        group[root(("t", t))] = root(("p", p))
+    parts: dict[tuple[str, int], list[tuple[int, int, float]]] = {}
+    for x in pairs:
+        parts.setdefault(root(("t", x[0])), []).append(x)
+    out = []
+    for part in parts.values():
+        if len(part) == 1:
+            out += part
+            continue
+        ts, ps = sorted({t for t, _, _ in part}), sorted({p for _, p, _ in part})
+        if len(ts) > len(ps):
+            turned = _cheapest([(p, t, x) for t, p, x in part], ps, ts)
+            out += [(t, p, x) for p, t, x in turned]
+        else:
+            out += _cheapest(part, ts, ps)
+    return sorted(out)
+
+
+def _cheapest(part: list[tuple[int, int, float]], ts: list[int], ps: list[int]) -> list[tuple[int, int, float]]:
+    """The best assignment of all of ts to some of ps (no fewer), where pairs that aren't given are worth nothing."""
+    at, to = {t: k for k, t in enumerate(ts)}, {p: k for k, p in enumerate(ps)}
+    worth = np.zeros((len(ts), len(ps)))
+    for t, p, x in part:
+        worth[at[t], to[p]] = 1 + x / (2 * len(ts))
+    u, w, owner = np.zeros(len(ts) + 1), np.zeros(len(ps) + 1), np.full(len(ps) + 1, -1)
+    for t in range(len(ts)):
+        owner[-1], j = t, len(ps)
+        least, before, done = np.full(len(ps), np.inf), np.full(len(ps), -1), np.zeros(len(ps) + 1, bool)
+        while owner[j] >= 0:
+            done[j], i = True, owner[j]
+            open_ = ~done[:-1]
+            cost = -worth[i] - u[i] - w[:-1]
+            better = open_ & (cost < least)
+            least[better], before[better] = cost[better], j
+            k = int(np.argmin(np.where(open_, least, np.inf)))
+            step = least[k]
+            u[owner[done]] += step
+            w[done] -= step
+            least[open_] -= step
+            j = k
+        while j != len(ps):
+            owner[j], j = owner[before[j]], before[j]
+    given = {(t, p): x for t, p, x in part}
+    return [(ts[i], ps[j], given[ts[i], ps[j]]) for j, i in enumerate(owner[:-1]) if i >= 0 and (ts[i], ps[j]) in given]
+
+
+def match_once(met: DataFrame, *keys: str, least: float | list[float] = 0.5) -> DataFrame:
+    """keys, t, p, iou: the best one-to-one assignment of the pairs at or above a threshold, image by image; with several thresholds, one for each (column threshold)."""
+    many = isinstance(least, list)
+    fields = [*(met.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("p", T.LongType()), T.StructField("iou", T.DoubleType()), *([T.StructField("threshold", T.DoubleType())] if many else [])]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(table["t"].to_pylist(), table["p"].to_pylist(), table["iou"].to_pylist()))
+        out = [(*x, at) for at in (least if many else [least]) for x in assigned([r for r in rows if r[2] >= at])]
+        own = {k: pa.array([table[k][0].as_py()] * len(out), table.schema.field(k).type) for k in keys}
+        own |= {k: pa.array([x[n] for x in out], kind) for n, (k, kind) in enumerate((("t", pa.int64()), ("p", pa.int64()), ("iou", pa.float64()), ("threshold", pa.float64()))) if n < 3 or many}
+        return pa.table(own)
+
+    return met.filter(F.col("iou") >= (min(least) if many else least)).select(*keys, "t", "p", "iou").groupBy(*keys).applyInArrow(run, T.StructType(fields))
 
 
 def scores(matched: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -59,27 +124,35 @@ def foreground(cells: DataFrame) -> DataFrame:
     return n.select(F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(1.0).alias("iou"), F.when(F.col("s") > 0, 2 * F.col("i") / F.col("s")).otherwise(1.0).alias("dice"))
 
 
-def sweep(met: DataFrame, truth: DataFrame, predicted: DataFrame, thresholds: list[float]) -> DataFrame:
-    """tp and f1 of matching at each threshold, pairs being unique by construction (each t and p counted once by its best)."""
+def sweep(met: DataFrame, truth: DataFrame, predicted: DataFrame, thresholds: list[float], *keys: str) -> DataFrame:
+    """threshold, tp, f1 and best of matching at each threshold anew; best is the first of the highest f1."""
+    spark = met.sparkSession
     both = truth.agg(F.count("*").alias("nt")).crossJoin(predicted.agg(F.count("*").alias("np")))
-    grid = F.explode(F.array(*map(F.lit, thresholds)))
-    keys = [c for c in met.columns if c not in ("t", "p", "iou")]
-    best_t = F.row_number().over(Window.partitionBy(*keys, "t").orderBy(F.desc("iou"), "p"))
-    best_p = F.row_number().over(Window.partitionBy(*keys, "p").orderBy(F.desc("iou"), "t"))
-    mutual = met.withColumn("bt", best_t).withColumn("bp", best_p).filter("bt = 1 and bp = 1").withColumn("threshold", grid)
-    tp = mutual.groupBy("threshold").agg(F.count_if(F.col("iou") >= F.col("threshold")).alias("tp"))
-    return tp.crossJoin(F.broadcast(both)).select("threshold", "tp", (2.0 * F.col("tp") / (F.col("nt") + F.col("np"))).alias("f1"))
-
-
-def grid_search(boxes: DataFrame, truth: DataFrame, score_grid: list[float], overlap_grid: list[float], key: str = "image_id") -> DataFrame:
-    """f1 at every pair of score and suppression thresholds; the whole grid is suppressed at once, keyed by its cell."""
-    out = None
+    tp = match_once(met, *keys, least=list(thresholds)).groupBy("threshold").agg(F.count("*").alias("tp"))
+    grid = spark.createDataFrame([(float(x),) for x in thresholds], "threshold double")
+    total = F.col("nt") + F.col("np")
+    out = grid.join(F.broadcast(tp), "threshold", "left").fillna(0, ["tp"]).crossJoin(F.broadcast(both)).select("threshold", "tp", F.when(total > 0, 2.0 * F.col("tp") / total).otherwise(0.0).alias("f1"))
+    first = out.agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("first"))
+    return out.crossJoin(F.broadcast(first)).withColumn("best", F.col("threshold") == F.col("first")).drop("first")
+
+
+def mask_overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
+    """keys, t, p, iou of the labels of two masks (keys, y, x, label) that share cells."""
+    size = lambda cells, name: cells.groupBy(*keys, F.col("label").alias(name)).agg(F.count("*").alias(name + "_size"))
+    met = detect.label_overlaps(truth, predicted, *keys).join(size(truth, "t"), [*keys, "t"]).join(size(predicted, "p"), [*keys, "p"])
+    return met.select(*keys, "t", "p", F.round(F.col("pixels") / (F.col("t_size") + F.col("p_size") - F.col("pixels")), 9).alias("iou"))
+
+
+def grid_search(boxes: DataFrame, truth: DataFrame, score_grid: list[float], overlap_grid: list[float], key: str = "image_id", least: float = 0.5) -> DataFrame:
+    """score, overlap, f1, panoptic and best at every pair of score and suppression thresholds; the whole grid is suppressed at once, keyed by its cell. best is the first of the highest f1."""
+    out, n = None, truth.count()
     for o in overlap_grid:
         rows = boxes.withColumn("s", F.explode(F.array(*map(F.lit, score_grid)))).filter(F.col("score") >= F.col("s"))
         kept = detect.suppress(rows, "s", key, above=o)
         met = overlaps(truth.withColumn("s", F.explode(F.array(*map(F.lit, score_grid)))), kept, "s", key)
-        tp = match_once(met, "s", key).groupBy("s").agg(F.count("*").alias("tp"))
-        n = kept.groupBy("s").agg(F.count("*").alias("np"))
-        f = n.join(tp, "s", "left").crossJoin(F.broadcast(truth.agg(F.count("*").alias("nt")))).select(F.col("s").alias("score"), F.lit(o).alias("overlap"), (2.0 * F.coalesce("tp", F.lit(0)) / (F.col("np") + F.col("nt"))).alias("f1"))
+        tp = match_once(met, "s", key, least=least).groupBy("s").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean"))
+        f = kept.groupBy("s").agg(F.count("*").alias("np")).join(F.broadcast(tp), "s", "left").select(F.col("s").alias("score"), F.lit(o).alias("overlap"), (2.0 * F.coalesce("tp", F.lit(0)) / (F.col("np") + n)).alias("f1"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
         out = f if out is None else out.union(f)
-    return out
+    out = cut(out.select("score", "overlap", "f1", (F.col("f1") * F.col("mean")).alias("panoptic")))
+    first = out.agg(F.max_by(F.struct("score", "overlap"), F.struct("f1", -F.col("score"), -F.col("overlap"))).alias("first"))
+    return out.crossJoin(F.broadcast(first)).withColumn("best", F.struct("score", "overlap") == F.col("first")).drop("first")

@@ -109,7 +109,7 @@ def tensor_decode(spark: SparkSession, d: str) -> DataFrame:
 def mask_mixing(spark: SparkSession, d: str) -> DataFrame:
     e = view(spark, d, "embeddings")
     det = e.select((F.col("vec_id") % 50).cast("long").alias("image_id"), F.col("vec_id").cast("long").alias("det"), F.slice("embedding", 6, 32).alias("coefficients"), (F.col("vec_id") % 3).alias("left"), (F.col("vec_id") % 3 + 3).alias("right"), (F.col("vec_id") % 2).alias("top"), (F.col("vec_id") % 2 + 4).alias("bottom"))
-    proto = e.filter("vec_id < 400").select((F.col("vec_id") % 50).cast("long").alias("image_id"), F.floor(F.col("vec_id") / 50).cast("int").alias("x"), (F.col("vec_id") % 7).cast("int").alias("y"), F.slice("embedding", 30, 32).alias("proto"))
+    proto = e.select((F.col("vec_id") % 50).cast("long").alias("image_id"), F.floor(F.col("vec_id") / 50).cast("int").alias("x"), (F.col("vec_id") % 7).cast("int").alias("y"), F.slice("embedding", 30, 32).alias("proto"))
     return detect.mix_masks(det, proto)
 
 
@@ -137,12 +137,16 @@ def matching_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matching_sweep(spark: SparkSession, d: str) -> DataFrame:
-    t, p = view(spark, d, "truth"), view(spark, d, "boxes").filter("score >= 0.3")
-    return _r(evaluate.sweep(evaluate.overlaps(t, p, "image_id"), t, p, [k / 20 for k in range(2, 19)]), "threshold", "f1")
+    """Matching of label masks, whose labels don't overlap, from half on."""
+    quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
+    t, p = (detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes"))
+    met = evaluate.mask_overlaps(t, p, "image_id")
+    labels = [x.select("image_id", "label").distinct() for x in (t, p)]
+    return _r(evaluate.sweep(met, *labels, [k / 20 for k in range(11, 19)], "image_id"), "threshold", "f1")
 
 
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _r(evaluate.grid_search(view(spark, d, "boxes"), view(spark, d, "truth"), [0.2, 0.5, 0.8], [0.3, 0.5]), "f1")
+    return _r(evaluate.grid_search(view(spark, d, "boxes"), view(spark, d, "truth"), [0.2, 0.5, 0.8], [0.3, 0.5]), "f1", "panoptic")
 
 
 def foreground_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -272,6 +276,31 @@ _SIZE = '({0}."right" - {0}."left") * ({0}.bottom - {0}.top)'
 _A, _B = _SIZE.format("a"), _SIZE.format("b")
 _ANN = "ann AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY ann) AS ann, category, iscrowd, CASE WHEN l_linenumber = 1 THEN 4 ELSE 8 END AS numbers FROM annotations)"
 
+
+def _fit(k: int, rows: str) -> str:
+    """CTEs of the k-th plane fit of each label's rows."""
+    det = "xx*yy-xy*xy"
+    return f"""f{k} AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {rows} GROUP BY label),
+s{k} AS (SELECT p.label, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((y-my)*(y-my)) AS yy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(z-mz)) AS yz FROM {rows} p JOIN f{k} f ON f.label = p.label GROUP BY p.label),
+a{k} AS (SELECT label, n, mx, my, mz, CASE WHEN n >= 3 AND abs({det}) > 1e-12 THEN (xz*yy-yz*xy)/({det}) END AS a, CASE WHEN n >= 3 AND abs({det}) > 1e-12 THEN (yz*xx-xz*xy)/({det}) END AS b FROM s{k}),
+c{k} AS (SELECT label, n, a, b, mz - a*mx - b*my AS c FROM a{k})"""
+
+
+def _trim(k: int, rows: str) -> str:
+    """CTEs of the rows nearest to the k-th fit."""
+    return f"""r{k} AS (SELECT p.*, c.n, row_number() OVER (PARTITION BY p.label ORDER BY round(abs(z - a*x - b*y - c), 12), point_id) AS place FROM {rows} p JOIN c{k} c ON c.label = p.label),
+t{k} AS (SELECT * EXCLUDE (n, place) FROM r{k} WHERE place <= greatest(3, floor(n * 0.7e0)))"""
+
+
+_PLANES = ",\n".join(["t AS (SELECT * REPLACE (z + 0.3e0 * x - 0.1e0 * y AS z) FROM points)", _fit(0, "t"), _trim(0, "t"), _fit(1, "t0"), _trim(1, "t0"), _fit(2, "t1"), _trim(2, "t1"), _fit(3, "t2")])
+_SCALED = "CASE WHEN abs({0}) <= 1.5 THEN {0} * 640 ELSE {0} END"
+_MOTION = "l AS (SELECT session_id, frame_id, ts, dark, bright, luma_std, lap, tx, ty, tz, qx, qy, qz, qw, lag(tx) OVER w AS ltx, lag(ty) OVER w AS lty, lag(tz) OVER w AS ltz, lag(qx) OVER w AS lqx, lag(qy) OVER w AS lqy, lag(qz) OVER w AS lqz, lag(qw) OVER w AS lqw FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY ts, frame_id)), o AS (SELECT session_id, frame_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n, NOT (dark > 0.35e0 OR bright > 0.35e0) AND luma_std >= 18 AND lap >= 120 AND coalesce(sqrt((tx-ltx)*(tx-ltx)+(ty-lty)*(ty-lty)+(tz-ltz)*(tz-ltz)), 0) <= 0.03e0 AND coalesce(degrees(2 * acos(greatest(0.0, least(1.0, abs(qx*lqx+qy*lqy+qz*lqz+qw*lqw))))), 0) <= 8 AS ok FROM l)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLE = {
     "frame_motion": with_views("frames", "l AS (SELECT session_id, frame_id, tx, ty, tz, qx, qy, qz, qw, lag(tx) OVER w AS ltx, lag(ty) OVER w AS lty, lag(tz) OVER w AS ltz, lag(qx) OVER w AS lqx, lag(qy) OVER w AS lqy, lag(qz) OVER w AS lqz, lag(qw) OVER w AS lqw FROM frames WINDOW w AS (PARTITION BY session_id ORDER BY ts, frame_id)) SELECT session_id, frame_id, round(coalesce(sqrt((tx-ltx)*(tx-ltx)+(ty-lty)*(ty-lty)+(tz-ltz)*(tz-ltz)), 0), 6) + 0.0e0 AS move, round(coalesce(degrees(2 * acos(greatest(0.0, least(1.0, abs(qx*lqx+qy*lqy+qz*lqz+qw*lqw))))), 0), 4) + 0.0e0 AS turn FROM l"),
     "frame_reasons": with_views("frames", "SELECT frame_id, array_to_string(list_filter([CASE WHEN dark > 0.35e0 OR bright > 0.35e0 THEN 'exposure' END, CASE WHEN luma_std < 18 THEN 'contrast' END, CASE WHEN lap < 120 THEN 'blur' END], lambda x: x IS NOT NULL), ',') AS reasons FROM frames"),
@@ -286,10 +315,10 @@ ORACLE = {
     "zone_bounds": with_views("bars", "b AS (SELECT zone_id, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS \"by\", min(z) AS az, max(z) AS bz FROM bars GROUP BY zone_id), p AS (SELECT *, greatest(0.05, 0.1e0 * greatest(bx-ax, \"by\"-ay, bz-az)) AS pad FROM b) SELECT zone_id, round((ax+bx)/2, 6) AS cx, round((ay+\"by\")/2, 6) AS cy, round((az+bz)/2, 6) + 0.0e0 AS cz, round(ax-pad, 6) AS minx, round(ay-pad, 6) AS miny, round(az-pad, 6) AS minz, round(bx+pad, 6) AS maxx, round(\"by\"+pad, 6) AS maxy, round(bz+pad, 6) AS maxz FROM p"),
     "view_choice": with_views("boxes", f"v AS (SELECT image_id AS frame_id, det AS zone_id, \"left\", top, \"right\", bottom, det % 5 AS distance, score + 0.05e0 * (det % 7) AS coverage FROM boxes), k AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.frame_id = a.frame_id AND b.distance < a.distance AND {_IOU} > 0.2 * {_A})) SELECT frame_id, arg_max(zone_id, (coverage, -zone_id)) AS zone_id, round(max(coverage), 6) AS coverage FROM k WHERE zone_id * 13 % 90 < 75 AND coverage > 0.3 GROUP BY frame_id"),
     "guidance_radius": with_views("bars cams zones", "t AS (SELECT zone_id, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM bars GROUP BY zone_id), f AS (SELECT t.zone_id, round(sqrt((c.tx+s.cx-gx)*(c.tx+s.cx-gx)+(c.ty+s.cy-gy)*(c.ty+s.cy-gy)+(c.tz-gz)*(c.tz-gz)), 12) AS d FROM t JOIN zones s USING (zone_id) CROSS JOIN cams c), k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY d) AS place, count(*) OVER (PARTITION BY zone_id) AS n FROM f) SELECT t.zone_id, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz, round(greatest(0.6, least(3.5, d)), 6) AS radius FROM t JOIN k ON k.zone_id = t.zone_id AND place = floor(n / 2) + 1"),
-    "box_pairs": with_views("boxes", f"r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes) SELECT a.image_id, a.rank AS winner, b.rank AS loser FROM r a JOIN r b ON a.image_id = b.image_id AND a.rank < b.rank WHERE a.rank <= 10000 AND b.rank <= 10000 AND {_IOU} / nullif({_A} + {_B} - {_IOU}, 0) > 0.3"),
+    "box_pairs": with_views("boxes", "r AS (SELECT image_id, \"left\" AS l, top AS t, \"right\" AS r, bottom AS b, (\"right\" - \"left\") * (bottom - top) AS size, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes), m AS (SELECT a.image_id, a.rank AS winner, b.rank AS loser, a.size + b.size AS sizes, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS meet FROM r a JOIN r b ON a.image_id = b.image_id AND a.rank < b.rank AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b WHERE a.rank <= 10000 AND b.rank <= 10000) SELECT image_id, winner, loser FROM m WHERE meet / (sizes - meet) > 0.3"),
     "instance_counts": with_views("boxes truth", "t AS (SELECT image_id, count(*) AS t FROM truth GROUP BY ALL), p AS (SELECT image_id, count(*) AS p FROM boxes WHERE score >= 0.5 GROUP BY ALL), c AS (SELECT coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM t FULL JOIN p USING (image_id)) SELECT round(sqrt(avg((p-t)*(p-t))), 6) AS rmse, round(avg(abs(p-t)), 6) AS mae, round(avg(abs(p-t) / greatest(t, 1)), 6) AS relative, round(avg(p-t), 6) + 0.0e0 AS signed, round(avg(t), 6) AS mean_true, round(avg(p), 6) AS mean_predicted FROM c"),
     "instance_overlaps": with_views("boxes truth", f"m AS (SELECT a.image_id, round({_IOU} / nullif({_A} + {_B} - {_IOU}, 0), 9) AS iou FROM truth a JOIN boxes b ON a.image_id = b.image_id) SELECT image_id, count(*) AS pairs, round(sum(iou), 6) AS iou, round(max(iou), 6) AS best FROM m WHERE iou > 0 GROUP BY image_id"),
-    "matching_sweep": with_views("boxes truth", f"p AS (SELECT * FROM boxes WHERE score >= 0.3), m AS (SELECT a.image_id, a.det AS t, b.det AS p, round({_IOU} / nullif({_A} + {_B} - {_IOU}, 0), 9) AS iou FROM truth a JOIN p b ON a.image_id = b.image_id), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, t ORDER BY iou DESC, p) AS bt, row_number() OVER (PARTITION BY image_id, p ORDER BY iou DESC, t) AS bp FROM m WHERE iou > 0), g AS (SELECT unnest(range(2, 19)) / 20.0::DOUBLE AS threshold) SELECT round(threshold, 6) AS threshold, count(*) FILTER (iou >= threshold) AS tp, round(2.0::DOUBLE * count(*) FILTER (iou >= threshold) / ((SELECT count(*) FROM truth) + (SELECT count(*) FROM p)), 6) AS f1 FROM k CROSS JOIN g WHERE bt = 1 AND bp = 1 GROUP BY threshold"),
+    "matching_sweep": with_views("boxes truth", "ct AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM truth))), mt AS (SELECT image_id, x, y, max(det) AS label FROM ct GROUP BY ALL), nt AS (SELECT image_id, label, count(*) AS n FROM mt GROUP BY ALL), cp AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM boxes))), mp AS (SELECT image_id, x, y, max(det) AS label FROM cp GROUP BY ALL), np AS (SELECT image_id, label, count(*) AS n FROM mp GROUP BY ALL), o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL), i AS (SELECT round(pixels / (nt.n + np.n - pixels), 9) AS iou FROM o JOIN nt ON nt.image_id = o.image_id AND nt.label = o.t JOIN np ON np.image_id = o.image_id AND np.label = o.p), g AS (SELECT unnest(range(11, 19)) / 20.0::DOUBLE AS threshold), f AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp FROM g CROSS JOIN i GROUP BY threshold), r AS (SELECT threshold, tp, 2.0::DOUBLE * tp / ((SELECT count(*) FROM nt) + (SELECT count(*) FROM np)) AS f1 FROM f) SELECT round(threshold, 6) AS threshold, tp, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM r"),
     "foreground_scores": with_views("pixels", "SELECT round(count(*) FILTER (luma > 128) / count(*) FILTER (luma > 100), 6) AS iou, round(2.0 * count(*) FILTER (luma > 128) / (count(*) FILTER (luma > 128) + count(*) FILTER (luma > 100)), 6) AS dice FROM pixels"),
     "image_polygons": with_views("images annotations", _ANN + ", p AS (SELECT image_id, count(*) AS polygons, sum(numbers) AS numbers FROM ann WHERE iscrowd = 0 AND numbers >= 6 AND category IN ('A', 'N') GROUP BY ALL) SELECT id, file_name, coalesce(polygons, 0) AS polygons, coalesce(numbers, 0)::BIGINT AS numbers FROM images LEFT JOIN p ON id = image_id"),
     "named_images": with_views("images", "SELECT id, file_name FROM images WHERE id % 5 < 2"),
@@ -307,5 +336,41 @@ ORACLE = {
     "preserved_counts": with_views("requests", "SELECT request_id AS seq, first_value(CASE WHEN request_id % 3 = 0 THEN request_id END IGNORE NULLS) OVER (PARTITION BY session_id, zone_id ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS preserved FROM requests"),
     "session_progress": with_views("requests frames", "d AS (SELECT session_id, count(*) FILTER (state IN ('COMPLETED', 'FAILED')) AS finished FROM requests GROUP BY ALL), n AS (SELECT session_id, count(*) AS saved FROM frames WHERE event_type = 'click' GROUP BY ALL) SELECT session_id, saved, coalesce(finished, 0) AS finished, coalesce(finished, 0) >= saved AS complete FROM n LEFT JOIN d USING (session_id)"),
     "session_texts": with_views("requests", "r AS (SELECT session_id, zone_id, count(*) AS points FROM requests GROUP BY ALL) SELECT session_id, string_agg('zone ' || zone_id || ': ' || points || ' points' || CASE WHEN zone_id = 3 THEN ' (local ' || (points + 1) || ')' ELSE '' END, chr(10) ORDER BY zone_id) AS text FROM r GROUP BY session_id"),
+    "frame_gate": _recursive(
+        with_views(
+            "frames",
+            _MOTION
+            + """, g AS (SELECT session_id, n, frame_id, us AS last, true AS accepted, NOT ok AS forced FROM o WHERE n = 1
+  UNION ALL SELECT o.session_id, o.n, o.frame_id, CASE WHEN o.ok OR o.us - g.last >= 86400000000 THEN o.us ELSE g.last END, o.ok OR o.us - g.last >= 86400000000, NOT o.ok AND o.us - g.last >= 86400000000 FROM g JOIN o ON o.session_id = g.session_id AND o.n = g.n + 1)
+SELECT session_id, frame_id, accepted, forced FROM g""",
+        )
+    ),
+    "zone_planes": with_views("points", _PLANES + "\nSELECT label, n, round(a, 4) + 0.0e0 AS a, round(b, 4) + 0.0e0 AS b, round(c, 4) + 0.0e0 AS c, CASE WHEN n < 3 THEN 'too few points' WHEN a IS NULL THEN 'singular' END AS reason FROM c3"),
+    "box_suppression": _recursive(
+        with_views(
+            "boxes",
+            """r AS (SELECT image_id, det, score, "left" AS l, top AS t, "right" AS r, bottom AS b, ("right" - "left") * (bottom - top) AS size, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes),
+g AS (SELECT image_id, rank, det, score, [{'l': l, 't': t, 'r': r, 'b': b, 'size': size}] AS kept, true AS stays FROM r WHERE rank = 1
+  UNION ALL SELECT image_id, rank, det, score, CASE WHEN hit THEN kept ELSE list_append(kept, {'l': l, 't': t, 'r': r, 'b': b, 'size': size}) END, NOT hit
+  FROM (SELECT r.*, g.kept, len(list_filter(g.kept, lambda k: greatest(least(k.r, r.r) - greatest(k.l, r.l), 0) * greatest(least(k.b, r.b) - greatest(k.t, r.t), 0) > 0.3e0 * (k.size + r.size - greatest(least(k.r, r.r) - greatest(k.l, r.l), 0) * greatest(least(k.b, r.b) - greatest(k.t, r.t), 0)))) > 0 AS hit FROM g JOIN r ON r.image_id = g.image_id AND r.rank = g.rank + 1))
+SELECT image_id, det, score FROM g WHERE stays""",
+        )
+    ),
+    "tensor_decode": "WITH e AS (SELECT (vec_id % 50)::BIGINT AS image_id, vec_id::BIGINT AS det, embedding[5]::DOUBLE AS score, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, abs(embedding[3]::DOUBLE) AS w, abs(embedding[4]::DOUBLE) AS h FROM embeddings), d AS (SELECT image_id, det, score, " + ", ".join(_SCALED.format(c) + f" AS {c}" for c in "xywh") + " FROM e WHERE score >= 0.05e0) SELECT image_id, det, round(score, 6) + 0.0e0 AS score, round(greatest(0, least(x - w / 2, 640)), 3) AS \"left\", round(greatest(0, least(y - h / 2, 640)), 3) AS top, round(greatest(0, least(x + w / 2, 640)), 3) AS \"right\", round(greatest(0, least(y + h / 2, 640)), 3) AS bottom FROM d",
+    "mask_mixing": "WITH d AS (SELECT (vec_id % 50)::BIGINT AS image_id, vec_id::BIGINT AS det, embedding[6:37] AS c, vec_id % 3 AS l, vec_id % 2 AS t FROM embeddings), p AS (SELECT (vec_id % 50)::BIGINT AS image_id, (vec_id // 50)::INT AS x, (vec_id % 7)::INT AS y, embedding[30:61] AS p FROM embeddings) SELECT d.image_id, det, y, x FROM d JOIN p ON p.image_id = d.image_id AND x BETWEEN l AND l + 3 AND y BETWEEN t AND t + 4 WHERE list_sum(list_transform(list_zip(c, p), lambda v: (v[1] * v[2])::DOUBLE)) >= 0",
+    "correction_replay": with_views(
+        "frames",
+        """e AS (SELECT session_id, frame_id AS seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rotate' WHEN 'purchase' THEN CASE WHEN frame_id % 11 = 0 THEN 'reset' ELSE 'delete_zone' END ELSE 'add' END AS op, frame_id % 23 AS k, frame_id % 4 AS q FROM frames),
+v AS (SELECT session_id, seq, op, CASE WHEN op IN ('add', 'delete', 'rotate') THEN k END AS point_id, CASE WHEN op = 'delete_zone' OR op = 'add' AND seq % 3 <> 0 THEN q END AS zone_id FROM e),
+a AS (SELECT v.* FROM v LEFT JOIN (SELECT session_id, max(seq) AS reset FROM v WHERE op = 'reset' GROUP BY session_id) r USING (session_id) WHERE reset IS NULL OR seq > reset),
+p AS (SELECT session_id, point_id, max(seq) FILTER (op = 'delete') AS deleted, max(seq) FILTER (op = 'add') AS added FROM a WHERE point_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT p.*, a.zone_id AS asked, (SELECT count(*) FROM a t WHERE t.session_id = p.session_id AND t.point_id = p.point_id AND t.op = 'rotate' AND t.seq > p.added) AS turns FROM p JOIN a ON a.session_id = p.session_id AND a.seq = p.added WHERE deleted IS NULL OR added > deleted),
+z AS (SELECT *, [(point_id + n * 3) % 4 for n in range(0, 4)] AS zones FROM l),
+s AS (SELECT *, coalesce(asked, zones[1]) AS start FROM z),
+m AS (SELECT *, coalesce(list_position(zones, start), 0) AS place FROM s),
+o AS (SELECT session_id, point_id, added, CASE WHEN turns = 0 THEN start WHEN place = 0 THEN zones[(turns - 1) % 4 + 1] ELSE zones[(place - 1 + turns) % 4 + 1] END AS zone_id FROM m),
+c AS (SELECT session_id, zone_id, max(seq) AS closed FROM a WHERE op = 'delete_zone' GROUP BY ALL)
+SELECT o.session_id, point_id, o.zone_id FROM o LEFT JOIN c ON c.session_id = o.session_id AND c.zone_id = o.zone_id WHERE closed IS NULL OR added > closed""",
+    ),
     "rasterised": with_views("boxes", "r AS (SELECT image_id, det, unnest(range(floor(\"left\" / 4)::BIGINT, floor(\"right\" / 4)::BIGINT)) AS x, floor(top / 4)::BIGINT AS top, floor(bottom / 4)::BIGINT AS bottom FROM boxes), c AS (SELECT image_id, det, x, unnest(range(top, bottom)) AS y FROM r), m AS (SELECT image_id, x, y, max(det) AS label FROM c GROUP BY ALL) SELECT image_id, label, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS area FROM m GROUP BY image_id, label"),
 }

@@ -82,6 +82,63 @@ def test_plane_fit_and_its_failures(spark):
     assert 3 not in got or got[3].reason == "singular"
 
 
-def test_matching_is_one_to_one(spark):
+def test_matching_is_the_best_assignment(spark):
     met = spark.createDataFrame([(0, 1, 1, 0.9), (0, 1, 2, 0.8), (0, 2, 2, 0.7), (0, 2, 1, 0.85), (0, 3, 2, 0.2)], "image_id long, t long, p long, iou double")
-    assert {(r.t, r.p) for r in evaluate.match_once(met, "image_id", least=0.3).collect()} == {(1, 1), (2, 2)}
+    assert {(r.t, r.p) for r in evaluate.match_once(met, "image_id", least=0.3).collect()} == {(1, 2), (2, 1)}
+    got = {(r.threshold, r.t, r.p) for r in evaluate.match_once(met, "image_id", least=[0.1, 0.88]).collect()}
+    assert got == {(0.1, 1, 2), (0.1, 2, 1), (0.88, 1, 1)}
+
+
+def test_assignment_equals_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 5)
+        pairs = [(t, 10 + p, round(rng.random(), 3)) for t in range(n) for p in range(m) if rng.random() < 0.6]
+        given = {(t, p): x for t, p, x in pairs}
+        want = (0, 0.0)
+        for order in permutations(range(10, 10 + max(n, m)), n):
+            hit = [given[t, p] for t, p in enumerate(order) if (t, p) in given]
+            want = max(want, (len(hit), round(sum(hit), 6)))
+        got = evaluate.assigned(pairs)
+        assert (len(got), round(sum(x for _, _, x in got), 6)) == want
+        assert len({t for t, _, _ in got}) == len(got) == len({p for _, p, _ in got}) and all(given[t, p] == x for t, p, x in got)
+
+
+def test_sweep_picks_the_first_best(spark):
+    met = spark.createDataFrame([(0, 1, 1, 0.6), (0, 2, 2, 0.35)], "image_id long, t long, p long, iou double")
+    own = spark.createDataFrame([(0, 1), (0, 2)], "image_id long, det long")
+    rows = {r.threshold: (r.tp, r.f1, r.best) for r in evaluate.sweep(met, own, own, [0.1, 0.3, 0.5, 0.9], "image_id").collect()}
+    assert rows == {0.1: (2, 1.0, True), 0.3: (2, 1.0, False), 0.5: (1, 0.5, False), 0.9: (0, 0.0, False)}
+
+
+def test_polygon_suppression_goes_by_the_smaller_area(spark):
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rows = [(0, 1, 0.9, square(0.0, 0.0, 10.0)), (0, 2, 0.8, square(8.0, 8.0, 4.0)), (0, 3, 0.7, square(9.0, 9.0, 1.0)), (0, 4, 0.6, square(30.0, 0.0, 2.0)), (0, 5, 0.5, []), (1, 6, 0.4, square(0.0, 0.0, 10.0))]
+    polygons = spark.createDataFrame(rows, "image_id long, det long, score double, polygon array<struct<x: double, y: double>>")
+    # 2 shares 4 of its 16 with 1; 3 lies inside 1 and 2
+    assert {r.det for r in detect.suppress(polygons, "image_id", above=0.3, shape="polygon").collect()} == {1, 2, 4, 5, 6}
+    assert {r.det for r in detect.suppress(polygons, "image_id", above=0.2, shape="polygon").collect()} == {1, 4, 5, 6}
+
+
+@pytest.mark.parametrize("merged", [False, True])
+def test_dense_outputs_become_polygons(spark, merged):
+    """A 9 x 9 output with two strong cells apart, one weaker beside the first, and one on the border."""
+    plane = [0.0] * 81
+    for y, x, score in ((4, 3, 0.9), (4, 4, 0.8), (6, 6, 0.7), (0, 0, 1.0), (4, 5, 0.3)):
+        plane[y * 9 + x] = score
+    rays = [1.5] * (4 * 81)
+    rows = [(7, 5, 9, 9, plane + rays)] if merged else [(7, 1, 9, 9, plane), (7, 4, 9, 9, rays)]
+    outputs = detect.star_outputs(spark.createDataFrame(rows, "image_id long, channels int, height int, width int, values array<double>"))
+    got = {r.det: r for r in detect.star_detections(outputs, least=0.5, above=0.4).collect()}
+    assert outputs.count() == 81 and set(got) == {4 * 9 + 3, 6 * 9 + 6}
+    assert (got[39].left, got[39].right, got[39].score) == (1.5, 4.5, 0.9)
+
+
+def test_rows_become_detections_with_masks(spark):
+    values = lambda x, score: [x, 8.0, 8.0, 8.0, score, 1.0, 0.0]
+    rows = spark.createDataFrame([(1, 1, values(8.0, 0.9)), (1, 2, values(9.0, 0.8)), (1, 3, values(40.0, 0.7)), (1, 4, values(60.0, 0.1))], "image_id long, det long, values array<double>")
+    cells = spark.createDataFrame([(1, y, x, [4.0 if x < 3 else -4.0, 0.0]) for y in range(16) for x in range(16)], "image_id long, y int, x int, proto array<double>")
+    got = {r.det: r.pixels for r in detect.row_detections(rows, cells, width=64, height=64).collect()}
+    assert got == {1: 6, 3: 0}
