@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parallaxis.functions import poly
 from parallaxis.functions import vec as v
+from parallaxis.operators import frames, placement
 from parallaxis.scratch import cut
 
 
@@ -110,3 +112,57 @@ def diverse_views(candidates: DataFrame, references: DataFrame, most: int = 25,
         t = top.select("zone_id", *(F.col("t." + c).alias("r" + c) for c in ("angle", "px", "py")))
         far = cut(far.join(t, "zone_id", "left").withColumn("best", F.least("best", F.coalesce(delta("r"), F.col("best")))).drop("rangle", "rpx", "rpy"))
     return chosen if chosen is not None else far.select("zone_id", "view_id", F.lit(0).alias("place")).limit(0)
+
+
+def plane_pose(planes: DataFrame, cameras: DataFrame, *keys: str) -> DataFrame:
+    """Fitted planes (a, b, c and centroid mx, my, mz) with their unit normal n*, turned to the camera (keys, t*); null where the fit has none."""
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + 1.0)
+    n = (-F.col("a") / size, -F.col("b") / size, 1.0 / size)
+    met = v.settled(planes.join(cameras.select(*keys, "tx", "ty", "tz"), list(keys)), {"n" + c: x for c, x in zip("xyz", n)})
+    behind = v.dot(v.vec("n"), v.sub(v.vec("t"), v.vec("m"))) < 0
+    return met.withColumns({"n" + c: F.when(behind, -F.col("n" + c)).otherwise(F.col("n" + c)) for c in "xyz"})
+
+
+def overlapping_zones(a: DataFrame, b: DataFrame, *keys: str, least: float = 0.3) -> DataFrame:
+    """keys, zone_id, other_id, overlap: boxes (zone_id, min*, max*) of a and b that share `least` of the smaller one's volume. Cells, as wide as the widest box, bound what is compared."""
+    names = [m + n for m in ("min", "max") for n in "xyz"]
+    wide = F.greatest(*(F.max(F.col("max" + n) - F.col("min" + n)) for n in "xyz"), F.lit(1e-6))
+    cell = cut(a.select(*keys, *names).union(b.select(*keys, *names)).groupBy(*keys).agg(wide.alias("cell")))
+
+    def celled(df: DataFrame, prefix: str, name: str) -> DataFrame:
+        df = df.join(cell, list(keys)) if keys else df.crossJoin(F.broadcast(cell))
+        for n in "xyz":
+            df = df.withColumn("g" + n, F.explode(F.sequence(F.floor(F.col("min" + n) / F.col("cell")), F.floor(F.col("max" + n) / F.col("cell")))))
+        return df.select(*keys, "gx", "gy", "gz", F.col("zone_id").alias(name), *(F.col(c).alias(prefix + c) for c in names))
+
+    met = celled(a, "a_", "zone_id").join(celled(b, "b_", "other_id"), [*keys, "gx", "gy", "gz"])
+    overlap = F.round(v.box_overlap(v.box("a_"), v.box("b_")), 9)
+    return met.select(*keys, "zone_id", "other_id", overlap.alias("overlap")).filter(F.col("overlap") >= least).distinct()
+
+
+def placed_zones(samples: DataFrame, cells: DataFrame, cameras: DataFrame, outlines: DataFrame, least: int = 6) -> DataFrame:
+    """frame_id, zone_id, points, n*, m*, vertices, area, reason of detected zones put into the world.
+
+    samples: frame_id, zone_id, sample_id, sx, sy; cells: depth of the frame;
+    cameras: frame_id, focal, px, py (centre), t*, q*; outlines: frame_id,
+    zone_id, polygon. Each sample takes the depth around it, the points fit a
+    plane, and the outline's vertices meet it; zones of too few points, without
+    a plane, with a vertex that misses it, or of an odd area have a reason.
+    """
+    keys = ["frame_id", "zone_id"]
+    number = samples.withColumn("own", F.struct("zone_id", "sample_id"))
+    depth = frames.depth_samples(number.select("frame_id", F.col("own").alias("sample_id"), "sx", "sy"), cells)
+    points = depth.select("frame_id", "sample_id.zone_id", F.col("sample_id.sample_id").alias("point_id"), F.col("x").alias("ix"), F.col("y").alias("iy"), (F.col("mm") / 1000.0).alias("deep")).join(cameras, "frame_id")
+    q = tuple(F.col("q" + c) for c in "xyzw")
+    at = lambda c, m: (c - F.col(m)) / F.col("focal")
+    points = points.select(*keys, "point_id", *(c.alias(n) for n, c in zip("xyz", v.unproject(at(F.col("ix"), "px"), at(F.col("iy"), "py"), F.col("deep"), v.vec("t"), q))))
+    plane = plane_pose(fit_plane(points, *keys, least=least), cameras.join(outlines.select(*keys), "frame_id"), *keys)
+    met = outlines.join(plane.drop("tx", "ty", "tz"), keys, "left").join(cameras, "frame_id")
+    hit = lambda p: v.plane_hit(v.vec("t"), v.pixel_ray(at(p["x"], "px"), at(p["y"], "py"), q, x_sign=1), v.vec("m"), v.vec("n"))
+    met = met.withColumn("vertices", F.when(F.col("nx").isNotNull(), F.transform("polygon", hit)))
+    missed = F.exists("vertices", lambda p: p.isNull())
+    axes = placement.plane_axes(v.vec("n"))
+    flat = F.transform("vertices", lambda p: poly.point(*placement.to_plane((p["x"], p["y"], p["z"]), v.vec("m"), axes)))
+    met = met.withColumn("area", F.when(~missed, poly.area(flat)))
+    reason = F.coalesce("reason", F.when(F.col("n").isNull(), "too few points"), F.when(missed, "outline misses the plane"), area_in_range(F.col("area")))
+    return met.select(*keys, F.coalesce("n", F.lit(0)).alias("points"), "nx", "ny", "nz", "mx", "my", "mz", "vertices", "area", reason.alias("reason"))

@@ -179,7 +179,18 @@ def dense_cells(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "y", "x", "score", F.round(poly.total(F.col("distances")), 6).alias("reach"))
 
 
-QUERIES = {f.__name__: f for f in (exported_annotations, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
+def cleaned_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices clamped to the image, rounded, thinned, and the boxes and centre that they have."""
+    b = view(spark, d, "boxes").withColumn("p", poly.box_polygon(*(F.col(c).cast("long") for c in ("left", "top", "right", "bottom"))))
+    b = b.withColumn("c", poly.clamped(F.col("p"), F.lit(500), F.lit(300)))
+    half = F.transform("p", lambda q: poly.point(q["x"] / 4 + 0.5, q["y"] / 4))
+    pixel, least = (poly.bounding_box(F.col("p"), n) for n in ("pixel", "least1"))
+    middle = poly.centre(F.col("p"))
+    text = lambda p: F.array_join(F.transform(p, lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), ",")
+    return b.select("image_id", "det", text(F.col("c")).alias("clamped"), text(poly.rounded_polygon(half)).alias("rounded"), text(poly.decimate(F.col("p"), 2)).alias("thinned"), pixel["width"].alias("pixel_width"), least["height"].alias("least_height"), middle["x"].alias("cx"), middle["y"].alias("cy"), annotations.ring_line(F.col("p"), F.lit(1000.0), F.lit(800.0)).alias("line"))
+
+
+QUERIES = {f.__name__: f for f in (cleaned_polygons, exported_annotations, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
 
 _VIEWS = """v0 AS (SELECT z.zone_id, c.frame_id, z.cx, z.cy, z.cz, 0.1e0 * (z.zone_id % 3) AS mx, 0.2e0 AS my, 1.0e0 AS mz, c.tx + z.cx AS tx, c.ty + z.cy AS ty, c.tz AS tz FROM zones z CROSS JOIN cams c),
 v1 AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS ml, sqrt((tx-cx)*(tx-cx)+(ty-cy)*(ty-cy)+(tz-cz)*(tz-cz)) AS dl FROM v0),
@@ -188,6 +199,14 @@ _QUARTER = "q AS (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(
 _CELLS = "c{1} AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM {0}))), m{1} AS (SELECT image_id, x, y, max(det) AS label FROM c{1} GROUP BY ALL)"
 
 ORACLE = {
+    "cleaned_polygons": with_views(
+        "boxes",
+        """b AS (SELECT image_id, det, "left"::BIGINT AS l, top::BIGINT AS t, "right"::BIGINT AS r, bottom::BIGINT AS b FROM boxes),
+p AS (SELECT *, [{'x': l, 'y': t}, {'x': r, 'y': t}, {'x': r, 'y': b}, {'x': l, 'y': b}] AS p FROM b),
+c AS (SELECT *, [least(499, v.x) || ' ' || least(299, v.y) for v in p] AS k, [round_even(v.x / 4.0::DOUBLE + 0.5::DOUBLE, 0)::INT || ' ' || round_even(v.y / 4.0::DOUBLE, 0)::INT for v in p] AS h FROM p)
+SELECT image_id, det, CASE WHEN len(list_distinct(k)) >= 3 THEN array_to_string(list_filter(k, lambda v, i: list_position(k, v) = i), ',') END AS clamped, array_to_string(list_filter(h, lambda v, i: i = 1 OR v <> h[i - 1]), ',') AS rounded, l || ' ' || t || ',' || r || ' ' || b AS thinned,
+  r - l + 1 AS pixel_width, greatest(b - t, 1) AS least_height, (l + r) // 2 AS cx, (t + b) // 2 AS cy, printf('0 %.8f %.8f %.8f %.8f %.8f %.8f %.8f %.8f', l / 1000.0::DOUBLE, t / 800.0::DOUBLE, r / 1000.0::DOUBLE, t / 800.0::DOUBLE, r / 1000.0::DOUBLE, b / 800.0::DOUBLE, l / 1000.0::DOUBLE, b / 800.0::DOUBLE) AS line FROM c""",
+    ),
     "exported_annotations": with_views(
         "boxes",
         """k AS (SELECT image_id % 3 AS folder, image_id, det, least("left", 599) AS l, least(top, 399) AS t, least(CASE WHEN det % 4 = 0 THEN "left" + 0.5e0 ELSE "right" END, 599) AS r, least(bottom, 399) AS b FROM boxes WHERE det % 5 <> 0),

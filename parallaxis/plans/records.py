@@ -74,7 +74,9 @@ def zone_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def zone_planes(spark: SparkSession, d: str) -> DataFrame:
     p = view(spark, d, "points").withColumn("z", F.col("z") + 0.3 * F.col("x") - 0.1 * F.col("y"))
-    return _r(zones.fit_plane(p, "label").select("label", "n", "a", "b", "c", "reason"), "a", "b", "c").withColumns({c: F.round(c, 4) for c in "abc"})
+    cameras = p.select("label").distinct().withColumns({"tx": F.lit(0.0), "ty": F.lit(0.0), "tz": F.when(F.col("label") % 2 == 0, 9.0).otherwise(-9.0)})
+    own = zones.plane_pose(zones.fit_plane(p, "label"), cameras, "label").select("label", "n", *"abc", "mx", "my", "mz", "nx", "ny", "nz", "reason")
+    return own.withColumns({c: F.round(c, 4) + 0.0 for c in (*"abc", "mx", "my", "mz", "nx", "ny", "nz")})
 
 
 def view_choice(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +285,7 @@ def _fit(k: int, rows: str) -> str:
     return f"""f{k} AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {rows} GROUP BY label),
 s{k} AS (SELECT p.label, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((y-my)*(y-my)) AS yy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(z-mz)) AS yz FROM {rows} p JOIN f{k} f ON f.label = p.label GROUP BY p.label),
 a{k} AS (SELECT label, n, mx, my, mz, CASE WHEN n >= 3 AND abs({det}) > 1e-12 THEN (xz*yy-yz*xy)/({det}) END AS a, CASE WHEN n >= 3 AND abs({det}) > 1e-12 THEN (yz*xx-xz*xy)/({det}) END AS b FROM s{k}),
-c{k} AS (SELECT label, n, a, b, mz - a*mx - b*my AS c FROM a{k})"""
+c{k} AS (SELECT label, n, mx, my, mz, a, b, mz - a*mx - b*my AS c FROM a{k})"""
 
 
 def _trim(k: int, rows: str) -> str:
@@ -345,7 +347,7 @@ ORACLE = {
 SELECT session_id, frame_id, accepted, forced FROM g""",
         )
     ),
-    "zone_planes": with_views("points", _PLANES + "\nSELECT label, n, round(a, 4) + 0.0e0 AS a, round(b, 4) + 0.0e0 AS b, round(c, 4) + 0.0e0 AS c, CASE WHEN n < 3 THEN 'too few points' WHEN a IS NULL THEN 'singular' END AS reason FROM c3"),
+    "zone_planes": with_views("points", _PLANES + ", w AS (SELECT *, sqrt(a*a+b*b+1) AS s, CASE WHEN label % 2 = 0 THEN 9.0e0 ELSE -9.0e0 END AS tz FROM c3), f AS (SELECT *, CASE WHEN (a*mx + b*my + tz - mz) < 0 THEN -1 ELSE 1 END AS side FROM w)\nSELECT label, n, round(a, 4) + 0.0e0 AS a, round(b, 4) + 0.0e0 AS b, round(c, 4) + 0.0e0 AS c, round(mx, 4) + 0.0e0 AS mx, round(my, 4) + 0.0e0 AS my, round(mz, 4) + 0.0e0 AS mz, round(-a/s*side, 4) + 0.0e0 AS nx, round(-b/s*side, 4) + 0.0e0 AS ny, round(side/s, 4) + 0.0e0 AS nz, CASE WHEN n < 3 THEN 'too few points' WHEN a IS NULL THEN 'singular' END AS reason FROM f"),
     "box_suppression": _recursive(
         with_views(
             "boxes",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
-from parallaxis.operators import assign, fuse, resolve, triangulate
+from parallaxis.operators import assign, fuse, resolve, triangulate, zones
 from parallaxis.plans.fixtures import view, with_views
 
 BOX = ("minx", "maxx", "miny", "maxy", "minz", "maxz")
@@ -131,14 +131,20 @@ def unused_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def zone_overlaps(spark: SparkSession, d: str) -> DataFrame:
     z = view(spark, d, "zones").select("zone_id", *BOX)
-    a, b = z.select(*(F.col(c).alias("a_" + c) for c in z.columns)), z.select(*(F.col(c).alias("b_" + c) for c in z.columns))
-    # zones of a row can only overlap with their neighbours in it: the cell of the left edge, and the next
-    size = 8.0
-    a = a.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a_minx") / size), F.floor(F.col("a_maxx") / size))))
-    b = b.withColumn("cell", F.explode(F.sequence(F.floor(F.col("b_minx") / size), F.floor(F.col("b_maxx") / size))))
-    met = a.join(b, "cell").filter("a_zone_id < b_zone_id").dropDuplicates(["a_zone_id", "b_zone_id"])
-    o = F.round(v.box_overlap(v.box("a_"), {k: c + F.when(F.lit(k[-1] == "x"), -2.0).otherwise(0.0) for k, c in v.box("b_").items()}), 6)
-    return met.select(F.col("a_zone_id").alias("zone_id"), F.col("b_zone_id").alias("other_id"), o.alias("overlap")).filter("overlap >= 0.1")
+    moved = z.withColumns({"minx": F.col("minx") - 2.0, "maxx": F.col("maxx") - 2.0})
+    return _rounded(zones.overlapping_zones(z, moved, least=0.1).filter("zone_id < other_id"), "overlap")
+
+
+def surplus_components(spark: SparkSession, d: str) -> DataFrame:
+    """The weakest of each zone's components beyond the most observations of a frame."""
+    c = view(spark, d, "bars").select("zone_id", F.col("bar_id").alias("component_id"), (F.col("bar_id") * 7 % 10 / 10.0).alias("confidence"))
+    return resolve.surplus(c, resolve.largest_frame(view(spark, d, "obs"), "zone_id"), "zone_id").select("zone_id", "component_id", "confidence")
+
+
+def released_edges(spark: SparkSession, d: str) -> DataFrame:
+    """New edges and those that dissolved components release, each once."""
+    e = _edges(spark, d).select("zone_id", "a_frame_id", "a_det_id", "b_frame_id", "b_det_id")
+    return resolve.with_released(e.filter("a_det_id % 2 = 0"), e.filter("b_det_id % 3 = 0"))
 
 
 def zone_of_point(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +176,7 @@ def frame_views(spark: SparkSession, d: str) -> DataFrame:
     return met.select("zone_id", "frame_id", "angle", "distance", (F.col("angle") < 75).alias("good"), F.round(delta, 6).alias("delta"))
 
 
-QUERIES = {f.__name__: f for f in (rays, weak_trim, frame_pairs, ray_candidates, support_edges, ambiguous, forbidden, frame_consistency, dynamic_thresholds, resolved_components, points_per_zone, components_on_rays, true_components, near_components, largest_frames, free_edge_pool, unused_edges, zone_overlaps, zone_of_point, four_nearest_zones, neighbour_graph, zones_by_propagation, frame_views)}
+QUERIES = {f.__name__: f for f in (rays, weak_trim, frame_pairs, ray_candidates, support_edges, ambiguous, forbidden, frame_consistency, dynamic_thresholds, resolved_components, points_per_zone, components_on_rays, true_components, near_components, largest_frames, free_edge_pool, unused_edges, surplus_components, released_edges, zone_overlaps, zone_of_point, four_nearest_zones, neighbour_graph, zones_by_propagation, frame_views)}
 
 _RAYS = """rays AS (SELECT zone_id, frame_id, det_id, conf, ox, oy, oz, ux / n AS dx, uy / n AS dy, -1.0e0 / n AS dz FROM
   (SELECT *, sqrt(ux * ux + uy * uy + 1.0e0) AS n FROM (SELECT *, -((px - 320.0e0) / 800.0e0) AS ux, -((py - 240.0e0) / 800.0e0) AS uy FROM obs)))"""
@@ -255,6 +261,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY priority DESC,
 SELECT zone_id, a_frame_id, a_det_id, b_frame_id, b_det_id, round(priority, 6) AS priority FROM k WHERE place <= 200""",
     ),
     "unused_edges": with_views("obs zones", _TO_EDGES + " SELECT zone_id, a_frame_id, a_det_id, b_frame_id, b_det_id FROM edges WHERE a_det_id % 3 <> 0 AND b_det_id % 3 <> 0"),
+    "surplus_components": with_views("bars obs", "n AS (SELECT zone_id, frame_id, count(*) AS n FROM obs GROUP BY ALL), m AS (SELECT zone_id, max(n) AS most FROM n GROUP BY zone_id), k AS (SELECT b.zone_id, bar_id AS component_id, bar_id * 7 % 10 / 10.0e0 AS confidence, most, row_number() OVER (PARTITION BY b.zone_id ORDER BY bar_id * 7 % 10 DESC, bar_id) AS place FROM bars b JOIN m ON m.zone_id = b.zone_id) SELECT zone_id, component_id, confidence FROM k WHERE place > most"),
+    "released_edges": with_views("obs zones", _TO_EDGES + " SELECT zone_id, a_frame_id, a_det_id, b_frame_id, b_det_id FROM edges WHERE a_det_id % 2 = 0 OR b_det_id % 3 = 0"),
     "zone_overlaps": with_views(
         "zones",
         """o AS (SELECT a.zone_id, b.zone_id AS other_id, greatest(least(a.maxx, b.maxx - 2) - greatest(a.minx, b.minx - 2), 0) * greatest(least(a.maxy, b.maxy) - greatest(a.miny, b.miny), 0) * greatest(least(a.maxz, b.maxz) - greatest(a.minz, b.minz), 0) AS i,
