@@ -33,10 +33,10 @@ MOST_LABELLED = 20_000
 STEMS, LANDMARKS = 96, 80
 #: Chance, over all beginnings, that one counts as suspicious by chance alone; and how many count whatever their chance.
 CHANCE, FEW = 1e-4, 12
-#: Words whose similarities a task remembers.
-REMEMBERED = 1 << 20
+#: Words whose similarities a task remembers, and of these such as are like some landmark.
+REMEMBERED, REMEMBERED_ALIKE = 1 << 18, 1 << 15
 #: Different beginnings that a task holds at once.
-MOST_GRAMS = 500_000
+MOST_GRAMS = 100_000
 #: Worst sentences of a document that count.
 WORST = 5
 #: Characters of a word beginning.
@@ -164,8 +164,8 @@ class Landmarks:
         return Landmarks(table, np.ascontiguousarray(own[:, column]))
 
     def similarity(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """As compared, with what is known of words from earlier texts; REMEMBERED words at most."""
-        if len(self.seen) > REMEMBERED or self.found is None:
+        """As compared, with what is known of words from earlier texts, which is forgotten when it is too much."""
+        if self.found is None or len(self.seen) > REMEMBERED or len(self.found) > REMEMBERED_ALIKE:
             self.seen, self.place, self.found = self.seen[:0], self.place[:0], np.zeros((0, self.weights.shape[1]), np.float32)
         at = np.searchsorted(self.seen, t.hash)
         known = np.zeros(t.words, bool)

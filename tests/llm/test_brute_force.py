@@ -460,3 +460,18 @@ def test_substrings_of_a_very_common_pair(spark, monkeypatch):
     got = {r.doc_id: r.kept for r in superkmers.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and sum(len(t) for t in want.values()) < sum(len(t) for _, t in rows)
     assert seen[0].number == 8
+
+
+def test_remembered_words_change_nothing(monkeypatch):
+    """Similarities of words seen before, and of a memory that is full again and again, are those of a fresh machine."""
+    rng = random.Random(20)
+    texts = [" ".join("".join(rng.choice("idiotsabc") for _ in range(rng.randrange(3, 7))) for _ in range(40)) for _ in range(12)]
+    words = ["idiot", "stupid", "basic"]
+    for most in (0, 60, 1 << 18):
+        monkeypatch.setattr(toxicity, "REMEMBERED", most)
+        monkeypatch.setattr(toxicity, "REMEMBERED_ALIKE", max(1, most // 4))
+        marks = toxicity.Landmarks.of(words)
+        for text in texts:
+            t = toxicity.tokens(*_text.buffers(pa.array([text])))
+            got, want = marks.similarity(t), toxicity.Landmarks.of(words).compared(t)
+            assert (got[0] == want[0]).all() and np.array_equal(got[1], want[1])
