@@ -107,6 +107,41 @@ def decode_rows(rows: DataFrame, classes: int = 1, objectness: bool = False, thr
     return out.filter(F.col("score") >= threshold)
 
 
+def row_layout(attributes: int, coefficients: int, classes: int = 1) -> tuple[bool, int]:
+    """Whether rows of so many values have an objectness, and their number of classes: the expected ones, with or without it, else what is left of box and coefficients."""
+    rest = attributes - 4
+    if rest <= coefficients:
+        raise ValueError(f"rows of {attributes} values hold no class beside {coefficients} coefficients")
+    if rest == 1 + classes + coefficients:
+        return True, classes
+    return False, classes if rest == classes + coefficients else rest - coefficients
+
+
+def rescaled(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Boxes of a model's input in the pixels of their images (image_width, image_height), clipped."""
+    kx, ky = F.col("image_width") / float(width), F.col("image_height") / float(height)
+    scale = {"left": kx, "right": kx, "top": ky, "bottom": ky}
+    most = {"left": "image_width", "right": "image_width", "top": "image_height", "bottom": "image_height"}
+    return boxes.withColumns({c: F.greatest(F.lit(0.0), F.least(F.col(c) * k, F.col(most[c]).cast("double"))) for c, k in scale.items()})
+
+
+def output_layout(shape: tuple[int, ...], fallback: str = "NCHW") -> str:
+    """NCHW or NHWC of a tensor of four dimensions: channels are fewer than either side; where both ends could be, the fallback."""
+    if len(shape) != 4:
+        raise ValueError(f"{shape} has not four dimensions")
+    first, last = shape[1] < min(shape[2:]), shape[3] < min(shape[1:3])
+    return fallback if first == last else "NCHW" if first else "NHWC"
+
+
+def detection_rows(tensors: DataFrame) -> DataFrame:
+    """image_id, det, values: rows of flat detection tensors (image_id, d1, d2, values), of which the larger dimension counts detections; those stored by attribute are turned."""
+    t = tensors.select("image_id", F.least("d1", "d2").alias("attributes"), F.greatest("d1", "d2").alias("n"), (F.col("d1") >= F.col("d2")).alias("by_row"), "values")
+    at = lambda k, i: F.when(F.col("by_row"), k * F.col("attributes") + i).otherwise(i * F.col("n") + k)
+    row = lambda k: F.struct(k.cast("long").alias("det"), F.transform(F.sequence(F.lit(0), F.col("attributes") - 1), lambda i: F.get("values", at(k, i).cast("int"))).alias("values"))
+    rows = t.select("image_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row)).alias("r"))
+    return rows.select("image_id", "r.det", "r.values")
+
+
 def tensor_cells(tensors: DataFrame, layout: str = "NCHW") -> DataFrame:
     """image_id, c, y, x, value of flat tensors with channels, height and width."""
     t = tensors.select("image_id", "channels", "height", "width", F.posexplode("values").alias("p", "value"))

@@ -174,3 +174,10 @@ def apply_texts(zones: DataFrame, texts: DataFrame) -> DataFrame:
 def latency(jobs: DataFrame, *keys: str) -> DataFrame:
     """Mean and median of ms."""
     return jobs.groupBy(*keys).agg(F.count("*").alias("jobs"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms"))
+
+
+def metrics_text(quiet: Column) -> Column:
+    """One text of a zone's view: angle, dot, planar direction, coverage, whether it is fully inside, merges and points."""
+    fully = F.when(F.col("fully_inside"), "Y").otherwise("N")
+    state = F.when(quiet >= 3, "placed").otherwise(F.format_string("%d quiet merges", quiet))
+    return F.concat(F.format_string("zone %d: angle %.1f, dot %.2f, direction (%.2f, %.2f), coverage %.1f%%, inside ", "zone_id", "angle", "dot", "planar_x", "planar_y", F.col("coverage") * 100.0), fully, F.lit(", "), state, F.format_string(", %d points", "points"))

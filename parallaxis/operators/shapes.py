@@ -148,3 +148,45 @@ def samples(polygons: DataFrame, *keys: str, most: int = 20, tries: int = 100) -
     inside = rows.filter(poly.contains(F.col("polygon"), F.col("x"), F.col("y"))).groupBy(*keys, "x", "y").agg(F.min("k").alias("k"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("k"))
     return inside.withColumn("place", place).filter(F.col("place") <= most).select(*keys, "place", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+def _inside(p: np.ndarray, polygon: np.ndarray) -> bool:
+    """Whether a point lies in a convex counter-clockwise polygon or on its border."""
+    a, b = polygon, np.roll(polygon, -1, axis=0)
+    return bool(((b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0]) >= -1e-9).all())
+
+
+def _crossings(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Where the edges of two polygons cross."""
+    out = []
+    for p, q in zip(a, np.roll(a, -1, axis=0)):
+        for r, s in zip(b, np.roll(b, -1, axis=0)):
+            u, w, d = q - p, s - r, r - p
+            den = u[0] * w[1] - u[1] * w[0]
+            if abs(den) > 1e-12:
+                t, k = (d[0] * w[1] - d[1] * w[0]) / den, (d[0] * u[1] - d[1] * u[0]) / den
+                if -1e-9 <= t <= 1 + 1e-9 and -1e-9 <= k <= 1 + 1e-9:
+                    out.append(p + t * u)
+    return out
+
+
+def covered_hull(polygons: list[np.ndarray], share: float = 0.3) -> np.ndarray:
+    """Hull of the area that at least this share of the outlines (hulled, one at least) covers; of all of them where that area has no three corners."""
+    outlines = [h for h in map(hull_of, polygons) if len(h) > 2]
+    need = max(1, int(np.ceil(share * len(outlines) - 1e-9)))
+    corners = [p for h in outlines for p in h] + [p for k, a in enumerate(outlines) for b in outlines[k + 1 :] for p in _crossings(a, b)]
+    kept = [p for p in corners if sum(_inside(p, h) for h in outlines) >= need]
+    hull = hull_of(np.round(np.array(kept), 9)) if len(kept) > 2 else np.zeros((0, 2))
+    return hull if len(hull) > 2 else hull_of(np.concatenate(polygons)) if polygons else np.zeros((0, 2))
+
+
+def coverage_hulls(outlines: DataFrame, *keys: str, share: float = 0.3) -> DataFrame:
+    """keys, place, x, y: the corners, in order, of the area that `share` of each group's outlines (column polygon) covers. A group is a zone with the few projections that it keeps."""
+    fields = {f.name: f.dataType.simpleString() for f in outlines.schema.fields}
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h = covered_hull([np.array([(p["x"], p["y"]) for p in x], float) for x in table["polygon"].to_pylist() if x], share)
+        columns = {k: pa.array([v.as_py()] * len(h), v.type) for k, v in zip(keys, key)}
+        return pa.table({**columns, "place": pa.array(range(len(h)), pa.int32()), "x": h[:, 0], "y": h[:, 1]})
+
+    return outlines.select(*keys, "polygon").groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {fields[k]}" for k in keys), "place int, x double, y double"]))

@@ -25,7 +25,7 @@ def bounds(points: DataFrame, *keys: str) -> DataFrame:
 def fit_plane(points: DataFrame, *keys: str, least: int = 3, rounds: int = 3, keep: float = 0.7) -> DataFrame:
     """Robust plane z = a x + b y + c of each group: least squares, refitted on the share of points nearest to it.
 
-    Sums make each fit; a singular fit gives nulls and a reason. points has a
+    Sums make each fit; a singular fit, or one of fewer than `least` points, gives nulls and a reason. points has a
     point_id, by which ties are told apart.
     """
 
@@ -36,7 +36,7 @@ def fit_plane(points: DataFrame, *keys: str, least: int = 3, rounds: int = 3, ke
         dx, dy, dz = (F.col(c) - F.col("m" + c) for c in "xyz")
         s = centred.groupBy(*keys).agg(*(F.first("m" + c).alias("m" + c) for c in "xyz"), F.first("n").alias("n"), *(F.sum(e).alias(k) for k, e in {"xx": dx * dx, "xy": dx * dy, "yy": dy * dy, "xz": dx * dz, "yz": dy * dz}.items()))
         det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-        fine = (F.col("n") >= least) & (F.abs(det) > 1e-12)
+        fine = (F.col("n") >= 3) & (F.abs(det) > 1e-12)
         a = F.when(fine, (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det)
         b = F.when(fine, (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det)
         return s.select(*keys, "n", "mx", "my", "mz", a.alias("a"), b.alias("b")).withColumn("c", F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my"))
@@ -47,7 +47,9 @@ def fit_plane(points: DataFrame, *keys: str, least: int = 3, rounds: int = 3, ke
         ranked = left.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("residual", "point_id")))
         inliers = ranked.filter(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("n") * keep))).drop("a", "b", "c", "n", "residual", "place")
         plane = solve(inliers)
-    return plane.withColumn("reason", F.when(F.col("n") < least, "too few points").when(F.col("a").isNull(), "singular"))
+    few = F.col("given") < least
+    out = plane.join(points.groupBy(*keys).agg(F.count("*").alias("given")), list(keys)).withColumns({c: F.when(~few, F.col(c)) for c in "abc"})
+    return out.withColumn("reason", F.when(few, "too few points").when(F.col("a").isNull(), "singular")).drop("given")
 
 
 def best_view(views: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallaxis.operators import annotations as ann
@@ -15,6 +15,28 @@ PREDICTION = "filename string, width int, height int, count int, instances array
 SNAPSHOT = "session_id string, request_id string, zone_id bigint, frame struct<png:binary,timestamp_ns:bigint,width:int,height:int,distortion:array<double>,tx:double,ty:double,tz:double>, angle double, coverage double"
 
 
+CORRECTION = "session_id string, seq bigint, op string, request_id string, point_id bigint, zone_id bigint, position struct<x:double,y:double,z:double>, confidence double"
+OPERATIONS = ("add", "delete", "rotate", "delete_zone", "delete_request", "reset")
+
+
+def read_corrections(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Manual corrections as JSON lines, in the schema of all their kinds, and those of no known kind, session or number; fields that the schema hasn't are ignored."""
+    rows = (spark.readStream if stream else spark.read).schema(CORRECTION).json(path)
+    known = F.coalesce(F.col("op").isin(*OPERATIONS) & F.col("session_id").isNotNull() & F.col("seq").isNotNull(), F.lit(False))
+    return rows.filter(known), rows.filter(~known)
+
+
+def to_json_vector(*parts) -> Column:
+    """A vector (x, y, z) or quaternion (x, y, z, w) of columns as JSON text."""
+    return F.to_json(F.struct(*(F.lit(c).cast("double").alias(n) if not isinstance(c, Column) else c.cast("double").alias(n) for n, c in zip("xyzw", parts))))
+
+
+def from_json_vector(text: Column, size: int = 3) -> Column:
+    """Struct x, y, z (and w) of JSON text; null where it is none."""
+    p = F.from_json(text, ", ".join(f"{n} double" for n in "xyzw"[:size]))
+    return F.when(F.forall(F.array(*(p[n] for n in "xyzw"[:size])), lambda x: x.isNotNull()), p)
+
+
 def read_annotations(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """Images and annotations (image_id, ann, category, iscrowd, ring) of one JSON document a subset; one ring a row, subset from the path.
 

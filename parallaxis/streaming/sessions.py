@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parallaxis.operators import frames as gate_rules
@@ -98,3 +99,21 @@ def best_views(views: DataFrame) -> DataFrame:
 
     schema = "frame_id array<long>, angle array<double>, px array<double>, py array<double>, coverage array<double>"
     return views.groupBy("session_id", "zone_id").applyInPandasWithState(run, BEST, schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def refresh(points: DataFrame, assign: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Keeps a Parquet table of assigned points up to date with a stream of points (session_id, point_id, ...).
+
+    A batch runs at most once in `every`, and only when new points came; the
+    sessions that it touches are assigned anew, from all their points, and
+    replace their part of the table. The first batch runs at once.
+    """
+
+    def run(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        touched = batch.select("session_id").distinct()
+        batch.write.mode("append").partitionBy("session_id").parquet(f"{table}/points")
+        every_point = spark.read.schema(batch.schema).parquet(f"{table}/points").join(touched, "session_id", "left_semi").dropDuplicates(["session_id", "point_id"])
+        assign(every_point).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{table}/assigned")
+
+    return points.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
