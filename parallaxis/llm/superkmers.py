@@ -37,7 +37,7 @@ GRAM = 2
 #: Bytes of text of a chunk.
 CHUNK = 4 << 20
 #: Bytes of super-k-mers that a bucket holds on average; the number of buckets follows the input.
-BUCKET = 8 << 20
+BUCKET = 6 << 20
 #: Times its share at which a bucket is split.
 SPLIT = 4
 
