@@ -66,6 +66,23 @@ def unoccluded(views: DataFrame, most: float = 0.2) -> DataFrame:
     return a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("b.distance") < F.col("a.distance")) & (w * h > most * size), "left_anti")
 
 
+def unoccluded_outlines(views: DataFrame, most: float = 0.2) -> DataFrame:
+    """Views of zones (frame_id, zone_id, distance, polygon: convex, counter-clockwise) of which no nearer zone's outline in the frame covers more than `most`. Outlines are clipped only where their boxes meet."""
+    box = poly.bounds(F.col("polygon"))
+    own = views.withColumns({"_" + k: c for k, c in box.items()}).withColumn("_area", poly.area(F.col("polygon")))
+    a, b = own.alias("a"), own.alias("b")
+    meet = (F.col("a._left") < F.col("b._right")) & (F.col("b._left") < F.col("a._right")) & (F.col("a._top") < F.col("b._bottom")) & (F.col("b._top") < F.col("a._bottom"))
+    covers = poly.area(poly.clip(F.col("a.polygon"), F.col("b.polygon"))) > most * F.col("a._area")
+    kept = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("b.distance") < F.col("a.distance")) & meet & covers, "left_anti")
+    return kept.select("a.*").drop("_left", "_top", "_right", "_bottom", "_area")
+
+
+def target_zone(views: DataFrame) -> DataFrame:
+    """frame_id, zone_id, coverage: the one zone that each frame is taken for: seen well, not covered by a nearer one, and of the most coverage (ties to the least id)."""
+    seen = (unoccluded_outlines(views) if "polygon" in views.columns else unoccluded(views)).filter(view_is_good())
+    return seen.groupBy("frame_id").agg(F.max_by("zone_id", F.struct("coverage", -F.col("zone_id"))).alias("zone_id"), F.max("coverage").alias("coverage"))
+
+
 def view_is_good() -> Column:
     return (F.col("angle") < 75) & (F.col("coverage") > 0.3)
 

@@ -81,8 +81,13 @@ def zone_planes(spark: SparkSession, d: str) -> DataFrame:
 
 def view_choice(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "boxes").select(F.col("image_id").alias("frame_id"), F.col("det").alias("zone_id"), "left", "top", "right", "bottom", (F.col("det") % 5).cast("double").alias("distance"), (F.col("score") + 0.05 * (F.col("det") % 7)).alias("coverage"))
-    seen = zones.unoccluded(b).withColumn("angle", (F.col("zone_id") * 13 % 90).cast("double")).filter(zones.view_is_good())
-    return _r(zones.best_view(seen.withColumn("f", F.col("frame_id")).withColumn("frame_id", F.col("zone_id")), "f").select(F.col("f").alias("frame_id"), F.col("frame_id").alias("zone_id"), "coverage"), "coverage")
+    return _r(zones.target_zone(b.withColumn("angle", (F.col("zone_id") * 13 % 90).cast("double"))), "coverage")
+
+
+def outline_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The same choice with the boxes given as outlines."""
+    b = view(spark, d, "boxes").select(F.col("image_id").alias("frame_id"), F.col("det").alias("zone_id"), poly.box_polygon(*(F.col(c) for c in ("left", "top", "right", "bottom"))).alias("polygon"), (F.col("det") % 5).cast("double").alias("distance"), (F.col("score") + 0.05 * (F.col("det") % 7)).alias("coverage"), (F.col("det") * 13 % 90).cast("double").alias("angle"))
+    return _r(zones.target_zone(b), "coverage")
 
 
 def guidance_radius(spark: SparkSession, d: str) -> DataFrame:
@@ -267,7 +272,7 @@ def session_texts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        frame_motion, frame_reasons, frame_gate, frame_cadence, image_statistics, percentile_pixels, image_tiles, tile_stitching, depth_decode, depth_sampling, pixel_channels, zone_bounds, zone_planes, view_choice, guidance_radius, suggested_views,
+        frame_motion, frame_reasons, frame_gate, frame_cadence, image_statistics, percentile_pixels, image_tiles, tile_stitching, depth_decode, depth_sampling, pixel_channels, zone_bounds, zone_planes, view_choice, outline_choice, guidance_radius, suggested_views,
         box_suppression, box_pairs, tensor_decode, mask_mixing, rasterised, instance_counts, instance_overlaps, matching_scores, matching_sweep, threshold_grid, foreground_scores, image_polygons, named_images, replaced_annotations, absent_stems, dataset_assembly,
         seeded_split, label_lines, polygon_measures, request_states, request_lifecycle, correction_replay, point_overlay, point_validation, changed_counts, preserved_counts, session_progress, session_texts,
     )
@@ -316,6 +321,7 @@ ORACLE = {
     "pixel_channels": "WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS image_id, CAST(p_partkey * 7919 % 16777216 AS BIGINT) AS k FROM part), c AS (SELECT image_id, (k >> 16) & 255 AS r, (k >> 8) & 255 AS g, k & 255 AS b FROM p) SELECT image_id, round(r / 255.0::DOUBLE, 6) AS red, round(g / 255.0::DOUBLE, 6) AS green, round(b / 255.0::DOUBLE, 6) AS blue, round(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 6) AS luma FROM c",
     "zone_bounds": with_views("bars", "b AS (SELECT zone_id, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS \"by\", min(z) AS az, max(z) AS bz FROM bars GROUP BY zone_id), p AS (SELECT *, greatest(0.05, 0.1e0 * greatest(bx-ax, \"by\"-ay, bz-az)) AS pad FROM b) SELECT zone_id, round((ax+bx)/2, 6) AS cx, round((ay+\"by\")/2, 6) AS cy, round((az+bz)/2, 6) + 0.0e0 AS cz, round(ax-pad, 6) AS minx, round(ay-pad, 6) AS miny, round(az-pad, 6) AS minz, round(bx+pad, 6) AS maxx, round(\"by\"+pad, 6) AS maxy, round(bz+pad, 6) AS maxz FROM p"),
     "view_choice": with_views("boxes", f"v AS (SELECT image_id AS frame_id, det AS zone_id, \"left\", top, \"right\", bottom, det % 5 AS distance, score + 0.05e0 * (det % 7) AS coverage FROM boxes), k AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.frame_id = a.frame_id AND b.distance < a.distance AND {_IOU} > 0.2 * {_A})) SELECT frame_id, arg_max(zone_id, (coverage, -zone_id)) AS zone_id, round(max(coverage), 6) AS coverage FROM k WHERE zone_id * 13 % 90 < 75 AND coverage > 0.3 GROUP BY frame_id"),
+    "outline_choice": with_views("boxes", f"v AS (SELECT image_id AS frame_id, det AS zone_id, \"left\", top, \"right\", bottom, det % 5 AS distance, score + 0.05e0 * (det % 7) AS coverage FROM boxes), k AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.frame_id = a.frame_id AND b.distance < a.distance AND {_IOU} > 0.2 * {_A})) SELECT frame_id, arg_max(zone_id, (coverage, -zone_id)) AS zone_id, round(max(coverage), 6) AS coverage FROM k WHERE zone_id * 13 % 90 < 75 AND coverage > 0.3 GROUP BY frame_id"),
     "guidance_radius": with_views("bars cams zones", "t AS (SELECT zone_id, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM bars GROUP BY zone_id), f AS (SELECT t.zone_id, round(sqrt((c.tx+s.cx-gx)*(c.tx+s.cx-gx)+(c.ty+s.cy-gy)*(c.ty+s.cy-gy)+(c.tz-gz)*(c.tz-gz)), 12) AS d FROM t JOIN zones s USING (zone_id) CROSS JOIN cams c), k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY d) AS place, count(*) OVER (PARTITION BY zone_id) AS n FROM f) SELECT t.zone_id, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz, round(greatest(0.6, least(3.5, d)), 6) AS radius FROM t JOIN k ON k.zone_id = t.zone_id AND place = floor(n / 2) + 1"),
     "box_pairs": with_views("boxes", "r AS (SELECT image_id, \"left\" AS l, top AS t, \"right\" AS r, bottom AS b, (\"right\" - \"left\") * (bottom - top) AS size, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes), m AS (SELECT a.image_id, a.rank AS winner, b.rank AS loser, a.size + b.size AS sizes, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS meet FROM r a JOIN r b ON a.image_id = b.image_id AND a.rank < b.rank AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b WHERE a.rank <= 10000 AND b.rank <= 10000) SELECT image_id, winner, loser FROM m WHERE meet / (sizes - meet) > 0.3"),
     "instance_counts": with_views("boxes truth", "t AS (SELECT image_id, count(*) AS t FROM truth GROUP BY ALL), p AS (SELECT image_id, count(*) AS p FROM boxes WHERE score >= 0.5 GROUP BY ALL), c AS (SELECT coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM t FULL JOIN p USING (image_id)) SELECT round(sqrt(avg((p-t)*(p-t))), 6) AS rmse, round(avg(abs(p-t)), 6) AS mae, round(avg(abs(p-t) / greatest(t, 1)), 6) AS relative, round(avg(p-t), 6) + 0.0e0 AS signed, round(avg(t), 6) AS mean_true, round(avg(p), 6) AS mean_predicted FROM c"),
