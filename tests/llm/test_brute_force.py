@@ -111,7 +111,7 @@ def threshold_pairs(rng, pairs):
 
 @pytest.mark.parametrize("band", [simhash.BAND, 36])
 def test_near_copies_at_the_threshold(spark, band):
-    """Recall is the same with the bands of a small corpus and of one of a hundred million documents."""
+    """Recall is the same with the bands of a small corpus and of one of a thousand million documents."""
     rng = random.Random(14)
     rows, similar = threshold_pairs(rng, 300)
     # a phrase repeated outvotes all else, but not as a set
@@ -475,3 +475,67 @@ def test_remembered_words_change_nothing(monkeypatch):
             t = toxicity.tokens(*_text.buffers(pa.array([text])))
             got, want = marks.similarity(t), toxicity.Landmarks.of(words).compared(t)
             assert (got[0] == want[0]).all() and np.array_equal(got[1], want[1])
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on the smallest tables, each against plain Python on what the one before kept."""
+    import corpus_pipeline
+
+    docs = {0: spark.read.parquet(f"{SF}/documents.parquet")}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs[k - 1], SF).write.parquet(f"{tmp_path}/{name}")
+        docs[k] = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = {k: {r.doc_id: r for r in d.collect()} for k, d in docs.items() if k < 5}
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    assert set(rows[1]) == {r.doc_id for r in resampling.resample(docs[0], labels).collect() if r.kept}  # whose weights and choice are tested above
+
+    words = {d: re.findall("[^\x20\x09-\x0d]+", lowered(r.text)) for d, r in rows[1].items()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()} for d, w in words.items()}
+    ids = sorted(sets)
+    label = {d: d for d in ids}
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in ids:
+        new = dict(label)
+        for a, b in near:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    assert set(rows[2]) == {d for d in ids if label[d] == d} and all(rows[2][d] == rows[1][d] for d in rows[2])
+
+    plain = {d: re.findall("[^\x20\x09-\x0d]+", r.text or "") for d, r in rows[2].items()}
+    first = {}
+    for d in sorted(plain):
+        for k in range(len(plain[d]) - 12):
+            first.setdefault(tuple(plain[d][k : k + 13]), d)
+    want = {}
+    for d, w in plain.items():
+        gone = {k + i for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < d for i in range(13)}
+        if not gone:
+            want[d] = rows[2][d].text
+        elif len(gone) < len(w):
+            want[d] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    assert {d: r.text for d, r in rows[3].items()} == want
+
+    texts = {d: set(bench_words(r.text)) for d, r in rows[3].items()}
+    held = {d for d, r in rows[3].items() if any(len(set(bench_words(x)) & texts[d]) >= 0.3 * len(set(bench_words(x))) and holds(r.text, x) for x in items)}
+    assert set(rows[4]) == set(rows[3]) - held and all(rows[4][d] == rows[3][d] for d in rows[4])
+
+    last = docs[5].collect()
+    size = {d: len(re.findall("[^\x20\x09-\x0d]+", r.text or "")) for d, r in rows[4].items()}
+    sources = sorted({r.source for r in rows[4].values() if r.source is not None}) + [None] * any(r.source is None for r in rows[4].values())
+    held_by = {s: sum(size[d] for d, r in rows[4].items() if r.source == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(held_by.values())
+    while full := {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * held_by[s]}:
+        target |= {s: 2.0 * held_by[s] for s in full}
+        open_ -= full
+        left = 1.5 * sum(held_by.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    for s in sources:
+        assert sum(r.taken for r in last if r.source == s) == pytest.approx(target[s], abs=1)
+    taken = {}
+    for r in last:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert all(0 < n <= 2 * size[d] for d, n in taken.items()) and all(0 <= r.position <= 1 for r in last)
