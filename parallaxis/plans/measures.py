@@ -43,10 +43,12 @@ def posed_points(spark: SparkSession, d: str) -> DataFrame:
     """Rays of turned cameras, where they meet a plane, and points at a depth."""
     f = view(spark, d, "frames").select("frame_id", *(F.col(c) for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")), ((F.col("frame_id") % 21 - 10) / 20.0).alias("u"), ((F.col("frame_id") % 13 - 6) / 15.0).alias("w"))
     q = tuple(F.col("q" + c) for c in "xyzw")
-    f = v.settled(f, {"d" + c: x for c, x in zip("xyz", v.pixel_ray(F.col("u"), F.col("w"), q))})
+    f = v.settled(f, {"e" + c: x for c, x in zip("xyz", v.pixel_ray(F.col("u"), F.col("w")))})
+    f = v.settled(f, {"d" + c: x for c, x in zip("xyz", v.rotate(q, v.vec("e")))})
     plane = v.plane_hit(v.vec("t"), v.vec("d"), (F.lit(0.0), F.lit(0.0), F.lit(-2.0)), (F.lit(0.0), F.lit(0.2), F.lit(1.0)))
     deep = v.unproject(F.col("u"), F.col("w"), F.lit(1.5), v.vec("t"), q)
-    return _r(f.select("frame_id", "dx", "dy", "dz", *(plane[c].alias("h" + c) for c in "xyz"), *(x.alias("p" + c) for c, x in zip("xyz", deep))), *(p + c for p in "dhp" for c in "xyz"))
+    f = v.settled(f, {"plane": plane, **{"p" + c: x for c, x in zip("xyz", deep)}})
+    return _r(f.select("frame_id", "dx", "dy", "dz", *(F.col("plane")[c].alias("h" + c) for c in "xyz"), "px", "py", "pz"), *(p + c for p in "dhp" for c in "xyz"), digits=9)
 
 
 def image_coordinates(spark: SparkSession, d: str) -> DataFrame:
@@ -240,9 +242,9 @@ SELECT bar_id, round(u, 6) + 0.0e0 AS u, round(w, 6) + 0.0e0 AS w, round(1.0e0+a
 f1 AS (SELECT *, -u / sqrt(u*u+w*w+1) AS ex, -w / sqrt(u*u+w*w+1) AS ey, -1 / sqrt(u*u+w*w+1) AS ez FROM f0),
 f2 AS (SELECT *, ex*cos(yaw)+ez*sin(yaw) AS dx, ey AS dy, ez*cos(yaw)-ex*sin(yaw) AS dz, 1.5e0*u AS gx, -1.5e0*w AS gy, -1.5e0 AS gz FROM f1),
 f3 AS (SELECT *, dy*0.2e0+dz AS den, (-ty*0.2e0 + (-2.0e0-tz)) / (dy*0.2e0+dz) AS t FROM f2)
-SELECT frame_id, round(dx, 6) + 0.0e0 AS dx, round(dy, 6) + 0.0e0 AS dy, round(dz, 6) + 0.0e0 AS dz,
-  CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(tx+dx*t, 6) + 0.0e0 END AS hx, CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(ty+dy*t, 6) + 0.0e0 END AS hy, CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(tz+dz*t, 6) + 0.0e0 END AS hz,
-  round(tx+gx*cos(yaw)+gz*sin(yaw), 6) + 0.0e0 AS px, round(ty+gy, 6) + 0.0e0 AS py, round(tz+gz*cos(yaw)-gx*sin(yaw), 6) + 0.0e0 AS pz FROM f3""",
+SELECT frame_id, round(dx, 9) + 0.0e0 AS dx, round(dy, 9) + 0.0e0 AS dy, round(dz, 9) + 0.0e0 AS dz,
+  CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(tx+dx*t, 9) + 0.0e0 END AS hx, CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(ty+dy*t, 9) + 0.0e0 END AS hy, CASE WHEN abs(den) > 1e-6 AND t > 0 THEN round(tz+dz*t, 9) + 0.0e0 END AS hz,
+  round(tx+gx*cos(yaw)+gz*sin(yaw), 9) + 0.0e0 AS px, round(ty+gy, 9) + 0.0e0 AS py, round(tz+gz*cos(yaw)-gx*sin(yaw), 9) + 0.0e0 AS pz FROM f3""",
     ),
     "image_coordinates": """WITH p AS (SELECT p_partkey::BIGINT AS id, (p_partkey * 13 % 700 - 20)::BIGINT AS x, (p_partkey * 7 % 500 - 5)::BIGINT AS y, (p_size * 13)::BIGINT AS w, (p_size * 9)::BIGINT AS h FROM part),
 c AS (SELECT *, greatest(0, least(x, w - 1)) AS sx, greatest(0, least(y, h - 1)) AS sy, greatest(1.0::DOUBLE, 128.0::DOUBLE / h, 128.0::DOUBLE / w) AS k FROM p)
