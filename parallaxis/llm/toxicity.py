@@ -33,6 +33,8 @@ MOST_LABELLED = 20_000
 STEMS, LANDMARKS = 96, 80
 #: Chance, over all beginnings, that one counts as suspicious by chance alone; and how many count whatever their chance.
 CHANCE, FEW = 1e-4, 12
+#: Bytes of text that are taken apart at once.
+PIECE = 1 << 18
 #: Words whose similarities a task remembers, and of these such as are like some landmark.
 REMEMBERED, REMEMBERED_ALIKE = 1 << 18, 1 << 15
 #: Different beginnings that a task holds at once.
@@ -333,7 +335,7 @@ def _suspicious(documents: DataFrame, marks: Landmarks, judge: np.ndarray, bias:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.chunks(batch.column(0), 1 << 20):
+            for a, b, data, offsets in _text.chunks(batch.column(0), PIECE):
                 x, of, _ = marks.sentences(data, offsets)
                 worst = np.zeros((b - a, x.shape[1]), np.float32)
                 if len(x):
@@ -403,7 +405,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic") -> Mac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.chunks(batch.column(0), 1 << 20):
+            for a, b, data, offsets in _text.chunks(batch.column(0), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array(list(machine.features(data, offsets)), pa.list_(pa.float64())), batch.column(1).slice(a, b - a).cast(pa.int32())], names=["x", "label"])
 
     fitted = own.mapInArrow(run, "x array<double>, label int").collect()  # MOST_LABELLED rows at most
@@ -439,7 +441,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.chunks(batch.column(1), 1 << 20):
+            for a, b, data, offsets in _text.chunks(batch.column(1), PIECE):
                 scores = machine.scores(machine.features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
