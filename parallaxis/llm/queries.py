@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parallaxis.llm import chat, licences, mixture, pivots, resampling, semantic, simhash, superkmers, toxicity, warc
+from parallaxis.llm import chat, idfiles, licences, mixture, pivots, prefixes, resampling, semantic, simhash, superkmers, toxicity, vectorcodes, warc
 from parallaxis.llm._work import fresh_path, stored, table
 
 CONTROL_CASE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -155,6 +155,90 @@ def op10_embedding_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def tokenizer() -> str:
+    """Place of the tokenizer file, the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to Huffman-coded files and read back."""
+    path = fresh_path(spark, "ids")
+    files = idfiles.write_ids(table(spark, sf_dir, "documents"), tokenizer(), path)
+    return idfiles.read_documents(files, path)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS same, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS MATERIALIZED (SELECT conv_id, strlen(text) AS bytes, same, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, same) AS i FROM t),
+z AS (SELECT conv_id, count(*) AS n FROM i GROUP BY conv_id),
+h AS MATERIALIZED (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h
+  FROM z),
+u AS MATERIALIZED (SELECT h.conv_id, h.base, h.h, h.n, least(h.h, coalesce(z.n, 0)) AS used FROM h LEFT JOIN z ON z.conv_id = h.base),
+r AS (
+  SELECT u.conv_id, i.i AS depth, i.same, i.bytes FROM u JOIN i ON i.conv_id = u.base AND i.i <= u.used
+  UNION ALL SELECT u.conv_id, u.used + i.i - u.h, i.same, i.bytes FROM u JOIN i ON i.conv_id = u.conv_id AND i.i > u.h),
+l AS MATERIALIZED (SELECT u.conv_id, coalesce(list(r.same ORDER BY depth) FILTER (r.same IS NOT NULL), []) AS path, coalesce(list(r.bytes ORDER BY depth) FILTER (r.same IS NOT NULL), []) AS bytes FROM u LEFT JOIN r ON r.conv_id = u.conv_id GROUP BY u.conv_id),
+p AS MATERIALIZED (
+  SELECT conv_id, d AS depth, len(path) = d AS ends, sha256(d::VARCHAR || array_to_string(path[1:d], '')) AS k, CASE WHEN d > 0 THEN sha256((d - 1)::VARCHAR || array_to_string(path[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM l)),
+n AS MATERIALIZED (
+  SELECT k, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY k),
+c AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+b AS (
+  SELECT p.k, sum(n.own) AS saved_tokens, count(*) FILTER (c.k IS NULL) AS n_leaves
+  FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN c ON c.k = n.k GROUP BY p.k)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN b ON b.k = n.k LEFT JOIN c ON c.k = n.k LEFT JOIN n m ON m.k = n.up
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all embeddings."""
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _round_sql(k: int) -> str:
+    """Assignment to the entries of round k, and the entries of the next."""
+    return f"""a{k} AS MATERIALIZED (
+  SELECT c.r, c.p, min(dist * 64 + e) AS best FROM (
+    SELECT c.r, c.p, b.e, list_sum(list_transform(range(1, len(c.x) + 1), lambda j: (c.x[j] - b.x[j]) * (c.x[j] - b.x[j])))::BIGINT AS dist FROM c JOIN b{k} b ON b.p = c.p) c
+  GROUP BY c.r, c.p),
+s{k} AS (SELECT c.p, a.best % 64 AS e, j, sum(c.x[j])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN c ON c.r = a.r AND c.p = a.p CROSS JOIN w CROSS JOIN range(1, w.w + 1) t(j) GROUP BY c.p, a.best % 64, j),
+m{k} AS (SELECT p, e, list((s - ((s % n + n) % n)) // n ORDER BY j) AS x FROM s{k} GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // 16 AS w FROM v),
+c AS MATERIALIZED (SELECT r, p, v[p * w + 1:p * w + w] AS x FROM v CROSS JOIN w CROSS JOIN range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM c WHERE r <= 64),
+{_round_sql(0)},
+{_round_sql(1)},
+{_round_sql(2).split("s2 AS")[0].rstrip().rstrip(",")},
+f AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY r),
+k AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT v.vec_id, f.code, f.error, sum(f.error) OVER (PARTITION BY v.label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN f ON f.r = v.r CROSS JOIN k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -166,9 +250,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_pivots": op10_embedding_pivots,
+    "op11_huffman_ids": op11_huffman_ids,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_source_mixture": OP6_SQL}
+ORACLE = {"op1_chat_format": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_source_mixture": OP6_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
