@@ -41,11 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+def passing(df: DataFrame, name: str, compression: str = "snappy") -> Iterator[DataFrame]:
     """df stored for as long as the block runs; what is made of it there must be stored or collected there too."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

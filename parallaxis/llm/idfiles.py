@@ -4,9 +4,11 @@ A folder holds `code` (the length of each id's code; canonical codes follow
 from the lengths) and one file a range of documents in ascending order. A file
 is a run of blocks, each of BLOCK ids at most, and ends in a directory with
 the place and the first id of each block. A block has the documents that start
-in it, the bits that each STEP ids take, and the codes. Because every STEP-th
-id's bit offset is known, all runs of a block are decoded side by side, one
-table look-up an id.
+in it, its segments (a document, or BLOCK ids of one), the bits that each STEP
+ids take, and the codes. Because every STEP-th id's bit offset is known, all
+runs of a block are decoded side by side, one table look-up an id. A segment
+begins at a whole word, so that it is coded where its document is and then
+moved and joined to others as it is.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.llm import _text, _work
@@ -151,19 +153,30 @@ def _encoder(path: str) -> Encoder:
 
 
 def token_ids(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids of every document: the ids of its whole text (null: none), then END, as little-endian unsigned 32-bit integers. Long texts are encoded in pieces that can't change their ids."""
+    """doc_id, ids, size of every document: the ids of its whole text (null: none), then END, as little-endian unsigned integers of size bytes (2 where the vocabulary allows it, else 4). Long texts are encoded in pieces that can't change their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
+        size = 2 if encoder.size <= 1 << 16 else 4
         for batch in batches:
             for a, b, data, offsets in _text.chunks(batch.column(1), CHUNK):
                 ids, at = encoder.encode(data, offsets)
-                out = np.insert(ids, at[1:], END).astype("<u4")
-                ends = (at + np.arange(len(at))) * 4
+                out = np.insert(ids, at[1:], END).astype(f"<u{size}")
+                ends = (at + np.arange(len(at))) * size
                 column = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column, pa.array(np.full(b - a, size, np.int32))], names=["doc_id", "ids", "size"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, size int")
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch (columns ids, size first), and how many each row has."""
+    if not batch.num_rows:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    column, size = batch.column(0).cast(pa.large_binary()), batch.column(1)[0].as_py()
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(f"<u{size}"), np.diff(at) // size
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
@@ -172,15 +185,13 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                n = np.bincount(np.frombuffer(row.as_buffer(), "<u4"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+            n = np.bincount(_ids(batch)[0], minlength=len(total))
+            n[: len(total)] += total
+            total = n
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own], pa.int64())], names=["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids", "size").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -236,34 +247,41 @@ class Code:
         out[: int(self.spans.sum())] = np.repeat(entries, self.spans)
         return out
 
-    def write(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The 32-bit words of the codes of ids, and the bits that each STEP ids take."""
+    def write(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments of so many ids (one at least) each: the 32-bit words of their codes, the words of each, and the bits that each STEP ids of each take."""
         length = self.lengths[ids].astype(np.int64)
-        end = np.cumsum(length)
-        start = end - length
+        first = np.cumsum(sizes) - sizes
+        bits = np.add.reduceat(length, first)
+        words = (bits + 31) >> 5
+        begin = (np.cumsum(words) - words) << 5
+        start = np.cumsum(length) - length
+        start += np.repeat(begin - start[first], sizes)
         word = start >> 5
         code = self.codes[ids] << (64 - length - (start & 31)).astype(np.uint64)
-        new = np.flatnonzero(np.diff(word, prepend=-1))  # a code is shorter than a word, so that each word but the last has one that begins in it
-        out = np.zeros(int(word[-1]) + 2, np.uint64)
-        out[:-1] = np.bitwise_or.reduceat(code >> np.uint64(32), new)
-        out[1:] |= np.bitwise_or.reduceat(code & np.uint64(0xFFFFFFFF), new)
-        marks = np.append(start[::STEP], end[-1])
-        return out.astype("<u4"), np.diff(marks).astype("<u2")
-
-
-def read_block(table: np.ndarray, width: int, words: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of a block, all runs between checkpoints side by side."""
-    pad = STEP * width // 32 + 2
-    whole = np.concatenate([words.astype(np.uint64), np.zeros(pad + 1, np.uint64)])
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        out = np.zeros(int(words.sum()) + 1, np.uint64)
+        out[word[new]] = np.bitwise_or.reduceat(code >> np.uint64(32), new)
+        out[word[new] + 1] |= np.bitwise_or.reduceat(code & np.uint64(0xFFFFFFFF), new)
+        runs = -(-sizes // STEP)
+        marks = _runs(np.zeros(len(sizes), np.int64), runs) * STEP + np.repeat(first, runs)
+        return out[:-1].astype("<u4"), words, np.add.reduceat(length, marks).astype("<u2")
+
+
+def read_block(table: np.ndarray, width: int, words: np.ndarray, bits: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The ids of segments of so many ids that hold so many words, all runs between checkpoints side by side."""
+    whole = np.concatenate([words.astype(np.uint64), np.zeros(STEP * width // 32 + 3, np.uint64)])
     pairs = whole[:-1] << np.uint64(32) | whole[1:]
+    runs = -(-sizes // STEP)
     at = np.cumsum(bits, dtype=np.int64) - bits
+    at += np.repeat(((np.cumsum(held) - held) << 5) - at[np.cumsum(runs) - runs], runs)
     out = np.empty((STEP, len(at)), np.uint32)
     mask, shift = np.uint64((1 << width) - 1), 64 - width
     for k in range(STEP):
         entry = table[(pairs[at >> 5] >> (shift - (at & 31)).astype(np.uint64)) & mask]
         out[k] = entry >> 6
         at += entry & 63
-    return out.T.reshape(-1)[:n]
+    left = np.repeat(sizes, runs) - _runs(np.zeros(len(sizes), np.int64), runs) * STEP
+    return out.T[np.arange(STEP) < left[:, None]]
 
 
 _HEAD, _TAIL = struct.Struct("<IIII"), struct.Struct("<QQ8s")
@@ -275,35 +293,33 @@ _DOC = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("n", "<u8"), ("null", "u1
 
 
 class _Writer:
-    """One file: ids and documents go in, blocks come out as they fill."""
+    """One file: segments go in, blocks come out as they fill."""
 
-    def __init__(self, out, code: Code):
-        self.out, self.code = out, code
-        self.at = self.ids = self.held = 0
-        self.parts: list[np.ndarray] = []
+    def __init__(self, out):
+        self.out = out
+        self.at = self.ids = self.held = self.n_docs = 0
         self.docs: list[tuple[int, int, int, int]] = []
-        self.n_docs, self.directory = 0, []
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, self.ids + self.held, len(ids), doc_id is None))
-        self.n_docs += 1
-        while len(ids):
-            part = ids[: BLOCK - self.held]
-            self.parts.append(part)
-            self.held += len(part)
-            ids = ids[len(part) :]
-            if self.held == BLOCK:
-                self._flush()
+        self.segments: list[tuple[int, bytes, bytes]] = []
+        self.directory: list[tuple[int, int, int]] = []
+
+    def add(self, doc_id: int | None, number: int, all_ids: int, n: int, bits: bytes, words: bytes) -> None:
+        if self.held + n > BLOCK and self.held:
+            self._flush()
+        if not number:
+            self.docs.append((doc_id or 0, self.ids + self.held, all_ids, doc_id is None))
+            self.n_docs += 1
+        self.segments.append((n, bits, words))
+        self.held += n
 
     def _flush(self) -> None:
-        words, bits = self.code.write(np.concatenate(self.parts))
-        docs = np.array(self.docs, _DOC).tobytes()
-        body = _HEAD.pack(self.held, len(self.docs), len(words), len(bits)) + docs + bits.tobytes() + words.tobytes()
+        bits, words = (b"".join(x[k] for x in self.segments) for k in (1, 2))
+        body = _HEAD.pack(len(self.docs), len(self.segments), len(bits), len(words)) + np.array(self.docs, _DOC).tobytes()
+        body += np.array([(n, len(w) // 4) for n, _, w in self.segments], "<u4").tobytes() + bits + words
         self.out.write(body)
         self.directory.append((self.at, self.ids, self.held))
         self.at += len(body)
         self.ids += self.held
-        self.held, self.parts, self.docs = 0, [], []
+        self.held, self.segments, self.docs = 0, [], []
 
     def close(self) -> None:
         if self.held:
@@ -311,6 +327,30 @@ class _Writer:
         self.out.write(np.array(self.directory, _ENTRY).tobytes() + _TAIL.pack(self.at, len(self.directory), _MAGIC))
 
 
+def _segments(ids: DataFrame, code: Code) -> DataFrame:
+    """doc_id, tie, row, number, all_ids, n, bits, words: every document coded, in segments of BLOCK ids at most."""
+    names = ["doc_id", "tie", "row", "number", "all_ids", "n", "bits", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, sizes = _ids(batch)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            for a, b in _text.slices(upto, 4 * BLOCK):
+                own = sizes[a:b]
+                pieces = -(-own // BLOCK)
+                number = _runs(np.zeros(b - a, np.int64), pieces)
+                all_ids = np.repeat(own, pieces)
+                n = np.minimum(BLOCK, all_ids - number * BLOCK)
+                words, held, bits = code.write(every[upto[a] : upto[b]], n)
+                column = lambda data, size: pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                take = pa.array(np.repeat(np.arange(a, b), pieces))
+                columns = [*(batch.column(k).take(take) for k in (2, 3, 4)), *(pa.array(x) for x in (number, all_ids, n)), column(bits, -(-n // STEP) * 2), column(words, held * 4)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = ids.select("ids", "size", "doc_id", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id long, tie long, row long, number long, all_ids long, n long, bits binary, words binary")
+
+
 def write_ids(documents: DataFrame, tokenizer: str, path: str, limit: int = LIMIT) -> DataFrame:
     """Files of the ids of documents (doc_id, text) below path; returns file, part, first (number of the file's first id), n_ids, n_docs, n_bytes of each.
 
@@ -322,8 +362,7 @@ def write_ids(documents: DataFrame, tokenizer: str, path: str, limit: int = LIMI
     comes back is written once and names only files of tasks that ended well.
     Columns besides the two are ignored.
     """
-    spark = documents.sparkSession
-    with _work.passing(token_ids(documents, tokenizer), "ids") as ids:
+    with _work.passing(token_ids(documents, tokenizer), "ids", "zstd") as ids:
         found = id_counts(ids).collect()
         counts = np.zeros(max((r.id for r in found), default=0) + 1, np.int64)
         for r in found:
@@ -341,10 +380,9 @@ def write_ids(documents: DataFrame, tokenizer: str, path: str, limit: int = LIMI
             name, writer = f"{uuid.uuid4().hex}.ids", None
             try:
                 for batch in batches:
-                    for doc_id, row in zip(batch.column(0).to_pylist(), batch.column(1)):
-                        if writer is None:
-                            writer = _Writer(store.open_output_stream(f"{root}/{name}", compression=None), Code(lengths))
-                        writer.add(doc_id, np.frombuffer(row.as_buffer(), "<u4"))
+                    for *row, bits, words in zip(*(c.to_pylist() for c in batch.columns)):
+                        writer = writer or _Writer(store.open_output_stream(f"{root}/{name}", compression=None))
+                        writer.add(*row, bits, words)
                 if writer is not None:
                     writer.close()
                     row = (name, TaskContext.get().partitionId(), writer.ids, writer.n_docs, writer.at)
@@ -353,10 +391,10 @@ def write_ids(documents: DataFrame, tokenizer: str, path: str, limit: int = LIMI
                 if writer is not None:
                     writer.out.close()
 
-        order = ("doc_id", "tie", "row")
-        rows = ids.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
-        ranged = rows.repartitionByRange(max(1, -(-total // each)), *order).sortWithinPartitions(*order)
-        files = _work.stored(ranged.select("doc_id", "ids").mapInArrow(run, "file string, part long, n_ids long, n_docs long, n_bytes long"), "files")
+        order = ("doc_id", "tie", "row")  # a document's segments stay together
+        ranged = _segments(ids, Code(lengths)).repartitionByRange(max(1, -(-total // each)), *order).sortWithinPartitions(*order, "number")
+        ranged = ranged.select("doc_id", "number", "all_ids", "n", "bits", "words")
+        files = _work.stored(ranged.mapInArrow(run, "file string, part long, n_ids long, n_docs long, n_bytes long"), "files")
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file, FILES about at most
     return files.withColumn("first", F.coalesce(before, F.lit(0))).select("file", "part", "first", "n_ids", "n_docs", "n_bytes")
 
@@ -384,13 +422,13 @@ def _blocks(f, table: np.ndarray, width: int, low: int = 0, high: int | None = N
     for k in range(a, b):
         f.seek(int(places[k]))
         body = f.read(int(places[k + 1] - places[k]))
-        n_ids, n_docs, n_words, n_bits = _HEAD.unpack_from(body)
-        at = _HEAD.size
-        docs = np.frombuffer(body, _DOC, n_docs, at)
-        at += docs.nbytes
-        bits = np.frombuffer(body, "<u2", n_bits, at)
-        words = np.frombuffer(body, "<u4", n_words, at + bits.nbytes)
-        yield int(first[k]), docs, read_block(table, width, words, bits, n_ids)
+        n_docs, n_segments, n_bits, _ = _HEAD.unpack_from(body)
+        docs = np.frombuffer(body, _DOC, n_docs, _HEAD.size)
+        at = _HEAD.size + docs.nbytes
+        sizes, held = np.frombuffer(body, "<u4", 2 * n_segments, at).reshape(-1, 2).astype(np.int64).T
+        at += 8 * n_segments
+        bits, words = np.frombuffer(body, "<u2", n_bits // 2, at), np.frombuffer(body, "<u4", -1, at + n_bits)
+        yield int(first[k]), docs, read_block(table, width, words, bits, sizes, held)
 
 
 def read_documents(files: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

@@ -126,8 +126,9 @@ def test_codes_are_the_shortest_within_the_limit(counts, limit):
     assert int((lengths * counts).sum()) == best
     code = idfiles.Code(lengths)
     ids = np.random.default_rng(1).choice(used, 1000).astype(np.uint32)
-    words, bits = code.write(ids)
-    assert (idfiles.read_block(code.table(), code.width, words, bits, len(ids)) == ids).all()
+    sizes = np.array([1, 127, 128, 129, 615])
+    words, held, bits = code.write(ids, sizes)
+    assert (idfiles.read_block(code.table(), code.width, words, bits, sizes, held) == ids).all()
 
 
 def wanted_trie(rows):
