@@ -47,8 +47,8 @@ def replay(events: DataFrame, nearest: DataFrame) -> DataFrame:
     events: session_id, seq, op (add, rotate, delete, delete_zone, reset),
     point_id, zone_id. Adding puts a point in the zone given or the nearest;
     each rotation moves it one on among its nearest zones; deletions of the
-    point or its zone and resets of the session remove what came before them.
-    nearest: point_id, zones (nearest first).
+    point, or of a zone that it is in at that time, and resets of the session
+    remove what came before them. nearest: point_id, zones (nearest first).
     """
     session = Window.partitionBy("session_id")
     after_reset = events.withColumn("reset", F.max(F.when(F.col("op") == "reset", F.col("seq"))).over(session)).filter("reset is null or seq > reset")
@@ -57,13 +57,16 @@ def replay(events: DataFrame, nearest: DataFrame) -> DataFrame:
         F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("deleted"), F.max(F.when(F.col("op") == "add", F.col("seq"))).alias("added"), F.max_by("zone_id", F.when(F.col("op") == "add", F.col("seq"))).alias("asked"), F.collect_list(F.when(F.col("op") == "rotate", F.col("seq"))).alias("turns")
     )
     alive = point.filter("added is not null and (deleted is null or added > deleted)").join(nearest, "point_id", "left")
-    turns = F.size(F.filter("turns", lambda s: s > F.col("added")))
+    later = F.array_sort(F.filter("turns", lambda s: s > F.col("added")))
     start = F.coalesce("asked", F.get("zones", F.lit(0)))
     place = F.array_position("zones", start)
-    zone = F.when(turns == 0, start).when(place == 0, F.get("zones", F.pmod(turns - 1, F.size("zones")).cast("int"))).otherwise(F.get("zones", F.pmod(place - 1 + turns, F.size("zones")).cast("int")))
-    placed = alive.select("session_id", "point_id", "added", zone.alias("zone_id"))
-    gone = after_reset.filter("op = 'delete_zone'").groupBy("session_id", "zone_id").agg(F.max("seq").alias("closed"))
-    return placed.join(gone, ["session_id", "zone_id"], "left").filter("closed is null or added > closed").select("session_id", "point_id", "zone_id")
+    after = lambda k: F.when(k == 0, start).otherwise(F.get("zones", F.pmod(F.greatest(place - 1, F.when(place == 0, F.lit(-1)).otherwise(F.lit(0))) + k, F.size("zones")).cast("int")))
+    steps = alive.select("session_id", "point_id", "zones", "asked", later.alias("later"), "added").withColumn("k", F.explode(F.sequence(F.lit(0), F.size("later"))))
+    stays = steps.select("session_id", "point_id", after(F.col("k")).alias("zone_id"), F.when(F.col("k") == 0, F.col("added")).otherwise(F.get("later", F.col("k") - 1)).alias("since"), F.get("later", F.col("k")).alias("until"))
+    closed = after_reset.filter("op = 'delete_zone'").select("session_id", F.col("zone_id").alias("closed_id"), F.col("seq").alias("closed"))
+    hit = (stays.session_id == closed.session_id) & (F.col("zone_id") == F.col("closed_id")) & (F.col("closed") > F.col("since")) & (F.col("until").isNull() | (F.col("closed") < F.col("until")))
+    gone = stays.join(closed, hit, "left_semi").select("session_id", "point_id").distinct()
+    return stays.filter("until is null").join(gone, ["session_id", "point_id"], "left_anti").select("session_id", "point_id", "zone_id")
 
 
 def changed(before: DataFrame, now: DataFrame, value: str, *keys: str) -> DataFrame:

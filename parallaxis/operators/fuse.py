@@ -23,7 +23,17 @@ def with_rays(observations: DataFrame, focal: float = 800.0, cx: float = 320.0,
     return v.settled(observations, {"d" + n: c for c, n in zip(d, "xyz")})
 
 
-def frame_pairs(frames: DataFrame, always: int = 10, half: int = 20, within: str = "session_id") -> DataFrame:
+#: Ranks below these are compared always, and by a draw of one half; later ones by one of a quarter.
+ALWAYS, HALF = 10, 20
+
+
+def is_compared(rank: int, first: int, second: int, always: int = ALWAYS, half: int = HALF) -> bool:
+    """frame_pairs' choice for one pair of frames."""
+    draw = (first * 7919 + second * 104729) % 1009 / 1009.0
+    return rank < always or draw < (0.5 if rank < half else 0.25)
+
+
+def frame_pairs(frames: DataFrame, always: int = ALWAYS, half: int = HALF, within: str = "session_id") -> DataFrame:
     """first_frame, second_frame, quality: each frame with the earlier ones (by seq) that it is compared with.
 
     Earlier frames are ranked by difference; the best are always taken, later

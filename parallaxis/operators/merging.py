@@ -100,6 +100,17 @@ def take(zones: list[Merged], new: Merged) -> tuple[list[Merged], str]:
 DECISIONS = "session_id long, seq long, zone_id long, decision string, zones int, placed int, points int"
 
 
+def fold(zones: list[Merged], seq: int, confidence: float, points: np.ndarray, outline: np.ndarray, camera: np.ndarray) -> tuple[list[Merged], tuple]:
+    """The zones of a session after a detection, and (zone_id, decision, zones, placed, points) of it."""
+    plane = fitted_plane(points, camera)
+    if plane is None:
+        return zones, (None, "no plane", len(zones), sum(z.quiet >= PLACED for z in zones), 0)
+    new = Merged(seq, points, [(confidence, outline, camera)], plane)
+    zones, decision = take(zones, new)
+    own = max(zones, key=lambda z: z.overlap(new))
+    return zones, (own.zone_id, decision, len(zones), sum(z.quiet >= PLACED for z in zones), len(own.points))
+
+
 def merge_zones(detections: DataFrame) -> DataFrame:
     """What becomes of each detected zone of a session, in order of seq, and how many zones, placed ones and points of its zone the session then has.
 
@@ -115,15 +126,8 @@ def merge_zones(detections: DataFrame) -> DataFrame:
         rows = []
         for r in table.sort_by("seq").to_pylist():
             points, outline = (np.array([(p["x"], p["y"], p["z"]) for p in r[c]], float) for c in ("points", "outline"))
-            camera = np.array([r["tx"], r["ty"], r["tz"]])
-            plane = fitted_plane(points, camera)
-            if plane is None:
-                rows.append((r["session_id"], r["seq"], None, "no plane", len(zones), sum(z.quiet >= PLACED for z in zones), 0))
-                continue
-            new = Merged(r["seq"], points, [(r["confidence"], outline, camera)], plane)
-            zones, decision = take(zones, new)
-            own = max(zones, key=lambda z: z.overlap(new))
-            rows.append((r["session_id"], r["seq"], own.zone_id, decision, len(zones), sum(z.quiet >= PLACED for z in zones), len(own.points)))
+            zones, row = fold(zones, r["seq"], r["confidence"], points, outline, np.array([r["tx"], r["ty"], r["tz"]]))
+            rows.append((r["session_id"], r["seq"], *row))
         return pa.table({n: pa.array([r[k] for r in rows], kinds[x.split()[1]]) for k, (n, x) in enumerate(zip(names, DECISIONS.split(", ")))})
 
     return detections.select("session_id", "seq", "confidence", "points", "outline", "tx", "ty", "tz").groupBy("session_id").applyInArrow(run, DECISIONS)

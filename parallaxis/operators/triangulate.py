@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
+from parallaxis.operators import fuse
 
 #: Edges of a component, best confidence after normalisation, gain of a replacement and edges that replace.
 MIN_EDGES, BEST, IMPROVEMENT, REPLACING = 4, 0.4, 1e-4, 2
@@ -36,6 +41,7 @@ class Component:
     edges: dict[frozenset, tuple[Point, float]]
     centre: Point = (0.0, 0.0, 0.0)
     confidence: float = 0.0
+    name: Observation | None = None
 
     def settle(self) -> None:
         """Centre weighted by confidence; confidence is the mean times the root of the number of edges."""
@@ -61,6 +67,14 @@ class Zone:
     candidates: set[frozenset] = field(default_factory=set)  # pairs of observations
     ignored: set[tuple[Observation, int]] = field(default_factory=set)
     sizes: dict[int, int] = field(default_factory=dict)  # observations of each accepted frame
+    names: dict[Observation, Observation] = field(default_factory=dict)  # of the last component that each observation was in
+
+    def christen(self, c: Component) -> None:
+        """Gives a grown component the name that most of its observations had, if no living one has it (ties to the smallest), else that of its first observation without such a name."""
+        living = {o.name for o in self.components}
+        votes = Counter(n for o in c.members.values() if (n := self.names.get(o)) is not None and n not in living)
+        used = living | set(self.names.values())
+        c.name = min(votes, key=lambda n: (-votes[n], n)) if votes else min((o for o in c.members.values() if o not in used), default=min(c.members.values()))
 
     @property
     def now(self) -> dict[str, float]:
@@ -185,8 +199,11 @@ class Zone:
             if seed in self.free and self.likely(seed):
                 c = self.grow(seed)
                 if not self.bad(c):
+                    self.christen(c)
                     self.components.append(c)
                     self.use(c)
+        for c in self.components:
+            self.names.update(dict.fromkeys(c.members.values(), c.name))
 
     def likely(self, seed: frozenset) -> bool:
         """Whether any sure edge meets the seed: without one nothing joins it."""
@@ -241,6 +258,79 @@ class Zone:
         return True
 
 
+def saved(zone: Zone) -> dict[str, str]:
+    """A zone in parts, as text: one for each accepted frame (what it was compared with), one for each component, the free edges, and the names."""
+    frames = {f: {"n": zone.sizes[f], "with": [], "pairs": [], "ignored": []} for f in zone.accepted}
+    for pair in zone.compared:
+        frames[max(pair)]["with"].append(min(pair))
+    for pair in zone.candidates:
+        (g, a), (f, b) = sorted(pair)
+        frames[f]["pairs"].append((g, a, b))
+    for o, frame in zone.ignored:
+        frames[max(o[0], frame)]["ignored"].append((*o, frame))
+    edges = lambda some: [[*sum(sorted(pair), ()), *place, conf] for pair, (place, conf) in some.items()]
+    out = {f"frame {k} {f}": json.dumps({c: sorted(x) if isinstance(x, list) else x for c, x in v.items()}) for k, (f, v) in enumerate(frames.items())}
+    out |= {f"component {'%d:%d' % c.name if c.name else k}": json.dumps({"at": k, "name": c.name, "members": sorted(c.members.values()), "edges": edges(c.edges)}) for k, c in enumerate(zone.components)}
+    free = [[*row, zone.born[frozenset((tuple(row[:2]), tuple(row[2:4])))]] for row in edges(zone.free)]
+    return out | {"free": json.dumps(free), "names": json.dumps([[*o, *n] for o, n in zone.names.items()])}
+
+
+def restored(limits: list[dict[str, float]], parts: Iterable[tuple[str, str]]) -> Zone:
+    """The zone that was saved."""
+    zone, frames, components = Zone(limits), [], []
+    pair_of = lambda row: frozenset((tuple(row[:2]), tuple(row[2:4])))
+    free: list[list] = []
+    for key, text in parts:
+        kind, _, rest = key.partition(" ")
+        held = json.loads(text)
+        if kind == "frame":
+            frames.append((*map(int, rest.split()), held))
+        elif kind == "component":
+            c = Component({m[0]: tuple(m) for m in held["members"]}, {pair_of(r): (tuple(r[4:7]), r[7]) for r in held["edges"]}, name=tuple(held["name"]) if held["name"] else None)
+            c.settle()
+            components.append((held["at"], c))
+        elif kind == "free":
+            free = held
+        elif kind == "names":
+            zone.names = {tuple(r[:2]): tuple(r[2:]) for r in held}
+    for _, frame, held in sorted(frames, key=lambda x: x[0]):
+        zone.accepted.append(frame)
+        zone.sizes[frame] = held["n"]
+        zone.compared |= {frozenset((frame, g)) for g in held["with"]}
+        zone.candidates |= {frozenset(((g, a), (frame, b))) for g, a, b in held["pairs"]}
+        zone.ignored |= {((f, d), g) for f, d, g in held["ignored"]}
+    zone.components = [c for _, c in sorted(components, key=lambda x: x[0])]
+    for row in free:
+        pair = pair_of(row)
+        zone.free[pair], zone.born[pair] = (tuple(row[4:7]), row[7]), row[8]
+        for o in pair:
+            zone.at.setdefault(o, set()).add(pair)
+    return zone
+
+
+def met_rays(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_conf: np.ndarray, b_conf: np.ndarray, box: np.ndarray, most: float) -> list[dict]:
+    """Candidates of two frames of a zone: their rays (origin and direction, a row each) that pass within `most`, as ray_candidates has them."""
+    o1, d1, o2, d2 = a[:, None, :3], a[:, None, 3:], b[None, :, :3], b[None, :, 3:]
+    dot = lambda x, y: (x * y).sum(-1)
+    w = o1 - o2
+    qa, qb, qc, qd, qe = dot(d1, d1), dot(d1, d2), dot(d2, d2), dot(d1, w), dot(d2, w)
+    den = qa * qc - qb * qb
+    sound = np.abs(den) > v.PARALLEL
+    den = np.where(sound, den, 1.0)
+    t1, t2 = (qb * qe - qc * qd) / den, (qa * qe - qb * qd) / den
+    for t in (t1, t2):
+        sound &= (t > v.MIN_DEPTH) & (t < v.MAX_DEPTH)
+    p, q = o1 + d1 * t1[..., None], o2 + d2 * t2[..., None]
+    apart, middle = np.sqrt(dot(p - q, p - q)), (p + q) / 2
+    angle = np.clip(2 * np.sqrt((np.cross(np.broadcast_to(d1, p.shape), np.broadcast_to(d2, p.shape)) ** 2).sum(-1)), 0, 1)
+    inside = ((middle >= box[0]) & (middle <= box[1])).all(-1)
+    rows, columns = np.nonzero(sound & (apart <= most))
+    return [
+        {"a_det_id": int(a_ids[i]), "b_det_id": int(b_ids[j]), "a_conf": float(a_conf[i]), "b_conf": float(b_conf[j]), "distance": float(apart[i, j]), "angle_conf": float(angle[i, j]), **dict(zip("xyz", map(float, middle[i, j]))), "inside": bool(inside[i, j])}
+        for i, j in zip(rows.tolist(), columns.tolist())
+    ]
+
+
 def _ceil_root(n: int) -> int:
     k = int(n**0.5)
     return k if k * k >= n else k + 1
@@ -253,7 +343,14 @@ def _off_ray(r: dict, p: Point) -> float:
     return _apart(to, (t * r["dx"], t * r["dy"], t * r["dz"]))
 
 
-RESOLVED = "zone_id long, component_id long, frame_id long, det_id long, x double, y double, z double, confidence double, edges long"
+def compared_frames(frame: int, pose: np.ndarray, earlier: dict[int, np.ndarray]) -> list[int]:
+    """The earlier frames (frame to pose: translation and viewing direction) that a frame is compared with, as fuse.frame_pairs chooses them; frames count as in order of their ids."""
+    far = lambda p: round(float(np.linalg.norm(p[:3] - pose[:3]) + (1 - np.clip(p[3:] @ pose[3:], -1, 1)) * 0.5), 9)
+    ranked = sorted(earlier, key=lambda g: (-far(earlier[g]), g))
+    return sorted(g for rank, g in enumerate(ranked) if fuse.is_compared(rank, g, frame))
+
+
+RESOLVED = "zone_id long, component_id long, frame_id long, det_id long, x double, y double, z double, confidence double, edges long, name string"
 _SEEN, _PAIRED = ("frame_id", "det_id", "ox", "oy", "oz", "dx", "dy", "dz", "earlier"), ("a_frame_id", "a_det_id", "b_frame_id", "b_det_id", "a_conf", "b_conf", "distance", "angle_conf", "x", "y", "z", "inside")
 
 
@@ -265,7 +362,7 @@ def _limits(session) -> list[dict[str, float]]:
 
 
 def count_objects(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxes: DataFrame) -> DataFrame:
-    """A row for each member of each component of every zone, after all its frames in order.
+    """A row for each member of each component of every zone, after all its frames in order. component_id is a rank; name (a frame and a detection) stays with an object when its component dissolves and grows again.
 
     rays: zone_id, frame_id, det_id, o*, d*. pairs: first_frame, second_frame
     to be compared. candidates: ray_candidates of the same, at the widest
@@ -287,8 +384,8 @@ def count_objects(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxe
             met.setdefault(r["b_frame_id"], {}).setdefault(r["a_frame_id"], []).append(r)
         for frame in sorted(frames):
             zone.see(frame, dict(sorted(frames[frame].items())), next(iter(frames[frame].values()))["earlier"] or [], met.get(frame, {}))
-        rows = [(key[0].as_py(), n, *o, *c.centre, c.confidence, len(c.edges)) for n, c in enumerate(zone.objects()) for o in sorted(c.members.values())]
-        kinds = {"long": pa.int64(), "double": pa.float64()}
+        rows = [(key[0].as_py(), n, *o, *c.centre, c.confidence, len(c.edges), "%d:%d" % c.name) for n, c in enumerate(zone.objects()) for o in sorted(c.members.values())]
+        kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
         return pa.table({x.split()[0]: pa.array([r[k] for r in rows], kinds[x.split()[1]]) for k, x in enumerate(RESOLVED.split(", "))})
 
     return seen.groupBy("zone").cogroup(paired.groupBy("zone_id")).applyInArrow(run, RESOLVED)

@@ -372,13 +372,13 @@ SELECT image_id, det, score FROM g WHERE stays""",
 v AS (SELECT session_id, seq, op, CASE WHEN op IN ('add', 'delete', 'rotate') THEN k END AS point_id, CASE WHEN op = 'delete_zone' OR op = 'add' AND seq % 3 <> 0 THEN q END AS zone_id FROM e),
 a AS (SELECT v.* FROM v LEFT JOIN (SELECT session_id, max(seq) AS reset FROM v WHERE op = 'reset' GROUP BY session_id) r USING (session_id) WHERE reset IS NULL OR seq > reset),
 p AS (SELECT session_id, point_id, max(seq) FILTER (op = 'delete') AS deleted, max(seq) FILTER (op = 'add') AS added FROM a WHERE point_id IS NOT NULL GROUP BY ALL),
-l AS (SELECT p.*, a.zone_id AS asked, (SELECT count(*) FROM a t WHERE t.session_id = p.session_id AND t.point_id = p.point_id AND t.op = 'rotate' AND t.seq > p.added) AS turns FROM p JOIN a ON a.session_id = p.session_id AND a.seq = p.added WHERE deleted IS NULL OR added > deleted),
-z AS (SELECT *, [(point_id + n * 3) % 4 for n in range(0, 4)] AS zones FROM l),
-s AS (SELECT *, coalesce(asked, zones[1]) AS start FROM z),
-m AS (SELECT *, coalesce(list_position(zones, start), 0) AS place FROM s),
-o AS (SELECT session_id, point_id, added, CASE WHEN turns = 0 THEN start WHEN place = 0 THEN zones[(turns - 1) % 4 + 1] ELSE zones[(place - 1 + turns) % 4 + 1] END AS zone_id FROM m),
-c AS (SELECT session_id, zone_id, max(seq) AS closed FROM a WHERE op = 'delete_zone' GROUP BY ALL)
-SELECT o.session_id, point_id, o.zone_id FROM o LEFT JOIN c ON c.session_id = o.session_id AND c.zone_id = o.zone_id WHERE closed IS NULL OR added > closed""",
+l AS (SELECT p.*, a.zone_id AS asked, [(p.point_id + n * 3) % 4 for n in range(0, 4)] AS zones,
+  [0] || coalesce((SELECT list(t.seq ORDER BY t.seq) FROM a t WHERE t.session_id = p.session_id AND t.point_id = p.point_id AND t.op = 'rotate' AND t.seq > p.added), []) AS turns FROM p JOIN a ON a.session_id = p.session_id AND a.seq = p.added WHERE deleted IS NULL OR added > deleted),
+m AS (SELECT *, coalesce(asked, zones[1]) AS start, coalesce(list_position(zones, coalesce(asked, zones[1])), 0) AS place FROM l),
+k AS (SELECT *, unnest(range(0, len(turns))) AS k FROM m),
+o AS (SELECT session_id, point_id, CASE WHEN k = 0 THEN start WHEN place = 0 THEN zones[(k - 1) % 4 + 1] ELSE zones[(place - 1 + k) % 4 + 1] END AS zone_id, CASE WHEN k = 0 THEN added ELSE turns[k + 1] END AS since, CASE WHEN k + 1 < len(turns) THEN turns[k + 2] END AS until FROM k),
+g AS (SELECT DISTINCT o.session_id, o.point_id FROM o JOIN a ON a.session_id = o.session_id AND a.op = 'delete_zone' AND a.zone_id = o.zone_id AND a.seq > since AND (until IS NULL OR a.seq < until))
+SELECT session_id, point_id, zone_id FROM o WHERE until IS NULL AND NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = o.session_id AND g.point_id = o.point_id)""",
     ),
     "rasterised": with_views("boxes", "r AS (SELECT image_id, det, unnest(range(floor(\"left\" / 4)::BIGINT, floor(\"right\" / 4)::BIGINT)) AS x, floor(top / 4)::BIGINT AS top, floor(bottom / 4)::BIGINT AS bottom FROM boxes), c AS (SELECT image_id, det, x, unnest(range(top, bottom)) AS y FROM r), m AS (SELECT image_id, x, y, max(det) AS label FROM c GROUP BY ALL) SELECT image_id, label, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS area FROM m GROUP BY image_id, label"),
 }

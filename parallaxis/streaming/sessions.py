@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -51,9 +51,9 @@ def with_ok(frames: DataFrame) -> DataFrame:
     return own.withColumn("ok", F.size(gate_rules.reasons()) == 0)
 
 
-def requests(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Running counts of request events by session, zone and state; a request_id that comes again within the lateness counts once."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id", "state"])
+def request_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Running counts of request events by session, zone and state; an event of a request that comes again within the lateness counts once. states.request_counts counts requests by their present state."""
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "request_id", "state"])
     return once.groupBy("session_id", "zone_id", "state").agg(F.count("*").alias("n"))
 
 
@@ -62,58 +62,23 @@ def frames_per_window(frames: DataFrame, size: str = "10 minutes", late: str = "
     return frames.withWatermark("ts", late).groupBy("session_id", F.window("ts", size).alias("w")).agg(F.count("*").alias("n")).select("session_id", F.col("w.start").alias("start"), "n")
 
 
-BEST = "session_id long, zone_id long, frame_id long, decision string"
-
-
-def best_views(views: DataFrame) -> DataFrame:
-    """Decisions of a best-view store over views (session_id, zone_id, frame_id, us, angle, px, py, coverage).
-
-    A view is skipped if it is poor; added if it is like none kept; it replaces
-    all that are like it if it covers strictly more than each, else it is
-    skipped. State is the kept views of a zone.
-    """
-
-    def like(a: tuple, b: tuple) -> bool:
-        return abs(a[1] - b[1]) / 15.0 + ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 / 0.1 <= 1.0
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "frame_id"])
-        out = []
-        for r in rows.itertuples():
-            new = (int(r.frame_id), float(r.angle), float(r.px), float(r.py), float(r.coverage))
-            same = [x for x in kept if like(x, new)]
-            if r.angle >= 75 or r.coverage <= 0.3:
-                decision = "poor"
-            elif not same:
-                decision = "added"
-            elif all(new[4] > x[4] for x in same):
-                decision = "replaced"
-            else:
-                decision = "skipped"
-            if decision in ("added", "replaced"):
-                kept = [x for x in kept if x not in same] + [new]
-            out.append((*key, new[0], decision))
-        state.update(tuple(list(c) for c in zip(*kept)) if kept else ([], [], [], [], []))
-        yield pd.DataFrame(out, columns=["session_id", "zone_id", "frame_id", "decision"])
-
-    schema = "frame_id array<long>, angle array<double>, px array<double>, py array<double>, coverage array<double>"
-    return views.groupBy("session_id", "zone_id").applyInPandasWithState(run, BEST, schema, "append", GroupStateTimeout.NoTimeout)
-
-
 def refresh(points: DataFrame, assign: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
     """Keeps a Parquet table of assigned points up to date with a stream of points (session_id, point_id, ...).
 
     A batch runs at most once in `every`, and only when new points came; the
     sessions that it touches are assigned anew, from all their points, and
-    replace their part of the table. The first batch runs at once.
+    replace their part of the table. The first batch runs at once. Of a point
+    that is sent again, the row of the last batch counts (of one batch, the
+    last by seq if there is such a column).
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         touched = batch.select("session_id").distinct()
-        batch.write.mode("append").partitionBy("session_id").parquet(f"{table}/points")
-        every_point = spark.read.schema(batch.schema).parquet(f"{table}/points").join(touched, "session_id", "left_semi").dropDuplicates(["session_id", "point_id"])
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").partitionBy("session_id").parquet(f"{table}/points")
+        held = spark.read.schema(batch.schema.add("_batch", "long")).parquet(f"{table}/points").join(touched, "session_id", "left_semi")
+        newest = Window.partitionBy("session_id", "point_id").orderBy(*(F.desc(c) for c in ("_batch", "seq") if c in held.columns))
+        every_point = held.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_batch")
         assign(every_point).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{table}/assigned")
 
     return points.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

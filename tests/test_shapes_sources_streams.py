@@ -116,11 +116,3 @@ def test_streams_equal_their_batches(spark, tmp_path):
     assert {tuple(r) for r in drain(spark, sessions.gate(sessions.with_ok(stream)), "gated")} == want
     counted = drain(spark, sessions.frames_per_window(stream), "counted", "complete")
     assert sum(r.n for r in counted) == len(rows)
-
-
-def test_best_views_stream(spark, tmp_path):
-    rows = [(1, 1, 1, 1, 10.0, 0.0, 0.0, 0.5), (1, 1, 2, 2, 11.0, 0.0, 0.0, 0.4), (1, 1, 3, 3, 11.0, 0.0, 0.0, 0.6), (1, 1, 4, 4, 60.0, 0.0, 0.0, 0.4), (1, 1, 5, 5, 80.0, 0.0, 0.0, 0.9)]
-    df = spark.createDataFrame(rows, "session_id long, zone_id long, frame_id long, us long, angle double, px double, py double, coverage double")
-    df.coalesce(1).write.parquet(f"{tmp_path}/views")
-    got = drain(spark, sessions.best_views(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/views")), "views")
-    assert {r.frame_id: r.decision for r in got} == {1: "added", 2: "skipped", 3: "replaced", 4: "added", 5: "poor"}
