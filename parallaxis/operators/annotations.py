@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
+from parallaxis.operators import shapes
 from parallaxis.operators.order import numbered
 
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
@@ -132,17 +133,38 @@ def class_manifest(names: list[str]) -> str:
     return "\n".join(["train: train", "val: val", "test: test", f"nc: {len(names)}", "names: [" + ", ".join(names) + "]", ""])
 
 
+def _numbered_by_folder(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ann: their numbers in their folder, from 1, in this order."""
+    places = numbered(rows, "folder", *order)
+    first = places.groupBy("folder").agg(F.min("place").alias("first"))
+    return places.join(first, "folder").withColumn("ann", F.col("place") - F.col("first") + 1).drop("place", "first")
+
+
 def exported(images: DataFrame, detections: DataFrame, most_points: int = 200, least_area: int = 8) -> DataFrame:
-    """folder, image_id, ann, ring, area, left, top, width, height, score: the annotations of predicted polygons, numbered through the images of all folders.
+    """folder, image_id, ann, ring, area, left, top, width, height, score: the annotations of predicted polygons, numbered from 1 in each folder, whose document they go to.
 
     images: folder, image_id, width, height; detections: image_id, det, score,
-    polygon. Polygons are decimated, clamped to the image and flattened; small
-    areas and short rings are left out.
+    polygon, and pixels where the instance's pixels are known; else the area
+    inside the ring stands for them. Polygons are decimated, clamped to the
+    image and flattened; small areas and short rings are left out.
     """
     size = [F.col("image_width"), F.col("image_height")]
     own = images.select("folder", "image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     rows = detections.join(own, "image_id").withColumn("polygon", poly.decimate(F.col("polygon"), most_points))
-    rows = rows.withColumn("ring", poly.flat_ring(F.col("polygon"), *size)).withColumn("area", poly.area(poly.ring_points(F.col("ring"))))
+    rows = rows.withColumn("ring", poly.flat_ring(F.col("polygon"), *size))
+    rows = rows.withColumn("area", F.col("pixels").cast("double") if "pixels" in detections.columns else poly.area(poly.ring_points(F.col("ring"))))
     box = poly.bounding_box(poly.ring_points(F.col("ring")))
     rows = rows.filter(export_ok(least_area)).select("folder", "image_id", "det", "ring", "area", *(box[c].alias(c) for c in ("left", "top", "width", "height")), "score")
-    return numbered(rows, "folder", "image_id", "det", name="ann").drop("det")
+    return _numbered_by_folder(rows, "image_id", "det").drop("det")
+
+
+def exported_masks(images: DataFrame, cells: DataFrame, tolerance: float = 0.01, most_points: int = 200, least_area: int = 8) -> DataFrame:
+    """The annotations of predicted label masks, as exported has them: outline of each label's largest part, simplified, and the pixels of all its parts as area.
+
+    images: folder, image_id, width, height; cells: image_id, y, x, label of
+    predicted masks (zero is no label). Score is null. What comes back goes
+    to records.write_annotations, a document for each folder.
+    """
+    outlines = shapes.largest_contours(cells.filter("label > 0"), "image_id")
+    found = shapes.simplify(outlines, tolerance).select("image_id", F.col("label").alias("det"), "polygon", "pixels", F.lit(None).cast("double").alias("score"))
+    return exported(images, found, most_points, least_area)

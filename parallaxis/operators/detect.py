@@ -87,6 +87,37 @@ def suppress(boxes: DataFrame, *keys: str, above: float = 0.5, most: int = MOST,
     return ranked.join(stays, [*keys, "rank"], "left_semi")
 
 
+def suppress_at_all(boxes: DataFrame, thresholds: list[float], *keys: str, most: int = MOST) -> DataFrame:
+    """keys, rank, det, score, stays of each box that stays at one of the thresholds at least: stays tells for each of them whether suppress would keep it.
+
+    One pass over an image's boxes from the best on: its overlaps with all
+    later ones are computed once for all thresholds. Scores below a threshold
+    never suppress those above, so what stays among higher scores alone is
+    the same with a filter.
+    """
+    ranked = top_candidates(boxes, *keys, most=most)
+    limits = np.array(thresholds)[:, None]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        left, top, right, bottom = (table[c].to_numpy().astype(float) for c in ("left", "top", "right", "bottom"))
+        area = (right - left) * (bottom - top)
+        alive = np.ones((len(limits), len(left)), bool)
+        for k in range(len(left) - 1):
+            if alive[:, k].any():
+                later = slice(k + 1, None)
+                w = np.maximum(np.minimum(right[later], right[k]) - np.maximum(left[later], left[k]), 0)
+                shared = w * np.maximum(np.minimum(bottom[later], bottom[k]) - np.maximum(top[later], top[k]), 0)
+                alive[:, later] &= ~((shared > limits * (area[later] + area[k] - shared)) & (shared > 0) & alive[:, k : k + 1])
+        kept = np.flatnonzero(alive.any(0))
+        out = table.take(pa.array(kept)).select([*keys, "rank"])
+        return out.append_column("stays", pa.array(alive[:, kept].T.tolist(), pa.list_(pa.bool_())))
+
+    schema = T.StructType([*(ranked.schema[k] for k in keys), ranked.schema["rank"], T.StructField("stays", T.ArrayType(T.BooleanType()))])
+    stays = ranked.select(*keys, "rank", "left", "top", "right", "bottom").groupBy(*keys).applyInArrow(run, schema)
+    return ranked.join(stays, [*keys, "rank"])
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

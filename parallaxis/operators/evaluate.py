@@ -143,16 +143,44 @@ def mask_overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFra
     return met.select(*keys, "t", "p", F.round(F.col("pixels") / (F.col("t_size") + F.col("p_size") - F.col("pixels")), 9).alias("iou"))
 
 
-def grid_search(boxes: DataFrame, truth: DataFrame, score_grid: list[float], overlap_grid: list[float], key: str = "image_id", least: float = 0.5) -> DataFrame:
-    """score, overlap, f1, panoptic and best at every pair of score and suppression thresholds; the whole grid is suppressed at once, keyed by its cell. best is the first of the highest f1."""
-    out, n = None, truth.count()
-    for o in overlap_grid:
-        rows = boxes.withColumn("s", F.explode(F.array(*map(F.lit, score_grid)))).filter(F.col("score") >= F.col("s"))
-        kept = detect.suppress(rows, "s", key, above=o)
-        met = overlaps(truth.withColumn("s", F.explode(F.array(*map(F.lit, score_grid)))), kept, "s", key)
-        tp = match_once(met, "s", key, least=least).groupBy("s").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean"))
-        f = kept.groupBy("s").agg(F.count("*").alias("np")).join(F.broadcast(tp), "s", "left").select(F.col("s").alias("score"), F.lit(o).alias("overlap"), (2.0 * F.coalesce("tp", F.lit(0)) / (F.col("np") + n)).alias("f1"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
-        out = f if out is None else out.union(f)
-    out = cut(out.select("score", "overlap", "f1", (F.col("f1") * F.col("mean")).alias("panoptic")))
-    first = out.agg(F.max_by(F.struct("score", "overlap"), F.struct("f1", -F.col("score"), -F.col("overlap"))).alias("first"))
-    return out.crossJoin(F.broadcast(first)).withColumn("best", F.struct("score", "overlap") == F.col("first")).drop("first")
+#: The score and suppression thresholds that a search looks at.
+GRID = tuple(k / 10 for k in range(1, 10))
+
+
+def grid_search(boxes: DataFrame, truth: DataFrame, score_grid: list[float] = list(GRID), overlap_grid: list[float] = list(GRID), key: str = "image_id", least: float = 0.5, goal: str = "f1") -> DataFrame:
+    """score, overlap, tp, predicted, f1, panoptic and best at every pair of score and suppression thresholds; best is the first of the highest goal (f1 or panoptic).
+
+    Boxes are suppressed once for all thresholds and meet the truth once; an
+    image's pairs are matched at every cell of the grid in one task, where
+    cells that leave the same pairs are matched once. No true and no predicted
+    boxes make an f1 of 0.
+    """
+    kept = cut(detect.suppress_at_all(boxes.filter(F.col("score") >= min(score_grid)), overlap_grid, key))
+    sure = lambda s, o: (F.col("score") >= s) & F.get("stays", F.lit(o))
+    cells = [(s, o) for s in range(len(score_grid)) for o in range(len(overlap_grid))]
+    sizes = kept.agg(F.array(*(F.count_if(sure(score_grid[s], o)) for s, o in cells)).alias("predicted"))
+    met = overlaps(truth, kept, key).filter(F.col("iou") >= least).join(kept.select(key, F.col("det").alias("p"), "score", "stays"), [key, "p"])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(table["t"].to_pylist(), table["p"].to_pylist(), table["iou"].to_pylist()))
+        score, stays = table["score"].to_numpy(), np.array(table["stays"].to_pylist(), bool)
+        done: dict[bytes, tuple[int, float]] = {}
+        tp, total = [], []
+        for s, o in cells:
+            here = (score >= score_grid[s]) & stays[:, o]
+            name = here.tobytes()
+            if name not in done:
+                pairs = assigned([r for r, x in zip(rows, here) if x])
+                done[name] = len(pairs), sum(x[2] for x in pairs)
+            tp.append(done[name][0])
+            total.append(done[name][1])
+        return pa.table({"cell": pa.array(range(len(cells)), pa.int32()), "tp": pa.array(tp, pa.int64()), "total": pa.array(total, pa.float64())})
+
+    matched = met.select(key, "t", "p", "iou", "score", "stays").groupBy(key).applyInArrow(run, "cell int, tp long, total double")
+    matched = matched.groupBy("cell").agg(F.sum("tp").alias("tp"), F.sum("total").alias("total"))
+    grid = boxes.sparkSession.createDataFrame([(k, score_grid[s], overlap_grid[o]) for k, (s, o) in enumerate(cells)], "cell int, score double, overlap double")
+    out = grid.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(truth.agg(F.count("*").alias("true")))).join(F.broadcast(matched), "cell", "left").fillna(0, ["tp"])
+    out = out.withColumn("predicted", F.get("predicted", F.col("cell"))).withColumn("f1", F.when(F.col("predicted") + F.col("true") > 0, 2.0 * F.col("tp") / (F.col("predicted") + F.col("true"))).otherwise(0.0))
+    out = cut(out.withColumn("panoptic", F.col("f1") * F.when(F.col("tp") > 0, F.col("total") / F.col("tp")).otherwise(0.0)))
+    first = out.agg(F.max_by("cell", F.struct(F.round(goal, 12), -F.col("cell"))).alias("first"))
+    return out.crossJoin(F.broadcast(first)).select("score", "overlap", "tp", "predicted", "f1", "panoptic", (F.col("cell") == F.col("first")).alias("best"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
@@ -71,7 +71,7 @@ def ray_candidates(rays: DataFrame, pairs: DataFrame, epsilon: float = 0.05, mos
     return met.drop("t1", "t2", *(s + n for s in "pq" for n in "xyz"))
 
 
-def mark_ambiguous(candidates: DataFrame, observations: DataFrame, epsilon: float = 0.05) -> DataFrame:
+def mark_ambiguous(candidates: DataFrame, observations: DataFrame, epsilon: float | Column = 0.05) -> DataFrame:
     """Candidates with a_ignored, b_ignored: in a frame pair, an observation with more supporting partners than the root of the other frame's observations, rounded up."""
     sizes = observations.groupBy("zone_id", "frame_id").agg(F.count("*").alias("n"))
     support = F.count_if(F.col("distance") <= epsilon)

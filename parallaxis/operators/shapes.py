@@ -97,10 +97,9 @@ def boundary(cells: DataFrame, *keys: str) -> DataFrame:
 
 
 def largest_contours(cells: DataFrame, key: str) -> DataFrame:
-    """key, label, polygon, area: the outline of the largest 4-connected part of each label, by corners of its cells in order."""
+    """key, label, polygon, area, pixels: the outline of the largest 4-connected part of each label, by corners of its cells in order, that part's cells and all of the label's. A task holds the labels of an image."""
 
-    def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        left = set(zip(table["y"].to_pylist(), table["x"].to_pylist()))
+    def outline(left: set[tuple[int, int]]) -> tuple[list[dict[str, float]], int]:
         best: set = set()
         while left:
             part, todo = set(), [left.pop()]
@@ -130,12 +129,22 @@ def largest_contours(cells: DataFrame, key: str) -> DataFrame:
             if now == start:
                 break
         corners = [p for k, p in enumerate(ring) if (ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
-        polygon = [{"x": float(x), "y": float(y)} for y, x in corners]
-        return pa.table({key: pa.array([group[0].as_py()], group[0].type), "label": pa.array([group[1].as_py()], pa.int64()), "polygon": pa.array([polygon], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), "area": pa.array([len(best)], pa.int64())})
+        return [{"x": float(x), "y": float(y)} for y, x in corners], len(best)
+
+    def run(table: pa.Table) -> pa.Table:
+        cells_of: dict[int, set[tuple[int, int]]] = {}
+        for label, y, x in zip(*(table[c].to_pylist() for c in ("label", "y", "x"))):
+            cells_of.setdefault(label, set()).add((y, x))
+        labels = sorted(cells_of)
+        pixels = [len(cells_of[n]) for n in labels]
+        found = [outline(cells_of[n]) for n in labels]
+        point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        columns = {"label": pa.array(labels, pa.int64()), "polygon": pa.array([p for p, _ in found], point), "area": pa.array([n for _, n in found], pa.int64()), "pixels": pa.array(pixels, pa.int64())}
+        return pa.table({key: pa.array([table[key][0].as_py()] * len(labels), table.schema.field(key).type), **columns})
 
     kind = dict(cells.dtypes)[key]
     rows = cells.select(key, F.col("label").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"))
-    return rows.groupBy(key, "label").applyInArrow(run, f"{key} {kind}, label long, polygon array<struct<x:double,y:double>>, area long")
+    return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, label long, polygon array<struct<x:double,y:double>>, area long, pixels long")
 
 
 def samples(polygons: DataFrame, *keys: str, most: int = 20, tries: int = 100) -> DataFrame:

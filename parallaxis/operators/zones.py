@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,31 +108,79 @@ def guidance(vertices: DataFrame, cameras: DataFrame) -> DataFrame:
     return out.select("zone_id", "gx", "gy", "gz", F.when(F.col("d").isNotNull(), v.clamp(median, 0.6, 3.5)).otherwise(3 * F.col("extent")).alias("radius"))
 
 
-def diverse_views(candidates: DataFrame, references: DataFrame, most: int = 25, stop: float = 1.0) -> DataFrame:
-    """zone_id, view_id, place: views chosen one after the other, each the farthest from all before it and from the references.
+#: Directions tried around a zone, besides its normal; the steepest angle of a view; suggestions at most, and the likeness from which no view helps.
+DIRECTIONS, STEEPEST, SUGGESTED, ALIKE = 256, 75.0, 25, 1.0
+GOLDEN = 2.399963229728653
 
-    candidates and references: zone_id, view_id, angle, px, py. Distance is
-    angle over 15 degrees plus shift over a tenth; a zone ends where the
-    farthest is within `stop`. Every round is one aggregate over all zones.
-    """
 
-    def delta(p: str) -> Column:
-        shift = F.sqrt(F.pow(F.col("px") - F.col(p + "px"), 2) + F.pow(F.col("py") - F.col(p + "py"), 2))
-        return F.round(F.abs(F.col("angle") - F.col(p + "angle")) / 15.0 + shift / 0.1, 9)
-
-    r = references.select("zone_id", *(F.col(c).alias("r" + c) for c in ("angle", "px", "py")))
-    far = candidates.join(r, "zone_id", "left").groupBy("zone_id", "view_id").agg(F.first("angle").alias("angle"), F.first("px").alias("px"), F.first("py").alias("py"), F.min(delta("r")).alias("best"))
-    far = cut(far.withColumn("best", F.coalesce("best", F.lit(1e9))))
-    chosen: DataFrame | None = None
-    for place in range(1, most + 1):
-        top = cut(far.filter(F.col("best") > stop).groupBy("zone_id").agg(F.max_by(F.struct("view_id", "angle", "px", "py"), F.struct("best", -F.col("angle"), -F.col("view_id"))).alias("t")))
-        if not top.take(1):
-            break
-        picked = top.select("zone_id", "t.view_id", F.lit(place).alias("place"))
-        chosen = picked if chosen is None else chosen.union(picked)
-        t = top.select("zone_id", *(F.col("t." + c).alias("r" + c) for c in ("angle", "px", "py")))
-        far = cut(far.join(t, "zone_id", "left").withColumn("best", F.least("best", F.coalesce(delta("r"), F.col("best")))).drop("rangle", "rpx", "rpy"))
-    return chosen if chosen is not None else far.select("zone_id", "view_id", F.lit(0).alias("place")).limit(0)
+def hemisphere(zones: DataFrame, directions: int = DIRECTIONS) -> DataFrame:
+    """zone_id, view_id, t* (camera), d* (direction from the zone), px, py (camera in the plane), angle, distance: views of each zone from a half sphere around it.
+
+    zones: zone_id, g* (target), n* (normal), radius. The first view is along
+    the normal; others turn by the golden angle while the cosine to the normal
+    falls evenly, so any number of them covers the half sphere evenly and
+    reruns agree. Those of STEEPEST or more are left out, and so are zones
+    without a radius.
+    """
+    z = zones.filter("radius > 0").select("zone_id", "gx", "gy", "gz", "nx", "ny", "nz", "radius")
+    for k, axis in enumerate("mab"):  # one after the other, so that expressions stay small
+        of = v.normalise(v.vec("n")) if axis == "m" else placement.plane_axes(v.vec("m"))[k - 1]
+        z = v.settled(z, {axis + c: x for c, x in zip("xyz", of)})
+    z = z.withColumn("view_id", F.explode(F.sequence(F.lit(0), F.lit(directions))))
+    turn = F.col("view_id") * GOLDEN
+    z = v.settled(z, {"dot": F.when(F.col("view_id") == 0, F.lit(1.0)).otherwise(1.0 - (F.col("view_id") - 0.5) / directions), "turn": turn})
+    dot, turn, flat = F.col("dot"), F.col("turn"), F.sqrt(F.greatest(1.0 - F.col("dot") * F.col("dot"), F.lit(0.0)))
+    d = v.add(v.scale(v.vec("m"), dot), v.add(v.scale(v.vec("a"), F.cos(turn) * flat), v.scale(v.vec("b"), F.sin(turn) * flat)))
+    z = v.settled(z, {"d" + c: k for c, k in zip("xyz", d)}).withColumn("angle", F.round(F.degrees(F.acos(v.clamp(dot, -1, 1))), 9)).filter(F.col("angle") < STEEPEST)
+    px, py = F.cos(turn) * flat * F.col("radius"), F.sin(turn) * flat * F.col("radius")
+    t = v.add(v.vec("g"), v.scale(v.vec("d"), F.col("radius")))
+    return z.select("zone_id", "view_id", *(c.alias("t" + k) for c, k in zip(t, "xyz")), "dx", "dy", "dz", px.alias("px"), py.alias("py"), "angle", F.col("radius").alias("distance"))
+
+
+def diverse_views(candidates: DataFrame, references: DataFrame, most: int = SUGGESTED, stop: float = ALIKE) -> DataFrame:
+    """zone_id, view_id, place, score: views chosen one after the other, each the farthest from all before it and from the references.
+
+    candidates and references: zone_id, view_id, angle, d*, px, py, distance.
+    How far views are is placement.similar_views' measure; ties go to the
+    smaller angle, then to the smaller view_id, and a zone ends where the
+    farthest is within `stop`. Without a reference the first is the one of the
+    smallest angle, its score null. A task holds one zone's candidates, which
+    are as many for each, and its stored views, which are unlike each other.
+    """
+    own = ("view_id", "angle", "dx", "dy", "dz", "px", "py", "distance")
+    degrees, shift_of = placement.DIFFERENT_DEGREES, placement.DIFFERENT_SHIFT
+
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        if "dx" not in t.column_names:  # the side of a zone that has none brings no columns
+            return np.zeros((0, 3)), np.zeros((0, 3))
+        d = np.stack([t[c].to_numpy().astype(float) for c in ("dx", "dy", "dz")], 1).reshape(-1, 3)
+        return d / np.maximum(np.linalg.norm(d, axis=1), 1e-12)[:, None], np.stack([t[c].to_numpy().astype(float) for c in ("px", "py", "distance")], 1).reshape(-1, 3)
+
+    def far(d: np.ndarray, at: np.ndarray, one: np.ndarray, there: np.ndarray) -> np.ndarray:
+        turn = np.degrees(np.arccos(np.clip(d @ one, -1, 1)))
+        shift = np.hypot(at[:, 0] - there[0], at[:, 1] - there[1]) / np.maximum((at[:, 2] + there[2]) / 2, 1e-3)
+        return np.round(turn / degrees + shift / shift_of, 6)
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        d, at = columns(left)
+        ids, angle = (left[c].to_numpy() if len(d) else np.zeros(0) for c in ("view_id", "angle"))
+        best, rows = np.full(len(ids), np.inf), []
+        for one, there in zip(*columns(right)):
+            best = np.minimum(best, far(d, at, one, there))
+        open_ = np.ones(len(ids), bool)
+        while len(rows) < most and open_.any():
+            k = min(np.flatnonzero(open_), key=lambda i: (-best[i], angle[i], ids[i]))
+            if best[k] <= stop:
+                break
+            rows.append((int(ids[k]), len(rows) + 1, None if np.isinf(best[k]) else float(best[k])))
+            open_[k] = False
+            best = np.minimum(best, far(d, at, d[k], at[k]))
+        zone = (key[0] if key[0].is_valid else left["zone_id"][0]).as_py() if len(left) else None
+        columns_ = (pa.array([zone] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64()))))
+        return pa.table(dict(zip(("zone_id", "view_id", "place", "score"), columns_)))
+
+    sides = [x.select("zone_id", *own).groupBy("zone_id") for x in (candidates, references)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, "zone_id long, view_id long, place int, score double")
 
 
 def plane_pose(planes: DataFrame, cameras: DataFrame, *keys: str) -> DataFrame:

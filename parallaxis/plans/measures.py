@@ -172,6 +172,15 @@ def exported_annotations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("folder", "image_id", "ann", F.array_join(F.transform("ring", lambda x: x.cast("decimal(10,2)").cast("string")), " ").alias("ring"), F.round("area", 4).alias("area"), "left", "top", "width", "height")
 
 
+def exported_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of label masks: their numbers in their folder's document and their pixels."""
+    quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
+    cells = detect.rasterise(view(spark, d, "boxes").withColumns(quarter), "image_id")
+    images = view(spark, d, "boxes").select("image_id").distinct().select((F.col("image_id") % 3).alias("folder"), "image_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    out = annotations.exported_masks(images, cells)
+    return out.select("folder", "image_id", "ann", "area")
+
+
 def dense_cells(spark: SparkSession, d: str) -> DataFrame:
     """Dense outputs, as one tensor or two, as cells with a score and ray distances."""
     e = view(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), F.transform("embedding", lambda x: F.round(F.abs(x.cast("double")), 6)).alias("v"))
@@ -192,7 +201,7 @@ def cleaned_polygons(spark: SparkSession, d: str) -> DataFrame:
     return b.select("image_id", "det", text(F.col("c")).alias("clamped"), text(poly.rounded_polygon(half)).alias("rounded"), text(poly.decimate(F.col("p"), 2)).alias("thinned"), pixel["width"].alias("pixel_width"), least["height"].alias("least_height"), middle["x"].alias("cx"), middle["y"].alias("cy"), annotations.ring_line(F.col("p"), F.lit(1000.0), F.lit(800.0)).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (cleaned_polygons, exported_annotations, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
+QUERIES = {f.__name__: f for f in (cleaned_polygons, exported_annotations, exported_masks, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
 
 _VIEWS = """v0 AS (SELECT z.zone_id, c.frame_id, z.cx, z.cy, z.cz, 0.1e0 * (z.zone_id % 3) AS mx, 0.2e0 AS my, 1.0e0 AS mz, c.tx + z.cx AS tx, c.ty + z.cy AS ty, c.tz AS tz FROM zones z CROSS JOIN cams c),
 v1 AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS ml, sqrt((tx-cx)*(tx-cx)+(ty-cy)*(ty-cy)+(tz-cz)*(tz-cz)) AS dl FROM v0),
@@ -213,7 +222,14 @@ SELECT image_id, det, CASE WHEN len(list_distinct(k)) >= 3 THEN array_to_string(
         "boxes",
         """k AS (SELECT image_id % 3 AS folder, image_id, det, least("left", 599) AS l, least(top, 399) AS t, least(CASE WHEN det % 4 = 0 THEN "left" + 0.5e0 ELSE "right" END, 599) AS r, least(bottom, 399) AS b FROM boxes WHERE det % 5 <> 0),
 a AS (SELECT *, (r - l) * (b - t) AS area FROM k WHERE (r - l) * (b - t) >= 8)
-SELECT folder, image_id, row_number() OVER (ORDER BY folder, image_id, det) AS ann, printf('%.2f %.2f %.2f %.2f %.2f %.2f %.2f %.2f', l, t, r, t, r, b, l, b) AS ring, round(area, 4) AS area, l AS "left", t AS top, r - l AS width, b - t AS height FROM a""",
+SELECT folder, image_id, row_number() OVER (PARTITION BY folder ORDER BY image_id, det) AS ann, printf('%.2f %.2f %.2f %.2f %.2f %.2f %.2f %.2f', l, t, r, t, r, b, l, b) AS ring, round(area, 4) AS area, l AS "left", t AS top, r - l AS width, b - t AS height FROM a""",
+    ),
+    "exported_masks": with_views(
+        "boxes",
+        """c AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor("left" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor("right" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM boxes))),
+m AS (SELECT image_id, x, y, max(det) AS label FROM c GROUP BY ALL),
+n AS (SELECT image_id % 3 AS folder, image_id, label, count(*)::DOUBLE AS area FROM m GROUP BY ALL HAVING count(*) >= 8)
+SELECT folder, image_id, row_number() OVER (PARTITION BY folder ORDER BY image_id, label) AS ann, area FROM n""",
     ),
     "dense_cells": "WITH c AS (SELECT vec_id::BIGINT AS image_id, unnest(range(0, 64)) AS p, unnest(embedding) AS e FROM embeddings), n AS (SELECT image_id, p // 16 AS c, p % 16 // 4 AS y, p % 4 AS x, round(abs(e::DOUBLE), 6) AS v FROM c), g AS (SELECT image_id, y, x, max(v) FILTER (c = 0) AS score, sum(v) FILTER (c > 0) AS reach FROM n GROUP BY ALL) SELECT image_id, y, x, score, round(reach, 6) AS reach FROM g WHERE score >= 0.1 AND x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 2",
     "capture_angles": with_views(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
 from parallaxis.functions import vec as v
-from parallaxis.operators import annotations, corrections, detect, evaluate, frames, zones
+from parallaxis.operators import annotations, corrections, detect, evaluate, frames, placement, zones
 from parallaxis.plans.fixtures import view, with_views
 
 
@@ -96,8 +96,16 @@ def guidance_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suggested_views(spark: SparkSession, d: str) -> DataFrame:
-    p = view(spark, d, "points").select(F.col("label").alias("zone_id"), F.col("point_id").alias("view_id"), F.round(F.col("z") * 90, 6).alias("angle"), F.round("x", 6).alias("px"), F.round("y", 6).alias("py"))
-    return zones.diverse_views(p.filter("view_id % 10 <> 0"), p.filter("view_id % 10 = 0"), most=6)
+    """Views suggested around every zone, given those that its cameras have taken."""
+    z, cams = view(spark, d, "zones"), view(spark, d, "cams")
+    met = z.select("zone_id", "cx", "cy").crossJoin(F.broadcast(cams)).select("zone_id", "frame_id", (F.col("tx") + F.col("cx")).alias("tx"), (F.col("ty") + F.col("cy")).alias("ty"), "tz", "cx", "cy")
+    around = zones.guidance(view(spark, d, "bars"), met).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    axes = placement.plane_axes((F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    g = met.filter("(frame_id + zone_id) % 6 = 0").join(around.select("zone_id", "gx", "gy", "gz"), "zone_id")
+    to = v.sub(v.vec("t"), v.vec("g"))
+    px, py = placement.to_plane(v.vec("t"), v.vec("g"), axes)
+    taken = g.select("zone_id", F.col("frame_id").alias("view_id"), F.lit(0.0).alias("angle"), *(c.alias("d" + k) for c, k in zip(to, "xyz")), px.alias("px"), py.alias("py"), v.length(to).alias("distance"))
+    return _r(zones.diverse_views(zones.hemisphere(around), taken), "score")
 
 
 def box_suppression(spark: SparkSession, d: str) -> DataFrame:
@@ -143,17 +151,35 @@ def matching_scores(spark: SparkSession, d: str) -> DataFrame:
     return _r(evaluate.scores(evaluate.match_once(met, "image_id"), t, p), "mean_iou", "precision", "recall", "f1", "accuracy", "dice", "panoptic")
 
 
-def matching_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Matching of label masks, whose labels don't overlap, from half on."""
+#: Overlaps at which a sweep matches anew.
+SWEPT = [k / 20 for k in range(2, 19)]
+
+
+def _masks(spark: SparkSession, d: str) -> list[DataFrame]:
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    t, p = (detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes"))
-    met = evaluate.mask_overlaps(t, p, "image_id")
-    labels = [x.select("image_id", "label").distinct() for x in (t, p)]
-    return _r(evaluate.sweep(met, *labels, [k / 20 for k in range(11, 19)], "image_id"), "threshold", "f1")
+    return [detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes")]
+
+
+def matching_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Matching of boxes, and of the label masks that they make, at every threshold."""
+    boxes = [view(spark, d, n) for n in ("truth", "boxes")]
+    masks = _masks(spark, d)
+    labels = [x.select("image_id", "label").distinct() for x in masks]
+    by_box = evaluate.sweep(evaluate.overlaps(*boxes, "image_id"), *boxes, SWEPT, "image_id")
+    by_mask = evaluate.sweep(evaluate.mask_overlaps(*masks, "image_id"), *labels, SWEPT, "image_id").select("threshold", *(F.col(c).alias("mask_" + c) for c in ("tp", "f1", "best")))
+    return _r(by_box.join(F.broadcast(by_mask), "threshold"), "threshold", "f1", "mask_f1")
+
+
+def mask_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Matching of label masks from half on, where a label has one partner at most."""
+    masks = _masks(spark, d)
+    labels = [x.select("image_id", "label").distinct() for x in masks]
+    return _r(evaluate.sweep(evaluate.mask_overlaps(*masks, "image_id"), *labels, SWEPT[9:], "image_id"), "threshold", "f1")
 
 
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _r(evaluate.grid_search(view(spark, d, "boxes"), view(spark, d, "truth"), [0.2, 0.5, 0.8], [0.3, 0.5]), "f1", "panoptic")
+    """The whole grid of nine score and nine suppression thresholds."""
+    return _r(evaluate.grid_search(view(spark, d, "boxes"), view(spark, d, "truth")), "f1", "panoptic")
 
 
 def foreground_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_motion, frame_reasons, frame_gate, frame_cadence, image_statistics, percentile_pixels, image_tiles, tile_stitching, depth_decode, depth_sampling, pixel_channels, zone_bounds, zone_planes, view_choice, outline_choice, guidance_radius, suggested_views,
-        box_suppression, box_pairs, tensor_decode, mask_mixing, rasterised, instance_counts, instance_overlaps, matching_scores, matching_sweep, threshold_grid, foreground_scores, image_polygons, named_images, replaced_annotations, absent_stems, dataset_assembly,
+        box_suppression, box_pairs, tensor_decode, mask_mixing, rasterised, instance_counts, instance_overlaps, matching_scores, matching_sweep, mask_sweep, threshold_grid, foreground_scores, image_polygons, named_images, replaced_annotations, absent_stems, dataset_assembly,
         seeded_split, label_lines, polygon_measures, request_states, request_lifecycle, correction_replay, point_overlay, point_validation, changed_counts, preserved_counts, session_progress, session_texts,
     )
 }
@@ -323,10 +349,17 @@ ORACLE = {
     "view_choice": with_views("boxes", f"v AS (SELECT image_id AS frame_id, det AS zone_id, \"left\", top, \"right\", bottom, det % 5 AS distance, score + 0.05e0 * (det % 7) AS coverage FROM boxes), k AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.frame_id = a.frame_id AND b.distance < a.distance AND {_IOU} > 0.2 * {_A})) SELECT frame_id, arg_max(zone_id, (coverage, -zone_id)) AS zone_id, round(max(coverage), 6) AS coverage FROM k WHERE zone_id * 13 % 90 < 75 AND coverage > 0.3 GROUP BY frame_id"),
     "outline_choice": with_views("boxes", f"v AS (SELECT image_id AS frame_id, det AS zone_id, \"left\", top, \"right\", bottom, det % 5 AS distance, score + 0.05e0 * (det % 7) AS coverage FROM boxes), k AS (SELECT a.* FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.frame_id = a.frame_id AND b.distance < a.distance AND {_IOU} > 0.2 * {_A})) SELECT frame_id, arg_max(zone_id, (coverage, -zone_id)) AS zone_id, round(max(coverage), 6) AS coverage FROM k WHERE zone_id * 13 % 90 < 75 AND coverage > 0.3 GROUP BY frame_id"),
     "guidance_radius": with_views("bars cams zones", "t AS (SELECT zone_id, avg(x) AS gx, avg(y) AS gy, avg(z) AS gz FROM bars GROUP BY zone_id), f AS (SELECT t.zone_id, round(sqrt((c.tx+s.cx-gx)*(c.tx+s.cx-gx)+(c.ty+s.cy-gy)*(c.ty+s.cy-gy)+(c.tz-gz)*(c.tz-gz)), 12) AS d FROM t JOIN zones s USING (zone_id) CROSS JOIN cams c), k AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY d) AS place, count(*) OVER (PARTITION BY zone_id) AS n FROM f) SELECT t.zone_id, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz, round(greatest(0.6, least(3.5, d)), 6) AS radius FROM t JOIN k ON k.zone_id = t.zone_id AND place = floor(n / 2) + 1"),
-    "box_pairs": with_views("boxes", "r AS (SELECT image_id, \"left\" AS l, top AS t, \"right\" AS r, bottom AS b, (\"right\" - \"left\") * (bottom - top) AS size, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes), m AS (SELECT a.image_id, a.rank AS winner, b.rank AS loser, a.size + b.size AS sizes, (least(a.r, b.r) - greatest(a.l, b.l)) * (least(a.b, b.b) - greatest(a.t, b.t)) AS meet FROM r a JOIN r b ON a.image_id = b.image_id AND a.rank < b.rank AND a.l < b.r AND b.l < a.r AND a.t < b.b AND b.t < a.b WHERE a.rank <= 10000 AND b.rank <= 10000) SELECT image_id, winner, loser FROM m WHERE meet / (sizes - meet) > 0.3"),
+    "box_pairs": with_views(
+        "boxes",
+        """r AS (SELECT image_id, "left" AS l, top AS t, "right" AS r, bottom AS b, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det) AS rank FROM boxes),
+x AS (SELECT *, unnest(range(floor(l / 64)::BIGINT, floor(r / 64)::BIGINT + 1)) AS gx FROM r WHERE rank <= 10000),
+g AS MATERIALIZED (SELECT *, unnest(range(floor(t / 64)::BIGINT, floor(b / 64)::BIGINT + 1)) AS gy FROM x),
+j AS MATERIALIZED (SELECT a.image_id, a.rank AS winner, b.rank AS loser, (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS sizes, greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * greatest(least(a.b, b.b) - greatest(a.t, b.t), 0) AS meet FROM g a JOIN g b ON a.image_id = b.image_id AND a.gx = b.gx AND a.gy = b.gy)
+SELECT DISTINCT image_id, winner, loser FROM j WHERE winner < loser AND meet / (sizes - meet) > 0.3""",
+    ),
     "instance_counts": with_views("boxes truth", "t AS (SELECT image_id, count(*) AS t FROM truth GROUP BY ALL), p AS (SELECT image_id, count(*) AS p FROM boxes WHERE score >= 0.5 GROUP BY ALL), c AS (SELECT coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM t FULL JOIN p USING (image_id)) SELECT round(sqrt(avg((p-t)*(p-t))), 6) AS rmse, round(avg(abs(p-t)), 6) AS mae, round(avg(abs(p-t) / greatest(t, 1)), 6) AS relative, round(avg(p-t), 6) + 0.0e0 AS signed, round(avg(t), 6) AS mean_true, round(avg(p), 6) AS mean_predicted FROM c"),
     "instance_overlaps": with_views("boxes truth", f"m AS (SELECT a.image_id, round({_IOU} / nullif({_A} + {_B} - {_IOU}, 0), 9) AS iou FROM truth a JOIN boxes b ON a.image_id = b.image_id) SELECT image_id, count(*) AS pairs, round(sum(iou), 6) AS iou, round(max(iou), 6) AS best FROM m WHERE iou > 0 GROUP BY image_id"),
-    "matching_sweep": with_views("boxes truth", "ct AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM truth))), mt AS (SELECT image_id, x, y, max(det) AS label FROM ct GROUP BY ALL), nt AS (SELECT image_id, label, count(*) AS n FROM mt GROUP BY ALL), cp AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM boxes))), mp AS (SELECT image_id, x, y, max(det) AS label FROM cp GROUP BY ALL), np AS (SELECT image_id, label, count(*) AS n FROM mp GROUP BY ALL), o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL), i AS (SELECT round(pixels / (nt.n + np.n - pixels), 9) AS iou FROM o JOIN nt ON nt.image_id = o.image_id AND nt.label = o.t JOIN np ON np.image_id = o.image_id AND np.label = o.p), g AS (SELECT unnest(range(11, 19)) / 20.0::DOUBLE AS threshold), f AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp FROM g CROSS JOIN i GROUP BY threshold), r AS (SELECT threshold, tp, 2.0::DOUBLE * tp / ((SELECT count(*) FROM nt) + (SELECT count(*) FROM np)) AS f1 FROM f) SELECT round(threshold, 6) AS threshold, tp, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM r"),
+    "mask_sweep": with_views("boxes truth", "ct AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM truth))), mt AS (SELECT image_id, x, y, max(det) AS label FROM ct GROUP BY ALL), nt AS (SELECT image_id, label, count(*) AS n FROM mt GROUP BY ALL), cp AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM boxes))), mp AS (SELECT image_id, x, y, max(det) AS label FROM cp GROUP BY ALL), np AS (SELECT image_id, label, count(*) AS n FROM mp GROUP BY ALL), o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL), i AS (SELECT round(pixels / (nt.n + np.n - pixels), 9) AS iou FROM o JOIN nt ON nt.image_id = o.image_id AND nt.label = o.t JOIN np ON np.image_id = o.image_id AND np.label = o.p), g AS (SELECT unnest(range(11, 19)) / 20.0::DOUBLE AS threshold), f AS (SELECT threshold, count(*) FILTER (iou >= threshold) AS tp FROM g CROSS JOIN i GROUP BY threshold), r AS (SELECT threshold, tp, 2.0::DOUBLE * tp / ((SELECT count(*) FROM nt) + (SELECT count(*) FROM np)) AS f1 FROM f) SELECT round(threshold, 6) AS threshold, tp, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM r"),
     "foreground_scores": with_views("pixels", "SELECT round(count(*) FILTER (luma > 128) / count(*) FILTER (luma > 100), 6) AS iou, round(2.0 * count(*) FILTER (luma > 128) / (count(*) FILTER (luma > 128) + count(*) FILTER (luma > 100)), 6) AS dice FROM pixels"),
     "image_polygons": with_views("images annotations", _ANN + ", p AS (SELECT image_id, count(*) AS polygons, sum(numbers) AS numbers FROM ann WHERE iscrowd = 0 AND numbers >= 6 AND category IN ('A', 'N') GROUP BY ALL) SELECT id, file_name, coalesce(polygons, 0) AS polygons, coalesce(numbers, 0)::BIGINT AS numbers FROM images LEFT JOIN p ON id = image_id"),
     "named_images": with_views("images", "SELECT id, file_name FROM images WHERE id % 5 < 2"),

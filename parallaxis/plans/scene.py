@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import vec as v
-from parallaxis.operators import assign, fuse, resolve, triangulate, zones
+from parallaxis.operators import assign, fuse, resolve, rounds, triangulate, zones
 from parallaxis.plans.fixtures import view, with_views
 
 BOX = ("minx", "maxx", "miny", "maxy", "minz", "maxz")
@@ -81,15 +81,30 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
     return triangulate.count_objects(rays, pairs, fuse.ray_candidates(rays, pairs), view(spark, d, "zones").select("zone_id", *BOX))
 
 
+def _by_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Members of components, all zones at once."""
+    rays, pairs = _rays(spark, d), _pairs(spark, d)
+    return rounds.count_objects(rays, pairs, fuse.ray_candidates(rays, pairs), view(spark, d, "zones").select("zone_id", *BOX))
+
+
 def resolved_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of each zone, how many of them have observations of one object alone, and how many objects they are of."""
-    c = _components(spark, d).groupBy("zone_id", "component_id").agg(F.min("det_id").alias("low"), F.max("det_id").alias("high"), F.count("*").alias("members"), F.count_distinct("frame_id").alias("frames"))
+    return _purity(_components(spark, d))
+
+
+def rounds_components(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the components that rounds of joins find."""
+    return _purity(_by_rounds(spark, d))
+
+
+def _purity(components: DataFrame) -> DataFrame:
+    c = components.groupBy("zone_id", "component_id").agg(F.min("det_id").alias("low"), F.max("det_id").alias("high"), F.count("*").alias("members"), F.count_distinct("frame_id").alias("frames"))
     return c.groupBy("zone_id").agg(F.count("*").alias("components"), F.count_if((F.col("low") == F.col("high")) & (F.col("members") == F.col("frames"))).alias("pure"), F.count_distinct("low").alias("objects"))
 
 
 def points_per_zone(spark: SparkSession, d: str) -> DataFrame:
     """Objects counted in each zone, with zones without points as zero."""
-    points = _components(spark, d).groupBy("zone_id", "component_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
+    points = _by_rounds(spark, d).groupBy("zone_id", "component_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
     points = points.withColumn("point_id", F.concat_ws(":", "zone_id", "component_id")).drop("zone_id")
     zones = view(spark, d, "zones")
     counted = assign.nearest_zone(points, zones).groupBy("zone_id").agg(F.count("*").alias("points"))
@@ -176,7 +191,7 @@ def frame_views(spark: SparkSession, d: str) -> DataFrame:
     return met.select("zone_id", "frame_id", "angle", "distance", (F.col("angle") < 75).alias("good"), F.round(delta, 6).alias("delta"))
 
 
-QUERIES = {f.__name__: f for f in (rays, weak_trim, frame_pairs, ray_candidates, support_edges, ambiguous, forbidden, frame_consistency, dynamic_thresholds, resolved_components, points_per_zone, components_on_rays, true_components, near_components, largest_frames, free_edge_pool, unused_edges, surplus_components, released_edges, zone_overlaps, zone_of_point, four_nearest_zones, neighbour_graph, zones_by_propagation, frame_views)}
+QUERIES = {f.__name__: f for f in (rays, weak_trim, frame_pairs, ray_candidates, support_edges, ambiguous, forbidden, frame_consistency, dynamic_thresholds, resolved_components, rounds_components, points_per_zone, components_on_rays, true_components, near_components, largest_frames, free_edge_pool, unused_edges, surplus_components, released_edges, zone_overlaps, zone_of_point, four_nearest_zones, neighbour_graph, zones_by_propagation, frame_views)}
 
 _RAYS = """rays AS (SELECT zone_id, frame_id, det_id, conf, ox, oy, oz, ux / n AS dx, uy / n AS dy, -1.0e0 / n AS dz FROM
   (SELECT *, sqrt(ux * ux + uy * uy + 1.0e0) AS n FROM (SELECT *, -((px - 320.0e0) / 800.0e0) AS ux, -((py - 240.0e0) / 800.0e0) AS uy FROM obs)))"""
@@ -239,6 +254,7 @@ SELECT session_id, frame_id, accepted, round(0.05e0 * (1 - 0.5e0 * p), 6) AS eps
 round(0.7e0 + 0.15e0 * p, 6) AS conflict_confidence, round(0.5e0 + 0.25e0 * p, 6) AS addition_confidence, round(1.5e0 * (1 + 0.2e0 * p), 6) AS component_confidence FROM p""",
     ),
     "resolved_components": with_views("bars", "SELECT zone_id, count(*) AS components, count(*) AS pure, count(*) AS objects FROM bars GROUP BY zone_id"),
+    "rounds_components": with_views("bars", "SELECT zone_id, count(*) AS components, count(*) AS pure, count(*) AS objects FROM bars GROUP BY zone_id"),
     "points_per_zone": with_views("bars", "SELECT zone_id, count(*) AS points FROM bars GROUP BY zone_id"),
     "components_on_rays": with_views(
         "obs",
