@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
+from parallaxis.functions import vec as v
 from parallaxis.operators import shapes
 from parallaxis.operators.order import numbered
 
@@ -150,10 +151,11 @@ def exported(images: DataFrame, detections: DataFrame, most_points: int = 200, l
     """
     size = [F.col("image_width"), F.col("image_height")]
     own = images.select("folder", "image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height"))
-    rows = detections.join(own, "image_id").withColumn("polygon", poly.decimate(F.col("polygon"), most_points))
-    rows = rows.withColumn("ring", poly.flat_ring(F.col("polygon"), *size))
-    rows = rows.withColumn("area", F.col("pixels").cast("double") if "pixels" in detections.columns else poly.area(poly.ring_points(F.col("ring"))))
-    box = poly.bounding_box(poly.ring_points(F.col("ring")))
+    rows = v.settled(detections.join(own, "image_id"), {"thin": poly.decimate(F.col("polygon"), most_points)})
+    rows = v.settled(rows, {"ring": poly.flat_ring(F.col("thin"), *size)})
+    rows = v.settled(rows, {"corners": poly.ring_points(F.col("ring"))})
+    rows = rows.withColumn("area", F.col("pixels").cast("double") if "pixels" in detections.columns else poly.area(F.col("corners")))
+    box = poly.bounding_box(F.col("corners"))
     rows = rows.filter(export_ok(least_area)).select("folder", "image_id", "det", "ring", "area", *(box[c].alias(c) for c in ("left", "top", "width", "height")), "score")
     return _numbered_by_folder(rows, "image_id", "det").drop("det")
 

@@ -26,11 +26,17 @@ def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str, cell: float = 1
     return met.select(*keys, "t", "p", F.round(iou, 9).alias("iou")).filter("iou > 0").distinct()
 
 
-def assigned(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+Pair = tuple[int, int, float]
+#: Ends of a group's larger side up to which all choices are tried.
+FEW = 7
+
+
+def assigned(pairs: list[Pair], solved: dict[tuple[Pair, ...], list[Pair]] | None = None) -> list[Pair]:
     """One-to-one pairs of (t, p, iou): as many as can be, and of those choices the largest sum of iou.
 
-    Pairs fall into groups that share no end; each is solved by itself, by
-    shortest augmenting paths.
+    Pairs fall into groups that share no end; each is solved by itself: small
+    ones by trying all choices, others by shortest augmenting paths. solved
+    remembers groups, for callers that come again with some of the pairs.
     """
     group: dict[tuple[str, int], tuple[str, int]] = {}
 
@@ -44,20 +50,48 @@ def assigned(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
     parts: dict[tuple[str, int], list[tuple[int, int, float]]] = {}
     for x in pairs:
         parts.setdefault(root(("t", x[0])), []).append(x)
-    out = []
+    out, solved = [], {} if solved is None else solved
     for part in parts.values():
         if len(part) == 1:
             out += part
             continue
-        ts, ps = sorted({t for t, _, _ in part}), sorted({p for _, p, _ in part})
-        if len(ts) > len(ps):
-            turned = _cheapest([(p, t, x) for t, p, x in part], ps, ts)
-            out += [(t, p, x) for p, t, x in turned]
-        else:
-            out += _cheapest(part, ts, ps)
+        own = tuple(part)
+        if own not in solved:
+            solved[own] = _solved(part)
+        out += solved[own]
     return sorted(out)
 
 
+def _solved(part: list[Pair]) -> list[Pair]:
+    """The best assignment of one group."""
+    ts, ps = sorted({t for t, _, _ in part}), sorted({p for _, p, _ in part})
+    if len(ts) > len(ps):
+        return [(t, p, x) for p, t, x in _solved([(p, t, x) for t, p, x in part])]
+    if len(ts) == 1:
+        return [min(part, key=lambda r: (-r[2], r[1]))]
+    return _tried(part, ts, ps) if len(ps) <= FEW else _cheapest(part, ts, ps)
+
+
+def _tried(part: list[Pair], ts: list[int], ps: list[int]) -> list[Pair]:
+    """The same by all choices, one t after the other: of choices that use the same ends only the best goes on."""
+    bit = {p: 1 << k for k, p in enumerate(ps)}
+    own: dict[int, list[Pair]] = {t: [] for t in ts}
+    for r in part:
+        own[r[0]].append(r)
+    best: dict[int, tuple[int, float, tuple[Pair, ...]]] = {0: (0, 0.0, ())}
+    for t in ts:
+        after = dict(best)
+        for used, (n, total, chosen) in best.items():
+            for r in own[t]:
+                b = bit[r[1]]
+                if not used & b:
+                    held = after.get(used | b)
+                    if held is None or (n + 1, total + r[2]) > held[:2]:
+                        after[used | b] = (n + 1, total + r[2], (*chosen, r))
+        best = after
+    return list(max(best.values(), key=lambda x: x[:2])[2])
+
+
 def _cheapest(part: list[tuple[int, int, float]], ts: list[int], ps: list[int]) -> list[tuple[int, int, float]]:
     """The best assignment of all of ts to some of ps (no fewer), where pairs that aren't given are worth nothing."""
     at, to = {t: k for k, t in enumerate(ts)}, {p: k for k, p in enumerate(ps)}
@@ -93,7 +127,8 @@ def match_once(met: DataFrame, *keys: str, least: float | list[float] = 0.5) ->
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(table["t"].to_pylist(), table["p"].to_pylist(), table["iou"].to_pylist()))
-        out = [(*x, at) for at in (least if many else [least]) for x in assigned([r for r in rows if r[2] >= at])]
+        solved: dict = {}
+        out = [(*x, at) for at in (least if many else [least]) for x in assigned([r for r in rows if r[2] >= at], solved)]
         own = {k: pa.array([table[k][0].as_py()] * len(out), table.schema.field(k).type) for k in keys}
         own |= {k: pa.array([x[n] for x in out], kind) for n, (k, kind) in enumerate((("t", pa.int64()), ("p", pa.int64()), ("iou", pa.float64()), ("threshold", pa.float64()))) if n < 3 or many}
         return pa.table(own)
@@ -165,12 +200,13 @@ def grid_search(boxes: DataFrame, truth: DataFrame, score_grid: list[float] = li
         rows = list(zip(table["t"].to_pylist(), table["p"].to_pylist(), table["iou"].to_pylist()))
         score, stays = table["score"].to_numpy(), np.array(table["stays"].to_pylist(), bool)
         done: dict[bytes, tuple[int, float]] = {}
+        solved: dict = {}
         tp, total = [], []
         for s, o in cells:
             here = (score >= score_grid[s]) & stays[:, o]
             name = here.tobytes()
             if name not in done:
-                pairs = assigned([r for r, x in zip(rows, here) if x])
+                pairs = assigned([r for r, x in zip(rows, here) if x], solved)
                 done[name] = len(pairs), sum(x[2] for x in pairs)
             tp.append(done[name][0])
             total.append(done[name][1])

@@ -63,13 +63,15 @@ def sure_edges(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxes:
     return cut(sure), marked
 
 
-def _round(edges: DataFrame, marked: DataFrame, pairs: DataFrame, radius: float) -> DataFrame:
-    """zone_id, seed, edges (the member edges), tried (all edges around) of each seed of free edges."""
+def _round(edges: DataFrame, marked: DataFrame, pairs: DataFrame, radius: float) -> DataFrame | None:
+    """zone_id, seed, members, tried (all edges around), and the component's summary of each seed of free edges; None where nothing seeds."""
     order = F.struct("conf", "a", "b")
     best = _halves(edges.withColumn("e", order), "e").groupBy("zone_id", "o").agg(F.max("e").alias("e"))
     seeds = best.groupBy("zone_id", "e").agg(F.count("*").alias("n")).filter("n = 2").select("zone_id", F.col("e").alias("seed"))
     at = edges.select("zone_id", order.alias("seed"), *(F.col(n).alias("s" + n) for n in "xyz"))
     seeds = cut(seeds.join(at, ["zone_id", "seed"]))
+    if not seeds.take(1):
+        return None
     own = seeds.select("zone_id", F.col("seed").alias("mine"), *(F.col("s" + n).alias(n) for n in "xyz"))
     beaten = _near(own, seeds, 2 * radius).filter(F.col("mine") < F.col("seed")).select("zone_id", F.col("mine").alias("seed"))
     seeds = seeds.join(beaten.distinct(), ["zone_id", "seed"], "left_anti")
@@ -113,9 +115,10 @@ def count_objects(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxe
     compared = pairs.select("first_frame", "second_frame")
     found = None
     for _ in range(MOST):
-        tried = cut(_round(edges, marked, compared, radius)) if radius else None
-        if tried is None or not tried.take(1):
+        tried = _round(edges, marked, compared, radius) if radius else None
+        if tried is None:
             break
+        tried = cut(tried)
         sound = tried.filter("sound")
         found = sound if found is None else found.union(sound)
         used = sound.select("zone_id", F.explode("members").alias("o"))

@@ -104,6 +104,14 @@ def zone_picks(spark: SparkSession, d: str) -> DataFrame:
     return placement.picked(taps, b, "image_id").select("image_id", "tap_id", "shape_id", "how")
 
 
+def point_picks(spark: SparkSession, d: str) -> DataFrame:
+    """The point that each tap on an image picks: the nearest one within the radius of points, which have no outline."""
+    taps = view(spark, d, "part").select((F.col("p_partkey") % 40).cast("long").alias("image_id"), F.col("p_partkey").cast("long").alias("tap_id"), (F.col("p_partkey") * 17 % 640).cast("double").alias("x"), (F.col("p_partkey") * 29 % 480).cast("double").alias("y"))
+    at = {k: F.col(a) for k, a in (("cx", "left"), ("cy", "top"))}
+    points = view(spark, d, "boxes").select("image_id", F.col("det").alias("shape_id"), *(c.alias(k) for k, c in at.items()), F.array(*[poly.point(at["cx"], at["cy"])] * 3).alias("polygon"))
+    return placement.picked(taps, points, "image_id", radius=placement.POINT_PICK).select("image_id", "tap_id", "shape_id")
+
+
 def similar_views(spark: SparkSession, d: str) -> DataFrame:
     w = _views(spark, d).select("zone_id", F.col("frame_id").alias("view_id"), *("d" + c for c in "xyz"), (F.col("tx") * 0.05).alias("px"), (F.col("ty") * 0.05).alias("py"), v.length(v.sub(v.vec("t"), v.vec("c"))).alias("distance"))
     return placement.similar_views(w, "zone_id")
@@ -201,7 +209,7 @@ def cleaned_polygons(spark: SparkSession, d: str) -> DataFrame:
     return b.select("image_id", "det", text(F.col("c")).alias("clamped"), text(poly.rounded_polygon(half)).alias("rounded"), text(poly.decimate(F.col("p"), 2)).alias("thinned"), pixel["width"].alias("pixel_width"), least["height"].alias("least_height"), middle["x"].alias("cx"), middle["y"].alias("cy"), annotations.ring_line(F.col("p"), F.lit(1000.0), F.lit(800.0)).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (cleaned_polygons, exported_annotations, exported_masks, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
+QUERIES = {f.__name__: f for f in (cleaned_polygons, exported_annotations, exported_masks, dense_cells, capture_angles, plane_coordinates, posed_points, image_coordinates, zone_checks, tracked_frames, first_zone_records, view_inventory, latency_summary, applied_texts, zone_picks, point_picks, similar_views, screen_coverage, best_projections, kept_projections, fallback_points, polygon_masks, mask_counts, mask_overlaps, assembly_counts, split_names)}
 
 _VIEWS = """v0 AS (SELECT z.zone_id, c.frame_id, z.cx, z.cy, z.cz, 0.1e0 * (z.zone_id % 3) AS mx, 0.2e0 AS my, 1.0e0 AS mz, c.tx + z.cx AS tx, c.ty + z.cy AS ty, c.tz AS tz FROM zones z CROSS JOIN cams c),
 v1 AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS ml, sqrt((tx-cx)*(tx-cx)+(ty-cy)*(ty-cy)+(tz-cz)*(tz-cz)) AS dl FROM v0),
@@ -278,6 +286,13 @@ SELECT id, sy * w // h AS portrait_x, (w - 1 - sx) * h // w AS portrait_y, sx AS
 m AS (SELECT t.image_id, tap_id, det AS shape_id, x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom AS inside, ("right" - "left") * (bottom - top) AS area, round(pow(x - ("left" + "right") / 2, 2) + pow(y - (top + bottom) / 2, 2), 9) AS far FROM t JOIN boxes b ON b.image_id = t.image_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY tap_id ORDER BY NOT inside, CASE WHEN inside THEN area ELSE far END, shape_id) AS place FROM m WHERE inside OR far <= 9216)
 SELECT image_id, tap_id, shape_id, CASE WHEN inside THEN 'inside' ELSE 'near' END AS how FROM k WHERE place = 1""",
+    ),
+    "point_picks": with_views(
+        "boxes",
+        """t AS (SELECT (p_partkey % 40)::BIGINT AS image_id, p_partkey::BIGINT AS tap_id, (p_partkey * 17 % 640)::DOUBLE AS x, (p_partkey * 29 % 480)::DOUBLE AS y FROM part),
+m AS (SELECT t.image_id, tap_id, det AS shape_id, round(pow(x - "left", 2) + pow(y - top, 2), 9) AS far FROM t JOIN boxes b ON b.image_id = t.image_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY tap_id ORDER BY far, shape_id) AS place FROM m WHERE far <= 5184)
+SELECT image_id, tap_id, shape_id FROM k WHERE place = 1""",
     ),
     "similar_views": with_views(
         "zones cams",

@@ -211,3 +211,68 @@ def test_masks_become_a_document_for_each_folder(spark, tmp_path):
     records.write_annotations(images.withColumnRenamed("image_id", "id"), rows, f"{tmp_path}/out")
     documents = {r.folder: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out").collect()}
     assert [a["id"] for a in documents["f"]["annotations"]] == [1, 2] and len(documents["g"]["annotations"]) == 1
+
+
+def test_matching_of_the_scene(spark):
+    truth, rows = by_image(view(spark, SF, "truth"), "left", "top", "right", "bottom"), by_image(view(spark, SF, "boxes").filter("score >= 0.3"), "left", "top", "right", "bottom")
+    tp = sum(largest_matching({t: [p for p, b in enumerate(rows[k]) if iou(a, b) >= 0.5] for t, a in enumerate(own)}) for k, own in truth.items())
+    n, m = (sum(map(len, x.values())) for x in (truth, rows))
+    got = plans.matching_scores(spark, SF).first()
+    assert (got.tp, got.fp, got.fn) == (tp, m - tp, n - tp) and got.f1 == pytest.approx(2 * tp / (n + m), abs=2e-6)
+
+
+def test_groups_are_matched_alike_by_all_choices_and_by_paths():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = sorted(draw.integers(2, 7, 2).tolist())
+        part = [(t, p, float(draw.integers(1, 100)) / 100) for t in range(n) for p in range(m) if draw.random() < 0.6]
+        if {t for t, _, _ in part} != set(range(n)) or {p for _, p, _ in part} != set(range(m)):
+            continue
+        a, b = evaluate._tried(part, list(range(n)), list(range(m))), evaluate._cheapest(part, list(range(n)), list(range(m)))
+        assert len(a) == len(b) and sum(x[2] for x in a) == pytest.approx(sum(x[2] for x in b))
+        assert len({x[0] for x in a}) == len({x[1] for x in a}) == len(a) == largest_matching({t: [p for u, p, _ in part if u == t] for t in range(n)})
+
+
+def test_zones_by_propagation_of_the_given_points(spark):
+    """Anchors, the graph of eight nearest neighbours, and rounds of votes of all points at once."""
+    from parallaxis.plans import scene as plan
+
+    points = [r.asDict() for r in view(spark, SF, "points").collect()]
+    centres = {r.zone_id: (r.cx, r.cy, r.cz) for r in view(spark, SF, "point_zones").collect()}
+    at = np.array([[p["x"], p["y"], p["z"]] for p in points])
+    zone_ids = sorted(centres)
+    to_zone = np.round(np.linalg.norm(at[:, None] - np.array([centres[z] for z in zone_ids])[None], axis=2), 12)
+    order = np.argsort(to_zone, axis=1, kind="stable")
+    nearest = [zone_ids[k] for k in order[:, 0]]
+    first, second = np.take_along_axis(to_zone, order[:, :2], 1).T
+    anchor = first * 2 < second
+    ids = np.array([p["point_id"] for p in points])
+    far = np.round(np.linalg.norm(at[:, None] - at[None], axis=2), 12)
+    np.fill_diagonal(far, np.inf)
+    edges, reach = {}, []
+    for i in range(len(ids)):
+        for j in sorted(range(len(ids)), key=lambda j: (far[i, j], ids[j]))[:8]:
+            reach.append(far[i, j])
+            edges[min(i, j), max(i, j)] = far[i, j]
+    sigma = max(float(np.median(reach)), 0.05)
+    heard = defaultdict(list)
+    for (i, j), d in edges.items():
+        w = math.exp(-d * d / sigma**2) * points[i]["conf"] * points[j]["conf"]
+        heard[i].append((j, w))
+        heard[j].append((i, w))
+    label = [nearest[i] if anchor[i] else None for i in range(len(ids))]
+    for _ in range(64):
+        now = list(label)
+        for i in range(len(ids)):
+            votes = defaultdict(float)
+            for j, w in heard[i]:
+                if label[j] is not None:
+                    votes[label[j]] += w
+            if votes and not anchor[i]:
+                now[i] = max(votes, key=lambda z: (round(votes[z], 12), z == nearest[i], -z))
+        if now == label:
+            break
+        label = now
+    want = {int(ids[i]): (label[i] if label[i] is not None else nearest[i], bool(anchor[i])) for i in range(len(ids))}
+    got = {r.point_id: (r.zone_id, r.is_anchor) for r in plan.zones_by_propagation(spark, SF).collect()}
+    assert set(got) == set(want) and sum(got[k] != want[k] for k in got) <= 1  # a vote may tie in the last digit
