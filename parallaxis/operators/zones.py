@@ -230,8 +230,9 @@ def placed_zones(samples: DataFrame, cells: DataFrame, cameras: DataFrame, outli
     hit = lambda p: v.plane_hit(v.vec("t"), v.pixel_ray(at(p["x"], "px"), at(p["y"], "py"), q, x_sign=1), v.vec("m"), v.vec("n"))
     met = met.withColumn("vertices", F.when(F.col("nx").isNotNull(), F.transform("polygon", hit)))
     missed = F.exists("vertices", lambda p: p.isNull())
-    axes = placement.plane_axes(v.vec("n"))
-    flat = F.transform("vertices", lambda p: poly.point(*placement.to_plane((p["x"], p["y"], p["z"]), v.vec("m"), axes)))
+    for k, axis in enumerate("uw"):  # settled, so that expressions stay small
+        met = v.settled(met, {axis + c: x for c, x in zip("xyz", placement.plane_axes(v.vec("n"))[k])})
+    flat = F.transform("vertices", lambda p: poly.point(*placement.to_plane((p["x"], p["y"], p["z"]), v.vec("m"), (v.vec("u"), v.vec("w")))))
     met = met.withColumn("area", F.when(~missed, poly.area(flat)))
     reason = F.coalesce("reason", F.when(F.col("n").isNull(), "too few points"), F.when(missed, "outline misses the plane"), area_in_range(F.col("area")))
     return met.select(*keys, F.coalesce("n", F.lit(0)).alias("points"), "nx", "ny", "nz", "mx", "my", "mz", "vertices", "area", reason.alias("reason"))
