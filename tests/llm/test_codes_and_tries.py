@@ -246,3 +246,33 @@ def test_vector_codes_of_odd_vectors(spark):
     rows = [(1, [1e300, -1e300, 0.5], 1), (2, [0.0, 0.0, 0.0], 1), (3, [], None), (None, [0.001] * 20, None)]
     coded, books = vectorcodes.compress(spark.createDataFrame(rows, schema))
     assert books.shape == (16, 4, 2) and {r.vec_id: r.error for r in coded.collect()} == {1: 0, 2: 0, 3: 0, None: 0}
+
+
+def test_a_file_of_many_blocks(tmp_path, monkeypatch):
+    """Documents longer and shorter than a block, coded, written, and read whole and in part."""
+    monkeypatch.setattr(idfiles, "BLOCK", 300)
+    draw = np.random.default_rng(2)
+    docs = [(None, [3]), *((k, draw.integers(0, 40, int(n)).tolist()) for k, n in enumerate(draw.choice([1, 5, 128, 299, 300, 301, 2000], 60)))]
+    every = np.array([i for _, ids in docs for i in ids], np.uint32)
+    code = idfiles.Code(idfiles.code_lengths(np.bincount(every), 8))
+    with (tmp_path / "x").open("wb") as out:
+        writer = idfiles._Writer(out)
+        for doc_id, ids in docs:
+            for number, a in enumerate(range(0, len(ids), 300)):
+                part = np.array(ids[a : a + 300], np.uint32)
+                words, _, bits = code.write(part, np.array([len(part)]))
+                writer.add(doc_id, number, len(ids), len(part), bits.tobytes(), words.tobytes())
+        writer.close()
+    assert len(writer.directory) > 20 and max(n for _, _, n in writer.directory) <= 300 and writer.n_docs == len(docs)
+    import pyarrow as pa
+
+    with pa.OSFile(str(tmp_path / "x")) as f:
+        blocks = list(idfiles._blocks(f, code.table(), code.width))
+        assert np.array_equal(np.concatenate([ids for _, _, ids in blocks]), every)
+        found = [(None if r[3] else r[0], r[1], r[2]) for _, rows, _ in blocks for r in rows.tolist()]
+        sizes = [len(ids) for _, ids in docs]
+        assert found == [(d, sum(sizes[:k]), sizes[k]) for k, (d, _) in enumerate(docs)]
+        for low, high in ((0, 1), (299, 301), (5000, 5600), (len(every) - 1, len(every))):
+            hit = list(idfiles._blocks(f, code.table(), code.width, low, high))
+            assert hit[0][0] <= low and hit[-1][0] + len(hit[-1][2]) >= high and len(hit) <= (high - low) // 150 + 3
+            assert np.array_equal(np.concatenate([ids for _, _, ids in hit])[low - hit[0][0] : high - hit[0][0]], every[low:high])
