@@ -368,7 +368,7 @@ def test_gapped_insults_are_alike():
         return x.max() if len(alike) else 0.0
 
     assert like("idiot") == pytest.approx(1) and like("IDIOT!") == pytest.approx(1) and like("i d i o t") == pytest.approx(1) and like("1d1ot") == pytest.approx(1)
-    assert like("idxiot") > 0.05 and like("id.iot") == pytest.approx(1) and like("banana") == 0
+    assert min(map(like, ("idxiot", "iidiot", "idoit", "ptahetic", "patetic", "pathetqic"))) >= 0.55 and like("id.iot") == pytest.approx(1) and like("banana") == 0
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -379,6 +379,38 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_changed_insults_are_found(spark):
+    """Held-out toxic documents that are found are still found when each insult in them is changed, and clean documents stay clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels.filter(~toxicity.in_held_out_fold("doc_id")))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.in_held_out_fold("doc_id")).collect()
+
+    def flagged(texts):
+        return [bool(x) for _, _, *part in _text.chunks(pa.array(texts, pa.string()), toxicity.PIECE) for x in machine.scores(machine.features(*part)) >= 0.5]
+
+    insult = re.compile("trash|pathetic|worthless|disgust|idiot|loser|moron|scum|clown|stupid", re.I)
+    clean, toxic = ([r.text for r in rows if r.toxic == k] for k in (0, 1))
+    assert sum(flagged(clean)) <= 0.01 * len(clean) and sum(flagged(toxic)) >= 0.8 * len(toxic)
+    found = [t for t, f in zip(toxic, flagged(toxic)) if f and insult.search(t)]
+    rng = random.Random(5)
+
+    def insert(w):
+        at = rng.randrange(1, len(w))
+        return w[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[at:]
+
+    def drop(w):
+        at = rng.randrange(1, len(w) - 1)
+        return w[:at] + w[at + 1 :]
+
+    def swap(w):
+        at = rng.randrange(len(w) - 1)
+        return w[:at] + w[at + 1] + w[at] + w[at + 2 :]
+
+    for change, least in ((insert, 0.8), (drop, 0.8), (swap, 0.8), (" ".join, 0.9), (".".join, 0.9)):
+        changed = [insult.sub(lambda m: change(m[0]), t) for t in found]
+        assert sum(flagged(changed)) >= least * len(found), change
+
+
 def test_toxicity_of_few_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scores = {r.score for r in toxicity.score_toxicity(docs, labels).collect()}
