@@ -61,9 +61,14 @@ FROM j
 """
 
 
+#: Share of all documents that op3 draws, fewer than are good, and n-grams of evidence that it draws them by.
+DRAWN, EVIDENCE = 0.5, 10
+
+
 def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights, scores and the resampling decision of all documents."""
-    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Weights and scores of all documents, whether the classifier accepts each, and whether it is in a sample of DRAWN of all."""
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=DRAWN, evidence=EVIDENCE)
+    return rows.withColumn("accepted", F.col("score") >= 0.5)
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

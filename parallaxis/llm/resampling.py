@@ -169,12 +169,12 @@ class Model:
     slope: float
     intercept: float
 
-    def keyed(self, documents: DataFrame) -> DataFrame:
-        """documents with log_weight, score and key, by their text and doc_id alone."""
+    def keyed(self, documents: DataFrame, seed: int = SEED, evidence: float = LENGTH) -> DataFrame:
+        """documents with log_weight, score and key, by their text and doc_id alone; the noise in key is another for each seed, and a long text's weight in it that of evidence n-grams."""
         own = documents.drop("log_weight", "score", "key")
-        uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
         logit = self.slope * F.asinh("log_weight") + self.intercept
-        return log_weights(own, self.ratios[:1]).select(*own.columns, "log_weight", (1 / (1 + F.exp(-logit))).alias("score"), (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"))
+        return log_weights(own, self.ratios[:1]).select(*own.columns, "log_weight", (1 / (1 + F.exp(-logit))).alias("score"), (F.col("log_weight") * (evidence / LENGTH) - F.log(-F.log(uniform))).alias("key"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
@@ -189,21 +189,24 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "quality") -> Mod
     return Model(ratios, *calibrate(np.array([r.log_weight for r in fitted], float), np.array([r.label == 1 for r in fitted], float)))
 
 
-def resample(documents: DataFrame, labels: DataFrame, target: str = "quality", keep: float | None = None) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, target: str = "quality", keep: float | None = None, seed: int = SEED, evidence: float = LENGTH) -> DataFrame:
     """doc_id, log_weight, score, key, kept of every row of documents.
 
     The target model counts documents whose label is 1, the raw model all.
     log_weight is the log importance weight of the whole text (see LENGTH); key
-    adds Gumbel noise drawn from doc_id, so that reruns agree. The rows of the
+    adds Gumbel noise drawn from doc_id, so that reruns agree, to evidence /
+    LENGTH of it: the less evidence, the more even the draw. The rows of the
     k largest keys are kept, and of rows that tie for the last place, all: k is
     `keep` of the rows, or where that is None the expected number of target
     documents, the sum of score, which is the weight's chance (0 to 1), by the
-    labels, to be of the target. Null texts are empty; without n-grams a text's
+    labels, to be of the target. With a k below the number of good documents
+    and little evidence the draw is a sample of them, the likelier the larger
+    their weights; by default it takes the good ones nearly as they are. Null texts are empty; without n-grams a text's
     weight is one. Rows of one doc_id draw the same noise. Several labels of a
     doc_id count by the smallest, null ones not. Other columns are ignored; an
     empty table gives no rows.
     """
-    keyed = _work.stored(fit(documents, labels, target).keyed(documents.select("doc_id", "text")).drop("text"), "keys")
+    keyed = _work.stored(fit(documents, labels, target).keyed(documents.select("doc_id", "text"), seed, evidence).drop("text"), "keys")
     k, last = _last(keyed, keep)
     return keyed.withColumn("kept", F.lit(k > 0) if last is None else F.col("key") >= last)
 

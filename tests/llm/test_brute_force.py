@@ -265,17 +265,55 @@ def test_resampling_query_equals_brute_force(spark):
         total = sum(log((target[f] + resampling.SMOOTHING) / sums[f[0]][1]) - log((raw[f] + resampling.SMOOTHING) / sums[f[0]][0]) for f in fs)
         weight = total * resampling.LENGTH / (len(fs) + resampling.LENGTH)
         assert got[d].log_weight == pytest.approx(weight, rel=1e-7, abs=1e-7)
-        keys[d] = weight - log(-log(noise[d]))
+        keys[d] = weight, log(-log(noise[d]))
     tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")]
-    for rows, k in ((got.values(), round(sum(r.score for r in got.values()))), (resampling.resample(*tables, keep=0.6).collect(), round(0.6 * len(docs)))):
-        last = sorted(keys.values(), reverse=True)[k - 1]
-        assert {r.doc_id for r in rows if r.kept} == {d for d, x in keys.items() if x >= last - 1e-9}
+    assert all(r.accepted == (r.score >= 0.5) for r in got.values())
+    for rows, k, part in (
+        (got.values(), round(queries.DRAWN * len(docs)), queries.EVIDENCE / resampling.LENGTH),
+        (resampling.resample(*tables).collect(), round(sum(r.score for r in got.values())), 1),
+        (resampling.resample(*tables, keep=0.6).collect(), round(0.6 * len(docs)), 1),
+    ):
+        noisy = {d: x * part - y for d, (x, y) in keys.items()}
+        last = sorted(noisy.values(), reverse=True)[k - 1]
+        assert {r.doc_id for r in rows if r.kept} == {d for d, x in noisy.items() if x >= last - 1e-9}
     a, b = (asinh(got[d].log_weight) for d in list(got)[:2])
     x, y = (log(got[d].score / (1 - got[d].score)) for d in list(got)[:2])
     slope = (x - y) / (a - b)
     assert slope > 0 and all(r.score == pytest.approx(1 / (1 + exp(-(slope * asinh(r.log_weight) + x - slope * a))), abs=1e-6) for r in got.values())
 
 
+def test_chance_to_be_drawn_follows_the_weight(spark):
+    """Over many seeds: whether the noise decides, and against sampling one by one, each time by weight, without replacement."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = resampling.fit(docs, labels)
+    weights = {r.doc_id: r.log_weight for r in model.keyed(docs.select("doc_id", "text")).collect()}
+    noises = [F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(1 << 40)).alias(f"u{s}") for s in range(200)]
+    ids = list(weights)
+    noise = np.array([list(r)[1:] for r in docs.select("doc_id", *noises).collect()], float)
+    order = np.argsort([r.doc_id for r in docs.select("doc_id").collect()], kind="stable")
+    ids.sort()
+    w, u = np.array([weights[d] for d in ids]) * queries.EVIDENCE / resampling.LENGTH, (noise[order] + 0.5) / (1 << 40)
+    one = {r.doc_id: r.key for r in model.keyed(docs.select("doc_id", "text"), 5, queries.EVIDENCE).collect()}
+    assert np.allclose([one[d] for d in ids], w - np.log(-np.log(u[:, 5])))
+    k = round(queries.DRAWN * len(ids))
+    keys = w[:, None] - np.log(-np.log(u))
+    drawn = keys >= np.sort(keys, axis=0)[-k]
+    plain = w >= np.sort(w)[-k]
+    outside = drawn[~plain].sum(0) / k
+    assert outside.min() > 0.05  # of each draw, rows that plain order would not take
+    rng = np.random.default_rng(1)
+    urn = np.zeros(len(ids))
+    for _ in range(200):
+        left = np.exp(w - w.max())
+        for _ in range(k):
+            at = int(np.searchsorted(np.cumsum(left), rng.random() * left.sum(), "right"))
+            at = min(at, len(ids) - 1)
+            left[at] = 0
+            urn[at] += 1
+    chance = drawn.mean(1)
+    assert np.abs(chance - urn / 200).mean() < 0.04 and np.corrcoef(chance, urn)[0, 1] > 0.98
+
+
 def test_rows_that_tie_for_the_last_place_are_all_kept(spark):
     rows = [(k // 4, "plain words of some text " * 3) for k in range(40)] + [(None, None)] * 10
     labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
