@@ -2,10 +2,11 @@
 
 Passages of the corpus are TF-IDF rows over hashed words. A randomised SVD
 (a random sketch of the rows, then the rows in the sketch's range) gives a
-latent space. Every window of every text is compared there with every
-benchmark item; where the cosine is high and the words at hand can add up to a
-match, a longest common subsequence of words, with a look at the item's answer
-where the match is loose, decides.
+latent space. Every window of every text is compared there with every window
+of every benchmark item, and those of high cosine are the candidates. Those
+with too few of the item's words nearby for any match go; for the rest a
+longest common subsequence of words, with a look at the item's answer where
+the match is loose, decides.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from parallaxis.llm import _text, _work
 from parallaxis.llm.licences import BREAKS
 
 #: Buckets that words are hashed to, and directions of the randomised SVD.
-TERMS, DIRECTIONS = 1 << 14, 32
+TERMS, DIRECTIONS = 1 << 14, 96
+#: Directions of the sketch that a passage is added to, under a random sign each.
+SIGNS = 4
 #: A latent direction in which the means of long documents hold this share of the energy of their passages tells languages and topics apart, not passages, and is dropped.
 SHARED_ENERGY = 0.3
 #: Passages from which a document counts as long.
@@ -31,13 +34,13 @@ LONG = 8
 PASSAGE, BLOCK = 48, 4
 #: Window lengths; an item is sought with the longest that it fills, and longer items in several windows. Windows start a third of their length apart.
 SCALES = (8, 12, 24, 48)
-#: Least cosine of a candidate.
-COSINE = 0.05
+#: Least cosine of a candidate. Unrelated windows reach it once in some fifty.
+COSINE = 0.25
 #: Share of an item's words that a common subsequence must have: to settle it alone, and with the answer.
 SURE, LOOSE = 0.75, 0.5
 #: Share of an item's words, at its end, that count as its answer, and the share of those that must be there in order.
 ANSWER, ANSWERED = 0.25, 0.8
-#: Words of an item's length before and after a word of a match in which the match is sought.
+#: Words of an item's length before and after the last word of a candidate window in which the match is sought.
 BEFORE, AFTER = 2, 1
 #: Share of an item's words, and their least number, that must be there besides its commonest, which are taken as there anywhere.
 TELLING, LEAST_TELLING = 0.15, 4
@@ -48,10 +51,8 @@ PIECE = 1 << 18
 #: Items of more words have their subsequences computed one by one.
 _BITS = 64
 _SLICE = 256
-#: Passages whose signs are added at once; the counters have 16 bits.
-_STEP = (1 << 16) // PASSAGE - 1
-#: The four bits of a number as the 16-bit fields of a word.
-_SPREAD = np.array([sum(1 << 16 * b for b in range(4) if x >> b & 1) for x in range(16)], np.uint64)
+#: Blocks whose windows are compared with all items at once.
+_WINDOWS = 4096
 
 
 @dataclass
@@ -87,45 +88,48 @@ class Coded:
         return start, self.row[start]
 
 
-def _block_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows over the words of each block; the table's last row is zero."""
-    end = np.append(start[1:], len(term))
+def _block_sums(table: np.ndarray, term: np.ndarray, start: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Sum of the table's rows over the words of each of the blocks from a to b; the table's last row is zero."""
+    stop = int(start[b]) if b < len(start) else len(term)
+    start = start[a:b]
+    end = np.append(start[1:], stop)
     out = table[term[start]]
     for k in range(1, BLOCK):
-        at = np.where(start + k < end, term[np.minimum(start + k, len(term) - 1)], TERMS)
+        at = np.where(start + k < end, term[np.minimum(start + k, stop - 1)], TERMS)
         out += table[at]
     return out
 
 
-def _added(parts: DataFrame, size: int) -> np.ndarray:
-    """The sums of parts (slice, part: float64 numbers, so many a slice) by slice, as one array."""
+def _added(parts: DataFrame, size: int, kind: type = np.float64) -> np.ndarray:
+    """The sums of parts (slice, part: numbers of a kind, so many a slice) by slice, as one array."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = 0.0, 0
+        total, key = np.float64(0), 0
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
                 key = k
-                total = total + np.frombuffer(part.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary())], names=["slice", "part"])
+                total = total + np.frombuffer(part.as_py(), kind).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.asarray(total, np.float64).tobytes()], pa.binary())], names=["slice", "part"])
 
     found = {r[0]: np.frombuffer(r[1]) for r in parts.groupBy("slice").applyInArrow(add, "slice int, part binary").collect()}  # as many numbers as the table of terms has
     return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size)
 
 
-def _slices(numbers: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(len(numbers)), pa.int32()), pa.array([np.ascontiguousarray(x, np.float64).tobytes() for x in numbers], pa.binary())], names=["slice", "part"])
+def _slices(numbers: np.ndarray, kind: type = np.float64) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(numbers)), pa.int32()), pa.array([np.ascontiguousarray(x, kind).tobytes() for x in numbers], pa.binary())], names=["slice", "part"])
 
 
 def coded(documents: DataFrame) -> DataFrame:
     """doc_id, words, slice, part: the words of each text (null slice), and of all passages the sketch, in parts by slice (null words).
 
-    The sketch has for each term the sum, under random signs of the passages,
-    of its counts in DIRECTIONS directions, and in how many passages it stands;
-    last comes the number of passages.
+    The sketch has for each term the sum, under random signs, of its counts in
+    the passages that are added to each of DIRECTIONS directions, and in how
+    many passages it stands; last comes the number of passages. A part's
+    numbers are whole and fit 32-bit floats up to 2^24.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, numbers, passages = np.zeros((TERMS, DIRECTIONS), np.int64), np.zeros((TERMS, 2), np.int64), 0
+        signed, standing, passages = np.zeros(TERMS * DIRECTIONS, np.int64), np.zeros(TERMS, np.int64), 0
         names = ["doc_id", "words", "slice", "part"]
         for batch in batches:
             known = batch.column(0).cast(pa.int64())
@@ -140,21 +144,18 @@ def coded(documents: DataFrame) -> DataFrame:
                 term = w.terms()
                 start, text = w.blocks(PASSAGE)
                 own = _text.mix(np.add.reduceat(w.word, start, dtype=np.uint64) + ids[a + text] + np.arange(len(start), dtype=np.uint64))  # a passage draws its signs by its words, document and place
-                signs = np.stack([_SPREAD[(own >> np.uint64(4 * k)) & np.uint64(15)] for k in range(DIRECTIONS // 4)], axis=1)
                 of = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(term))))
                 passages += len(start)
-                for at in range(0, len(start), _STEP):
-                    low, high = start[at], start[at + _STEP] if at + _STEP < len(start) else len(term)
-                    order = np.argsort(term[low:high], kind="stable")
-                    t, p = term[low:high][order], of[low:high][order]
-                    begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                    some = t[begin].astype(np.int64)
-                    ones[some] += np.add.reduceat(signs[p], begin, axis=0).astype("<u8").view("<u2").reshape(len(begin), DIRECTIONS)
-                    new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))
-                    numbers[some, 0] += np.diff(np.append(begin, len(t)))
-                    numbers[some, 1] += np.add.reduceat(new, begin, dtype=np.int64)
-        rows = np.concatenate([2 * ones - numbers[:, :1], numbers[:, 1:]], axis=1).reshape(-1, _SLICE * (DIRECTIONS + 1))
-        parts = _slices(np.concatenate([rows, np.full((1, rows.shape[1]), passages)]))
+                at = term.astype(np.int64) * DIRECTIONS
+                for k in range(SIGNS):  # each in its own share of the directions
+                    drawn = (own >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+                    direction = (drawn >> np.uint64(1)).astype(np.int64) % (DIRECTIONS // SIGNS) + k * (DIRECTIONS // SIGNS)
+                    np.add.at(signed, at + direction[of], (1 - 2 * (drawn & np.uint64(1)).astype(np.int64))[of])
+                order = np.argsort(term, kind="stable")
+                t, p = term[order], of[order]
+                standing += np.bincount(t[np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))], minlength=TERMS)
+        rows = np.concatenate([signed.reshape(TERMS, DIRECTIONS), standing[:, None]], axis=1).reshape(-1, _SLICE * (DIRECTIONS + 1))
+        parts = _slices(np.concatenate([rows, np.full((1, rows.shape[1]), passages)]), np.float32)
         n = parts.num_rows
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *parts.columns], names=names)
 
@@ -173,10 +174,12 @@ def moments(words: DataFrame, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 if not len(w.word):
                     continue
                 start, text = w.blocks(BLOCK)
-                sums = _block_sums(padded, w.terms(), start)
                 place = np.arange(len(start)) - np.searchsorted(text, text)
                 first = np.flatnonzero(place % (PASSAGE // BLOCK) == 0)
-                rows = np.add.reduceat(sums, first, axis=0)
+                term, rows = w.terms(), np.empty((len(first), width), np.float32)
+                for a in range(0, len(first), _WINDOWS):  # a long text has very many blocks
+                    low, high = first[a], first[a + _WINDOWS] if a + _WINDOWS < len(first) else len(start)
+                    rows[a : a + _WINDOWS] = np.add.reduceat(_block_sums(padded, term, start, low, high), first[a : a + _WINDOWS] - low, axis=0)
                 text = text[first]
                 every += rows.T @ rows
                 n = np.bincount(text, minlength=len(w.first) - 1)
@@ -206,7 +209,7 @@ class Space:
 def latent_space(words: DataFrame) -> Space:
     """The latent space of all passages of coded documents."""
     size = (TERMS + _SLICE) * (DIRECTIONS + 1)
-    numbers = _added(words.filter("slice is not null").select("slice", "part"), size).reshape(-1, DIRECTIONS + 1)
+    numbers = _added(words.filter("slice is not null").select("slice", "part"), size, np.float32).reshape(-1, DIRECTIONS + 1)
     signed, standing, passages = numbers[:TERMS, :DIRECTIONS], numbers[:TERMS, DIRECTIONS], numbers[-1, 0]
     idf = np.log((passages + 1) / (standing + 1))
     basis, _ = np.linalg.qr(idf[:, None] * signed)
@@ -270,13 +273,12 @@ class Retriever:
         pairs = [(i * len(self.vocabulary) + v, m) for i, x in enumerate(self.masks) if len(self.words[i]) <= _BITS for v, m in sorted(x.items())]
         self.pair, self.pair_mask = np.array([k for k, _ in pairs], np.int64), np.array([m for _, m in pairs], np.uint64)
         self._tell(space.idf[terms], number, first)
-        self.vectors, self.slot = {}, np.full(len(texts), -1)
+        self.vectors = {}
         for k, length in enumerate(SCALES):
             longer = SCALES[k + 1] if k + 1 < len(SCALES) else 1 << 60
             vectors, of = [], []
             for i in np.flatnonzero((self.sizes >= length) & (self.sizes < longer)):
                 a, b = first[i], first[i + 1]
-                self.slot[i] = length
                 for s in sorted({*range(a, b - length, length), b - length}):
                     vectors.append(self.space[terms[s : s + length]].sum(0))
                     of.append(i)
@@ -318,29 +320,43 @@ class Retriever:
         self.lists = np.searchsorted(np.array(word, np.int64)[order], np.arange(len(self.vocabulary) + 1))
         self.need = need
 
-    def _places(self, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (words of the texts, by item and place) where enough telling words of an item stand in the BEFORE lengths of it that end there."""
+    def _telling(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place, weight) of all telling words in the texts, by item and place."""
         known = np.flatnonzero(number >= 0)
         many = np.diff(self.lists)[number[known]]
         at = np.repeat(known, many)
         k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.lists[number[known]], many)
         item, weight = self.item_of[k], self.weight_of[k]
         order = np.argsort(item.astype(np.int16) if len(self.words) < 1 << 15 else item, kind="stable")
-        item, at, weight = item[order].astype(np.int64), at[order], weight[order]
-        gap = BEFORE * int(self.sizes.max(initial=0)) + 1
-        key = item * (len(number) + (int(row[-1]) + 2) * gap) + at + row[at].astype(np.int64) * gap
-        upto = np.append(0, np.cumsum(weight))
-        begin = np.searchsorted(key, key - BEFORE * self.sizes[item])
-        end = np.flatnonzero(upto[1:] - upto[begin] >= self.need[item])
-        if not len(end):
-            return item[end], at[end]
-        # repeats of a word count once: of each place's words, the first of each kind
-        many = end + 1 - begin[end]
-        own = np.repeat(np.arange(len(end)), many)
-        k = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[end], many)
-        kind = np.unique(own * len(self.vocabulary) + number[at[k]], return_index=True)[1]
-        end = end[np.bincount(own[kind], weight[k[kind]], len(end)) >= self.need[item[end]]]
-        return item[end], at[end]
+        return item[order].astype(np.int64), at[order], weight[order]
+
+    def candidates(self, w: Coded) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place, cosine) of the windows of the texts whose cosine with a window of an item is COSINE at least; place is the window's last word. All windows are compared with all items."""
+        start, text = w.blocks(BLOCK)
+        begins = np.searchsorted(text, np.arange(len(w.first)))
+        inside = np.arange(len(start)) - begins[text]
+        left = begins[text + 1] - np.arange(len(start))
+        last, term = np.append(start, len(w.word)), w.terms()
+        for a in range(0, len(start), _WINDOWS):  # a long text has very many blocks
+            b = min(a + _WINDOWS, len(start))
+            some = min(b + SCALES[-1] // BLOCK, len(start))
+            sums = np.zeros((some - a + 1, self.space.shape[1]), np.float32)
+            np.cumsum(_block_sums(self.space, term, start, a, some), axis=0, out=sums[1:])
+            for length, (vectors, of) in self.vectors.items():
+                n = length // BLOCK
+                step = max(1, n // 3)
+                x = a + np.flatnonzero(((inside[a:b] % step == 0) & (left[a:b] > n)) | (left[a:b] == n) | ((left[a:b] < n) & (inside[a:b] == 0)))  # the last window ends with the text
+                upto = np.minimum(x + n, begins[text[x] + 1])
+                cosines = vectors @ _unit(sums[upto - a] - sums[x - a]).T if self.space.shape[1] else np.ones((len(vectors), len(x)), np.float32)  # where the corpus gives no direction, nothing tells windows apart
+                flat = np.flatnonzero(cosines.ravel() >= COSINE)
+                if len(flat):
+                    vector, window = flat // len(x), flat % len(x)
+                    yield of[vector], last[upto[window]] - 1, cosines.ravel()[flat]
+
+    def _near(self, w: Coded, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word, and the one after the last, of what lies BEFORE and AFTER these places in their texts."""
+        size, row = self.sizes[item], w.row[place]
+        return np.maximum(place - BEFORE * size, w.first[row]), np.minimum(place + AFTER * size + 1, w.first[row + 1])
 
     def hits(self, w: Coded) -> list[Hit]:
         """Best accepted match of each (text, item)."""
@@ -352,11 +368,17 @@ class Retriever:
         same = self.vocabulary[at] == w.word[maybe]
         number[maybe[same]] = at[same]
         first = w.first
-        item, place = self._places(number, w.row)
-        cosines = self._cosines(w, item, place)
-        likely = np.flatnonzero(cosines >= COSINE)
-        item, place, cosines = item[likely], place[likely], cosines[likely]
-        long = self._long_enough(number, first, w.row, item, place)
+        item, place, weight = self._telling(number)
+        short = self.sizes[item] < SCALES[0]
+        found_by: list[tuple[np.ndarray, ...]] = [(item[short], place[short], np.ones(int(short.sum()), np.float32))]
+        key, upto = item * (len(number) + 1) + place, np.append(0, np.cumsum(weight))
+        for own, at, cosine in self.candidates(w):
+            low, high = self._near(w, own, at)
+            there = upto[np.searchsorted(key, own * (len(number) + 1) + high)] - upto[np.searchsorted(key, own * (len(number) + 1) + low)]
+            some = there >= self.need[own]
+            found_by.append((own[some], at[some], cosine[some]))
+        item, place, cosines = (np.concatenate(x) for x in zip(*found_by))
+        long = self._long_enough(number, w, item, place)
         found: dict[tuple[int, int], Hit] = {}
         for i, p, cosine in zip(item[long].tolist(), place[long].tolist(), cosines[long].tolist()):
             row = int(w.row[p])
@@ -368,15 +390,15 @@ class Retriever:
                 found[row, i] = hit
         return [found[k] for k in sorted(found)]
 
-    def _long_enough(self, number: np.ndarray, first: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def _long_enough(self, number: np.ndarray, w: Coded, item: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which places have a common subsequence of LOOSE of the item near them. All are advanced together, a word at a time; items too long for that, or sought word for word, are left in."""
         size = self.sizes[item]
         out = np.ones(len(item), bool)
         some = np.flatnonzero((size >= SCALES[0]) & (size <= _BITS))
         if not len(some):
             return np.flatnonzero(out)
-        size, text = size[some], row[place[some]]
-        low, high = np.maximum(place[some] - BEFORE * size, first[text]), np.minimum(place[some] + AFTER * size + 1, first[text + 1])
+        size = size[some]
+        low, high = self._near(w, item[some], place[some])
         many = high - low
         own = np.repeat(np.arange(len(some)), many)
         at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
@@ -400,39 +422,6 @@ class Retriever:
         out[some] = common >= LOOSE * size
         return np.flatnonzero(out)
 
-    def _cosines(self, w: Coded, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """All windows are compared with all items; for each of the given (item, place), the highest cosine of the windows near it. Items sought word for word have cosine one."""
-        out = np.where(self.sizes[item] < SCALES[0], 1.0, -1.0).astype(np.float32)
-        start, text = w.blocks(BLOCK)
-        begins = np.searchsorted(text, np.arange(len(w.first)))
-        sums = np.zeros((len(start) + 1, self.space.shape[1]), np.float32)
-        np.cumsum(_block_sums(self.space, w.terms(), start), axis=0, out=sums[1:])
-        inside = np.arange(len(start)) - begins[text]
-        left = begins[text + 1] - np.arange(len(start))
-        block = np.searchsorted(start, place, "right") - 1
-        for length, (vectors, of) in self.vectors.items():
-            n = length // BLOCK
-            step = max(1, n // 3)
-            x = np.flatnonzero(((inside % step == 0) & (left > n)) | (left == n) | ((left < n) & (inside == 0)))  # the last window ends with the text
-            upto = np.minimum(x + n, begins[text[x] + 1])
-            near = np.flatnonzero(self.slot[item] == length)
-            row = w.row[place[near]]
-            reach = (self.sizes[item[near]] + BLOCK - 1) // BLOCK
-            low = np.searchsorted(x, np.maximum(block[near] - BEFORE * reach, begins[row]))
-            high = np.searchsorted(x, np.minimum(block[near] + AFTER * reach + 1, begins[row + 1]))
-            low = np.minimum(low, high - 1)
-            column, last = np.searchsorted(of, item[near]), np.searchsorted(of, item[near], "right")
-            for a in range(0, len(x), 4096):
-                cosine = _unit(sums[upto[a : a + 4096]] - sums[x[a : a + 4096]]) @ vectors.T
-                some = np.flatnonzero((low < a + len(cosine)) & (high > a))
-                for k in range(int((high - low)[some].max(initial=0))):
-                    at = low[some] + k
-                    own = some[(at >= a) & (at < a + len(cosine)) & (at < high[some])]
-                    for m in range(int((last - column)[own].max(initial=0))):
-                        own = own[column[own] + m < last[own]]
-                        out[near[own]] = np.maximum(out[near[own]], cosine[low[own] + k - a, column[own] + m])
-        return out
-
     def _word_for_word(self, number: np.ndarray, first: np.ndarray, row: int, item: int, place: int) -> Hit | None:
         words = self.words[item]
         for k, x in enumerate(words):
@@ -477,7 +466,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
 def find_matches(documents: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
     """One row for each document and benchmark item that it holds, as copied or paraphrased text.
 
-    All windows of whole texts are compared with all items. Null texts have no
+    All windows of whole texts are compared with all items, and a match is
+    sought where their cosine is COSINE at least. Null texts have no
     words; items without words match nothing, and items of a few words only
     word for word. Repeated rows give one match by doc_id, the best (of matches
     that tie, the first in the text); rows of null doc_id are as one document,
