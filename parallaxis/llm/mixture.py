@@ -12,6 +12,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from parallaxis.llm import _work
 
@@ -73,21 +74,26 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHE
     has (pass, words, position) for each walk that takes words, with the
     position in the training run, from 0 to 1, at which they are due.
     A null text has no words; null sources make one source, the last; rows of
-    repeated doc_id queue each; other columns, also of these names, are kept
-    out of the way: only those of documents that don't clash come along.
+    repeated doc_id queue each, and so do those without a doc_id, in the order
+    of a hash of the whole row. Other columns come along, but for those whose
+    names, in any case, clash with columns made here. Rows alike in all columns
+    take places like any others, but are moved once, and their places are
+    joined to them: very many of them are gathered in no task.
     """
-    clash = {"size", "source_size", "target", "taken", "passes", "source_key", "kind", "queue", "shard", "before", "id_key", "row_key", "copy", "places", "place"}
-    docs = documents.select(*[c for c in documents.columns if c not in clash], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    docs = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))).withColumn("queue", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    docs = docs.withColumn("row_key", F.xxhash64(*[c for c in ("doc_id", "text", "source", "lang") if c in documents.columns]))
+    clash = {"size", "source_size", "target", "taken", "passes", "source_key", "kind", "queue", "shard", "before", "id_key", "row_key", "other_key", "row"}
+    own = [c for c in documents.columns if c.lower() not in clash]
+    docs = documents.select(*own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    docs = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")))
+    values = [F.map_entries(c) if isinstance(documents.schema[c].dataType, MapType) else F.col(c) for c in own]
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in own])  # the hash passes over nulls
+    docs = docs.withColumn("row_key", F.xxhash64(nulls, *values)).withColumn("other_key", F.xxhash64(F.lit(seed), *values, nulls))
     docs = docs.withColumn("id_key", F.coalesce("doc_id", F.lit(0)))
-    placed = place(docs.select("doc_id", "id_key", "source_key", "queue", "size", "row_key"), weights, schedules, budget, cap)
-    # rows alike in all that matters are interchangeable: the n-th of them gets the n-th place
-    alike = ("id_key", "row_key")
-    places = placed.groupBy(*alike).agg(F.array_sort(F.collect_list(F.struct("before", "source_size", "target", "taken", "passes"))).alias("places"))
-    numbered = docs.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy("queue")))
-    out = numbered.join(places, [*alike]).withColumn("place", F.element_at("places", F.col("copy")))
-    return out.select(*[c for c in documents.columns if c not in clash], "size", "place.source_size", "place.target", "place.taken", "place.passes")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.col("row_key").cast("string")))
+    docs = docs.withColumn("queue", F.md5(F.concat(F.lit(seed), named)))
+    alike = ("id_key", "row_key", "other_key")
+    placed = place(docs.select("doc_id", *alike, "source_key", "queue", "size"), weights, schedules, budget, cap)
+    rows = docs.groupBy(*alike).agg(F.first(F.struct(*own)).alias("row"))
+    return placed.select(*alike, "size", "source_size", "target", "taken", "passes").join(rows, [*alike]).select("row.*", "size", "source_size", "target", "taken", "passes")
 
 
 def place(keys: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, cap: int = CAP) -> DataFrame:

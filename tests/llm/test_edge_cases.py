@@ -200,6 +200,23 @@ def test_mixture(docs, empty):
     assert mixture.mix(empty).count() == 0
 
 
+def test_mixture_of_many_rows_alike(spark):
+    """A third of all rows are one row without an id, as many have only their text in common, and the rest are told apart by another column alone."""
+    n = 400
+    rows = [(None, "a b c", "s", 1, {"k": 1})] * n + [(None, f"a b {i}", "s", 1, {"k": 1}) for i in range(n)] + [(7, "a b c", "s", 1, {"k": i}) for i in range(n)] + [(None, None, "s", 1, None), (None, "s", None, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Size int, extra map<string,int>")
+    mixed = mixture.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "extra", "size", "source_size", "target", "taken", "passes"]
+    got = mixed.collect()
+    key = lambda r: repr((r[0], r[1], r[2], r[-1]))
+    assert sorted(repr((r.doc_id, r.text, r.source, r.extra)) for r in got) == sorted(map(key, rows))
+    for source, words in (("s", 9 * n), (None, 1)):
+        own = [r for r in got if r.source == source]
+        assert {r.source_size for r in own} == {words} and sum(r.taken for r in own) == int(own[0].target + 0.5)
+        assert all(r.size == len((r.text or "").split()) and 0 <= r.taken <= 2 * r.size and sum(p.words for p in r.passes) == r.taken for r in own)
+    assert "collect_list" not in mixed._jdf.queryExecution().toString()
+
+
 def test_semantic(docs, empty, benchmark):
     got = {(r.doc_id, r.item_id) for r in semantic.find_matches(docs, benchmark).collect()}
     assert got == {(1, 1), (7, 1), (6, None)}
