@@ -372,6 +372,45 @@ def test_benchmark_query_equals_brute_force(spark):
     assert want and found == want
 
 
+def test_cosines_choose_the_candidates(spark, monkeypatch):
+    """Candidates are the windows, and all of them, whose cosine with an item's window, summed word by word, is high enough; few others are, and without candidates nothing but short items is found."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").orderBy(f"{k}_id").collect() for t, k in (("documents", "doc"), ("benchmark", "item")))
+    space = semantic.latent_space(semantic.coded(spark.read.parquet(f"{SF}/documents.parquet")).cache())
+    bench = [r.text for r in items]
+    retriever = semantic.Retriever(bench, space)
+    texts = [" ".join(["zzz"] * k + (bench[k] or "").split() + (docs[k].text or "").split()[:200]) for k in range(12)]
+    w = semantic.Coded.of(*_text.buffers(pa.array(texts, pa.string())))
+    got = {(int(i), int(p)): float(c) for item, place, cosine in retriever.candidates(w) for i, p, c in zip(item, place, cosine)}
+    coordinates, number, tried = space.coordinates.astype(float), w.terms(), 0
+    of = lambda t: semantic.Coded.of(*_text.buffers(pa.array([t], pa.string()))).terms()
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    want, close = {}, set()
+    for i, t in enumerate(bench):
+        words = of(t)
+        length = max((x for x in semantic.SCALES if x <= len(words)), default=0)
+        if not length:
+            continue
+        parts = [unit(coordinates[words[s : s + length]].sum(0)) for s in sorted({*range(0, len(words) - length, length), len(words) - length})]
+        step = max(1, length // semantic.BLOCK // 3) * semantic.BLOCK
+        for a, b in zip(w.first, w.first[1:]):
+            blocks = -(-(b - a) // semantic.BLOCK)
+            n = length // semantic.BLOCK
+            for s in sorted({*range(0, max(0, blocks - n) * semantic.BLOCK, step), max(0, blocks - n) * semantic.BLOCK}):
+                low, high = a + s, min(a + s + length, b)
+                cosine = max(float(unit(coordinates[number[low:high]].sum(0)) @ p) for p in parts)
+                tried += 1
+                if abs(cosine - semantic.COSINE) < 1e-3:
+                    close.add((i, high - 1))
+                elif cosine >= semantic.COSINE:
+                    want[i, high - 1] = cosine
+    assert tried > 10_000 and set(want) - close <= set(got) <= set(want) | close
+    assert len(got) < 0.06 * tried
+    hits = {(h.row, h.item) for h in retriever.hits(w)}
+    assert {(k, k) for k in range(12) if bench[k]} <= hits
+    monkeypatch.setattr(semantic, "COSINE", 1.01)
+    assert all(retriever.sizes[h.item] < semantic.SCALES[0] for h in retriever.hits(w))
+
+
 def test_planted_paraphrases_are_found(spark):
     docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     items = {r.item_id: r.text.split() for r in benchmark.filter("text is not null").collect()}
