@@ -164,9 +164,11 @@ def exported_masks(images: DataFrame, cells: DataFrame, tolerance: float = 0.01,
     """The annotations of predicted label masks, as exported has them: outline of each label's largest part, simplified, and the pixels of all its parts as area.
 
     images: folder, image_id, width, height; cells: image_id, y, x, label of
-    predicted masks (zero is no label). Score is null. What comes back goes
+    predicted masks (zero is no label), or a row for each label with the runs
+    of its cells, as masks.label_runs has them. Score is null. What comes back goes
     to records.write_annotations, a document for each folder.
     """
-    outlines = shapes.largest_contours(cells.filter("label > 0"), "image_id")
+    contours = shapes.run_contours if "runs" in cells.columns else shapes.largest_contours
+    outlines = contours(cells.filter("label > 0"), "image_id")
     found = shapes.simplify(outlines, tolerance).select("image_id", F.col("label").alias("det"), "polygon", "pixels", F.lit(None).cast("double").alias("score"))
     return exported(images, found, most_points, least_area)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parallaxis.functions import poly
+from parallaxis.operators import masks
 
 MOST = 10_000
 
@@ -200,18 +201,12 @@ def dense_candidates(scores: DataFrame, least: float, border: int = 2) -> DataFr
 
 def rasterise(boxes: DataFrame, *keys: str) -> DataFrame:
     """keys, y, x, label: cells inside boxes; where they overlap the larger det wins."""
-    span = lambda a, b: F.sequence(F.ceil(F.col(a)).cast("int"), F.greatest(F.ceil(F.col(a)), F.ceil(F.col(b)) - 1).cast("int"))
-    cells = boxes.withColumn("y", F.explode(span("top", "bottom"))).withColumn("x", F.explode(span("left", "right")))
-    return cells.groupBy(*keys, "y", "x").agg(F.max("det").alias("label"))
+    return masks.cells(boxes.drop("polygon"), *keys)
 
 
 def rasterise_polygons(polygons: DataFrame, *keys: str) -> DataFrame:
     """keys, y, x, label: cells whose whole coordinates lie in a polygon or on its border; where polygons overlap the larger det wins."""
-    b = poly.bounds(F.col("polygon"))
-    span = lambda low, high: F.sequence(F.ceil(low).cast("int"), F.floor(high).cast("int"))
-    some = polygons.filter((F.floor(b["right"]) >= F.ceil(b["left"])) & (F.floor(b["bottom"]) >= F.ceil(b["top"])))
-    cells = some.withColumn("y", F.explode(span(b["top"], b["bottom"]))).withColumn("x", F.explode(span(b["left"], b["right"])))
-    return cells.filter(poly.contains(F.col("polygon"), F.col("x"), F.col("y"))).groupBy(*keys, "y", "x").agg(F.max("det").alias("label"))
+    return masks.cells(polygons, *keys)
 
 
 def instances(cells: DataFrame, *keys: str) -> DataFrame:

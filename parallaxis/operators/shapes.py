@@ -96,41 +96,43 @@ def boundary(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.join(inner, [*keys, "y", "x", "label"], "left_anti")
 
 
+def outline(left: set[tuple[int, int]]) -> tuple[list[dict[str, float]], int]:
+    """The outline of the largest 4-connected part of a label's cells, by corners in order, and that part's cells."""
+    best: set = set()
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            y, x = todo.pop()
+            part.add((y, x))
+            for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+        if (len(part), min(part)) > (len(best), min(best, default=(0, 0))) and len(part) > len(best):
+            best = part
+    follow: dict = {}
+    for y, x in best:
+        for (a, b), n in ((((y, x), (y, x + 1)), (y - 1, x)), (((y, x + 1), (y + 1, x + 1)), (y, x + 1)), (((y + 1, x + 1), (y + 1, x)), (y + 1, x)), (((y + 1, x), (y, x)), (y, x - 1))):
+            if n not in best:
+                follow.setdefault(a, []).append(b)
+    start = now = min(follow)
+    ring, last = [], None
+    while True:
+        ring.append(now)
+        ways = follow[now]
+        if last is not None and len(ways) > 1:  # at a pinch turn right, so that the outline stays in one piece
+            dy, dx = now[0] - last[0], now[1] - last[1]
+            ways.sort(key=lambda b: (b[0] - now[0], b[1] - now[1]) != (dx, -dy))
+        last, now = now, ways.pop(0)
+        if now == start:
+            break
+    corners = [p for k, p in enumerate(ring) if (ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
+    return [{"x": float(x), "y": float(y)} for y, x in corners], len(best)
+
+
 def largest_contours(cells: DataFrame, key: str) -> DataFrame:
     """key, label, polygon, area, pixels: the outline of the largest 4-connected part of each label, by corners of its cells in order, that part's cells and all of the label's. A task holds the labels of an image."""
 
-    def outline(left: set[tuple[int, int]]) -> tuple[list[dict[str, float]], int]:
-        best: set = set()
-        while left:
-            part, todo = set(), [left.pop()]
-            while todo:
-                y, x = todo.pop()
-                part.add((y, x))
-                for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                    if n in left:
-                        left.remove(n)
-                        todo.append(n)
-            if (len(part), min(part)) > (len(best), min(best, default=(0, 0))) and len(part) > len(best):
-                best = part
-        follow: dict = {}
-        for y, x in best:
-            for (a, b), n in ((((y, x), (y, x + 1)), (y - 1, x)), (((y, x + 1), (y + 1, x + 1)), (y, x + 1)), (((y + 1, x + 1), (y + 1, x)), (y + 1, x)), (((y + 1, x), (y, x)), (y, x - 1))):
-                if n not in best:
-                    follow.setdefault(a, []).append(b)
-        start = now = min(follow)
-        ring, last = [], None
-        while True:
-            ring.append(now)
-            ways = follow[now]
-            if last is not None and len(ways) > 1:  # at a pinch turn right, so that the outline stays in one piece
-                dy, dx = now[0] - last[0], now[1] - last[1]
-                ways.sort(key=lambda b: (b[0] - now[0], b[1] - now[1]) != (dx, -dy))
-            last, now = now, ways.pop(0)
-            if now == start:
-                break
-        corners = [p for k, p in enumerate(ring) if (ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
-        return [{"x": float(x), "y": float(y)} for y, x in corners], len(best)
-
     def run(table: pa.Table) -> pa.Table:
         cells_of: dict[int, set[tuple[int, int]]] = {}
         for label, y, x in zip(*(table[c].to_pylist() for c in ("label", "y", "x"))):
@@ -147,6 +149,30 @@ def largest_contours(cells: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInArrow(run, f"{key} {kind}, label long, polygon array<struct<x:double,y:double>>, area long, pixels long")
 
 
+def run_contours(runs: DataFrame, key: str) -> DataFrame:
+    """The same for labels given by their runs (key, label, runs of y, x, n): a row at a time."""
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def one(found: list[tuple[int, int, int]]) -> tuple[list[dict[str, float]], int]:
+        left, right, top, bottom = min(x for _, x, _ in found), max(x + n for _, x, n in found), min(y for y, _, _ in found), max(y for y, _, _ in found) + 1
+        if sum(n for _, _, n in found) == (right - left) * (bottom - top):  # a whole box
+            return [{"x": float(x), "y": float(y)} for x, y in ((left, top), (right, top), (right, bottom), (left, bottom))], (right - left) * (bottom - top)
+        return outline({(y, k) for y, x, n in found for k in range(x, x + n)})
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            at, flat = lists.offsets.to_pylist(), list(zip(*(lists.values.field(c).to_pylist() for c in ("y", "x", "n"))))
+            own = [flat[a:b] for a, b in zip(at, at[1:])]
+            made = [one(x) for x in own]
+            columns = [batch.column(0), batch.column(1), pa.array([p for p, _ in made], point), pa.array([n for _, n in made], pa.int64()), pa.array([sum(n for _, _, n in x) for x in own], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "label", "polygon", "area", "pixels"])
+
+    kind = dict(runs.dtypes)[key]
+    rows = runs.select(key, F.col("label").cast("long"), "runs").filter("size(runs) > 0")
+    return rows.mapInArrow(run, f"{key} {kind}, label long, polygon array<struct<x:double,y:double>>, area long, pixels long")
+
+
 def samples(polygons: DataFrame, *keys: str, most: int = 20, tries: int = 100) -> DataFrame:
     """keys, place, x, y: up to `most` whole points inside each polygon, its centre first if that lies inside; drawn by hash, so reruns agree."""
     b = poly.bounds(F.col("polygon"))

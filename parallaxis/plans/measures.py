@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
 from parallaxis.functions import vec as v
-from parallaxis.operators import annotations, detect, placement, zones
+from parallaxis.operators import annotations, detect, masks, placement, zones
 from parallaxis.plans.fixtures import view, with_views
 
 
@@ -144,20 +144,19 @@ def polygon_masks(spark: SparkSession, d: str) -> DataFrame:
     """Boxes given as polygons, drawn into label masks, and what is seen of each."""
     quarter = [F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")]
     p = view(spark, d, "boxes").select("image_id", "det", poly.box_polygon(*quarter).alias("polygon"))
-    return annotations.mask_boxes(detect.rasterise_polygons(p, "image_id"), "image_id")
+    return masks.label_boxes(p, "image_id")
 
 
 def mask_counts(spark: SparkSession, d: str) -> DataFrame:
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    cells = detect.rasterise(view(spark, d, "boxes").withColumns(quarter), "image_id")
-    return detect.instances(cells, "image_id")
+    return detect.instances(masks.label_boxes(view(spark, d, "boxes").withColumns(quarter), "image_id"), "image_id")
 
 
 def mask_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Pixels that labels of two masks share."""
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    t, p = (detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes"))
-    met = detect.label_overlaps(t, p, "image_id")
+    t, p = (view(spark, d, n).withColumns(quarter) for n in ("truth", "boxes"))
+    met = masks.overlaps(t, p, "image_id").filter("t is not null and p is not null")
     return met.groupBy("image_id").agg(F.count("*").alias("pairs"), F.sum("pixels").alias("pixels"), F.max("pixels").alias("most"))
 
 
@@ -183,9 +182,9 @@ def exported_annotations(spark: SparkSession, d: str) -> DataFrame:
 def exported_masks(spark: SparkSession, d: str) -> DataFrame:
     """Annotations of label masks: their numbers in their folder's document and their pixels."""
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    cells = detect.rasterise(view(spark, d, "boxes").withColumns(quarter), "image_id")
+    runs = masks.label_runs(view(spark, d, "boxes").withColumns(quarter), "image_id")
     images = view(spark, d, "boxes").select("image_id").distinct().select((F.col("image_id") % 3).alias("folder"), "image_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
-    out = annotations.exported_masks(images, cells)
+    out = annotations.exported_masks(images, runs)
     return out.select("folder", "image_id", "ann", "area")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
 from parallaxis.functions import vec as v
-from parallaxis.operators import annotations, corrections, detect, evaluate, frames, placement, zones
+from parallaxis.operators import annotations, corrections, detect, evaluate, frames, masks, placement, zones
 from parallaxis.plans.fixtures import view, with_views
+from parallaxis.scratch import cut
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -130,8 +131,7 @@ def mask_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def rasterised(spark: SparkSession, d: str) -> DataFrame:
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    cells = detect.rasterise(view(spark, d, "boxes").withColumns(quarter), "image_id")
-    return annotations.mask_boxes(cells, "image_id")
+    return masks.label_boxes(view(spark, d, "boxes").withColumns(quarter), "image_id")
 
 
 def instance_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -155,26 +155,25 @@ def matching_scores(spark: SparkSession, d: str) -> DataFrame:
 SWEPT = [k / 20 for k in range(2, 19)]
 
 
-def _masks(spark: SparkSession, d: str) -> list[DataFrame]:
+def _by_mask(spark: SparkSession, d: str, thresholds: list[float]) -> DataFrame:
+    """The sweep of the label masks that boxes make in quarter size."""
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    return [detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes")]
+    shared = cut(masks.overlaps(*(view(spark, d, n).withColumns(quarter) for n in ("truth", "boxes")), "image_id"))
+    labels = [shared.filter(F.col(c).isNotNull()).select("image_id", c).distinct() for c in "tp"]
+    return evaluate.sweep(evaluate.mask_ious(shared, "image_id"), *labels, thresholds, "image_id")
 
 
 def matching_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Matching of boxes, and of the label masks that they make, at every threshold."""
     boxes = [view(spark, d, n) for n in ("truth", "boxes")]
-    masks = _masks(spark, d)
-    labels = [x.select("image_id", "label").distinct() for x in masks]
     by_box = evaluate.sweep(evaluate.overlaps(*boxes, "image_id"), *boxes, SWEPT, "image_id")
-    by_mask = evaluate.sweep(evaluate.mask_overlaps(*masks, "image_id"), *labels, SWEPT, "image_id").select("threshold", *(F.col(c).alias("mask_" + c) for c in ("tp", "f1", "best")))
+    by_mask = _by_mask(spark, d, SWEPT).select("threshold", *(F.col(c).alias("mask_" + c) for c in ("tp", "f1", "best")))
     return _r(by_box.join(F.broadcast(by_mask), "threshold"), "threshold", "f1", "mask_f1")
 
 
 def mask_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Matching of label masks from half on, where a label has one partner at most."""
-    masks = _masks(spark, d)
-    labels = [x.select("image_id", "label").distinct() for x in masks]
-    return _r(evaluate.sweep(evaluate.mask_overlaps(*masks, "image_id"), *labels, SWEPT[9:], "image_id"), "threshold", "f1")
+    return _r(_by_mask(spark, d, SWEPT[9:]), "threshold", "f1")
 
 
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
