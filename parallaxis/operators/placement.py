@@ -87,7 +87,7 @@ def screen_coverage(polygon: Column, width: float, height: float) -> dict[str, C
     screen = F.array(*(poly.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (width, 0), (width, height), (0, height))))
     fine = F.coalesce(F.size(polygon) >= 3, F.lit(False))
     projected = F.when(fine, poly.area(polygon)).otherwise(0.0)
-    visible = F.when(fine, poly.area(poly.clip(polygon, screen))).otherwise(0.0)
+    visible = F.when(fine, poly.shared_area(polygon, screen)).otherwise(0.0)
     inside = fine & F.forall(polygon, lambda p: p["x"].between(0, width) & p["y"].between(0, height))
     return {"projected_area": projected, "visible_area": visible, "fully_inside": inside, "coverage": visible / float(width * height)}
 
@@ -147,7 +147,7 @@ def best_projections(inputs: DataFrame, *keys: str, most: int = PROJECTIONS) ->
 
 def meeting_hull(inputs: DataFrame, polygon: str = "polygon", hull: str = "hull") -> DataFrame:
     """Projections whose convex outline shares area with the merged zone's."""
-    return inputs.filter(poly.area(poly.clip(F.col(polygon), F.col(hull))) > 0)
+    return inputs.filter(poly.shared_area(F.col(polygon), F.col(hull)) > 0)
 
 
 def first_records(records: DataFrame, *keys: str) -> DataFrame:

@@ -66,7 +66,10 @@ def zone_checks(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "boxes").withColumn("area", (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) / 1000.0)
     p = poly.box_polygon(*(F.col(c) for c in ("left", "top", "right", "bottom")))
     q = poly.box_polygon(F.col("left") + F.col("det") % 9, F.col("top"), F.col("right") + F.col("det") % 9, F.col("bottom"))
-    b = v.settled(b, {"difference": poly.symmetric_difference(p, q), "turn": v.plane_angle_degrees((F.lit(0.0), F.lit(0.0), F.lit(1.0)), (F.lit(0.0), F.col("det") % 7 / 10.0, F.lit(-1.0)))})
+    b = v.settled(b, {"p": p, "q": q})
+    b = b.withColumns({"shared": poly.shared_area(F.col("p"), F.col("q")), "p_area": poly.own_area(F.col("p")), "q_area": poly.own_area(F.col("q"))})
+    difference = poly.symmetric_difference(F.col("p"), F.col("q"), F.col("shared"), (F.col("p_area"), F.col("q_area")))
+    b = v.settled(b, {"difference": difference, "turn": v.plane_angle_degrees((F.lit(0.0), F.lit(0.0), F.lit(1.0)), (F.lit(0.0), F.col("det") % 7 / 10.0, F.lit(-1.0)))})
     out = b.select("image_id", "det", zones.area_in_range(F.col("area")).alias("area_reason"), zones.is_placed(F.col("det") % 6).alias("placed"), "difference", "turn", placement.merge_is_insignificant(F.col("turn"), F.col("difference")).alias("insignificant"))
     return _r(out, "difference", "turn")
 

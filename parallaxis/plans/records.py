@@ -237,8 +237,9 @@ def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     b = view(spark, d, "boxes")
     b = b.withColumn("p", poly.box_polygon(*(F.col(c) for c in ("left", "top", "right", "bottom"))))
     b = b.withColumn("q", poly.box_polygon(F.col("left") + 5, F.col("top") - 3, F.col("right") + 5, F.col("bottom") - 3)).withColumn("star", poly.star_polygon(F.col("left"), F.col("top"), F.array(F.lit(4.0), F.lit(4.0), F.lit(4.0), F.lit(4.0))))
-    b = b.withColumn("i", poly.area(poly.clip(F.col("p"), F.col("q"))))
-    out = b.select("image_id", "det", poly.area(F.col("p")).alias("area"), poly.contains(F.col("p"), F.lit(320.0), F.col("top") + 1).alias("inside"), F.col("i").alias("clipped"), poly.overlap_by_smaller(F.col("p"), F.col("q"), F.col("i")).alias("overlap"), poly.symmetric_difference(F.col("p"), F.col("q"), F.col("i")).alias("difference"), poly.area(F.col("star")).alias("star"))
+    b = b.withColumns({"i": poly.shared_area(F.col("p"), F.col("q")), "area": poly.own_area(F.col("p")), "moved": poly.own_area(F.col("q")), "star_area": poly.own_area(F.col("star"))})
+    own = F.col("p"), F.col("q"), F.col("i"), (F.col("area"), F.col("moved"))
+    out = b.select("image_id", "det", "area", poly.contains(F.col("p"), F.lit(320.0), F.col("top") + 1).alias("inside"), F.col("i").alias("clipped"), poly.overlap_by_smaller(*own).alias("overlap"), poly.symmetric_difference(*own).alias("difference"), F.col("star_area").alias("star"))
     return _r(out, "area", "clipped", "overlap", "difference", "star")
 
 
