@@ -74,9 +74,11 @@ def unoccluded_outlines(views: DataFrame, most: float = 0.2) -> DataFrame:
     own = views.withColumns({"_" + k: c for k, c in box.items()}).withColumn("_area", poly.area(F.col("polygon")))
     a, b = own.alias("a"), own.alias("b")
     meet = (F.col("a._left") < F.col("b._right")) & (F.col("b._left") < F.col("a._right")) & (F.col("a._top") < F.col("b._bottom")) & (F.col("b._top") < F.col("a._bottom"))
-    covers = poly.area(poly.clip(F.col("a.polygon"), F.col("b.polygon"))) > most * F.col("a._area")
-    kept = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("b.distance") < F.col("a.distance")) & meet & covers, "left_anti")
-    return kept.select("a.*").drop("_left", "_top", "_right", "_bottom", "_area")
+    met = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("b.distance") < F.col("a.distance")) & meet)
+    row = ["frame_id", "zone_id", "distance", "polygon"]
+    shared = met.select(*(F.col("a." + c).alias(c) for c in row), F.col("a._area").alias("_area"), F.col("b.polygon").alias("nearer"))
+    covered = shared.filter(poly.shared_area(F.col("polygon"), F.col("nearer")) > most * F.col("_area")).select(row)
+    return views.join(covered, row, "left_anti").select(*views.columns)
 
 
 def target_zone(views: DataFrame) -> DataFrame:
