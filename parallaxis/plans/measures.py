@@ -310,5 +310,5 @@ SELECT * FROM s WHERE delta <= 1""",
     "mask_counts": with_views("boxes", _CELLS.format("boxes", "") + " SELECT image_id, count(DISTINCT label) AS instances FROM m GROUP BY image_id"),
     "mask_overlaps": with_views("boxes truth", _CELLS.format("truth", "t") + ", " + _CELLS.format("boxes", "p") + ", o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL) SELECT image_id, count(*) AS pairs, sum(pixels)::BIGINT AS pixels, max(pixels) AS most FROM o GROUP BY image_id"),
     "assembly_counts": with_views("images", "i AS (SELECT id % 2 AS subset, CASE WHEN id % 11 = 0 THEN 'same.png' ELSE file_name END AS name, id FROM images), f AS (SELECT * FROM i WHERE name = 'same.png' OR id % 7 <> 0), n AS (SELECT count(DISTINCT (subset, name)) AS kept FROM f) SELECT (SELECT count(*) FROM i) - (SELECT count(*) FROM f) AS missing, (SELECT kept FROM n) AS copied, (SELECT kept FROM n) AS generated, (SELECT kept FROM n) * 0 AS resized, (SELECT count(*) FROM f) - (SELECT kept FROM n) AS collisions"),
-    "split_names": with_views("images", "k AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id::VARCHAR), id) AS place FROM images), s AS (SELECT id, CASE WHEN place <= 30 THEN 'test' WHEN place <= 60 THEN 'val' ELSE 'train' END AS split FROM k) SELECT id, split, split || '_' || lpad((row_number() OVER (PARTITION BY split ORDER BY id) - 1)::VARCHAR, 5, '0') AS name FROM s"),
+    "split_names": with_views("images", "k AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id::VARCHAR), id) AS place FROM images), s AS (SELECT id, CASE WHEN place <= 30 THEN 'test' WHEN place <= 60 THEN 'val' ELSE 'train' END AS split FROM k) SELECT id, split, split || '_' || printf('%05d', row_number() OVER (PARTITION BY split ORDER BY id) - 1) AS name FROM s"),
 }
