@@ -111,10 +111,19 @@ def decode_depth(frames: DataFrame) -> DataFrame:
 
 
 def depth_samples(samples: DataFrame, cells: DataFrame, reach: int = 4) -> DataFrame:
-    """For each sample (frame_id, sample_id, sx, sy) the upper median, by depth, x and y, of the most confident valid cells around it."""
-    around = samples.withColumn("x", F.explode(F.sequence(F.col("sx") - reach, F.col("sx") + reach))).withColumn("y", F.explode(F.sequence(F.col("sy") - reach, F.col("sy") + reach)))
-    met = around.join(cells.filter("mm > 0"), ["frame_id", "x", "y"])
-    own = Window.partitionBy("frame_id", "sample_id")
-    best = met.withColumn("top", F.max("confidence").over(own)).filter("confidence = top")
-    ranked = best.withColumn("place", F.row_number().over(own.orderBy("mm", "x", "y"))).withColumn("n", F.count("*").over(own))
-    return ranked.filter(F.col("place") == F.floor(F.col("n") / 2) + 1).select("frame_id", "sample_id", "x", "y", "mm", "confidence")
+    """For each sample (frame_id, sample_id, sx, sy) the upper median, by depth, x and y, of the most confident valid cells around it.
+
+    Samples and cells meet in squares as wide as a sample's reach, of which a
+    sample touches four at most; what is around a sample is sorted as one array.
+    """
+    square = lambda c: F.floor(c / (2 * reach + 1))
+    around = samples
+    for c in "xy":
+        around = around.withColumn("g" + c, F.explode(F.sequence(square(F.col("s" + c) - reach), square(F.col("s" + c) + reach))))
+    valid = cells.filter("mm > 0 and confidence is not null").withColumns({"g" + c: square(F.col(c)) for c in "xy"})
+    near = F.abs(F.col("x") - F.col("sx")).between(0, reach) & F.abs(F.col("y") - F.col("sy")).between(0, reach)
+    met = around.join(valid, ["frame_id", "gx", "gy"]).filter(near)
+    found = met.groupBy("frame_id", "sample_id").agg(F.max("confidence").alias("top"), F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "mm", "x", "y"))).alias("cells"))
+    n = F.size(F.filter("cells", lambda c: c["order"] == -F.col("top")))
+    kept = found.select("frame_id", "sample_id", F.get("cells", F.floor(n / 2).cast("int")).alias("c"), F.col("top").alias("confidence"))
+    return kept.select("frame_id", "sample_id", "c.x", "c.y", "c.mm", "confidence")
