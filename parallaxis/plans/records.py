@@ -155,6 +155,12 @@ def matching_scores(spark: SparkSession, d: str) -> DataFrame:
 SWEPT = [k / 20 for k in range(2, 19)]
 
 
+def _masks(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The label masks themselves, as cells."""
+    quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
+    return [detect.rasterise(view(spark, d, n).withColumns(quarter), "image_id") for n in ("truth", "boxes")]
+
+
 def _by_mask(spark: SparkSession, d: str, thresholds: list[float]) -> DataFrame:
     """The sweep of the label masks that boxes make in quarter size."""
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
