@@ -70,3 +70,12 @@ class Forest:
         moved = np.arange(len(self.label))
         moved[nodes] = roots
         self.label = moved[self.label]
+
+    def stars(self, node):
+        """src, dst: each node (a number for each of 0..n-1) of a tree of several with the smallest of its tree. Tasks that find the same crowd give the same rows, where their spanning links would all differ."""
+        np = self.np
+        low = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(low, self.label, node)
+        centre = low[self.label]
+        out = node != centre
+        return node[out], centre[out]

@@ -334,7 +334,8 @@ def candidates(distinct: DataFrame, bands: Bands) -> DataFrame:
     """src, dst: links that join the nodes of long fingerprints (fp, fp1, ...) that agree within the budget in some band and differ in no more bits than bands.most.
 
     Each band has a trie, walked as that of short fingerprints. A task's links
-    are a spanning forest.
+    join each node with the smallest of those that it is joined to, so that a
+    crowd which many tasks find gives the same links again, not others.
     """
     names = _names(bands.words)
     width, number = bands.width, bands.number
@@ -390,15 +391,15 @@ def candidates(distinct: DataFrame, bands: Bands) -> DataFrame:
 
         for x, y in plans[int(k[0])].links(int(pair[0]), own, int((side == 0).sum()), BAND_BUDGET, width, large):
             look(x, y)
-        ends = np.array(forest.links, np.int64).reshape(-1, 2)
-        return pa.table({"src": node[ends[:, 0]], "dst": node[ends[:, 1]]})
+        src, dst = forest.stars(node)
+        return pa.table({"src": src, "dst": dst})
 
     schema = ", ".join(["band int, pair int, side int", *(f"{x} long" for x in (*names, "node"))])
     return distinct.select(*names, "node").mapInArrow(deal, schema).groupBy("band", "pair").applyInArrow(walk, "src long, dst long")
 
 
 def similar_sets(sets: list[np.ndarray], fps: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets whose fingerprints differ in no more than `most` bits and whose Jaccard similarity, compared in full, is enough; between left and right, or inside left where right is the same."""
+    """Links, each with the first set of its tree, of a spanning forest of the sets whose fingerprints differ in no more than `most` bits and whose Jaccard similarity, compared in full, is enough; between left and right, or inside left where right is the same."""
     size = np.array([len(x) for x in sets])
     kinds, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(times > 1) - 1
@@ -428,7 +429,8 @@ def similar_sets(sets: list[np.ndarray], fps: np.ndarray, left: np.ndarray, righ
         near = y[common >= similarity * (size[y] + size[i] - common)]
         if len(near):
             forest.add(np.full(len(near), i), near)
-    return forest.links
+    some = np.flatnonzero(forest.label != np.arange(len(sets)))
+    return list(zip(forest.label[some].tolist(), some.tolist()))
 
 
 def verified(groups: DataFrame, sets: DataFrame, bands: Bands, similarity: float) -> DataFrame:
