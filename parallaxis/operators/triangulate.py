@@ -210,13 +210,20 @@ class Zone:
         return any(self.free[pair][1] >= self.now["conflict_confidence"] for o in seed for pair in self.at[o] if pair != seed)
 
     def objects(self) -> list[Component]:
-        """The components after the last frame, the surest first. Those that the next audit would find at the place of a surer one are the same object."""
+        """The components after the last frame, the surest first. Those that the next audit would find at the place of a surer one are the same object, and so are those that lie within the radius of a surer one and that no frame tells from it."""
         out: list[Component] = []
         for c in sorted(self.components, key=lambda c: (-c.confidence, sorted(c.members.values()))):
-            if all(_apart(c.centre, o.centre) > DISSOLVE for o in out):
+            if not any(self.same(c, o) for o in out):
                 out.append(c)
         return out
 
+    def same(self, c: Component, o: Component) -> bool:
+        """Whether two components are one object: at one place, or near, of different frames, and without observations that are against each other."""
+        far = _apart(c.centre, o.centre)
+        if far <= DISSOLVE or far > self.now["radius"]:
+            return far <= DISSOLVE
+        return not c.members.keys() & o.members.keys() and not any(self.forbidden(a, b) for a in c.members.values() for b in o.members.values())
+
     def see(self, frame: int, observations: dict[int, dict], earlier: list[int], candidates: dict[int, list[dict]]) -> bool:
         """Compares a frame with accepted earlier ones and takes its edges, or rejects it; tells which."""
         limits = self.limits[min(len(self.accepted) + 1, SETTLED)]
