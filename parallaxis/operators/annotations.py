@@ -138,7 +138,7 @@ def _numbered_by_folder(rows: DataFrame, *order: str) -> DataFrame:
     """rows with ann: their numbers in their folder, from 1, in this order."""
     places = numbered(rows, "folder", *order)
     first = places.groupBy("folder").agg(F.min("place").alias("first"))
-    return places.join(first, "folder").withColumn("ann", F.col("place") - F.col("first") + 1).drop("place", "first")
+    return places.join(F.broadcast(first), "folder").withColumn("ann", F.col("place") - F.col("first") + 1).drop("place", "first")
 
 
 def exported(images: DataFrame, detections: DataFrame, most_points: int = 200, least_area: int = 8) -> DataFrame:

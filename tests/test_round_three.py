@@ -15,3 +15,15 @@ def test_an_object_whose_edges_grew_twice_counts_once():
     assert count(part((0, 1, 3), 0.0, 5.5), part((5, 9), 0.03, 1.9)) == 2
     against = {"compared": {frozenset((0, 5))}}
     assert count(part((0, 1, 3), 0.0, 5.5), part((5, 9), 0.0062, 1.9), **against) == 2
+
+
+def test_numbers_in_folders_need_no_shuffle_by_folder(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("folder"), F.col("id").alias("det"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = annotations._numbered_by_folder(rows, "det")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.det, r.ann) for r in out.collect()} == {(k, k // 3 + 1) for k in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
