@@ -97,12 +97,13 @@ def picked(taps: DataFrame, shapes: DataFrame, *keys: str, radius: float = ZONE_
 
     taps: keys, tap_id, x, y; shapes: keys, shape_id, polygon, cx, cy. Taps and
     shapes meet in cells of the radius' size that the shape's extent, widened
-    by the radius around its centre, touches.
+    by the radius around its centre, touches; only shapes whose keys have taps
+    are cut into cells.
     """
     b = poly.bounds(F.col("polygon"))
     low = {"x": F.least(b["left"], F.col("cx") - radius), "y": F.least(b["top"], F.col("cy") - radius)}
     high = {"x": F.greatest(b["right"], F.col("cx") + radius), "y": F.greatest(b["bottom"], F.col("cy") + radius)}
-    cells = shapes
+    cells = shapes.join(taps.select(*keys).distinct(), list(keys), "left_semi")
     for c in "xy":
         cells = cells.withColumn("g" + c, F.explode(F.sequence(F.floor(low[c] / radius), F.floor(high[c] / radius))))
     met = taps.withColumns({"g" + c: F.floor(F.col(c) / radius) for c in "xy"}).join(cells, [*keys, "gx", "gy"])

@@ -27,3 +27,11 @@ def test_numbers_in_folders_need_no_shuffle_by_folder(spark):
         assert {(r.det, r.ann) for r in out.collect()} == {(k, k // 3 + 1) for k in range(1000)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_shapes_without_taps_are_not_cut_into_cells(spark):
+    taps = spark.createDataFrame([(1, 1, 5.0, 5.0)], "image_id long, tap_id long, x double, y double")
+    shapes = spark.createDataFrame([(1, 1, 0.0, 10.0), (2, 1, 0.0, 1e13)], "image_id long, shape_id long, low double, high double")
+    low, high = F.col("low"), F.col("high")
+    shapes = shapes.select("image_id", "shape_id", poly.box_polygon(low, low, high, high).alias("polygon"), ((low + high) / 2).alias("cx"), ((low + high) / 2).alias("cy"))
+    assert [tuple(r) for r in placement.picked(taps, shapes, "image_id").collect()] == [(1, 1, 1, "inside")]
