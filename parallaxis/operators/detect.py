@@ -48,44 +48,65 @@ def _clipped_area(subject: list[tuple[float, float]], window: list[tuple[float,
     return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(out, out[1:] + out[:1]))) / 2
 
 
+#: Pairs of boxes of an image that are compared at once.
+PAIRS = 1 << 20
+
+
+def _clashes(table: pa.Table, least: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, later places, shared areas, united areas) of each box, in order of place, that shares more than `least` of what they unite with later boxes of its image."""
+    left, top, right, bottom = (table[c].to_numpy().astype(float) for c in ("left", "top", "right", "bottom"))
+    area, n = (right - left) * (bottom - top), len(left)
+    step, out = max(1, PAIRS // max(n, 1)), []
+    for first in range(0, n, step):
+        own, later = slice(first, first + step), slice(first, None)
+        w = np.maximum(np.minimum(right[own, None], right[later]) - np.maximum(left[own, None], left[later]), 0)
+        shared = w * np.maximum(np.minimum(bottom[own, None], bottom[later]) - np.maximum(top[own, None], top[later]), 0)
+        i, j = np.nonzero(shared > 0)
+        i, j, shared = i[i < j], j[i < j], shared[i[i < j], j[i < j]]
+        union = area[i + first] + area[j + first] - shared
+        more = shared > least * union
+        i, j, shared, union = (x[more] for x in (i + first, j + first, shared, union))
+        at = np.flatnonzero(np.diff(i, prepend=-1))
+        out += [(int(i[a]), j[a:b], shared[a:b], union[a:b]) for a, b in zip(at, np.append(at[1:], len(i)))]
+    return out
+
+
+def _kept_polygons(polygons: list[list[tuple[float, float]]], above: float) -> list[int]:
+    """Places of the polygons that stay."""
+    kept: list[int] = []
+    box = np.array([[f(p[k] for p in x) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1))] if x else [0.0] * 4 for x in polygons], float).reshape(-1, 4)
+    sizes = np.array([_clipped_area(x, x) if len(x) > 2 else 0.0 for x in polygons])
+    for k in range(len(box)):
+        a = box[kept]
+        w, h = (np.maximum(np.minimum(a[:, n + 2], box[k, n + 2]) - np.maximum(a[:, n], box[k, n]), 0) for n in (0, 1))
+        if not any(min(sizes[k], sizes[kept[m]]) > 0 and _clipped_area(polygons[k], polygons[kept[m]]) > above * min(sizes[k], sizes[kept[m]]) for m in np.flatnonzero(w * h > 0)):
+            kept.append(k)
+    return kept
+
+
 def suppress(boxes: DataFrame, *keys: str, above: float = 0.5, most: int = MOST, shape: str = "box") -> DataFrame:
     """Greedy non-maximum suppression of each image's boxes, or polygons.
 
     From the best on, one stays unless it overlaps one that stays by more than
     the threshold: boxes (left, top, right, bottom) by intersection over union,
     polygons (column polygon, convex, counter-clockwise) by intersection over
-    the smaller area. An image's `most` best are looked at, in one task, and
-    each is compared with those that stay only.
+    the smaller area. An image's `most` best are looked at, in one task, which
+    gets and gives back whole rows: boxes are compared by arrays, polygons with
+    those that stay only.
     """
     ranked = top_candidates(boxes, *keys, most=most)
-    own = ("left", "top", "right", "bottom") if shape == "box" else ("polygon",)
-    schema = T.StructType([*(ranked.schema[k] for k in keys), ranked.schema["rank"]])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
-        kept: list[int] = []
-        if shape == "box":
-            polygons, box = None, np.stack([table[c].to_numpy().astype(float) for c in own], axis=1)
-        else:
-            polygons = [[(p["x"], p["y"]) for p in x] for x in table["polygon"].to_pylist()]
-            box = np.array([[f(p[k] for p in x) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1))] if x else [0.0] * 4 for x in polygons], float).reshape(-1, 4)
-            sizes = np.array([_clipped_area(x, x) if len(x) > 2 else 0.0 for x in polygons])
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        for k in range(len(box)):
-            a = box[kept]
-            w, h = (np.maximum(np.minimum(a[:, n + 2], box[k, n + 2]) - np.maximum(a[:, n], box[k, n]), 0) for n in (0, 1))
-            meet = np.flatnonzero(w * h > 0)
-            if shape == "box":
-                union = area[kept][meet] + area[k] - (w * h)[meet]
-                covered = bool(((w * h)[meet] > above * union).any())
-            else:
-                covered = any(min(sizes[k], sizes[kept[m]]) > 0 and _clipped_area(polygons[k], polygons[kept[m]]) > above * min(sizes[k], sizes[kept[m]]) for m in meet)
-            if not covered:
-                kept.append(k)
-        return table.take(pa.array(kept, pa.int64())).select([*keys, "rank"])
-
-    stays = ranked.select(*keys, "rank", *own).groupBy(*keys).applyInArrow(run, schema)
-    return ranked.join(stays, [*keys, "rank"], "left_semi")
+        if shape == "polygon":
+            return table.take(pa.array(_kept_polygons([[(p["x"], p["y"]) for p in x] for x in table["polygon"].to_pylist()], above), pa.int64()))
+        stays = np.ones(len(table), bool)
+        for k, later, _, _ in _clashes(table, above):
+            if stays[k]:
+                stays[later] = False
+        return table.filter(pa.array(stays))
+
+    return ranked.groupBy(*keys).applyInArrow(run, ranked.schema)
 
 
 def suppress_at_all(boxes: DataFrame, thresholds: list[float], *keys: str, most: int = MOST) -> DataFrame:
@@ -97,26 +118,19 @@ def suppress_at_all(boxes: DataFrame, thresholds: list[float], *keys: str, most:
     the same with a filter.
     """
     ranked = top_candidates(boxes, *keys, most=most)
+    ranked = ranked.select(*keys, "rank", *(c for c in boxes.columns if c not in keys))
     limits = np.array(thresholds)[:, None]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
-        left, top, right, bottom = (table[c].to_numpy().astype(float) for c in ("left", "top", "right", "bottom"))
-        area = (right - left) * (bottom - top)
-        alive = np.ones((len(limits), len(left)), bool)
-        for k in range(len(left) - 1):
-            if alive[:, k].any():
-                later = slice(k + 1, None)
-                w = np.maximum(np.minimum(right[later], right[k]) - np.maximum(left[later], left[k]), 0)
-                shared = w * np.maximum(np.minimum(bottom[later], bottom[k]) - np.maximum(top[later], top[k]), 0)
-                alive[:, later] &= ~((shared > limits * (area[later] + area[k] - shared)) & (shared > 0) & alive[:, k : k + 1])
+        alive = np.ones((len(limits), len(table)), bool)
+        for k, later, shared, union in _clashes(table, float(limits.min())):
+            alive[:, later] &= ~((shared > limits * union) & alive[:, k : k + 1])
         kept = np.flatnonzero(alive.any(0))
-        out = table.take(pa.array(kept)).select([*keys, "rank"])
-        return out.append_column("stays", pa.array(alive[:, kept].T.tolist(), pa.list_(pa.bool_())))
+        return table.take(pa.array(kept)).append_column("stays", pa.array(alive[:, kept].T.tolist(), pa.list_(pa.bool_())))
 
-    schema = T.StructType([*(ranked.schema[k] for k in keys), ranked.schema["rank"], T.StructField("stays", T.ArrayType(T.BooleanType()))])
-    stays = ranked.select(*keys, "rank", "left", "top", "right", "bottom").groupBy(*keys).applyInArrow(run, schema)
-    return ranked.join(stays, [*keys, "rank"])
+    schema = T.StructType([*ranked.schema, T.StructField("stays", T.ArrayType(T.BooleanType()))])
+    return ranked.groupBy(*keys).applyInArrow(run, schema)
 
 
 def sigmoid(x: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
-from parallaxis.operators import annotations, placement, triangulate
+from parallaxis.operators import annotations, detect, placement, triangulate
 
 
 def test_an_object_whose_edges_grew_twice_counts_once():
@@ -35,3 +35,11 @@ def test_shapes_without_taps_are_not_cut_into_cells(spark):
     low, high = F.col("low"), F.col("high")
     shapes = shapes.select("image_id", "shape_id", poly.box_polygon(low, low, high, high).alias("polygon"), ((low + high) / 2).alias("cx"), ((low + high) / 2).alias("cy"))
     assert [tuple(r) for r in placement.picked(taps, shapes, "image_id").collect()] == [(1, 1, 1, "inside")]
+
+
+def test_suppression_gives_back_whole_rows_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(detect, "PAIRS", 5)  # several steps an image
+    boxes = spark.createDataFrame([(1, k, 0.9 - k / 100, float(k * 3), 0.0, float(k * 3 + 10), 10.0, f"n{k}") for k in range(9)], "image_id long, det long, score double, left double, top double, right double, bottom double, name string")
+    out = detect.suppress(boxes, "image_id", above=0.5)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.det, r.name) for r in out.collect()} == {(k, f"n{k}") for k in (0, 2, 4, 6, 8)}
