@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.functions import vec as v
 
@@ -65,18 +68,94 @@ def cadence(frames: DataFrame, seconds: int) -> DataFrame:
     return frames.groupBy("session_id", slot).agg(F.min_by("frame_id", F.struct("ts", "frame_id")).alias("frame_id")).select("session_id", F.col("w.start").alias("start"), "frame_id")
 
 
+def packed(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with their other columns as lists: a row for each run of rows of equal keys in a batch, so that whole runs are shuffled."""
+    names = [*keys, *(c for c in rows.columns if c not in keys)]
+    rows = rows.select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.unique(np.concatenate([pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in keys]))
+            begins = np.append(0, ends[:-1])
+            own = [batch.column(k).take(pa.array(begins)) for k in keys]
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), batch.column(n)) for n in range(len(keys), batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*own, *lists], names=names)
+
+    schema = T.StructType([f if f.name in keys else T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema])
+    return rows.mapInArrow(run, schema)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches, so that rows of equal keys (the first columns) come together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.unique(np.concatenate([np.append(0, pc.run_end_encode(batch.column(k)).run_ends.to_numpy()[:-1]) for k in range(keys)]))
+        same = bool(held) and all(held[-1].column(k)[-1] == batch.column(k)[0] or not (held[-1].column(k)[-1].is_valid or batch.column(k)[0].is_valid) for k in range(keys))
+        if same and len(starts) == 1:
+            held.append(batch)
+            continue
+        last = int(starts[-1])
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """Packed rows, those of equal keys together."""
+    return packed(rows, *keys).repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _flat(table: pa.Table, *columns: str) -> list[pa.Array]:
+    """Columns of packed rows with the rows side by side again."""
+    return [pa.concat_arrays([x.flatten() for x in table[c].chunks]) for c in columns]
+
+
+def _lengths(table: pa.Table, column: str) -> np.ndarray:
+    return pc.list_value_length(table[column]).to_numpy()
+
+
 def image_statistics(pixels: DataFrame) -> DataFrame:
-    """Mean and deviation of luma, dark and bright shares, and variance of the Laplacian (borders mirrored without repeating the edge)."""
-    w_row, w_col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    """Mean and deviation of luma, dark and bright shares, and variance of the Laplacian (borders mirrored without repeating the edge).
 
-    def sides(w) -> Column:
-        before, after = F.lag("luma").over(w), F.lead("luma").over(w)
-        return F.coalesce(before, after) + F.coalesce(after, before)
+    Pixels are shuffled in runs of an image, and a task measures the images of
+    a batch at once; it holds one image at least.
+    """
+    names = ("mean", "deviation", "dark", "bright", "sharpness")
 
-    p = pixels.withColumn("lap", sides(w_row) + sides(w_col) - 4 * F.col("luma"))
-    return p.groupBy("image_id").agg(
-        F.avg("luma").alias("mean"), F.stddev_pop("luma").alias("deviation"), F.avg((F.col("luma") <= 24).cast("double")).alias("dark"), F.avg((F.col("luma") >= 231).cast("double")).alias("bright"), F.var_pop("lap").alias("sharpness")
-    )
+    def sides(luma: np.ndarray, image: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        order = np.lexsort((place, line, image))
+        own, same = luma[order], (line[order][1:] == line[order][:-1]) & (image[order][1:] == image[order][:-1])
+        before, after = np.full(len(own), np.nan), np.full(len(own), np.nan)
+        before[1:][same], after[:-1][same] = own[:-1][same], own[1:][same]
+        out = np.empty(len(own))
+        out[order] = np.where(np.isnan(before), after, before) + np.where(np.isnan(after), before, after)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, 1):
+            key = table["image_id"].combine_chunks()
+            ends = pc.run_end_encode(key).run_ends.to_numpy()
+            n = len(ends)
+            image = np.repeat(np.repeat(np.arange(n), np.diff(ends, prepend=0)), _lengths(table, "luma"))
+            x, y, luma = _flat(table, "x", "y", "luma")
+            x, y = (c.fill_null(-(1 << 31)).to_numpy() for c in (x, y))
+            luma = luma.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            lap = sides(luma, image, y, x) + sides(luma, image, x, y) - 4 * luma
+
+            def mean(values: np.ndarray) -> np.ndarray:
+                known = ~np.isnan(values)
+                with np.errstate(invalid="ignore"):
+                    return np.bincount(image[known], values[known], n) / np.bincount(image[known], minlength=n)
+
+            middle, gap = mean(luma), np.isnan(luma)
+            share = lambda x: mean(np.where(gap, np.nan, x))
+            found = middle, np.sqrt(mean((luma - middle[image]) ** 2)), share(luma <= 24), share(luma >= 231), mean((lap - mean(lap)[image]) ** 2)
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(ends - 1)), *(pa.array(c, from_pandas=True) for c in found)], names=["image_id", *names])
+
+    schema = T.StructType([pixels.schema["image_id"], *(T.StructField(c, T.DoubleType()) for c in names)])
+    return _by_key(pixels.select("image_id", "x", "y", "luma"), "image_id").mapInArrow(run, schema)
 
 
 def percentile_normalised(pixels: DataFrame, low: float = 0.01, high: float = 0.998) -> DataFrame:
@@ -98,9 +177,26 @@ def tiles(images: DataFrame, side: int = 1024) -> DataFrame:
     return rows.withColumn("tx", F.explode(F.sequence(F.lit(0), F.ceil(F.col("width") / side) - 1)))
 
 
+#: Cells of a side of the blocks in which tiles are stitched.
+BLOCK = 256
+
+
 def stitched(tile_pixels: DataFrame) -> DataFrame:
-    """The mean of overlapping tiles at each cell; tile_pixels: image_id, x0, y0, x, y, value."""
-    return tile_pixels.groupBy("image_id", (F.col("x0") + F.col("x")).alias("x"), (F.col("y0") + F.col("y")).alias("y")).agg(F.avg("value").alias("value"))
+    """The mean of overlapping tiles at each cell; tile_pixels: image_id, x0, y0, x, y, value. Cells are shuffled in runs of a block, and a task stitches the blocks of a batch at once."""
+    cells = tile_pixels.select("image_id", (F.col("x0") + F.col("x")).alias("x"), (F.col("y0") + F.col("y")).alias("y"), "value")
+    blocks = _by_key(cells.withColumns({"_" + c: F.floor(F.col(c) / BLOCK) for c in "xy"}), "image_id", "_x", "_y")
+    names = ["image_id", "x", "y", "value"]
+    schema = T.StructType([*(cells.schema[c] for c in names[:3]), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, 3):
+            own = table["image_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(table)), _lengths(table, "x"))))
+            flat = pa.table([own, *_flat(table, "x", "y", "value")], names=names)
+            mean = flat.group_by(names[:3], use_threads=False).aggregate([("value", "mean")])
+            mean = pa.table([*(mean[c] for c in names[:3]), mean["value_mean"].cast(pa.float64())], names=names)
+            yield from mean.to_batches()
+
+    return blocks.mapInArrow(run, schema)
 
 
 def decode_depth(frames: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
-from parallaxis.operators import annotations, detect, evaluate, placement, triangulate
+from parallaxis.operators import annotations, detect, evaluate, frames, placement, triangulate
 
 
 def test_an_object_whose_edges_grew_twice_counts_once():
@@ -55,3 +55,40 @@ def test_met_boxes_are_those_of_overlaps(spark, monkeypatch):
     want = {(r.t, r.p, r.iou) for r in evaluate.overlaps(*tables, "image_id").filter("iou >= 0.3").collect()}
     assert set(zip(*(x.tolist() for x in evaluate.met_boxes(*boxes, 0.3)))) == want and want
     assert evaluate._alone(np.array([1, 1, 2, 3]), np.array([5, 6, 7, 6])).tolist() == [False, False, True, False]
+
+
+def test_cells_are_shuffled_in_runs_of_an_image(spark):
+    rows = [(k, x, y, None if ((k or 0) + x + y) % 11 == 0 else ((k or 0) * 7 + x * 13 + y * 29) % 256) for k in (None, 0, 1, 2) for x in range(5) for y in range(4) if (x + y * k if k else x) % 5 < 4]
+    pixels = spark.createDataFrame(rows, "image_id long, x int, y int, luma int").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # images run over batches
+    try:
+        out = frames.image_statistics(pixels)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.image_id: tuple(round(v, 6) for v in r[1:]) for r in out.collect()}
+        tiles = pixels.withColumn("x0", F.explode(F.array(F.lit(0), F.lit(2)))).select("image_id", "x0", F.lit(0).alias("y0"), "x", "y", F.col("luma").alias("value"))
+        made = frames.stitched(tiles)
+        assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+        stitched = {(r.image_id, r.x, r.y): r.value for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, cells = {}, {}
+    for k in (None, 0, 1, 2):
+        own = {(x, y): v for i, x, y, v in rows if i == k}
+        for (x, y), v in own.items():
+            for x0 in (0, 2):
+                cells.setdefault((k, x + x0, y), []).append(v)
+
+        def both(along, at):
+            line = sorted(p for p in own if p[1 - along] == at[1 - along])
+            n = line.index(at)
+            before, after = (own[line[m]] if 0 <= m < len(line) else None for m in (n - 1, n + 1))
+            before, after = (after if before is None else before), (before if after is None else after)
+            return None if before is None else before + after
+
+        lap = [both(0, p) + both(1, p) - 4 * v for p, v in own.items() if v is not None and both(0, p) is not None and both(1, p) is not None]
+        luma = [v for v in own.values() if v is not None]
+        want[k] = tuple(round(float(v), 6) for v in (np.mean(luma), np.std(luma), np.mean([v <= 24 for v in luma]), np.mean([v >= 231 for v in luma]), np.var(lap)))
+    assert got == want
+    known = {c: [v for v in values if v is not None] for c, values in cells.items()}
+    assert stitched == {c: sum(v) / len(v) if v else None for c, v in known.items()}
