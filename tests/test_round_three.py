@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
-from parallaxis.operators import annotations, detect, evaluate, frames, placement, triangulate
+from parallaxis.operators import annotations, assign, detect, evaluate, frames, order, placement, triangulate
 
 
 def test_an_object_whose_edges_grew_twice_counts_once():
@@ -92,3 +92,63 @@ def test_cells_are_shuffled_in_runs_of_an_image(spark):
     assert got == want
     known = {c: [v for v in values if v is not None] for c, values in cells.items()}
     assert stitched == {c: sum(v) / len(v) if v else None for c, v in known.items()}
+
+
+def shuffled(spark):
+    """Rows shuffled so far."""
+    context = spark.sparkContext
+    nothing = context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, *nothing)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_nearest_of_crowds_lattices_and_groups_meet_in_blocks(spark, monkeypatch):
+    """Equal points, equal distances and a far group, in many blocks dealt in shares, are those of all pairs; few rows are shuffled."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([np.tile([1.0, 1.0, 1.0], (150, 1)), rng.integers(0, 6, (300, 3)) * 0.5, rng.normal(100, 30, (150, 3)), rng.normal(0, 1, (4, 3))])
+    group = np.r_[np.zeros(600, int), np.ones(4, int)]
+    ids = [f"p{k}" for k in rng.permutation(len(at))]
+    rows = [(int(g), i, *map(float, p)) for g, i, p in zip(group, ids, at)] + [(0, "nowhere", None, 0.0, 0.0), (0, "nan", float("nan"), 0.0, 0.0), (None, "alone", 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "scene long, point_id string, x double, y double, z double").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = lambda: {(r.point_id, r["rank"]): (r.target_id, r.distance) for r in order.k_nearest(points, points.withColumnRenamed("point_id", "target_id"), 7, "scene").collect()}
+        before = shuffled(spark)
+        whole = run()
+        assert shuffled(spark) - before < 20 * len(rows)  # in cells each point went to 27
+        monkeypatch.setattr(order, "BLOCK_BITS", 5)
+        monkeypatch.setattr(order, "SHARE", 20)
+        got = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == whole
+    far = np.round(np.sqrt(((at[:, None] - at[None]) ** 2).sum(2)), 12)
+    want = {}
+    for i in range(len(at)):
+        own = sorted((far[i, j], ids[j]) for j in range(len(at)) if group[j] == group[i])[:7]
+        want.update({(ids[i], n + 1): (t, d) for n, (d, t) in enumerate(own)})
+    assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_median_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, float(x)) for k, x in enumerate(np.round(rng.exponential(1, 6001), 3))] + [(3, 1.0), (3, 2.0), (4, 7.0)]
+    got = {r.g: r.d for r in order.median(spark.createDataFrame(rows, "g long, d double"), "d", "g", accuracy=200).collect()}
+    assert got == {g: float(np.median([d for k, d in rows if k == g])) for g in range(5)}
+
+
+def test_rounds_of_votes_shuffle_labels_not_edges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, 0, *map(float, p), 0.9) for k, p in enumerate(rng.uniform(0, 1, (600, 3)))]
+    points = spark.createDataFrame(rows, "point_id long, scene long, x double, y double, z double, conf double")
+    zones = spark.createDataFrame([(1, 0.1, 0.1, 0.1), (2, 0.9, 0.9, 0.9)], "zone_id long, cx double, cy double, cz double")
+    run = lambda rounds: {tuple(r) for r in assign.propagate(points, zones, "scene", rounds=rounds).collect()}
+    start = shuffled(spark)
+    few = run(1)
+    first = shuffled(spark)
+    many = run(5)
+    assert few != many and (shuffled(spark) - first) - (first - start) < 4 * 2 * len(rows)
+    monkeypatch.setattr(order, "BLOCK_BITS", 5)  # labels cross blocks
+    assert run(5) == many
