@@ -28,7 +28,7 @@ def fit_plane(points: DataFrame, *keys: str, least: int = 3, rounds: int = 3, ke
     """Robust plane z = a x + b y + c of each group: least squares, refitted on the share of points nearest to it.
 
     Sums make each fit; a singular fit, or one of fewer than `least` points, gives nulls and a reason. points has a
-    point_id, by which ties are told apart.
+    point_id, by which ties are told apart. Each fit is cut off, so that no stage holds the sorts of several.
     """
 
     def solve(p: DataFrame) -> DataFrame:
@@ -43,12 +43,13 @@ def fit_plane(points: DataFrame, *keys: str, least: int = 3, rounds: int = 3, ke
         b = F.when(fine, (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det)
         return s.select(*keys, "n", "mx", "my", "mz", a.alias("a"), b.alias("b")).withColumn("c", F.col("mz") - F.col("a") * F.col("mx") - F.col("b") * F.col("my"))
 
-    inliers, plane = points, solve(points)
+    points = cut(points.select(*keys, "point_id", "x", "y", "z"))
+    inliers, plane = points, cut(solve(points))
     for _ in range(rounds):
         left = inliers.join(plane.select(*keys, "a", "b", "c", "n"), list(keys)).withColumn("residual", F.round(F.abs(F.col("z") - F.col("a") * F.col("x") - F.col("b") * F.col("y") - F.col("c")), 12))
         ranked = left.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("residual", "point_id")))
-        inliers = ranked.filter(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("n") * keep))).drop("a", "b", "c", "n", "residual", "place")
-        plane = solve(inliers)
+        inliers = cut(ranked.filter(F.col("place") <= F.greatest(F.lit(3), F.floor(F.col("n") * keep))).drop("a", "b", "c", "n", "residual", "place"))
+        plane = cut(solve(inliers))
     few = F.col("given") < least
     out = plane.join(points.groupBy(*keys).agg(F.count("*").alias("given")), list(keys)).withColumns({c: F.when(~few, F.col(c)) for c in "abc"})
     return out.withColumn("reason", F.when(few, "too few points").when(F.col("a").isNull(), "singular")).drop("given")

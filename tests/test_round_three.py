@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
-from parallaxis.operators import annotations, assign, detect, evaluate, frames, order, placement, triangulate
+from parallaxis.operators import annotations, assign, detect, evaluate, frames, order, placement, triangulate, zones
 
 
 def test_an_object_whose_edges_grew_twice_counts_once():
@@ -152,3 +152,9 @@ def test_rounds_of_votes_shuffle_labels_not_edges(spark, monkeypatch):
     assert few != many and (shuffled(spark) - first) - (first - start) < 4 * 2 * len(rows)
     monkeypatch.setattr(order, "BLOCK_BITS", 5)  # labels cross blocks
     assert run(5) == many
+
+
+def test_no_stage_of_a_plane_holds_several_fits(spark):
+    points = spark.range(400).select((F.col("id") % 4).alias("zone"), F.col("id").alias("point_id"), F.sin("id").alias("x"), F.cos(F.col("id") * 7).alias("y"), F.sin(F.col("id") * 3).alias("z"))
+    out = zones.fit_plane(points, "zone")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4
