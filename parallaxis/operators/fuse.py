@@ -51,15 +51,24 @@ def frame_pairs(frames: DataFrame, always: int = ALWAYS, half: int = HALF, withi
     return kept.select(F.col("a_frame_id").alias("first_frame"), F.col("b_frame_id").alias("second_frame"), "quality", "rank")
 
 
+def with_sizes(rays: DataFrame) -> DataFrame:
+    """Rays with n, the observations of their frame in the zone, and frames, those of the zone: ray_candidates hands them on, so that candidates need no join for them."""
+    frames = rays.groupBy("zone_id").agg(F.count_distinct("frame_id").alias("frames"))
+    return rays.withColumn("n", F.count("*").over(Window.partitionBy("zone_id", "frame_id"))).join(frames, "zone_id")
+
+
 def ray_candidates(rays: DataFrame, pairs: DataFrame, epsilon: float = 0.05, most: float = 0.1) -> DataFrame:
     """Pairs of observations of compared frames of a zone whose rays pass within `most`.
 
     Columns: zone_id, a_*, b_* of the sides, distance, x, y, z (mid-point),
-    distance_conf, angle_conf. The zone is the join key; the frame pairs are a
-    second equi-condition, so no side meets all of the other.
+    distance_conf, angle_conf; with_sizes' rays add a_n, b_n and frames. The
+    zone is the join key; the frame pairs are a second equi-condition, so no
+    side meets all of the other.
     """
-    a = rays.select("zone_id", *(F.col(c).alias("a_" + c) for c in SIDE))
-    b = rays.select("zone_id", *(F.col(c).alias("b_" + c) for c in SIDE))
+    sized = {"n", "frames"} <= set(rays.columns)
+    side = (*SIDE, "n") if sized else SIDE
+    a = rays.select("zone_id", *(F.col(c).alias("a_" + c) for c in side), *(["frames"] if sized else []))
+    b = rays.select("zone_id", *(F.col(c).alias("b_" + c) for c in side))
     near = pairs.select(F.col("first_frame").alias("a_frame_id"), F.col("second_frame").alias("b_frame_id"))
     met = a.join(near, "a_frame_id").join(b, ["zone_id", "b_frame_id"])
     o1, d1, o2, d2 = (v.vec(p) for p in ("a_o", "a_d", "b_o", "b_d"))
@@ -72,13 +81,17 @@ def ray_candidates(rays: DataFrame, pairs: DataFrame, epsilon: float = 0.05, mos
 
 
 def mark_ambiguous(candidates: DataFrame, observations: DataFrame, epsilon: float | Column = 0.05) -> DataFrame:
-    """Candidates with a_ignored, b_ignored: in a frame pair, an observation with more supporting partners than the root of the other frame's observations, rounded up."""
+    """Candidates with a_ignored, b_ignored: in a frame pair, an observation with more supporting partners than the root of the other frame's observations, rounded up.
+
+    The candidates of sized rays (fuse.with_sizes) bring the observations of frames; those of others are joined to them.
+    """
     sizes = observations.groupBy("zone_id", "frame_id").agg(F.count("*").alias("n"))
     support = F.count_if(F.col("distance") <= epsilon)
     pair = ("zone_id", "a_frame_id", "b_frame_id")
     c = candidates.withColumn("a_support", support.over(Window.partitionBy(*pair, "a_det_id"))).withColumn("b_support", support.over(Window.partitionBy(*pair, "b_det_id")))
-    c = c.join(sizes.select("zone_id", F.col("frame_id").alias("b_frame_id"), F.col("n").alias("b_n")), ["zone_id", "b_frame_id"])
-    c = c.join(sizes.select("zone_id", F.col("frame_id").alias("a_frame_id"), F.col("n").alias("a_n")), ["zone_id", "a_frame_id"])
+    if "a_n" not in c.columns:
+        c = c.join(sizes.select("zone_id", F.col("frame_id").alias("b_frame_id"), F.col("n").alias("b_n")), ["zone_id", "b_frame_id"])
+        c = c.join(sizes.select("zone_id", F.col("frame_id").alias("a_frame_id"), F.col("n").alias("a_n")), ["zone_id", "a_frame_id"])
     return c.withColumn("a_ignored", F.col("a_support") > F.ceil(F.sqrt("b_n"))).withColumn("b_ignored", F.col("b_support") > F.ceil(F.sqrt("a_n"))).drop("a_support", "b_support", "a_n", "b_n")
 
 

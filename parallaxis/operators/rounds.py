@@ -9,6 +9,10 @@ in the next round; rounds end when nothing seeds any more.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +29,18 @@ def _observation(side: str) -> Column:
     return F.struct(F.col(f"{side}_frame_id").alias("frame_id"), F.col(f"{side}_det_id").alias("det_id"))
 
 
-def _near(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """Pairs of points and others (zone_id, seed, sx, sy, sz, ...) of a zone that are within radius, by cells of that size; the others, which are few, go to all 27 cells around theirs."""
+def _near(points: DataFrame, others: DataFrame, radius: float, within: Column | None = None, how: str = "inner") -> DataFrame:
+    """Pairs of points and others (zone_id, seed, sx, sy, sz, ...) of a zone that are within radius, or that of each point, by cells of the size of radius; the others, which are few, go to all 27 cells around theirs."""
     cell = lambda c: F.floor(F.col(c) / radius)
     own = points.withColumns({"g" + n: cell(n) for n in "xyz"})
     spread = others.withColumns({"g" + n: cell("s" + n) for n in "xyz"})
     for n in "xyz":
         spread = spread.withColumn("g" + n, F.explode(F.array(*(F.col("g" + n) + k for k in (-1, 0, 1)))))
     far = v.length(v.sub(v.vec(""), v.vec("s")))
-    return own.join(spread, ["zone_id", "gx", "gy", "gz"]).withColumn("far", far).filter(F.col("far") <= radius).drop("gx", "gy", "gz")
+    cells = ["zone_id", "gx", "gy", "gz"]
+    spread = spread.select(*(F.col(c).alias("_" + c if c in cells else c) for c in spread.columns))
+    met = own.join(spread, reduce(and_, (F.col(c) == F.col("_" + c) for c in cells)) & (far <= F.lit(radius)) & (F.lit(True) if within is None else far <= within), how)
+    return met.drop("gx", "gy", "gz", *("_" + c for c in cells))
 
 
 def _halves(edges: DataFrame, *columns: str) -> DataFrame:
@@ -48,10 +55,13 @@ def sure_edges(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxes:
     component_confidence. against: zone_id, a, b: pairs that were compared,
     clearly, and are no candidates of each other.
     """
-    frames = rays.groupBy("zone_id").agg(F.count_distinct("frame_id").alias("frames"))
-    limits = frames.select("zone_id", *(c.alias(k) for k, c in v.thresholds(F.col("frames")).items()))
-    own = candidates.join(limits, "zone_id").filter(F.col("distance") <= F.col("forbidden"))
-    marked = cut(fuse.mark_ambiguous(own, rays, F.col("epsilon")))
+    if "frames" not in candidates.columns:
+        candidates = candidates.join(rays.groupBy("zone_id").agg(F.count_distinct("frame_id").alias("frames")), "zone_id")
+    needed = [s + c for s in ("a_", "b_") for c in ("frame_id", "det_id", "conf", "n") if s + c in candidates.columns]
+    limits = v.thresholds(F.col("frames"))
+    own = candidates.select("zone_id", *needed, "distance", "x", "y", "z", "angle_conf", "frames").filter(F.col("distance") <= limits["forbidden"])
+    marked = cut(fuse.mark_ambiguous(own, rays, limits["epsilon"]))
+    every, marked = marked, marked.withColumns(limits)
     sound = marked.filter(~F.col("a_ignored") & ~F.col("b_ignored") & (F.col("distance") <= F.col("epsilon"))).join(boxes, "zone_id").filter(v.inside(v.vec(""), v.box()))
     conf = F.col("a_conf") * F.col("b_conf") * v.distance_confidence(F.col("distance"), F.col("epsilon")) * F.col("angle_conf")
     edges = sound.withColumn("conf", v.normalised_confidence(conf, F.col("min_confidence"), BEST))
@@ -60,22 +70,22 @@ def sure_edges(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxes:
         edges = edges.join(bad.withColumnRenamed("frame_id", f"{side}_frame_id"), ["zone_id", f"{side}_frame_id"], "left_anti")
     sure = edges.filter(F.col("conf") >= F.greatest("conflict_confidence", "addition_confidence"))
     sure = sure.select("zone_id", _observation("a").alias("a"), _observation("b").alias("b"), "conf", "x", "y", "z", "radius", "component_confidence")
-    return cut(sure), marked
+    return cut(sure), every
 
 
-def _round(edges: DataFrame, marked: DataFrame, pairs: DataFrame, radius: float) -> DataFrame | None:
-    """zone_id, seed, members, tried (all edges around), and the component's summary of each seed of free edges; None where nothing seeds."""
-    order = F.struct("conf", "a", "b")
+def _round(edges: DataFrame, marked: DataFrame, unclear: list[DataFrame], pairs: DataFrame, radius: float) -> tuple[DataFrame, DataFrame] | None:
+    """(zone_id, seed, members and the component's summary of each seed of free edges; the edges that no seed has tried); None where nothing seeds."""
+    order = F.struct("conf", "a", "b", "x", "y", "z")
     best = _halves(edges.withColumn("e", order), "e").groupBy("zone_id", "o").agg(F.max("e").alias("e"))
-    seeds = best.groupBy("zone_id", "e").agg(F.count("*").alias("n")).filter("n = 2").select("zone_id", F.col("e").alias("seed"))
-    at = edges.select("zone_id", order.alias("seed"), *(F.col(n).alias("s" + n) for n in "xyz"))
-    seeds = cut(seeds.join(at, ["zone_id", "seed"]))
+    seeds = best.groupBy("zone_id", "e").agg(F.count("*").alias("n")).filter("n = 2")
+    seeds = cut(seeds.select("zone_id", F.struct("e.conf", "e.a", "e.b").alias("seed"), *(F.col("e." + n).alias("s" + n) for n in "xyz")))
     if not seeds.take(1):
         return None
     own = seeds.select("zone_id", F.col("seed").alias("mine"), *(F.col("s" + n).alias(n) for n in "xyz"))
     beaten = _near(own, seeds, 2 * radius).filter(F.col("mine") < F.col("seed")).select("zone_id", F.col("mine").alias("seed"))
     seeds = seeds.join(beaten.distinct(), ["zone_id", "seed"], "left_anti")
-    around = cut(_near(edges, seeds, radius).filter(F.col("far") <= F.col("radius")))
+    met = cut(_near(edges, seeds, radius, F.col("radius"), "left"))  # no edge is near two seeds
+    around, rest = met.filter("seed is not null"), met.filter("seed is null").drop("seed", "sx", "sy", "sz")
 
     votes = _halves(around, "seed", "conf").groupBy("zone_id", "seed", "o").agg(F.sum("conf").alias("votes"))
     votes = votes.groupBy("zone_id", "o").agg(F.max(F.struct("votes", "seed")).alias("v")).select("zone_id", "o", "v.votes", "v.seed")
@@ -85,20 +95,19 @@ def _round(edges: DataFrame, marked: DataFrame, pairs: DataFrame, radius: float)
     one, two = (members.select("zone_id", "seed", F.col("o").alias(n), F.col("votes").alias(n + "_votes")) for n in "ab")
     met = one.join(two, ["zone_id", "seed"]).filter("a.frame_id < b.frame_id")
     met = met.join(pairs, (F.col("a.frame_id") == F.col("first_frame")) & (F.col("b.frame_id") == F.col("second_frame")), "left_semi")
-    met = met.join(marked.select("zone_id", _observation("a").alias("a"), _observation("b").alias("b")), ["zone_id", "a", "b"], "left_anti")
-    for side, other in ("ab", "ba"):
-        unclear = marked.filter(f"{side}_ignored").select("zone_id", _observation(side).alias(side), F.col(f"{other}_frame_id").alias("frame")).distinct()
-        met = met.join(unclear, (met["zone_id"] == unclear["zone_id"]) & (met[side] == unclear[side]) & (met[other + ".frame_id"] == unclear["frame"]), "left_anti")
+    met = met.join(marked, ["zone_id", "a", "b"], "left_anti")
+    for (side, other), few in zip(("ab", "ba"), unclear):
+        few = few.withColumnRenamed("zone_id", "zone")
+        met = met.join(few, (F.col("zone_id") == F.col("zone")) & (F.col(side) == F.col("o")) & (F.col(other + ".frame_id") == F.col("frame")), "left_anti")
     weaker = F.when(F.struct("a_votes", "a") < F.struct("b_votes", "b"), F.col("a")).otherwise(F.col("b"))
     members = cut(members.join(met.select("zone_id", "seed", weaker.alias("o")).distinct(), ["zone_id", "seed", "o"], "left_anti"))
 
-    held = around
-    for side in "ab":
-        held = held.join(members.select("zone_id", "seed", F.col("o").alias(side)), ["zone_id", "seed", side], "left_semi")
-    components = resolve.component_summary(held, "zone_id", "seed")
-    least = around.groupBy("zone_id", "seed").agg(F.max("component_confidence").alias("least"), F.collect_list(F.struct("a", "b")).alias("tried"))
     own = members.groupBy("zone_id", "seed").agg(F.collect_list("o").alias("members"))
-    return least.join(own, ["zone_id", "seed"], "left").join(components, ["zone_id", "seed"], "left").withColumn("sound", F.coalesce((F.col("confidence") >= F.col("least")) & (F.col("edges") >= MIN_EDGES), F.lit(False)))
+    all_ = around.join(own, ["zone_id", "seed"], "left")
+    components = resolve.component_summary(all_.filter(F.array_contains("members", F.col("a")) & F.array_contains("members", F.col("b"))), "zone_id", "seed")
+    least = all_.groupBy("zone_id", "seed").agg(F.max("component_confidence").alias("least"), F.first("members").alias("members"))
+    out = least.join(components, ["zone_id", "seed"], "left").withColumn("sound", F.coalesce((F.col("confidence") >= F.col("least")) & (F.col("edges") >= MIN_EDGES), F.lit(False)))
+    return cut(out), rest
 
 
 def count_objects(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -111,24 +120,26 @@ def count_objects(rays: DataFrame, pairs: DataFrame, candidates: DataFrame, boxe
     of its frames shows.
     """
     edges, marked = sure_edges(rays, pairs, candidates, boxes)
+    unclear = [cut(marked.filter(f"{side}_ignored").select("zone_id", _observation(side).alias("o"), F.col(f"{other}_frame_id").alias("frame")).distinct()) for side, other in ("ab", "ba")]
+    parts = int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = marked.select("zone_id", _observation("a").alias("a"), _observation("b").alias("b")).repartition(parts, "zone_id", "a", "b").persist(StorageLevel.DISK_ONLY)  # no round shuffles them again
     radius = edges.agg(F.max("radius")).first()[0]
     compared = pairs.select("first_frame", "second_frame")
     found = None
     for _ in range(MOST):
-        tried = _round(edges, marked, compared, radius) if radius else None
-        if tried is None:
+        made = _round(edges, marked, unclear, compared, radius) if radius else None
+        if made is None:
             break
-        tried = cut(tried)
+        tried, edges = made
         sound = tried.filter("sound")
         found = sound if found is None else found.union(sound)
         used = sound.select("zone_id", F.explode("members").alias("o"))
-        gone = tried.select("zone_id", F.explode("tried").alias("e")).select("zone_id", "e.a", "e.b")
-        edges = edges.join(gone, ["zone_id", "a", "b"], "left_anti")
         for side in "ab":
             edges = edges.join(used.withColumnRenamed("o", side), ["zone_id", side], "left_anti")
         edges = cut(edges)
     else:
         raise RuntimeError(f"zones still have seeds after {MOST} rounds")
+    marked.unpersist()
     if found is None:
         return rays.limit(0).select("zone_id", F.lit(0).cast("long").alias("component_id"), "frame_id", "det_id", *(F.lit(0.0).alias(c) for c in ("x", "y", "z", "confidence")), F.lit(0).cast("long").alias("edges"), F.lit("").alias("name"))
     found = cut(found.withColumn("first", F.array_min("members")))

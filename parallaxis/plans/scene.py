@@ -83,7 +83,7 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Members of components, all zones at once."""
-    rays, pairs = _rays(spark, d), _pairs(spark, d)
+    rays, pairs = fuse.with_sizes(_rays(spark, d)), _pairs(spark, d)
     return rounds.count_objects(rays, pairs, fuse.ray_candidates(rays, pairs), view(spark, d, "zones").select("zone_id", *BOX))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
-from parallaxis.operators import annotations, assign, detect, evaluate, frames, order, placement, triangulate, zones
+from parallaxis.operators import annotations, assign, detect, evaluate, frames, fuse, order, placement, triangulate, zones
 
 
 def test_an_object_whose_edges_grew_twice_counts_once():
@@ -158,3 +158,15 @@ def test_no_stage_of_a_plane_holds_several_fits(spark):
     points = spark.range(400).select((F.col("id") % 4).alias("zone"), F.col("id").alias("point_id"), F.sin("id").alias("x"), F.cos(F.col("id") * 7).alias("y"), F.sin(F.col("id") * 3).alias("z"))
     out = zones.fit_plane(points, "zone")
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 4
+
+
+def test_marking_candidates_of_sized_rays_needs_no_join(spark):
+    rows = [(z, f, k, 0.9, f * 0.1, 0.0, 3.0, k * 0.1 - f * 0.03, 0.0, -1.0) for z in (0, 1) for f in range(4) for k in range(3 + z)]
+    rays = spark.createDataFrame(rows, "zone_id long, frame_id long, det_id long, conf double, ox double, oy double, oz double, dx double, dy double, dz double")
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "first_frame long, second_frame long")
+    plain, sized = (fuse.ray_candidates(r, pairs) for r in (rays, fuse.with_sizes(rays)))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(fuse.mark_ambiguous(sized, rays)) == joins(sized)
+    columns = ["zone_id", "a_frame_id", "a_det_id", "b_frame_id", "b_det_id", "a_ignored", "b_ignored"]
+    a, b = (sorted(tuple(r) for r in fuse.mark_ambiguous(c, rays).select(columns).collect()) for c in (plain, sized))
+    assert a == b and a
