@@ -1,8 +1,9 @@
-"""Label masks painted from boxes or polygons inside tasks: shapes are shuffled by image, cells never are."""
+"""Label masks painted from boxes or polygons inside tasks: shapes are shuffled by image, cells never are, and boxes are painted as rectangles between the lines at which some box begins or ends."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,27 @@ from pyspark.sql import functions as F
 from parallaxis.functions import poly
 
 #: Bits of a tile's side, tiles painted at once, and cells that rows are cut at: an image's boxes may be many and large, a task holds few of them.
-BITS, TILES, CELLS = 8, 32, 1 << 19
+BITS, TILES, CELLS = 8, 32, 1 << 20
 SIDE = 1 << BITS
 
-Emit = Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.Table]
+
+class Parts(NamedTuple):
+    """Rectangles of masks (y, x, h, w) in the order of bands of lines, and the row that owns each in each layer, -1 for none."""
+
+    own: np.ndarray
+    y: np.ndarray
+    x: np.ndarray
+    h: np.ndarray
+    w: np.ndarray
+
+    def of(self, layer: int) -> tuple[np.ndarray, Parts]:
+        """The rows that own rectangles in a layer, and those rectangles by row."""
+        order = np.argsort(self.own[layer], kind="stable")
+        order = order[np.searchsorted(self.own[layer][order], 0) :]
+        return self.own[layer][order], Parts(self.own[:, order], *(c[order] for c in self[1:]))
+
+
+Emit = Callable[[pa.Table, Parts], pa.Table]
 
 
 def _shapes(shapes: DataFrame, *keys: str, layer: int = 0) -> DataFrame:
@@ -57,21 +75,52 @@ def _inside(polygons: pa.ChunkedArray, row: np.ndarray, x: np.ndarray, y: np.nda
     return (n >= 3)[row] & (on | odd)
 
 
-def _owned(rows: pa.Table, tile: np.ndarray, layers: int, canvas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, x, y, id of the cells that each row keeps in its tile and layer: later rows paint over earlier ones. canvas tells the last row of each id."""
+def _lines(rows: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, band, and x from and to of the parts of rows that lie in bands of lines, rows in order; and tile, y and height of the bands, between which no row begins or ends."""
+    x0, y0 = (rows[c + "0"].to_numpy().astype(np.int64) for c in "xy")
     w, h = _sizes(rows)
-    n = w * h
-    row = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    dy = k // w[row]
-    x, y = (rows[c + "0"].to_numpy().astype(np.int64)[row] + d for c, d in (("x", k - dy * w[row]), ("y", dy)))
-    if "polygon" in rows.column_names:
+    drawn = "polygon" in rows.column_names
+    cut = np.full((tile[-1] + 1, SIDE + 1), drawn)
+    for y in (y0 & (SIDE - 1), (y0 & (SIDE - 1)) + h):
+        cut[tile, y] = True
+    at, rank = np.flatnonzero(cut), np.cumsum(cut.ravel(), dtype=np.int32).astype(np.int64) - 1
+    place = tile * (SIDE + 1) + (y0 & (SIDE - 1))
+    if drawn:
+        row, k = _counted(w * h)
+        dy = k // w[row]
+        x, y = x0[row] + k - dy * w[row], y0[row] + dy
         kept = _inside(rows["polygon"], row, x, y)
-        row, x, y = row[kept], x[kept], y[kept]
-    at = ((tile * layers + rows["layer"].to_numpy())[row] * SIDE + (y & (SIDE - 1))) * SIDE + (x & (SIDE - 1))
-    canvas[at] = row
-    mine = canvas[at] == row
-    return row[mine], x[mine], y[mine], at[mine]
+        row, x, dy = row[kept], x[kept] & (SIDE - 1), dy[kept]
+        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(dy, prepend=-1) != 0) | (np.diff(x, prepend=-1) != 1))
+        n = np.diff(start, append=len(row))
+        row, x, band = row[start], x[start], rank[(place[row] + dy)[start]]
+    else:
+        row, k = _counted(rank[place + h] - rank[place])
+        x, n, band = (x0 & (SIDE - 1))[row], w[row], rank[place][row] + k
+    return row, band, x, x + n, at // (SIDE + 1), at % (SIDE + 1), np.diff(at, append=at[-1:])
+
+
+def _counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place n times, and the numbers from 0 of those times."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _owned(rows: pa.Table, tile: np.ndarray, layers: int) -> Parts:
+    """Rectangles of the rows' tiles, line by line, and in each layer the row that keeps them: later rows paint over earlier ones."""
+    row, band, begin, end, of, top, high = _lines(rows, tile)
+    cut = np.zeros((len(of), SIDE + 1), bool)
+    for x in (begin, end):
+        cut[band, x] = True
+    at, rank = np.flatnonzero(cut), np.cumsum(cut.ravel(), dtype=np.int32).astype(np.int64) - 1
+    first = rank[band * (SIDE + 1) + begin]
+    which, k = _counted(rank[band * (SIDE + 1) + end] - first)
+    own = np.full((layers, len(at)), -1, np.int64)
+    own[rows["layer"].to_numpy()[row][which], first[which] + k] = row[which]
+    some = np.flatnonzero((own >= 0).any(0))
+    band, wide = at[some] // (SIDE + 1), np.diff(at, append=at[-1:])[some]
+    corner = [rows["t" + c].to_numpy().astype(np.int64)[np.unique(tile, return_index=True)[1]][of[band]] << BITS for c in "yx"]
+    return Parts(own[:, some], corner[0] + top[band], corner[1] + at[some] % (SIDE + 1), high[band], wide)
 
 
 def _starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
@@ -85,19 +134,15 @@ def _starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
 
 
 def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, schema: str) -> DataFrame:
-    """What emit makes of the cells of each image's tiles: rows, and row, x, y and id of the cells, and the canvas."""
+    """What emit makes of the rows and parts of each image's tiles."""
     groups = (*keys, "ty", "tx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canvas = np.full(TILES * layers * SIDE * SIDE, -1, np.int32)
-
         def painted(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(first) - 1, TILES):
                 bounds = first[k : k + TILES + 1]
                 some = rows.slice(bounds[0], bounds[-1] - bounds[0])
-                cells = _owned(some, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), layers, canvas)
-                yield from emit(some, *cells, canvas).to_batches()
-                canvas[cells[3]] = -1
+                yield from emit(some, _owned(some, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), layers)).to_batches()
 
         held = None
         for batch in batches:
@@ -112,13 +157,13 @@ def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, sc
                     held = rows.slice(first[-1])
                     yield from painted(rows, first)
                     w, h = _sizes(held)
-                    if (w * h).sum() > CELLS:  # one tile with very many boxes goes on as the cells that they leave
-                        row, x, y, at = _owned(held, np.zeros(len(held), np.int64), layers, canvas)
-                        canvas[at] = -1
+                    if (w * h).sum() > CELLS:  # one tile with very many boxes goes on as the rectangles that they leave
+                        left = [_owned(held, np.zeros(len(held), np.int64), layers).of(n) for n in range(layers)]
+                        row = np.concatenate([r for r, _ in left])
                         order = np.argsort(row, kind="stable")
                         held = held.take(pa.array(row[order]))
-                        for c, to in (("x0", x), ("x1", x), ("y0", y), ("y1", y)):
-                            held = held.set_column(held.column_names.index(c), held.schema.field(c), pa.array(to[order].astype(np.int32)))
+                        for c, to in (("x0", lambda p: p.x), ("x1", lambda p: p.x + p.w - 1), ("y0", lambda p: p.y), ("y1", lambda p: p.y + p.h - 1)):
+                            held = held.set_column(held.column_names.index(c), held.schema.field(c), pa.array(np.concatenate([to(p) for _, p in left])[order].astype(np.int32)))
         if held is not None:
             yield from painted(held, np.array([0, len(held)]))
 
@@ -139,7 +184,10 @@ def cells(shapes: DataFrame, *keys: str) -> DataFrame:
     """keys, y, x, label: cells inside shapes (det, and left, top, right, bottom or a polygon); where they overlap the larger det wins."""
     kinds = _types(shapes, *keys, "det")
 
-    def emit(rows, row, x, y, at, canvas):
+    def emit(rows, parts):
+        row, p = parts.of(0)
+        at, k = _counted(p.h * p.w)
+        row, y, x = row[at], p.y[at] + k // p.w[at], p.x[at] + k % p.w[at]
         return pa.table({**_named(rows, keys, row), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "label": rows["det"].take(pa.array(row))})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "y int, x int", f"label {kinds['det']}"])
@@ -150,11 +198,12 @@ def label_boxes(shapes: DataFrame, *keys: str) -> DataFrame:
     """keys, label, left, top, right, bottom (inclusive), area of what is seen of each shape."""
     kinds = _types(shapes, *keys, "det")
 
-    def emit(rows, row, x, y, at, canvas):
+    def emit(rows, parts):
+        row, p = parts.of(0)
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        some = len(first) > 0
-        own = {"left": np.minimum.reduceat(x, first), "top": np.minimum.reduceat(y, first), "right": np.maximum.reduceat(x, first), "bottom": np.maximum.reduceat(y, first)} if some else dict.fromkeys(("left", "top", "right", "bottom"), x)
-        area = np.diff(first, append=len(row))
+        of = lambda f, c: f.reduceat(c, first) if len(first) else c
+        own = {"left": of(np.minimum, p.x), "top": of(np.minimum, p.y), "right": of(np.maximum, p.x + p.w - 1), "bottom": of(np.maximum, p.y + p.h - 1)}
+        area = of(np.add, p.h * p.w)
         return pa.table({**_named(rows, keys, row[first]), "label": rows["det"].take(pa.array(row[first])), **{k: pa.array(c, pa.int32()) for k, c in own.items()}, "area": pa.array(area, pa.int64())})
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"label {kinds['det']}", "left int, top int, right int, bottom int, area long"])
@@ -166,9 +215,14 @@ def label_runs(shapes: DataFrame, *keys: str) -> DataFrame:
     """keys, label, runs (y, x, n: cells from x on): what is seen of each shape, a row for each label."""
     kinds = _types(shapes, *keys, "det")
 
-    def emit(rows, row, x, y, at, canvas):
-        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0) | (np.diff(x, prepend=-1) != 1))
-        n = np.diff(start, append=len(row))
+    def emit(rows, parts):
+        row, p = parts.of(0)
+        at, k = _counted(p.h)
+        row, y, x, n = row[at], p.y[at] + k, p.x[at], p.w[at]
+        order = np.lexsort((x, y, row))
+        row, y, x, n = (c[order] for c in (row, y, x, n))
+        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0) | (x != np.append(-1, (x + n)[:-1])))
+        n = np.add.reduceat(n, start) if len(start) else n
         first = np.flatnonzero(np.diff(row[start], prepend=-1))
         runs = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (y[start], x[start], n)], names=["y", "x", "n"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), runs)
@@ -182,15 +236,9 @@ def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
     """keys, t, p, pixels: cells by their label in the mask of the true and in that of the predicted shapes; null where a mask has none. Rows of an image are in one partition."""
     kinds = _types(truth, *keys, "det")
 
-    def emit(rows, row, x, y, at, canvas):
-        layer = rows["layer"].to_numpy()[row]
-        other = canvas[at + np.where(layer == 0, SIDE * SIDE, -SIDE * SIDE)].astype(np.int64)
-        once = (layer == 0) | (other < 0)
-        row, other, layer = row[once], other[once], layer[once]
-        pair = np.where(layer == 0, row + 1, 0) * (len(rows) + 1) + np.where(layer == 0, other, row) + 1
-        start = np.flatnonzero(np.diff(pair, prepend=-1))
-        pairs, to = np.unique(pair[start], return_inverse=True)
-        pixels = np.bincount(to, weights=np.diff(start, append=len(pair)), minlength=len(pairs)).astype(np.int64)
+    def emit(rows, parts):
+        pairs, to = np.unique((parts.own[0] + 1) * (len(rows) + 1) + parts.own[1] + 1, return_inverse=True)
+        pixels = np.bincount(to, weights=parts.h * parts.w, minlength=len(pairs)).astype(np.int64)
         t, p = pairs // (len(rows) + 1) - 1, pairs % (len(rows) + 1) - 1
         ends = {k: rows["det"].take(pa.array(c, pa.int64(), mask=c < 0)) for k, c in (("t", t), ("p", p))}
         return pa.table({**_named(rows, keys, np.maximum(t, p)), **ends, "pixels": pa.array(pixels)})

@@ -156,10 +156,8 @@ def mask_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mask_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels that labels of two masks share."""
-    quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    t, p = (view(spark, d, n).withColumns(quarter) for n in ("truth", "boxes"))
-    met = masks.overlaps(t, p, "image_id").filter("t is not null and p is not null")
+    """Pixels that labels of two masks of whole images share."""
+    met = masks.overlaps(*(view(spark, d, n) for n in ("truth", "boxes")), "image_id").filter("t is not null and p is not null")
     return met.groupBy("image_id").agg(F.count("*").alias("pairs"), F.sum("pixels").alias("pixels"), F.max("pixels").alias("most"))
 
 
@@ -218,6 +216,7 @@ v1 AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS ml, sqrt((tx-cx)*(tx-cx)+(ty-cy)*(ty
 v2 AS (SELECT *, mx/ml AS nx, my/ml AS ny, mz/ml AS nz, (tx-cx)/dl AS dx, (ty-cy)/dl AS dy, (tz-cz)/dl AS dz FROM v1)"""
 _QUARTER = "q AS (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM {0})"
 _CELLS = "c{1} AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\" / 4)::BIGINT AS l, floor(top / 4)::BIGINT AS t, floor(\"right\" / 4)::BIGINT AS r, floor(bottom / 4)::BIGINT AS b FROM {0}))), m{1} AS (SELECT image_id, x, y, max(det) AS label FROM c{1} GROUP BY ALL)"
+_PIXELS = "c{1} AS (SELECT image_id, det, x, unnest(range(t, b)) AS y FROM (SELECT image_id, det, t, b, unnest(range(l, r)) AS x FROM (SELECT image_id, det, floor(\"left\")::BIGINT AS l, floor(top)::BIGINT AS t, floor(\"right\")::BIGINT AS r, floor(bottom)::BIGINT AS b FROM {0}))), m{1} AS (SELECT image_id, x, y, max(det) AS label FROM c{1} GROUP BY ALL)"
 
 ORACLE = {
     "cleaned_polygons": with_views(
@@ -308,7 +307,7 @@ SELECT * FROM s WHERE delta <= 1""",
     "fallback_points": with_views("points", "m AS (SELECT point_id, CASE WHEN point_id % 3 = 0 THEN 'depth' WHEN point_id % 7 <= 5 AND point_id % 11 <= 5 AND point_id % 2 = 0 THEN 'hit' WHEN point_id % 7 <= 5 AND point_id % 11 <= 5 AND point_id % 5 <> 0 THEN 'feature' END AS method FROM points) SELECT point_id, method, method IS NOT NULL AS placed FROM m"),
     "polygon_masks": with_views("boxes", _QUARTER.format("boxes") + ", x AS (SELECT image_id, det, t, b, unnest(range(l, r + 1)) AS x FROM q), c AS (SELECT image_id, det, x, unnest(range(t, b + 1)) AS y FROM x), m AS (SELECT image_id, x, y, max(det) AS label FROM c GROUP BY ALL) SELECT image_id, label, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS area FROM m GROUP BY image_id, label"),
     "mask_counts": with_views("boxes", _CELLS.format("boxes", "") + " SELECT image_id, count(DISTINCT label) AS instances FROM m GROUP BY image_id"),
-    "mask_overlaps": with_views("boxes truth", _CELLS.format("truth", "t") + ", " + _CELLS.format("boxes", "p") + ", o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL) SELECT image_id, count(*) AS pairs, sum(pixels)::BIGINT AS pixels, max(pixels) AS most FROM o GROUP BY image_id"),
+    "mask_overlaps": with_views("boxes truth", _PIXELS.format("truth", "t") + ", " + _PIXELS.format("boxes", "p") + ", o AS (SELECT image_id, mt.label AS t, mp.label AS p, count(*) AS pixels FROM mt JOIN mp USING (image_id, x, y) GROUP BY ALL) SELECT image_id, count(*) AS pairs, sum(pixels)::BIGINT AS pixels, max(pixels) AS most FROM o GROUP BY image_id"),
     "assembly_counts": with_views("images", "i AS (SELECT id % 2 AS subset, CASE WHEN id % 11 = 0 THEN 'same.png' ELSE file_name END AS name, id FROM images), f AS (SELECT * FROM i WHERE name = 'same.png' OR id % 7 <> 0), n AS (SELECT count(DISTINCT (subset, name)) AS kept FROM f) SELECT (SELECT count(*) FROM i) - (SELECT count(*) FROM f) AS missing, (SELECT kept FROM n) AS copied, (SELECT kept FROM n) AS generated, (SELECT kept FROM n) * 0 AS resized, (SELECT count(*) FROM f) - (SELECT kept FROM n) AS collisions"),
     "split_names": with_views("images", "k AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id::VARCHAR), id) AS place FROM images), s AS (SELECT id, CASE WHEN place <= 30 THEN 'test' WHEN place <= 60 THEN 'val' ELSE 'train' END AS split FROM k) SELECT id, split, split || '_' || printf('%05d', row_number() OVER (PARTITION BY split ORDER BY id) - 1) AS name FROM s"),
 }
