@@ -207,9 +207,17 @@ def decode_depth(frames: DataFrame) -> DataFrame:
 
 
 def depth_samples(samples: DataFrame, cells: DataFrame, reach: int = 4) -> DataFrame:
-    """For each sample (frame_id, sample_id, sx, sy) the upper median, by depth, x and y, of the most confident valid cells around it."""
-    around = samples.withColumn("x", F.explode(F.sequence(F.col("sx") - reach, F.col("sx") + reach))).withColumn("y", F.explode(F.sequence(F.col("sy") - reach, F.col("sy") + reach)))
-    met = around.join(cells.filter("mm > 0"), ["frame_id", "x", "y"])
+    """For each sample (frame_id, sample_id, sx, sy) the upper median, by depth, x and y, of the most confident valid cells around it.
+
+    Samples meet cells in squares, of which a sample touches four at most.
+    """
+    side = max(4 * reach, 1)
+    around = samples.select("frame_id", "sample_id", "sx", "sy")
+    for c in "xy":
+        around = around.withColumn("g" + c, F.explode(F.sequence(*(F.floor((F.col("s" + c) + d) / side) for d in (-reach, reach)))))
+    valid = cells.filter("mm > 0").withColumns({"g" + c: F.floor(F.col(c) / side) for c in "xy"})
+    near = F.abs(F.col("x") - F.col("sx")).between(0, reach) & F.abs(F.col("y") - F.col("sy")).between(0, reach)
+    met = around.join(valid, ["frame_id", "gx", "gy"]).filter(near)
     own = Window.partitionBy("frame_id", "sample_id")
     best = met.withColumn("top", F.max("confidence").over(own)).filter("confidence = top")
     ranked = best.withColumn("place", F.row_number().over(own.orderBy("mm", "x", "y"))).withColumn("n", F.count("*").over(own))

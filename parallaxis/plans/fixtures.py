@@ -51,15 +51,16 @@ def _needs(name: str) -> list[str]:
     return [x for x in dict.fromkeys(re.findall(r"\{(\w+)\}", VIEWS[name])) if x in VIEWS or x in TABLES]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: dict[str, str] = {}) -> DataFrame:
+    """A table or derived view as a DataFrame. Tables of which a view makes many rows of each may be dealt to tasks by a key first, however few files and row groups they come in."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt[name]) if name in dealt else table
     elements = {f"e{i}": f"CAST(element_at(embedding, {i}) AS DOUBLE)" for i in (1, 2, 3, 7)}
     text = VIEWS[name].replace('"', "`").replace("VARCHAR(20)", "STRING")
     for k, e in elements.items():
         text = text.replace("{" + k + "}", e)
-    return spark.sql(text, **{x: view(spark, sf_dir, x) for x in _needs(name)})
+    return spark.sql(text, **{x: view(spark, sf_dir, x, dealt) for x in _needs(name)})
 
 
 def with_views(names: str, body: str) -> str:

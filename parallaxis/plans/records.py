@@ -59,8 +59,8 @@ def depth_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def depth_sampling(spark: SparkSession, d: str) -> DataFrame:
-    c = view(spark, d, "pixels").select(F.col("image_id").alias("frame_id"), "x", "y", F.when(F.col("luma") % 3 > 0, F.col("luma") * 10).otherwise(0).alias("mm"), (F.col("luma") % 8).alias("confidence"))
-    s = view(spark, d, "part").select(F.col("p_partkey").cast("long").alias("frame_id"), F.lit(1).alias("sample_id"), (F.col("p_partkey") % 16).cast("int").alias("sx"), (F.col("p_partkey") * 7 % 16).cast("int").alias("sy"))
+    c = view(spark, d, "pixels", dealt={"part": "p_partkey"}).select(F.col("image_id").alias("frame_id"), "x", "y", F.when(F.col("luma") % 3 > 0, F.col("luma") * 10).otherwise(0).alias("mm"), (F.col("luma") % 8).alias("confidence"))
+    s = view(spark, d, "part", dealt={"part": "p_partkey"}).select(F.col("p_partkey").cast("long").alias("frame_id"), F.lit(1).alias("sample_id"), (F.col("p_partkey") % 16).cast("int").alias("sx"), (F.col("p_partkey") * 7 % 16).cast("int").alias("sy"))
     return frames.depth_samples(s, c)
 
 

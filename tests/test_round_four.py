@@ -5,13 +5,45 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from parallaxis.operators import masks
+from parallaxis.operators import frames, masks
 from parallaxis.plans import measures
 from parallaxis.plans.fixtures import view
 
 SF = "/root/testdata/sf0.001"
 
 
+def shuffled(spark):
+    """Rows shuffled so far."""
+    context = spark.sparkContext
+    nothing = context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, *nothing)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_samples_meet_cells_in_squares(spark):
+    """Samples anywhere, left of zero too, take the depth that all cells around them tell, and are shuffled as a few rows each."""
+    draw = np.random.default_rng(6)
+    cells = [(f, x, y, int(draw.integers(0, 9)), int(draw.integers(0, 3))) for f in range(3) for x in range(-3, 30) for y in range(-3, 30) if draw.random() < 0.8]
+    samples = [(f, k, *map(int, draw.integers(-9, 36, 2))) for f in range(4) for k in range(200)]
+    c = spark.createDataFrame(cells, "frame_id long, x int, y int, mm int, confidence int")
+    s = spark.createDataFrame(samples, "frame_id long, sample_id int, sx int, sy int")
+    for reach in (0, 2, 4):
+        want = {}
+        for f, k, sx, sy in samples:
+            near = [(sure, mm, x, y) for g, x, y, mm, sure in cells if g == f and mm > 0 and abs(x - sx) <= reach and abs(y - sy) <= reach]
+            best = sorted(r[1:] for r in near if r[0] == max(near)[0])
+            if near:
+                want[f, k] = (*best[len(best) // 2], max(near)[0])
+        before = shuffled(spark)
+        assert {(r.frame_id, r.sample_id): (r.mm, r.x, r.y, r.confidence) for r in frames.depth_samples(s, c, reach).collect()} == want
+    assert shuffled(spark) - before < 81 * len(samples)
+
+
+def test_tables_are_dealt_before_many_rows_are_made(spark):
+    """A table of one file and row group makes its pixels in several tasks."""
+    assert view(spark, SF, "pixels").rdd.getNumPartitions() == 1 < view(spark, SF, "pixels", dealt={"part": "p_partkey"}).rdd.getNumPartitions()
+
+
 def test_masks_of_whole_images_overlap(spark):
     """Every pixel of the images counts, not one of sixteen."""
     painted = [defaultdict(dict), defaultdict(dict)]
