@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parallaxis.functions import poly
 from parallaxis.functions import vec as v
@@ -134,9 +140,9 @@ def class_manifest(names: list[str]) -> str:
     return "\n".join(["train: train", "val: val", "test: test", f"nc: {len(names)}", "names: [" + ", ".join(names) + "]", ""])
 
 
-def _numbered_by_folder(rows: DataFrame, *order: str) -> DataFrame:
+def _numbered_by_folder(rows: DataFrame, *order: str, ranges: tuple[str, int] | None = None) -> DataFrame:
     """rows with ann: their numbers in their folder, from 1, in this order."""
-    places = numbered(rows, "folder", *order)
+    places = numbered(rows, "folder", *order, ranges=ranges)
     first = places.groupBy("folder").agg(F.min("place").alias("first"))
     return places.join(F.broadcast(first), "folder").withColumn("ann", F.col("place") - F.col("first") + 1).drop("place", "first")
 
@@ -165,10 +171,40 @@ def exported_masks(images: DataFrame, cells: DataFrame, tolerance: float = 0.01,
 
     images: folder, image_id, width, height; cells: image_id, y, x, label of
     predicted masks (zero is no label), or a row for each label with the runs
-    of its cells, as masks.label_runs has them. Score is null. What comes back goes
-    to records.write_annotations, a document for each folder.
+    of its cells, as masks.label_runs has them, or their outlines (masks.label_outlines).
+    Score is null. What comes back goes to records.write_annotations, a document for
+    each folder. Labels are numbered in ranges of images, so that outlines are followed
+    once, and the rings of a batch are made at once.
     """
-    contours = shapes.run_contours if "runs" in cells.columns else shapes.largest_contours
-    outlines = contours(cells.filter("label > 0"), "image_id")
-    found = shapes.simplify(outlines, tolerance).select("image_id", F.col("label").alias("det"), "polygon", "pixels", F.lit(None).cast("double").alias("score"))
-    return exported(images, found, most_points, least_area)
+    outlines = cells.filter("label > 0")
+    if "polygon" not in cells.columns:
+        outlines = (shapes.run_contours if "runs" in cells.columns else shapes.largest_contours)(outlines, "image_id")
+    places, ranges = numbered(images.select("folder", "image_id", "width", "height"), "folder", "image_id"), int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.floor((F.col("place") - 1) * ranges / places.count()).cast("int")
+    size = [F.col(c).cast("double").alias("image_" + c) for c in ("width", "height")]
+    rows = outlines.filter(F.col("pixels") >= least_area).join(places.select("folder", "image_id", *size, share.alias("_range")), "image_id")
+    rows = rows.select("folder", "image_id", F.col("label").alias("det"), F.col("pixels").cast("double").alias("area"), "_range", "polygon", "image_width", "image_height")
+    names = ("left", "top", "width", "height")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, points = shapes.simplified(*shapes.polygon_arrays(batch.column(5)), tolerance)
+            row, k = shapes.counted(n)
+            kept = (n[row] >= 3) & (k % np.maximum(-(-n // most_points), 1)[row] == 0)
+            row, points = row[kept], points[kept]
+            most = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (6, 7)], 1) - 1
+            points = np.fmax(np.fmin(points, most[row]), 0)
+            part = np.flatnonzero(points.ravel() % 1)
+            points.ravel()[part] = [float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for x in points.ravel()[part].tolist()]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            long = np.flatnonzero(np.diff(first, append=len(row)) >= 3)
+            if len(long):
+                low, high = (f.reduceat(points, first)[long] for f in (np.minimum, np.maximum))
+                rings = pa.ListArray.from_arrays(pa.array(np.append(2 * first, 2 * len(row)), pa.int32()), pa.array(points.ravel())).take(pa.array(long))
+                own = [batch.column(c).take(pa.array(row[first][long])) for c in range(5)]
+                box = [pa.array(np.ascontiguousarray(c)) for c in (*low.T, *(high - low).T)]
+                yield pa.RecordBatch.from_arrays([*own, rings, *box], names=["folder", "image_id", "det", "area", "_range", "ring", *names])
+
+    schema = T.StructType([*rows.schema.fields[:5], T.StructField("ring", T.ArrayType(T.DoubleType())), *(T.StructField(c, T.DoubleType()) for c in names)])
+    found = rows.mapInArrow(run, schema).select("folder", "image_id", "det", "ring", "area", *names, F.lit(None).cast("double").alias("score"), "_range")
+    return _numbered_by_folder(found, "image_id", "det", ranges=("_range", ranges)).drop("det")

@@ -85,7 +85,7 @@ def packed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The rows of sorted batches, so that rows of equal keys (the first columns) come together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -134,7 +134,7 @@ def image_statistics(pixels: DataFrame) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole(batches, 1):
+        for table in whole_groups(batches, 1):
             key = table["image_id"].combine_chunks()
             ends = pc.run_end_encode(key).run_ends.to_numpy()
             n = len(ends)
@@ -189,7 +189,7 @@ def stitched(tile_pixels: DataFrame) -> DataFrame:
     schema = T.StructType([*(cells.schema[c] for c in names[:3]), T.StructField("value", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole(batches, 3):
+        for table in whole_groups(batches, 3):
             own = table["image_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(table)), _lengths(table, "x"))))
             flat = pa.table([own, *_flat(table, "x", "y", "value")], names=names)
             mean = flat.group_by(names[:3], use_threads=False).aggregate([("value", "mean")])

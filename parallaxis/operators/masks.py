@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallaxis.functions import poly
+from parallaxis.operators.frames import whole_groups
+from parallaxis.operators.shapes import counted, outlines, polygon_lists
 
 #: Bits of a tile's side, tiles painted at once, and cells that rows are cut at: an image's boxes may be many and large, a task holds few of them.
 BITS, TILES, CELLS = 8, 32, 1 << 20
@@ -86,7 +88,7 @@ def _lines(rows: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     at, rank = np.flatnonzero(cut), np.cumsum(cut.ravel(), dtype=np.int32).astype(np.int64) - 1
     place = tile * (SIDE + 1) + (y0 & (SIDE - 1))
     if drawn:
-        row, k = _counted(w * h)
+        row, k = counted(w * h)
         dy = k // w[row]
         x, y = x0[row] + k - dy * w[row], y0[row] + dy
         kept = _inside(rows["polygon"], row, x, y)
@@ -95,17 +97,11 @@ def _lines(rows: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         n = np.diff(start, append=len(row))
         row, x, band = row[start], x[start], rank[(place[row] + dy)[start]]
     else:
-        row, k = _counted(rank[place + h] - rank[place])
+        row, k = counted(rank[place + h] - rank[place])
         x, n, band = (x0 & (SIDE - 1))[row], w[row], rank[place][row] + k
     return row, band, x, x + n, at // (SIDE + 1), at % (SIDE + 1), np.diff(at, append=at[-1:])
 
 
-def _counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each place n times, and the numbers from 0 of those times."""
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-
-
 def _owned(rows: pa.Table, tile: np.ndarray, layers: int) -> Parts:
     """Rectangles of the rows' tiles, line by line, and in each layer the row that keeps them: later rows paint over earlier ones."""
     row, band, begin, end, of, top, high = _lines(rows, tile)
@@ -114,7 +110,7 @@ def _owned(rows: pa.Table, tile: np.ndarray, layers: int) -> Parts:
         cut[band, x] = True
     at, rank = np.flatnonzero(cut), np.cumsum(cut.ravel(), dtype=np.int32).astype(np.int64) - 1
     first = rank[band * (SIDE + 1) + begin]
-    which, k = _counted(rank[band * (SIDE + 1) + end] - first)
+    which, k = counted(rank[band * (SIDE + 1) + end] - first)
     own = np.full((layers, len(at)), -1, np.int64)
     own[rows["layer"].to_numpy()[row][which], first[which] + k] = row[which]
     some = np.flatnonzero((own >= 0).any(0))
@@ -133,8 +129,8 @@ def _starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, schema: str) -> DataFrame:
-    """What emit makes of the rows and parts of each image's tiles."""
+def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, schema: str, whole: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """What emit makes of the rows and parts of each image's tiles, or what whole makes of that, where a task has all tiles of an image, one after the other."""
     groups = (*keys, "ty", "tx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +163,8 @@ def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, sc
         if held is not None:
             yield from painted(held, np.array([0, len(held)]))
 
-    ordered = shapes.repartition(*keys, "ty", "tx").sortWithinPartitions(*groups, "det")
-    return ordered.mapInArrow(run, schema)
+    ordered = shapes.repartition(*(keys if whole else groups)).sortWithinPartitions(*groups, "det")
+    return ordered.mapInArrow((lambda batches: whole(run(batches))) if whole else run, schema)
 
 
 def _types(shapes: DataFrame, *names: str) -> dict[str, str]:
@@ -186,7 +182,7 @@ def cells(shapes: DataFrame, *keys: str) -> DataFrame:
 
     def emit(rows, parts):
         row, p = parts.of(0)
-        at, k = _counted(p.h * p.w)
+        at, k = counted(p.h * p.w)
         row, y, x = row[at], p.y[at] + k // p.w[at], p.x[at] + k % p.w[at]
         return pa.table({**_named(rows, keys, row), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "label": rows["det"].take(pa.array(row))})
 
@@ -211,13 +207,12 @@ def label_boxes(shapes: DataFrame, *keys: str) -> DataFrame:
     return pieces.groupBy(*keys, "label").agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.sum("area").alias("area"))
 
 
-def label_runs(shapes: DataFrame, *keys: str) -> DataFrame:
-    """keys, label, runs (y, x, n: cells from x on): what is seen of each shape, a row for each label."""
-    kinds = _types(shapes, *keys, "det")
+def _runs(keys: tuple[str, ...]) -> Emit:
+    """An emit of keys, label, runs (y, x, n)."""
 
-    def emit(rows, parts):
+    def emit(rows: pa.Table, parts: Parts) -> pa.Table:
         row, p = parts.of(0)
-        at, k = _counted(p.h)
+        at, k = counted(p.h)
         row, y, x, n = row[at], p.y[at] + k, p.x[at], p.w[at]
         order = np.lexsort((x, y, row))
         row, y, x, n = (c[order] for c in (row, y, x, n))
@@ -228,8 +223,38 @@ def label_runs(shapes: DataFrame, *keys: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), runs)
         return pa.table({**_named(rows, keys, row[start][first]), "label": rows["det"].take(pa.array(row[start][first])), "runs": lists})
 
+    return emit
+
+
+def label_runs(shapes: DataFrame, *keys: str) -> DataFrame:
+    """keys, label, runs (y, x, n: cells from x on): what is seen of each shape, a row for each label."""
+    kinds = _types(shapes, *keys, "det")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"label {kinds['det']}", "runs array<struct<y:int,x:int,n:int>>"])
-    return _paint(_shapes(shapes, *keys), keys, 1, emit, schema).groupBy(*keys, "label").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return _paint(_shapes(shapes, *keys), keys, 1, _runs(keys), schema).groupBy(*keys, "label").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def label_outlines(shapes: DataFrame, *keys: str) -> DataFrame:
+    """keys, label, polygon, area, pixels: the outline of the largest 4-connected part of what is seen of each shape, as shapes.run_contours has it, followed where it was painted: a task holds the runs of an image."""
+    kinds = _types(shapes, *keys)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, len(keys)):
+            label, runs = table["label"].to_numpy(), pa.concat_arrays(table["runs"].chunks)
+            image = np.zeros(len(table), np.int64)
+            image[_starts(table, keys)[1:]] = 1
+            image = np.cumsum(image)
+            order = np.lexsort((label, image))
+            new = (np.diff(image[order], prepend=-1) != 0) | (np.diff(label[order], prepend=0) != 0)
+            owner = np.empty(len(table), np.int64)
+            owner[order] = np.cumsum(new) - 1
+            y, x, n = (c.to_numpy().astype(np.int64) for c in runs.flatten().flatten())
+            _, corners, points, area, pixels = outlines(owner[np.repeat(np.arange(len(table)), pc.list_value_length(runs).to_numpy())], y, x, n)
+            own = {c: table[c].take(pa.array(order[new])) for c in (*keys, "label")}
+            yield from pa.table({**own, "polygon": polygon_lists(corners, points), "area": pa.array(area, pa.int64()), "pixels": pa.array(pixels, pa.int64())}).to_batches()
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "label long, polygon array<struct<x:double,y:double>>, area long, pixels long"])
+    drawn = _shapes(shapes.withColumn("det", F.col("det").cast("long")).filter("det is not null"), *keys)
+    return _paint(drawn, keys, 1, _runs(keys), schema, whole)
 
 
 def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:

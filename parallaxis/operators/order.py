@@ -19,13 +19,16 @@ from parallaxis.scratch import cut
 BLOCK_BITS, SHARE = 11, 16384
 
 
-def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+def numbered(df: DataFrame, *order: str, name: str = "place", ranges: tuple[str, int] | None = None) -> DataFrame:
     """df with its rows' numbers, from 1, in an order that tells all rows apart.
 
     Rows are sorted in ranges and numbered inside them; the sizes of the
-    ranges, a row for each, tell where each begins.
+    ranges, a row for each, tell where each begins. Ranges are sampled, for
+    which df is computed twice, unless a column holds them, numbers from 0 to
+    below so many, which don't fall in this order.
     """
-    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_number", F.monotonically_increasing_id()))
+    dealt = df.repartitionById(ranges[1], ranges[0]).drop(ranges[0]) if ranges else df.repartitionByRange(*order)
+    rows = cut(dealt.sortWithinPartitions(*order).withColumn("_number", F.monotonically_increasing_id()))
     part = F.shiftright("_number", 33)
     sizes = rows.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
     begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,41 +50,77 @@ def hull_or_box(points: DataFrame, boxes: DataFrame, *keys: str) -> DataFrame:
     return boxes.join(h, list(keys), "left").select(*keys, F.when(F.size("hull") >= 3, F.col("hull")).otherwise(box).alias("polygon"))
 
 
+def polygon_arrays(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each polygon's points begin, how many they are (none where it is null), and x and y of all points."""
+    if isinstance(polygons, pa.ChunkedArray):
+        polygons = pa.concat_arrays(polygons.chunks)
+    at = polygons.offsets.to_numpy().astype(np.int64)
+    n = np.where(polygons.is_null().to_numpy(zero_copy_only=False), 0, np.diff(at))
+    return at[:-1], n, np.stack([polygons.values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], 1)
+
+
+def polygon_lists(n: np.ndarray, points: np.ndarray) -> pa.ListArray:
+    """Polygons of n points each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["x", "y"]))
+
+
+def _firsts_of_most(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each group of n (one or more) and its first place."""
+    begin = np.cumsum(n) - n
+    most, group = np.maximum.reduceat(values, begin), np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(values == most[group])
+    return most, np.append(at, 0)[np.searchsorted(group[at], np.arange(len(n)))]  # where none is, most isn't a number
+
+
+def simplified(begin: np.ndarray, n: np.ndarray, points: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many points are left of each ring (from begin, n of them), and those points: all rings are split at once, a level after the other."""
+    row, k = counted(n + 1)
+    at = begin[row] + np.where(k < n[row], k, 0)  # each ring closed by its first point
+    p = np.append(points, [[np.nan, np.nan]], 0)[np.where(n[row] > 0, at, len(points))]
+    first = np.cumsum(n + 1) - n - 1
+    kept = np.ones(len(p), bool)
+    some = np.flatnonzero(n >= 4)
+    if len(some):
+        inner, own = np.flatnonzero((n[row] >= 4) & (k < n[row])), n[some]
+        q, lo = p[inner], np.cumsum(own) - own
+        far = np.full(len(n), np.nan)
+        far[some] = tolerance * np.hypot(*(np.maximum.reduceat(q, lo) - np.minimum.reduceat(q, lo)).T)
+        _, split = _firsts_of_most(((q - np.repeat(p[first[some]], own, 0)) ** 2).sum(1), own)
+        split = inner[split]
+        kept[inner] = False
+        kept[first[some]] = kept[split] = True
+        a, b = np.concatenate([first[some], split]), np.concatenate([split, first[some] + own])
+        while True:
+            a, b = a[b - a > 1], b[b - a > 1]
+            if not len(a):
+                break
+            seg, j = counted(b - a - 1)
+            d, s = (p[b] - p[a])[seg], p[a[seg] + 1 + j] - p[a][seg]
+            long = np.hypot(d[:, 0], d[:, 1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                away = np.where(long > 0, np.abs(d[:, 0] * s[:, 1] - d[:, 1] * s[:, 0]) / long, np.hypot(s[:, 0], s[:, 1]))
+            most, place = _firsts_of_most(away, b - a - 1)
+            more = most > far[row[a]]
+            a, b, at = a[more], b[more], (a[seg[place]] + 1 + j[place])[more]
+            kept[at] = True
+            a, b = np.concatenate([a, at]), np.concatenate([at, b])
+    kept &= k < n[row]
+    left = np.bincount(row[kept], minlength=len(n))
+    kept |= (left < 3)[row] & (k < n[row])
+    return np.bincount(row[kept], minlength=len(n)), p[kept]
+
+
 def simplify(polygons: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """polygons with polygon simplified by Douglas and Peucker's rule; the tolerance is a share of the box's diagonal. Rings stay rings: the farthest two vertices split them."""
-
-    def keep(p: np.ndarray, far: float) -> np.ndarray:
-        marked, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            d, q = p[b] - p[a], p[a + 1 : b] - p[a]
-            n = np.hypot(*d)
-            dist = np.abs(d[0] * q[:, 1] - d[1] * q[:, 0]) / n if n > 0 else np.hypot(q[:, 0], q[:, 1])
-            k = int(dist.argmax())
-            if dist[k] > far:
-                marked.add(a + 1 + k)
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return p[sorted(marked)]
-
-    def ring(points: list[dict]) -> list[dict]:
-        p = np.array([(q["x"], q["y"]) for q in points], float)
-        if len(p) < 4:
-            return points
-        far = tolerance * float(np.hypot(*(p.max(0) - p.min(0))))
-        k = int(((p - p[0]) ** 2).sum(1).argmax())
-        out = np.concatenate([keep(p[: k + 1], far)[:-1], keep(np.concatenate([p[k:], p[:1]]), far)[:-1]])
-        return [{"x": float(x), "y": float(y)} for x, y in out] if len(out) >= 3 else points
-
-    kind = "array<struct<x:double,y:double>>"
+    own = polygons.withColumn("polygon", F.col("polygon").cast("array<struct<x:double,y:double>>"))
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("polygon")
-            yield batch.set_column(at, "polygon", pa.array([None if p is None else ring(p) for p in batch.column(at).to_pylist()], batch.schema.field(at).type))
+            made = polygon_lists(*simplified(*polygon_arrays(batch.column(at)), tolerance))
+            nulls = batch.column(at).is_null()
+            yield batch.set_column(at, "polygon", pc.if_else(nulls, pa.scalar(None, made.type), made))
 
-    own = polygons.withColumn("polygon", F.col("polygon").cast(kind))
     return own.mapInArrow(run, own.schema)
 
 
@@ -96,52 +133,88 @@ def boundary(cells: DataFrame, *keys: str) -> DataFrame:
     return cells.join(inner, [*keys, "y", "x", "label"], "left_anti")
 
 
-def outline(left: set[tuple[int, int]]) -> tuple[list[dict[str, float]], int]:
-    """The outline of the largest 4-connected part of a label's cells, by corners in order, and that part's cells."""
-    best: set = set()
-    while left:
-        part, todo = set(), [left.pop()]
-        while todo:
-            y, x = todo.pop()
-            part.add((y, x))
-            for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
-                if n in left:
-                    left.remove(n)
-                    todo.append(n)
-        if (len(part), min(part)) > (len(best), min(best, default=(0, 0))) and len(part) > len(best):
-            best = part
-    follow: dict = {}
-    for y, x in best:
-        for (a, b), n in ((((y, x), (y, x + 1)), (y - 1, x)), (((y, x + 1), (y + 1, x + 1)), (y, x + 1)), (((y + 1, x + 1), (y + 1, x)), (y + 1, x)), (((y + 1, x), (y, x)), (y, x - 1))):
-            if n not in best:
-                follow.setdefault(a, []).append(b)
-    start = now = min(follow)
-    ring, last = [], None
-    while True:
-        ring.append(now)
-        ways = follow[now]
-        if last is not None and len(ways) > 1:  # at a pinch turn right, so that the outline stays in one piece
-            dy, dx = now[0] - last[0], now[1] - last[1]
-            ways.sort(key=lambda b: (b[0] - now[0], b[1] - now[1]) != (dx, -dy))
-        last, now = now, ways.pop(0)
-        if now == start:
-            break
-    corners = [p for k, p in enumerate(ring) if (ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
-    return [{"x": float(x), "y": float(y)} for y, x in corners], len(best)
+def counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place n times, and the numbers from 0 of those times."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def outlines(owner: np.ndarray, y: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owners, corners of each, points, cells of the part and of all parts: the outline of the largest 4-connected part (of equal ones the first) of each owner's runs of cells (y, x, n).
+
+    The sides of runs are the nodes of the outlines, up on the left and down on
+    the right; at a pinch an outline stays with its cell. Those of all owners
+    are followed at once, from one turn to the next.
+    """
+    order = np.lexsort((x, y, owner))
+    owner, y, a = (c[order] for c in (owner, y, x))
+    b = a + n[order]
+    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(y, prepend=0) != 0) | (a != np.append(0, b[:-1])) | (np.arange(len(a)) == 0))
+    owner, y, a, b = owner[new], y[new], a[new], b[np.append(new[1:], len(a)) - 1]  # runs that meet are one
+    runs = np.arange(len(a))
+    line = np.cumsum((np.diff(owner, prepend=-1) != 0) | (np.diff(y, prepend=0) != 0) | (runs == 0)) - 1
+    head = np.flatnonzero(np.diff(line, prepend=-1))
+    follows = np.append((owner[head][1:] == owner[head][:-1]) & (y[head][1:] == y[head][:-1] + 1), False)
+    above, below = np.where(np.append(False, follows[:-1]), np.arange(len(head)) - 1, -1)[line], np.where(follows, np.arange(len(head)) + 1, -1)[line]
+    low, wide = a.min(), b.max() - a.min() + 1
+    key, line_ = line * wide + a - low, np.append(line, -2)
+
+    def last(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The last run that begins at x or before it in the given lines, or the one before that line's first."""
+        return np.searchsorted(key, of * wide + x - low, side="right") - 1
+
+    # parts: runs of neighbouring lines that share a column
+    begin, end = last(above, a), last(above, b - 1)
+    begin = np.where((begin >= 0) & (line_[begin] == above) & (b[begin] > a), begin, begin + 1)
+    i, k = counted(np.where(above >= 0, np.maximum(end - begin + 1, 0), 0))
+    j, part = begin[i] + k, runs.copy()
+    while len(i):
+        one, two = part[i], part[j]
+        i, j = i[one != two], j[one != two]
+        np.minimum.at(part, np.maximum(one, two), np.minimum(one, two))
+        while (part[part] != part).any():
+            part = part[part]
+    cells = np.bincount(part, weights=b - a, minlength=len(a)).astype(np.int64)
+    of = np.flatnonzero(np.diff(owner, prepend=-1))
+    size, start = _firsts_of_most(cells.astype(float), np.diff(of, append=len(a)))
+    # where each side leads: node 2 k is the left of run k, 2 k + 1 its right
+    j = last(above, a)
+    up, next_up = (above >= 0) & (line_[j] == above), (above >= 0) & (line_[j + 1] == above)
+    covers, before = up & (b[j] > a), np.where(np.append(True, line[1:] != line[:-1]), low - 1, np.append(0, b[:-1]))
+    right_on = np.where(next_up & (np.append(a, 0)[j + 1] < b), 2 * (j + 1), 2 * runs + 1)
+    left = np.where(covers, np.where((a[j] < a) & (before > a[j]), 2 * runs - 1, 2 * j), right_on)
+    left_straight = covers & (a[j] == a)
+    j = last(below, b - 1)
+    down = (below >= 0) & (line_[j] == below)
+    covers, after = down & (b[j] >= b), np.where(np.append(line[1:] != line[:-1], True), low + wide, np.append(a[1:], 0))
+    right = np.where(covers, np.where((b[j] > b) & (after < b[j]), 2 * runs + 2, 2 * j + 1), np.where(down & (b[j] > a), 2 * j + 1, 2 * runs))
+    right_straight = covers & (b[j] == b)
+    to, straight, at = (np.stack(c, 1).ravel() for c in ((left, right), (left_straight, right_straight), (a, b)))
+    turn = np.where(straight, to, np.arange(len(to)))
+    while straight[turn].any():
+        turn = turn[turn]
+    to = turn[to]
+    ring, node, found = np.arange(len(of)), 2 * start, []
+    while len(ring):
+        found.append((ring, node))
+        node = to[node]
+        ring, node = (c[node != 2 * start[ring]] for c in (ring, node))
+    ring, node = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(ring, kind="stable")
+    node, corners = node[order], 2 * np.bincount(ring, minlength=len(of))
+    high = y[node // 2] + node % 2
+    points = np.stack([np.stack([at[node], at[to[node]]], 1).ravel(), np.repeat(high, 2)], 1).astype(float)
+    return owner[of], corners, points, size.astype(np.int64), np.add.reduceat(b - a, of)
 
 
 def largest_contours(cells: DataFrame, key: str) -> DataFrame:
     """key, label, polygon, area, pixels: the outline of the largest 4-connected part of each label, by corners of its cells in order, that part's cells and all of the label's. A task holds the labels of an image."""
 
     def run(table: pa.Table) -> pa.Table:
-        cells_of: dict[int, set[tuple[int, int]]] = {}
-        for label, y, x in zip(*(table[c].to_pylist() for c in ("label", "y", "x"))):
-            cells_of.setdefault(label, set()).add((y, x))
-        labels = sorted(cells_of)
-        pixels = [len(cells_of[n]) for n in labels]
-        found = [outline(cells_of[n]) for n in labels]
-        point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        columns = {"label": pa.array(labels, pa.int64()), "polygon": pa.array([p for p, _ in found], point), "area": pa.array([n for _, n in found], pa.int64()), "pixels": pa.array(pixels, pa.int64())}
+        place = np.unique(np.stack([table[c].to_numpy().astype(np.int64) for c in ("label", "y", "x")], 1), axis=0)
+        labels, owner = np.unique(place[:, 0], return_inverse=True)
+        _, corners, points, area, pixels = outlines(owner, place[:, 1], place[:, 2], np.ones(len(place), np.int64))
+        columns = {"label": pa.array(labels, pa.int64()), "polygon": polygon_lists(corners, points), "area": pa.array(area, pa.int64()), "pixels": pa.array(pixels, pa.int64())}
         return pa.table({key: pa.array([table[key][0].as_py()] * len(labels), table.schema.field(key).type), **columns})
 
     kind = dict(cells.dtypes)[key]
@@ -150,23 +223,17 @@ def largest_contours(cells: DataFrame, key: str) -> DataFrame:
 
 
 def run_contours(runs: DataFrame, key: str) -> DataFrame:
-    """The same for labels given by their runs (key, label, runs of y, x, n): a row at a time."""
-    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-
-    def one(found: list[tuple[int, int, int]]) -> tuple[list[dict[str, float]], int]:
-        left, right, top, bottom = min(x for _, x, _ in found), max(x + n for _, x, n in found), min(y for y, _, _ in found), max(y for y, _, _ in found) + 1
-        if sum(n for _, _, n in found) == (right - left) * (bottom - top):  # a whole box
-            return [{"x": float(x), "y": float(y)} for x, y in ((left, top), (right, top), (right, bottom), (left, bottom))], (right - left) * (bottom - top)
-        return outline({(y, k) for y, x, n in found for k in range(x, x + n)})
+    """The same for labels given by their runs (key, label, runs of y, x, n), those of a batch at once."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
-            at, flat = lists.offsets.to_pylist(), list(zip(*(lists.values.field(c).to_pylist() for c in ("y", "x", "n"))))
-            own = [flat[a:b] for a, b in zip(at, at[1:])]
-            made = [one(x) for x in own]
-            columns = [batch.column(0), batch.column(1), pa.array([p for p, _ in made], point), pa.array([n for _, n in made], pa.int64()), pa.array([sum(n for _, _, n in x) for x in own], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "label", "polygon", "area", "pixels"])
+            y, x, n = (c.to_numpy().astype(np.int64) for c in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+            if len(batch):
+                _, corners, points, area, pixels = outlines(owner, y, x, n)
+                columns = [batch.column(0), batch.column(1), polygon_lists(corners, points), pa.array(area, pa.int64()), pa.array(pixels, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "label", "polygon", "area", "pixels"])
 
     kind = dict(runs.dtypes)[key]
     rows = runs.select(key, F.col("label").cast("long"), "runs").filter("size(runs) > 0")

@@ -183,9 +183,9 @@ def exported_annotations(spark: SparkSession, d: str) -> DataFrame:
 def exported_masks(spark: SparkSession, d: str) -> DataFrame:
     """Annotations of label masks: their numbers in their folder's document and their pixels."""
     quarter = {c: F.floor(F.col(c) / 4) for c in ("left", "top", "right", "bottom")}
-    runs = masks.label_runs(view(spark, d, "boxes").withColumns(quarter), "image_id")
+    outlines = masks.label_outlines(view(spark, d, "boxes").withColumns(quarter), "image_id")
     images = view(spark, d, "boxes").select("image_id").distinct().select((F.col("image_id") % 3).alias("folder"), "image_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
-    out = annotations.exported_masks(images, runs)
+    out = annotations.exported_masks(images, outlines)
     return out.select("folder", "image_id", "ann", "area")
 
 

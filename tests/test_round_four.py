@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from parallaxis.operators import frames, masks
+from parallaxis.operators import frames, masks, shapes
 from parallaxis.plans import measures
 from parallaxis.plans.fixtures import view
 
@@ -60,3 +60,44 @@ def test_boxes_are_painted_as_rectangles():
     rows = pa.table({"layer": [0, 0, 1], "x0": [0, 100, 0], "y0": [0, 100, 0], "x1": [255, 255, 9], "y1": [255, 255, 9], "tx": [0] * 3, "ty": [0] * 3})
     parts = masks._owned(rows, np.zeros(3, int), 2)
     assert [tuple(int(c) for c in p) for p in zip(*parts.own, *parts[1:])] == [(0, 2, 0, 0, 10, 10), (0, -1, 0, 10, 10, 246), (0, -1, 10, 0, 90, 256), (0, -1, 100, 0, 156, 100), (1, -1, 100, 100, 156, 156)]
+
+
+def followed(cells):
+    """Corners (x, y) of the outline of the largest 4-connected part of cells (y, x), of equal ones the first, and that part's cells: a step along a side after the other."""
+    left, best = set(cells), []
+    for first in sorted(cells):
+        part = [first] if first in left else []
+        left -= {first}
+        for y, x in part:
+            near = {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} & left
+            left -= near
+            part += near
+        best = max(best, part, key=len)
+    (y, x), (dy, dx), ring = min(best), (0, 1), []
+    while not ring or (x, y) != ring[0]:
+        ring.append((x, y))
+        while True:
+            y, x = y + dy, x + dx
+            ahead = [(y + (dy - 1 + s * dx) // 2, x + (dx - 1 - s * dy) // 2) for s in (1, -1)]  # on the right and on the left
+            if ahead[0] not in best or ahead[1] in best:
+                dy, dx = (dx, -dy) if ahead[0] not in best else (-dx, dy)
+                break
+    return ring, len(best)
+
+
+def test_outlines_of_many_labels_at_once(spark):
+    """Labels in parts, with holes and pinches, of equal parts and across tiles, are followed as one alone is; where they are painted as where they are given."""
+    draw = np.random.default_rng(9)
+    cells = {k: [(int(y), int(x)) for y in range(k % 7 + 1) for x in range(k % 9 + 1) if draw.random() < 0.65] or [(0, 0)] for k in range(1, 600)}
+    rows = [(k % 5, k, y + 250, x + 250) for k, own in cells.items() for y, x in own]
+    given = shapes.largest_contours(spark.createDataFrame(rows, "image_id long, label long, y int, x int"), "image_id")
+    assert {r.label: ([(p.x - 250, p.y - 250) for p in r.polygon], r.area, r.pixels) for r in given.collect()} == {k: (*followed(own), len(own)) for k, own in cells.items()}
+    boxes = spark.createDataFrame([(int(k % 3), int(k), *map(float, (x, y, x + w, y + h))) for k, (x, y, w, h) in enumerate(draw.integers((0, 0, 1, 1), (300, 300, 60, 60), (300, 4)), 1)], "image_id long, det long, left double, top double, right double, bottom double")
+    assert sorted(masks.label_outlines(boxes, "image_id").collect()) == sorted(shapes.run_contours(masks.label_runs(boxes, "image_id"), "image_id").collect())
+
+
+def test_masks_are_exported_where_they_are_painted(spark):
+    """Labels are shuffled once after they were painted, to be numbered; outlines and all of their cells are not, nor are labels sampled."""
+    n, before = view(spark, SF, "boxes").count(), shuffled(spark)
+    rows = measures.exported_masks(spark, SF).collect()
+    assert shuffled(spark) - before < 3.3 * n and sorted(r.ann for r in rows if r.folder == 1) == list(range(1, 1 + sum(r.folder == 1 for r in rows)))
