@@ -119,7 +119,7 @@ def _owned(rows: pa.Table, tile: np.ndarray, layers: int) -> Parts:
     return Parts(own[:, some], corner[0] + top[band], corner[1] + at[some] % (SIDE + 1), high[band], wide)
 
 
-def _starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+def starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
     """Where rows differ from the one before in one of the columns."""
     new = np.zeros(len(rows) - 1, bool)
     for c in columns:
@@ -129,9 +129,8 @@ def _starts(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, schema: str, whole: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
-    """What emit makes of the rows and parts of each image's tiles, or what whole makes of that, where a task has all tiles of an image, one after the other."""
-    groups = (*keys, "ty", "tx")
+def _painter(groups: tuple[str, ...], layers: int, emit: Emit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes, of sorted rows, what emit makes of the rows and parts of each image's tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def painted(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -149,7 +148,7 @@ def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, sc
             for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
                 rows = table.slice(a, b - a) if held is None else pa.concat_tables([held, table.slice(a, b - a)]).combine_chunks()
                 if len(rows):
-                    first = _starts(rows, groups)
+                    first = starts(rows, groups)
                     held = rows.slice(first[-1])
                     yield from painted(rows, first)
                     w, h = _sizes(held)
@@ -163,6 +162,13 @@ def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, sc
         if held is not None:
             yield from painted(held, np.array([0, len(held)]))
 
+    return run
+
+
+def _paint(shapes: DataFrame, keys: tuple[str, ...], layers: int, emit: Emit, schema: str, whole: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """What emit makes of the rows and parts of each image's tiles, or what whole makes of that, where a task has all tiles of an image, one after the other."""
+    groups = (*keys, "ty", "tx")
+    run = _painter(groups, layers, emit)
     ordered = shapes.repartition(*(keys if whole else groups)).sortWithinPartitions(*groups, "det")
     return ordered.mapInArrow((lambda batches: whole(run(batches))) if whole else run, schema)
 
@@ -241,7 +247,7 @@ def label_outlines(shapes: DataFrame, *keys: str) -> DataFrame:
         for table in whole_groups(batches, len(keys)):
             label, runs = table["label"].to_numpy(), pa.concat_arrays(table["runs"].chunks)
             image = np.zeros(len(table), np.int64)
-            image[_starts(table, keys)[1:]] = 1
+            image[starts(table, keys)[1:]] = 1
             image = np.cumsum(image)
             order = np.lexsort((label, image))
             new = (np.diff(image[order], prepend=-1) != 0) | (np.diff(label[order], prepend=0) != 0)
@@ -257,17 +263,37 @@ def label_outlines(shapes: DataFrame, *keys: str) -> DataFrame:
     return _paint(drawn, keys, 1, _runs(keys), schema, whole)
 
 
-def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
-    """keys, t, p, pixels: cells by their label in the mask of the true and in that of the predicted shapes; null where a mask has none. Rows of an image are in one partition."""
-    kinds = _types(truth, *keys, "det")
+def _pairs(keys: tuple[str, ...]) -> Emit:
+    """An emit of keys, t, p, pixels: cells by their label in two layers."""
 
-    def emit(rows, parts):
+    def emit(rows: pa.Table, parts: Parts) -> pa.Table:
         pairs, to = np.unique((parts.own[0] + 1) * (len(rows) + 1) + parts.own[1] + 1, return_inverse=True)
         pixels = np.bincount(to, weights=parts.h * parts.w, minlength=len(pairs)).astype(np.int64)
         t, p = pairs // (len(rows) + 1) - 1, pairs % (len(rows) + 1) - 1
         ends = {k: rows["det"].take(pa.array(c, pa.int64(), mask=c < 0)) for k, c in (("t", t), ("p", p))}
         return pa.table({**_named(rows, keys, np.maximum(t, p)), **ends, "pixels": pa.array(pixels)})
 
+    return emit
+
+
+def overlaps(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
+    """keys, t, p, pixels: cells by their label in the mask of the true and in that of the predicted shapes; null where a mask has none. Rows of an image are in one partition."""
+    kinds = _types(truth, *keys, "det")
     both = _shapes(truth, *keys).unionByName(_shapes(predicted, *keys, layer=1)).filter("det is not null")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"t {kinds['det']}, p {kinds['det']}, pixels long"])
-    return _paint(both, keys, 2, emit, schema).repartition(*keys).groupBy(*keys, "t", "p").agg(F.sum("pixels").alias("pixels"))
+    return _paint(both, keys, 2, _pairs(keys), schema).repartition(*keys).groupBy(*keys, "t", "p").agg(F.sum("pixels").alias("pixels"))
+
+
+def overlaps_of(image: np.ndarray, layer: np.ndarray, det: np.ndarray, box: np.ndarray) -> pa.Table:
+    """image, t, p, pixels: the same for the boxes (left, top, right, bottom, whole numbers) of some images in arrays, in order of image and det."""
+    x0, y0 = box[:, 0].astype(np.int64), box[:, 1].astype(np.int64)
+    x1, y1 = (np.maximum(a, box[:, c].astype(np.int64) - 1) for a, c in ((x0, 2), (y0, 3)))
+    wide = (x1 >> BITS) - (x0 >> BITS) + 1
+    row, k = counted(((y1 >> BITS) - (y0 >> BITS) + 1) * wide)
+    ty, tx = (y0 >> BITS)[row] + k // wide[row], (x0 >> BITS)[row] + k % wide[row]
+    order = np.lexsort((row, tx, ty, image[row]))
+    row, ty, tx = row[order], ty[order], tx[order]
+    part = {"x0": np.maximum(x0[row], tx << BITS), "y0": np.maximum(y0[row], ty << BITS), "x1": np.minimum(x1[row], (tx << BITS) + SIDE - 1), "y1": np.minimum(y1[row], (ty << BITS) + SIDE - 1), "ty": ty, "tx": tx}
+    rows = pa.table({"image": pa.array(image[row]), "layer": pa.array(layer[row]), "det": pa.array(det[row]), **{c: pa.array(x, pa.int32()) for c, x in part.items()}})
+    met = pa.Table.from_batches(_painter(("image", "ty", "tx"), 2, _pairs(("image",)))(rows.to_batches()), pa.schema([(c, pa.int64()) for c in ("image", "t", "p", "pixels")]))
+    return met.group_by(["image", "t", "p"], use_threads=False).aggregate([("pixels", "sum")]).rename_columns(["image", "t", "p", "pixels"])

@@ -172,9 +172,7 @@ def _by_mask(spark: SparkSession, d: str, thresholds: list[float]) -> DataFrame:
 def matching_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Matching of boxes, and of the label masks that they make, at every threshold."""
     boxes = [view(spark, d, n) for n in ("truth", "boxes")]
-    by_box = evaluate.sweep(evaluate.overlaps(*boxes, "image_id"), *boxes, SWEPT, "image_id")
-    by_mask = _by_mask(spark, d, SWEPT).select("threshold", *(F.col(c).alias("mask_" + c) for c in ("tp", "f1", "best")))
-    return _r(by_box.join(F.broadcast(by_mask), "threshold"), "threshold", "f1", "mask_f1")
+    return _r(evaluate.sweep_both(*boxes, SWEPT, "image_id", shrink=4), "threshold", "f1", "mask_f1")
 
 
 def mask_sweep(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from parallaxis.operators import frames, masks, shapes
-from parallaxis.plans import measures
+from parallaxis.operators import evaluate, frames, masks, shapes
+from parallaxis.plans import measures, records
 from parallaxis.plans.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,24 @@ def test_masks_are_exported_where_they_are_painted(spark):
     n, before = view(spark, SF, "boxes").count(), shuffled(spark)
     rows = measures.exported_masks(spark, SF).collect()
     assert shuffled(spark) - before < 3.3 * n and sorted(r.ann for r in rows if r.folder == 1) == list(range(1, 1 + sum(r.folder == 1 for r in rows)))
+
+
+def test_sweep_of_boxes_and_masks_at_once(spark):
+    """Boxes that cross tiles, crowds and an image of one side only match as by joins; a missing image counts and meets nothing."""
+    draw = np.random.default_rng(11)
+    at = [[(int(k) if k < 9 else None, int(n), *map(float, (x, y, x + w, y + h))) for n, (k, x, y, w, h) in enumerate(draw.integers((0, -40, 200, 1, 1), (10 - side, 60, 300, 50, 60), (500, 5)))] for side in (0, 1)]
+    t, p = (spark.createDataFrame(rows, "image_id long, det long, left double, top double, right double, bottom double") for rows in at)
+    levels = [0.1, 0.3, 0.5, 0.7]
+    got = sorted(evaluate.sweep_both(t, p, levels, "image_id").collect())
+    by_box = sorted(evaluate.sweep(evaluate.overlaps(t, p, "image_id"), t, p, levels, "image_id").collect())
+    met = masks.overlaps(*(df.filter("image_id is not null") for df in (t, p)), "image_id")
+    by_mask = sorted(evaluate.sweep(evaluate.mask_ious(met, "image_id"), *(masks.label_boxes(df, "image_id") for df in (t, p)), levels, "image_id").collect())
+    assert [(r.threshold, r.tp, r.f1, r.best) for r in got] == [tuple(r) for r in by_box] and got[0].tp > got[-1].tp > 0
+    assert [(r.mask_tp, r.mask_f1, r.mask_best) for r in got] == [tuple(r)[1:] for r in by_mask] and got[0].mask_tp > got[-1].mask_tp
+    assert [tuple(r) for r in evaluate.sweep_both(t.limit(0), p.limit(0), [0.5], "image_id").collect()] == [(0.5, 0, 0.0, True, 0, 0.0, True)]
+
+
+def test_the_sweep_shuffles_boxes_once(spark):
+    """Beside what the views shuffle, boxes are by image, and neither pairs nor labels."""
+    n, before = sum(view(spark, SF, name).count() for name in ("truth", "boxes")), shuffled(spark)
+    assert len(records.matching_sweep(spark, SF).collect()) == 17 and shuffled(spark) - before < 2.5 * n
