@@ -12,12 +12,18 @@ from parallaxis.plans.fixtures import view
 SF = "/root/testdata/sf0.001"
 
 
-def shuffled(spark):
-    """Rows shuffled so far."""
+def shuffled(spark, run):
+    """What run gives, and the rows that its stages shuffle."""
     context = spark.sparkContext
     nothing = context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList()
-    stages = context._jsc.sc().statusStore().stageList(None, False, False, *nothing)
-    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    def stages():
+        found = context._jsc.sc().statusStore().stageList(None, False, False, *nothing)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    out = run()
+    return out, sum(n for k, n in stages().items() if k > before)
 
 
 def test_samples_meet_cells_in_squares(spark):
@@ -34,9 +40,9 @@ def test_samples_meet_cells_in_squares(spark):
             best = sorted(r[1:] for r in near if r[0] == max(near)[0])
             if near:
                 want[f, k] = (*best[len(best) // 2], max(near)[0])
-        before = shuffled(spark)
-        assert {(r.frame_id, r.sample_id): (r.mm, r.x, r.y, r.confidence) for r in frames.depth_samples(s, c, reach).collect()} == want
-    assert shuffled(spark) - before < 81 * len(samples)
+        got, rows = shuffled(spark, frames.depth_samples(s, c, reach).collect)
+        assert {(r.frame_id, r.sample_id): (r.mm, r.x, r.y, r.confidence) for r in got} == want
+    assert rows < 81 * len(samples)
 
 
 def test_tables_are_dealt_before_many_rows_are_made(spark):
@@ -98,9 +104,9 @@ def test_outlines_of_many_labels_at_once(spark):
 
 def test_masks_are_exported_where_they_are_painted(spark):
     """Labels are shuffled once after they were painted, to be numbered; outlines and all of their cells are not, nor are labels sampled."""
-    n, before = view(spark, SF, "boxes").count(), shuffled(spark)
-    rows = measures.exported_masks(spark, SF).collect()
-    assert shuffled(spark) - before < 3.3 * n and sorted(r.ann for r in rows if r.folder == 1) == list(range(1, 1 + sum(r.folder == 1 for r in rows)))
+    n = view(spark, SF, "boxes").count()
+    rows, moved = shuffled(spark, lambda: measures.exported_masks(spark, SF).collect())
+    assert moved < 3.3 * n and sorted(r.ann for r in rows if r.folder == 1) == list(range(1, 1 + sum(r.folder == 1 for r in rows)))
 
 
 def test_sweep_of_boxes_and_masks_at_once(spark):
@@ -120,5 +126,6 @@ def test_sweep_of_boxes_and_masks_at_once(spark):
 
 def test_the_sweep_shuffles_boxes_once(spark):
     """Beside what the views shuffle, boxes are by image, and neither pairs nor labels."""
-    n, before = sum(view(spark, SF, name).count() for name in ("truth", "boxes")), shuffled(spark)
-    assert len(records.matching_sweep(spark, SF).collect()) == 17 and shuffled(spark) - before < 2.5 * n
+    n = sum(view(spark, SF, name).count() for name in ("truth", "boxes"))
+    rows, moved = shuffled(spark, lambda: records.matching_sweep(spark, SF).collect())
+    assert len(rows) == 17 and moved < 2.5 * n
